@@ -33,3 +33,8 @@ def text_columns(df, exclude=()) -> list[str]:
     from pyspark.sql.types import StringType
     return [f.name for f in df.schema.fields
             if isinstance(f.dataType, StringType) and f.name not in exclude]
+
+
+def tcast(c: str | Column, dtype: str) -> Column:
+    """`try_cast`: null instead of an ANSI cast error."""
+    return col(c).try_cast(dtype)

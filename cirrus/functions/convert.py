@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cirrus.functions import numeric as M
-from cirrus.functions.common import col
+from cirrus.functions.common import col, tcast
 
 # Candidate date formats (fixed values), in the reference's order, as
 # Python strptime patterns and the equivalent Spark datetime patterns.
@@ -31,13 +31,13 @@ CONVERSIONS = ("TO_FLOAT64", "TO_FLOAT32", "TO_INT64", "TO_INT32", "TO_INT16",
 
 def to_float(c, kind: str = "TO_FLOAT64") -> Column:
     """C1."""
-    return F.try_cast(col(c), FLOAT_TYPES[kind])
+    return tcast(col(c), FLOAT_TYPES[kind])
 
 
 def to_int(c, kind: str = "TO_INT64") -> Column:
     """Round half-even first (pandas `round()`), then an integer type;
     a value out of range becomes null instead of raising."""
-    return F.try_cast(M.round_even(F.try_cast(col(c), "double"), 0), INT_TYPES[kind])
+    return tcast(M.round_even(tcast(col(c), "double"), 0), INT_TYPES[kind])
 
 
 def to_string(c) -> Column:
@@ -48,7 +48,7 @@ def to_string(c) -> Column:
 def to_numeric(c) -> Column:
     """Parse as double; unparsable → null, and the text `NaN` (which
     Spark parses) → null too."""
-    v = F.try_cast(F.trim(col(c).cast("string")), "double")
+    v = tcast(F.trim(col(c).cast("string")), "double")
     return F.when(~F.isnan(v), v)
 
 
@@ -129,7 +129,7 @@ def season(c) -> Column:
 
 def duration_seconds(start, end) -> Column:
     """DT5: end − start in seconds."""
-    return F.unix_micros(col(end)) / 1e6 - F.unix_micros(col(start)) / 1e6
+    return (F.unix_micros(col(end).cast("timestamp")) - F.unix_micros(col(start).cast("timestamp"))) / 1e6
 
 
 def clock_time(c) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType, NumericType
 
-from cirrus.functions.common import col
+from cirrus.functions.common import col, tcast
 from cirrus.sources.ingest import ROW_ID
 
 ISIN_MAX = 10_000
@@ -74,10 +74,10 @@ def reparse(text: Column, dtype) -> Column:
     """Back to the column type; a value that does not parse is null (a
     Spark column has one type) and is counted by `failed_reparse`."""
     if isinstance(dtype, IntegralType):
-        d = F.try_cast(text, "double")
-        return F.when(d == F.floor(d), F.try_cast(d, dtype.simpleString()))
+        d = tcast(text, "double")
+        return F.when(d == F.floor(d), tcast(d, dtype.simpleString()))
     if isinstance(dtype, NumericType):
-        return F.try_cast(text, dtype.simpleString())
+        return tcast(text, dtype.simpleString())
     return text
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["profiles"]
+MODULES = ["profiles", "columns"]
 
 
 def _registries():

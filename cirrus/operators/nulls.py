@@ -83,6 +83,23 @@ def neighbours(df: DataFrame, c: str, order_by: Sequence[str] | None = None,
     return out.drop(*drop)
 
 
+def fills(df: DataFrame, c: str, order_by=None, keys: Sequence[str] = (), block_rows: int = BLOCK_ROWS,
+          names=("ffill", "bfill", "interpolated")) -> DataFrame:
+    """N7, N8 and N9 together from ONE neighbour pass."""
+    n = neighbours(df, c, order_by, keys, block_rows)
+    return n.withColumns({names[0]: F.col("_pv"), names[1]: F.col("_nv"),
+                          names[2]: _interp(F.col(c))}).drop("_pv", "_pp", "_nv", "_np", "_pos")
+
+
+def _interp(x: Column) -> Column:
+    pv, pp, nv, np_, pos = (F.col(n) for n in ("_pv", "_pp", "_nv", "_np", "_pos"))
+    lin = pv + (nv - pv) * (pos - pp).cast("double") / (np_ - pp).cast("double")
+    return (F.when(x.isNotNull(), x.cast("double"))
+             .when(pv.isNull(), F.lit(None).cast("double"))
+             .when(nv.isNull(), pv.cast("double"))
+             .otherwise(lin))
+
+
 def ffill(df: DataFrame, c: str, order_by=None, keys: Sequence[str] = (), out: str | None = None,
           block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Last non-null value in row order; leading nulls stay."""
@@ -102,13 +119,7 @@ def interpolate(df: DataFrame, c: str, order_by=None, keys: Sequence[str] = (),
     """Linear in row position (pandas default): leading nulls stay,
     trailing nulls take the last value."""
     n = neighbours(df, c, order_by, keys, block_rows)
-    pv, pp, nv, np_, pos = (F.col(x) for x in ("_pv", "_pp", "_nv", "_np", "_pos"))
-    lin = pv + (nv - pv) * (pos - pp).cast("double") / (np_ - pp).cast("double")
-    val = (F.when(F.col(c).isNotNull(), F.col(c).cast("double"))
-            .when(pv.isNull(), F.lit(None).cast("double"))
-            .when(nv.isNull(), pv.cast("double"))
-            .otherwise(lin))
-    return n.withColumn(out or c, val).drop("_pv", "_pp", "_nv", "_np", "_pos")
+    return n.withColumn(out or c, _interp(F.col(c))).drop("_pv", "_pp", "_nv", "_np", "_pos")
 
 
 def column_mode(df: DataFrame, c: str):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["profiles", "columns"]
+MODULES = ["profiles", "columns", "rows"]
 
 
 def _registries():

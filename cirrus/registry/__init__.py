@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["profiles", "columns", "rows", "features"]
+MODULES = ["profiles", "columns", "rows", "features", "models"]
 
 
 def _registries():

@@ -100,3 +100,25 @@ def block_of(row_id: str | Column = ROW_ID, block_rows: int = 1 << 20) -> Column
     groups whatever the key distribution."""
     c = F.col(row_id) if isinstance(row_id, str) else row_id
     return F.floor(c / F.lit(block_rows)).cast("long")
+
+
+def running_total(df: DataFrame, order_by: Sequence[str | Column], value: str, name: str = "running_total",
+                  num_partitions: int | None = None) -> DataFrame:
+    """Inclusive running sum of `value` in a total order, without a
+    single-partition window: range partitions, per-partition totals (one row
+    per partition, broadcast) as offsets, and an in-partition window."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = _as_cols(order_by)
+    laid = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+              .withColumn("_pid", F.spark_partition_id())
+              .withColumn("_pos", F.monotonically_increasing_id())
+              .checkpoint(eager=True))
+    totals = laid.groupBy("_pid").agg(F.sum(value).alias("_t"))
+    offsets = totals.select("_pid", F.coalesce(F.sum("_t").over(
+        Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+    inner = F.sum(value).over(Window.partitionBy("_pid").orderBy("_pos")
+                              .rowsBetween(Window.unboundedPreceding, 0))
+    return (laid.withColumn("_in", inner).join(F.broadcast(offsets), "_pid")
+                .withColumn(name, F.col("_off") + F.col("_in")).drop("_pid", "_pos", "_off", "_in"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["profiles", "columns", "rows", "features", "models", "logs"]
+MODULES = ["profiles", "columns", "rows", "features", "models", "logs", "misc"]
 
 
 def _registries():

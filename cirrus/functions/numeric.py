@@ -17,14 +17,39 @@ def _nan_to_null(x: Column) -> Column:
     return F.when(~F.isnan(x), x)
 
 
+SPLITTER = 134217729.0  # 2^27 + 1, Veltkamp split of a double
+
+
+def _product_error(a: Column, b: float) -> Column:
+    """Exact rounding error of the double product a·b (Dekker's
+    two-product, plain IEEE arithmetic): a·b = fl(a·b) + error."""
+    def split(x):
+        c = x * F.lit(SPLITTER)
+        hi = c - (c - x)
+        return hi, x - hi
+    ahi, alo = split(a)
+    cb = SPLITTER * b
+    bhi = cb - (cb - b)
+    blo = b - bhi
+    p = a * F.lit(b)
+    return ((ahi * F.lit(bhi) - p) + ahi * F.lit(blo) + alo * F.lit(bhi)) + alo * F.lit(blo)
+
+
 def round_even(c, decimals: int = 2) -> Column:
-    """M1: Python `round(x, d)` — half-even on the binary value, computed as
-    rint(x·10^d)/10^d (`bround` works on the decimal text of the double and
-    gives 2.68 for 2.675 where Python gives 2.67)."""
+    """M1: Python `round(x, d)` — rounding of the EXACT binary value, ties to
+    even. y = x·10^d is rounded with rint; when y lands exactly on a .5 the
+    sign of the product's rounding error (Dekker two-product) decides, so
+    2.675 → 2.67 as in Python (`bround` works on the decimal text and gives
+    2.68)."""
     f = float(10 ** decimals)
     x = col(c).cast("double")
     if decimals >= 0:
-        return F.rint(x * F.lit(f)) / F.lit(f)
+        y = x * F.lit(f)
+        fl = F.floor(y).cast("double")
+        tie = (y - fl) == F.lit(0.5)
+        err = _product_error(x, f)
+        r = (F.when(tie & (err > 0), fl + 1.0).when(tie & (err < 0), fl).otherwise(F.rint(y)))
+        return r / F.lit(f)
     g = float(10 ** (-decimals))
     return F.rint(x / F.lit(g)) * F.lit(g)
 

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cirrus.functions.common import col, numeric_columns
+from cirrus.functions.numeric import round_even
 
 QUARTILES = [0.25, 0.5, 0.75]
 
@@ -131,7 +132,7 @@ def frequency_table(df: DataFrame, c: str, k: int = 100) -> DataFrame:
     t = t.select(
         F.coalesce(F.col("_v").cast("string"), F.lit("null")).alias("value"),
         F.col("count"),
-        F.round(F.col("count") * 100.0 / F.col("_total"), 2).alias("percentage"),
+        round_even(F.col("count") * 100.0 / F.col("_total"), 2).alias("percentage"),
         F.col("_v").isNull().cast("int").alias("_is_null"),
         F.col("_v").alias("_order_v"))
     return (t.orderBy("_is_null", F.desc("count"), "_order_v").limit(k)

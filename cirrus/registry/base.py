@@ -51,3 +51,22 @@ class Registry:
                 self.sql[name] = sql
             return fn
         return deco
+
+
+def PYROUND(expr: str, d: int) -> str:
+    """SQL twin of `numeric.round_even` (same IEEE operations)."""
+    f = float(10 ** d)
+    sp = 134217729.0
+    cb = sp * f
+    bhi = cb - (cb - f)
+    blo = f - bhi
+    def dl(v: float) -> str:
+        return f"CAST({v!r} AS DOUBLE)"
+    x = f"CAST({expr} AS DOUBLE)"
+    ahi = f"(({x} * {dl(sp)}) - (({x} * {dl(sp)}) - {x}))"
+    alo = f"({x} - {ahi})"
+    y = f"({x} * {dl(f)})"
+    err = f"((({ahi} * {dl(bhi)} - {y}) + {ahi} * {dl(blo)} + {alo} * {dl(bhi)}) + {alo} * {dl(blo)})"
+    fl = f"floor({y})"
+    return (f"((CASE WHEN {y} - {fl} = 0.5 AND {err} > 0 THEN {fl} + 1.0 "
+            f"WHEN {y} - {fl} = 0.5 AND {err} < 0 THEN {fl} ELSE round_even({y}, 0) END) / {dl(f)})")

@@ -11,7 +11,7 @@ from cirrus.functions import numeric as M
 from cirrus.functions import replace as RP
 from cirrus.functions import text as T
 from cirrus.operators import filters as FL
-from cirrus.registry.base import R, Registry, load, rnd
+from cirrus.registry.base import PYROUND, R, Registry, load, rnd
 from cirrus.registry.profiles import EVENTS_WITH_NULLS, events_with_nulls
 from cirrus.sources.ingest import with_row_id
 
@@ -132,8 +132,8 @@ def t10(spark, sf):
 
 # ---------------------------------------------------------------- numeric
 NUM_SQL = f"""SELECT l_orderkey, l_linenumber,
-    round_even(l_extendedprice * 10.0, 0) / 10.0 AS round1,
-    round_even(l_discount * 100.0, 0) / 100.0 AS round2,
+    {PYROUND('l_extendedprice', 1)} AS round1,
+    {PYROUND('l_discount', 2)} AS round2,
     floor(l_extendedprice / 7.0) AS floor7, ceil(l_extendedprice / 7.0) AS ceil7,
     {R('l_extendedprice * 3.6')} AS kmh,
     CASE WHEN l_quantity IS NOT NULL THEN least(greatest(l_quantity, 10.0), 40.0) END AS clipped,

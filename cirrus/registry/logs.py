@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cirrus.operators import evaluate as EV
 from cirrus.operators import lookups as L
-from cirrus.registry.base import R, Registry, load, rnd
+from cirrus.registry.base import PYROUND, R, Registry, load, rnd
 
 reg = Registry()
 
@@ -46,8 +46,8 @@ def runs(spark, sf):
         results.alias("test_results"))
 
 
-@reg.add("a22_success_rate", f"""SELECT model_name, round_even(avg(CASE WHEN status = 'completed' THEN 1.0 ELSE 0.0 END)
-    * 100.0 * 10.0, 0) / 10.0 AS success_rate FROM {RUNS_SQL} GROUP BY model_name""")
+@reg.add("a22_success_rate", f"""SELECT model_name, {PYROUND("avg(CASE WHEN status = 'completed' THEN 1.0 ELSE 0.0 END) * 100.0", 1)}
+    AS success_rate FROM {RUNS_SQL} GROUP BY model_name""")
 def a22(spark, sf):
     return L.success_rate(runs(spark, sf))
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cirrus.operators import normalize as Z
 from cirrus.operators import profile as A
-from cirrus.registry.base import R, Registry, load, rnd
+from cirrus.registry.base import PYROUND, R, Registry, load, rnd
 
 reg = Registry()
 
@@ -172,7 +172,7 @@ def a7_all(spark, sf):
     WITH t AS (SELECT count(*) AS total FROM {EVENTS_WITH_NULLS}),
     g AS (SELECT event_type AS v, count(*) AS count FROM {EVENTS_WITH_NULLS} GROUP BY event_type)
     SELECT coalesce(CAST(v AS VARCHAR), 'null') AS value, count,
-           (round_even(count * 100.0 / total * 1e2, 0) / 1e2) AS percentage
+           {PYROUND('count * 100.0 / total', 2)} AS percentage
     FROM g, t ORDER BY (v IS NULL), count DESC, v LIMIT 100""")
 def a8_freq(spark, sf):
     return A.frequency_table(events_with_nulls(spark, sf), "event_type", 100)

@@ -49,25 +49,29 @@ def neighbours(df: DataFrame, c: str, order_by: Sequence[str] | None = None,
     keys = list(keys)
     data = data.withColumn("_blk", block_of(rid, block_rows))
     nn_pos = F.when(F.col(c).isNotNull(), F.col(rid))
-    grp = Window.partitionBy(*keys, "_blk").orderBy(rid)
-    back = grp.rowsBetween(Window.unboundedPreceding, 0)
-    fwd = grp.rowsBetween(0, Window.unboundedFollowing)
+    # Both directions use running frames (unbounded preceding → current row,
+    # O(n) per group); the "next" value runs over the reversed order, since a
+    # current-row → unbounded-following frame is re-evaluated per row.
+    back = Window.partitionBy(*keys, "_blk").orderBy(F.col(rid).asc()).rowsBetween(Window.unboundedPreceding, 0)
+    fwd = Window.partitionBy(*keys, "_blk").orderBy(F.col(rid).desc()).rowsBetween(Window.unboundedPreceding, 0)
     data = data.withColumns({
         "_pv_in": F.last(c, ignorenulls=True).over(back),
         "_pp_in": F.last(nn_pos, ignorenulls=True).over(back),
-        "_nv_in": F.first(c, ignorenulls=True).over(fwd),
-        "_np_in": F.first(nn_pos, ignorenulls=True).over(fwd),
+    }).withColumns({
+        "_nv_in": F.last(c, ignorenulls=True).over(fwd),
+        "_np_in": F.last(nn_pos, ignorenulls=True).over(fwd),
     })
     summary = (data.groupBy(*keys, "_blk").agg(
         F.max_by(F.col(c), nn_pos).alias("_lv"), F.max(nn_pos).alias("_lp"),
         F.min_by(F.col(c), nn_pos).alias("_fv"), F.min(nn_pos).alias("_fp")))
-    sw = Window.partitionBy(*keys).orderBy("_blk")
+    sw = Window.partitionBy(*keys).orderBy(F.col("_blk").asc()).rowsBetween(Window.unboundedPreceding, -1)
+    sr = Window.partitionBy(*keys).orderBy(F.col("_blk").desc()).rowsBetween(Window.unboundedPreceding, -1)
     carry = summary.select(
         *keys, "_blk",
-        F.last("_lv", ignorenulls=True).over(sw.rowsBetween(Window.unboundedPreceding, -1)).alias("_cv"),
-        F.last("_lp", ignorenulls=True).over(sw.rowsBetween(Window.unboundedPreceding, -1)).alias("_cp"),
-        F.first("_fv", ignorenulls=True).over(sw.rowsBetween(1, Window.unboundedFollowing)).alias("_dv"),
-        F.first("_fp", ignorenulls=True).over(sw.rowsBetween(1, Window.unboundedFollowing)).alias("_dp"))
+        F.last("_lv", ignorenulls=True).over(sw).alias("_cv"),
+        F.last("_lp", ignorenulls=True).over(sw).alias("_cp"),
+        F.last("_fv", ignorenulls=True).over(sr).alias("_dv"),
+        F.last("_fp", ignorenulls=True).over(sr).alias("_dp"))
     # one row per (key, block); broadcast only below a checked row count.
     # Keys may be null, so the key equality is null-safe.
     carry = carry.withColumnsRenamed({k: f"_ck_{k}" for k in keys + ["_blk"]})

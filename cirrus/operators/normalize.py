@@ -144,3 +144,36 @@ def normalize_table(df: DataFrame, numeric_method: str = MIN_MAX, text_method: s
     out = fit(df, num, numeric_method).transform(df) if num else df
     return encode.apply_text_method(out, [f.name for f in df.schema.fields if f.name not in num
                                            and f.dataType.simpleString() == "string"], text_method)
+
+
+def stats_frame(df: DataFrame, cols: Sequence[str], method: str, exact: bool = True) -> DataFrame:
+    """Lazy fit: the statistics of `method` for `cols` as a ONE-row
+    DataFrame (no action), to be applied with `apply_stats` inside the same
+    plan — a single job instead of fit-then-transform."""
+    m = canonical(method)
+    aggs = [a for i, c in enumerate(cols) for a in _stat_aggs(c, m, i, exact)]
+    return df.agg(*aggs)
+
+
+def apply_stats(df: DataFrame, stats: DataFrame, cols: Sequence[str], method: str, suffix: str = "") -> DataFrame:
+    """Transform with a one-row statistics frame (broadcast: one row)."""
+    m = canonical(method)
+    j = df.crossJoin(F.broadcast(stats))
+    out = {}
+    for i, c in enumerate(cols):
+        x = F.col(c).cast("double")
+        if m in (MIN_MAX, LSTM_TCN):
+            rng = F.col(f"b{i}") - F.col(f"a{i}")
+            y = (x - F.col(f"a{i}")) / F.when(rng != 0, rng).otherwise(F.lit(1.0))
+            y = y * 2.0 - 1.0 if m == LSTM_TCN else y
+        elif m in (Z_SCORE, CNN):
+            sd = F.col(f"b{i}")
+            y = (x - F.col(f"a{i}")) / F.when(sd != 0, sd).otherwise(F.lit(1.0))
+        elif m == TRANSFORMER:
+            q = F.col(f"q{i}")
+            iqr = q[2] - q[0]
+            y = (x - q[1]) / F.when(iqr != 0, iqr).otherwise(F.lit(1.0))
+        else:
+            y = x
+        out[f"{c}{suffix}"] = y
+    return j.withColumns(out).drop(*stats.columns)

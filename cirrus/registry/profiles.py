@@ -55,7 +55,8 @@ def flagship(spark, sf):
     fitted on the kept rows (Z2) → per-returnflag profile (A1)."""
     li = load(spark, sf, "lineitem").select("l_returnflag", "l_quantity", "l_extendedprice")
     kept = A.iqr_filter(li, "l_extendedprice")
-    z = Z.fit(kept, ["l_quantity"], Z.Z_SCORE).transform(kept.withColumnRenamed("l_quantity", "l_quantity"))
+    # lazy fit: the z-score statistics are a one-row frame inside the same plan
+    z = Z.apply_stats(kept, Z.stats_frame(kept, ["l_quantity"], Z.Z_SCORE), ["l_quantity"], Z.Z_SCORE)
     z = z.withColumnRenamed("l_quantity", "zq")
     out = z.groupBy("l_returnflag").agg(
         F.count(F.lit(1)).alias("n"), F.avg("zq").alias("zq_mean"), F.stddev_samp("zq").alias("zq_std"),

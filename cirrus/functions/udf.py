@@ -22,11 +22,13 @@ from pyspark.sql.types import DataType, DoubleType, StringType, StructField, Str
 
 def column_stats(df: DataFrame, c: str) -> dict:
     """UD3: min, max, mean, std, median, count, sum of a numeric column."""
+    from cirrus.operators.quantiles import quantile_row
     x = F.col(c).cast("double")
     r = df.agg(F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("mean"),
-               F.stddev_samp(x).alias("std"), F.percentile(x, 0.5).alias("median"),
-               F.count(x).alias("count"), F.sum(x).alias("sum")).first()
-    return r.asDict()
+               F.stddev_samp(x).alias("std"), F.count(x).alias("count"), F.sum(x).alias("sum")).first().asDict()
+    q = quantile_row(df, c, [0.5])
+    r["median"] = q[0] if q else None
+    return r
 
 
 def _call(fn: Callable, value, stats: dict | None, state):

@@ -46,11 +46,7 @@ def _stat_aggs(c: str, method: str, i: int, exact: bool) -> list[Column]:
         return [F.min(x).alias(f"a{i}"), F.max(x).alias(f"b{i}")]
     if method in (Z_SCORE, CNN):
         return [F.avg(x).alias(f"a{i}"), F.stddev_pop(x).alias(f"b{i}")]
-    if method == TRANSFORMER:
-        q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) if exact \
-            else F.percentile_approx(x, [0.25, 0.5, 0.75], 10000)
-        return [q.alias(f"q{i}")]
-    return []
+    return []  # TRANSFORMER quartiles come from quantiles.quantile_table
 
 
 @dataclass
@@ -101,6 +97,12 @@ def fit(df: DataFrame, cols: Sequence[str] | None = None, method: str | dict = M
     methods = {c: canonical(method[c] if isinstance(method, dict) else method) for c in cols}
     aggs = [a for i, c in enumerate(cols) for a in _stat_aggs(c, methods[c], i, exact)]
     row = df.agg(*aggs).first() if aggs else None
+    robust = [c for c in cols if methods[c] == TRANSFORMER]
+    quart = {}
+    if robust:
+        from cirrus.operators.quantiles import quantile_table
+        qt = quantile_table(df, robust, [0.25, 0.5, 0.75], method="auto" if exact else "approx")
+        quart = {r["column"]: r["quantiles"] for r in qt.collect()}  # one row per column
     params = {}
     for i, c in enumerate(cols):
         m = methods[c]
@@ -111,7 +113,7 @@ def fit(df: DataFrame, cols: Sequence[str] | None = None, method: str | dict = M
             mu, sd = row[f"a{i}"], row[f"b{i}"]
             params[c] = (m, mu, sd if sd not in (None, 0.0) else 1.0)
         elif m == TRANSFORMER:
-            q = row[f"q{i}"]
+            q = quart.get(c)
             if q is None:
                 params[c] = (m, None, None)
             else:
@@ -151,6 +153,11 @@ def stats_frame(df: DataFrame, cols: Sequence[str], method: str, exact: bool = T
     DataFrame (no action), to be applied with `apply_stats` inside the same
     plan — a single job instead of fit-then-transform."""
     m = canonical(method)
+    if m == TRANSFORMER:
+        from cirrus.operators.quantiles import quantile_table
+        qt = quantile_table(df, cols, [0.25, 0.5, 0.75], method="auto" if exact else "approx")
+        return qt.agg(*[F.max(F.when(F.col("column") == c, F.col("quantiles"))).alias(f"q{i}")
+                        for i, c in enumerate(cols)])  # one row per column → one row
     aggs = [a for i, c in enumerate(cols) for a in _stat_aggs(c, m, i, exact)]
     return df.agg(*aggs)
 

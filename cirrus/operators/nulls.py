@@ -142,9 +142,11 @@ def fill_value(df: DataFrame, c: str, method: str, custom=None):
     if m in ("mean", "median"):
         if not is_num:
             raise ValueError(f"{method} needs a numeric column")
-        x = F.col(c).cast("double")
-        agg = F.avg(x) if m == "mean" else F.percentile(x, 0.5)
-        return df.agg(agg.alias("v")).first()["v"]
+        if m == "mean":
+            return df.agg(F.avg(F.col(c).cast("double")).alias("v")).first()["v"]
+        from cirrus.operators.quantiles import quantile_row
+        q = quantile_row(df, c, [0.5])
+        return q[0] if q else None
     if m == "mode":
         return column_mode(df, c)
     if m == "zero":

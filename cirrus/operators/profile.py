@@ -5,10 +5,10 @@ aggregation on the map side, one small final stage) and then turned into a
 long table with one row per column by exploding an array of structs — never a
 per-column loop of jobs and never a collect of data rows.
 
-Exact quartiles use Spark's `percentile` (equal to the linear interpolation of
-pandas and DuckDB's `quantile_cont`). It keeps a value→count map per group,
-so memory grows with the number of DISTINCT values of the column in a group;
-`exact=False` switches to `percentile_approx` with a bounded sketch.
+Exact quartiles (the linear interpolation of pandas and `quantile_cont`) come
+from `quantiles.quantile_table`: Spark's `percentile` for columns with few
+distinct values, a rank-based path without per-group value maps for the
+others; `exact=False` switches to `percentile_approx`.
 """
 
 from __future__ import annotations
@@ -24,12 +24,6 @@ from cirrus.functions.numeric import round_even
 QUARTILES = [0.25, 0.5, 0.75]
 
 
-def _quantiles(c: Column, probs: Sequence[float], exact: bool, accuracy: int) -> Column:
-    if exact:
-        return F.percentile(c, F.array(*[F.lit(float(p)) for p in probs]))
-    return F.percentile_approx(c, list(probs), accuracy)
-
-
 def corrected_skewness(g1: Column, n: Column) -> Column:
     """A2: bias-corrected sample skewness from Spark's population form."""
     return F.when(n > 2, g1 * F.sqrt(n * (n - 1)) / (n - 2))
@@ -41,36 +35,41 @@ def corrected_kurtosis(g2: Column, n: Column) -> Column:
 
 
 def summary(df: DataFrame, cols: Sequence[str] | None = None, by: Sequence[str] = (),
-            exact: bool = True, accuracy: int = 10000, moments: bool = False) -> DataFrame:
+            exact: bool = True, accuracy: int = 10000, moments: bool = False,
+            quantile_method: str = "auto") -> DataFrame:
     """A1 (+A2 with `moments`): count, mean, std (ddof 1), min, q1, median,
-    q3, max per column (and per group of `by`), one row per (group, column)."""
+    q3, max per column (and per group of `by`), one row per (group, column).
+    Moments come from one aggregate; quartiles from `quantile_table` (exact:
+    value map for low-cardinality columns, rank-based for the others)."""
+    from cirrus.operators.quantiles import quantile_table
+    by = list(by)
     cols = list(cols) if cols else numeric_columns(df, exclude=by)
     aggs = []
     for i, c in enumerate(cols):
         x = F.col(c).cast("double")
-        aggs += [
-            F.count(x).alias(f"n{i}"), F.avg(x).alias(f"mean{i}"),
-            F.stddev_samp(x).alias(f"std{i}"), F.min(x).alias(f"min{i}"),
-            F.max(x).alias(f"max{i}"), _quantiles(x, QUARTILES, exact, accuracy).alias(f"q{i}"),
-        ]
+        aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"mean{i}"), F.stddev_samp(x).alias(f"std{i}"),
+                 F.min(x).alias(f"min{i}"), F.max(x).alias(f"max{i}")]
         if moments:
             aggs += [F.skewness(x).alias(f"sk{i}"), F.kurtosis(x).alias(f"ku{i}")]
     grouped = df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
     rows = []
     for i, c in enumerate(cols):
-        fields = [
-            F.lit(c).alias("column"), F.col(f"n{i}").alias("count"),
-            F.col(f"mean{i}").alias("mean"), F.col(f"std{i}").alias("std"),
-            F.col(f"min{i}").alias("min"), F.col(f"q{i}")[0].alias("q1"),
-            F.col(f"q{i}")[1].alias("median"), F.col(f"q{i}")[2].alias("q3"),
-            F.col(f"max{i}").alias("max"),
-        ]
+        fields = [F.lit(c).alias("column"), F.col(f"n{i}").alias("count"), F.col(f"mean{i}").alias("mean"),
+                  F.col(f"std{i}").alias("std"), F.col(f"min{i}").alias("min"), F.col(f"max{i}").alias("max")]
         if moments:
             n = F.col(f"n{i}").cast("double")
             fields += [corrected_skewness(F.col(f"sk{i}"), n).alias("skewness"),
                        corrected_kurtosis(F.col(f"ku{i}"), n).alias("kurtosis")]
         rows.append(F.struct(*fields))
-    return grouped.select(*by, F.inline(F.array(*rows)))
+    base = grouped.select(*by, F.inline(F.array(*rows)))
+    q = quantile_table(df, cols, QUARTILES, by, quantile_method if exact else "approx")
+    q = q.select(*[F.col(b).alias(f"_qb_{b}") for b in by], F.col("column").alias("_qc"), "quantiles")
+    on = [F.col("column") == F.col("_qc")] + [F.col(b).eqNullSafe(F.col(f"_qb_{b}")) for b in by]
+    # one row per (group, column) on both sides
+    j = base.join(q, on, "left")
+    extra = ["skewness", "kurtosis"] if moments else []
+    return j.select(*by, "column", "count", "mean", "std", "min", F.col("quantiles")[0].alias("q1"),
+                    F.col("quantiles")[1].alias("median"), F.col("quantiles")[2].alias("q3"), "max", *extra)
 
 
 def null_counts(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
@@ -175,10 +174,11 @@ def histogram(df: DataFrame, c: str, bins: int = 20) -> DataFrame:
                          F.coalesce(F.col("count"), F.lit(0)).cast("long").alias("count")))
 
 
-def iqr_bounds(df: DataFrame, c: str, k: float = 1.5, exact: bool = True) -> DataFrame:
+def iqr_bounds(df: DataFrame, c: str, k: float = 1.5, exact: bool = True, method=None) -> DataFrame:
     """One-row table: q1, q3, iqr, lower, upper for the IQR rule with factor k."""
-    q = df.agg(_quantiles(F.col(c).cast("double"), [0.25, 0.75], exact, 10000).alias("_q"))
-    return q.select(F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("q3")).select(
+    from cirrus.operators.quantiles import quantile_table
+    q = quantile_table(df, [c], [0.25, 0.75], method=method or ("auto" if exact else "approx"))
+    return q.select(F.col("quantiles")[0].alias("q1"), F.col("quantiles")[1].alias("q3")).select(
         "q1", "q3", (F.col("q3") - F.col("q1")).alias("iqr"),
         (F.col("q1") - k * (F.col("q3") - F.col("q1"))).alias("lower_bound"),
         (F.col("q3") + k * (F.col("q3") - F.col("q1"))).alias("upper_bound"))
@@ -187,15 +187,19 @@ def iqr_bounds(df: DataFrame, c: str, k: float = 1.5, exact: bool = True) -> Dat
 def outlier_summary(df: DataFrame, c: str, k: float = 1.5) -> DataFrame:
     """Outlier count and %, bounds, quartiles, below/above counts,
     plus min/max/median of the non-null values."""
-    b = iqr_bounds(df, c, k)
+    from cirrus.operators.quantiles import quantile_table
+    q = quantile_table(df, [c], [0.25, 0.5, 0.75]).select(
+        F.col("quantiles")[0].alias("q1"), F.col("quantiles")[1].alias("median"), F.col("quantiles")[2].alias("q3"))
+    b = q.select("q1", "q3", "median", (F.col("q3") - F.col("q1")).alias("iqr"),
+                 (F.col("q1") - k * (F.col("q3") - F.col("q1"))).alias("lower_bound"),
+                 (F.col("q3") + k * (F.col("q3") - F.col("q1"))).alias("upper_bound"))
     x = F.col(c).cast("double")
-    j = df.select(x.alias("_x")).filter(F.col("_x").isNotNull()).crossJoin(F.broadcast(b))
-    return j.groupBy("q1", "q3", "iqr", "lower_bound", "upper_bound").agg(
+    j = df.select(x.alias("_x")).filter(F.col("_x").isNotNull()).crossJoin(F.broadcast(b))  # one-row table
+    return j.groupBy("q1", "q3", "iqr", "lower_bound", "upper_bound", "median").agg(
         F.count(F.lit(1)).alias("non_null"),
         F.count_if(F.col("_x") < F.col("lower_bound")).alias("below"),
         F.count_if(F.col("_x") > F.col("upper_bound")).alias("above"),
         F.min("_x").alias("min"), F.max("_x").alias("max"),
-        F.percentile("_x", 0.5).alias("median"),
     ).select("*", (F.col("below") + F.col("above")).alias("outlier_count"),
              ((F.col("below") + F.col("above")) * 100.0 / F.col("non_null")).alias("outlier_pct"))
 
@@ -214,9 +218,9 @@ def outlier_rows(df: DataFrame, c: str, k: float = 1.5, order_by: str | None = N
     return out.limit(limit) if limit else out
 
 
-def iqr_filter(df: DataFrame, c: str, k: float = 1.5) -> DataFrame:
+def iqr_filter(df: DataFrame, c: str, k: float = 1.5, method=None) -> DataFrame:
     """keep rows whose value lies inside the IQR fences (inclusive)."""
-    b = iqr_bounds(df, c, k).select("lower_bound", "upper_bound")
+    b = iqr_bounds(df, c, k, method=method).select("lower_bound", "upper_bound")
     x = F.col(c).cast("double")
     return (df.crossJoin(F.broadcast(b))
               .filter(x.between(F.col("lower_bound"), F.col("upper_bound")))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cirrus.operators import normalize as Z
 from cirrus.operators import profile as A
+from cirrus.operators.quantiles import choose, quantile_table
 from cirrus.registry.base import PYROUND, R, Registry, load, rnd
 
 reg = Registry()
@@ -54,19 +55,27 @@ def flagship(spark, sf):
     """read → IQR filter of l_extendedprice (F4) → z-score of l_quantity
     fitted on the kept rows (Z2) → per-returnflag profile (A1)."""
     li = load(spark, sf, "lineitem").select("l_returnflag", "l_quantity", "l_extendedprice")
-    kept = A.iqr_filter(li, "l_extendedprice")
+    # quantile method per column decided once on the source (one HLL pass)
+    m = choose(li, ["l_quantity", "l_extendedprice"])
+    kept = A.iqr_filter(li, "l_extendedprice", method={"l_extendedprice": m["l_extendedprice"]})
     # lazy fit: the z-score statistics are a one-row frame inside the same plan
     z = Z.apply_stats(kept, Z.stats_frame(kept, ["l_quantity"], Z.Z_SCORE), ["l_quantity"], Z.Z_SCORE)
     z = z.withColumnRenamed("l_quantity", "zq")
     out = z.groupBy("l_returnflag").agg(
         F.count(F.lit(1)).alias("n"), F.avg("zq").alias("zq_mean"), F.stddev_samp("zq").alias("zq_std"),
-        F.percentile("zq", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"),
-        F.avg("l_extendedprice").alias("price_mean"), F.percentile("l_extendedprice", 0.5).alias("price_median"))
+        F.avg("l_extendedprice").alias("price_mean"))
+    # exact grouped quartiles (rank-based for high-cardinality columns)
+    q = quantile_table(z, ["zq", "l_extendedprice"], [0.25, 0.5, 0.75], by=["l_returnflag"],
+                       method={"zq": m["l_quantity"], "l_extendedprice": m["l_extendedprice"]})
+    q = q.groupBy("l_returnflag").agg(  # two rows per flag → one
+        F.max(F.when(F.col("column") == "zq", F.col("quantiles"))).alias("_q"),
+        F.max(F.when(F.col("column") == "l_extendedprice", F.col("quantiles"))).alias("_p"))
+    out = out.join(q, out.l_returnflag.eqNullSafe(q.l_returnflag)).drop(q.l_returnflag)
     return out.select(
         "l_returnflag", "n", rnd("zq_mean").alias("zq_mean"), rnd("zq_std").alias("zq_std"),
         rnd(F.col("_q")[0]).alias("zq_q1"), rnd(F.col("_q")[1]).alias("zq_median"),
         rnd(F.col("_q")[2]).alias("zq_q3"), rnd("price_mean", 4).alias("price_mean"),
-        rnd("price_median", 4).alias("price_median"))
+        rnd(F.col("_p")[1], 4).alias("price_median"))
 
 
 reg.add("flagship_iqr_zscore_profile", FLAGSHIP_SQL)(flagship)

@@ -201,3 +201,18 @@ def test_classification_metrics_zero_division(spark):
     m = EV.classification_metrics(df, "y", "p").first()
     assert abs(m["accuracy"] - 0.5) < 1e-12
     assert abs(m["precision"] - (2 * 1.0 + 1 * (1 / 3) + 1 * 0.0) / 4) < 1e-12
+
+
+def test_sorted_quantiles_equal_percentile(spark):
+    from cirrus.operators.quantiles import quantile_table
+    df = spark.range(2000).select((F.col("id") % 7).alias("g"),
+                                  ((F.col("id") * 7919) % 1013 / 3.0).alias("x"),
+                                  F.when(F.col("id") % 5 == 0, F.lit(None)).otherwise(F.col("id") * 1.5).alias("y"))
+    probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
+    a = {(r["g"], r["column"]): r["quantiles"] for r in quantile_table(df, ["x", "y"], probs, ["g"], "sort").collect()}
+    b = {(r["g"], r["column"]): r["quantiles"] for r in quantile_table(df, ["x", "y"], probs, ["g"], "map").collect()}
+    assert a.keys() == b.keys()
+    for k in a:
+        assert all(abs(u - v) < 1e-9 for u, v in zip(a[k], b[k]))
+    one = spark.createDataFrame([(1, 5.0)], "g int, x double")
+    assert quantile_table(one, ["x"], [0.25, 0.5], method="sort").first()["quantiles"] == [5.0, 5.0]

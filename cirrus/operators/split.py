@@ -277,3 +277,12 @@ def leave_one_out(df: DataFrame, row_id: str = ROW_ID, max_rows: int | None = 10
 def train_val_union(df: DataFrame) -> DataFrame:
     """The rows used for cross-validation (train ∪ val)."""
     return df.filter(F.col("split").isin(TRAIN, VAL))
+
+
+def leave_one_group_out(df: DataFrame, group: str) -> DataFrame:
+    """Every group is one fold; fold number = rank of the group in
+    sorted order (the group table is ranked, then joined back)."""
+    groups = df.select(group).filter(F.col(group).isNotNull()).distinct()
+    ranked = rank_values(groups, [group], name="fold")
+    g = ranked.count()
+    return checked_join(df, ranked.withColumn("fold", F.col("fold").cast("int")), [group], "left", known_rows=g)

@@ -198,3 +198,30 @@ def d10(spark, sf):
 def s9(spark, sf):
     rep = REP.report(load(spark, sf, "lineitem"), order_by=["l_orderkey", "l_linenumber"])
     return rep["column_analysis"]
+
+
+@reg.add("x3_leave_one_group_out", """SELECT o_orderkey, o_orderpriority,
+    CAST(dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS INTEGER) AS fold FROM orders""")
+def x3(spark, sf):
+    o = load(spark, sf, "orders").select("o_orderkey", "o_orderpriority")
+    return S.leave_one_group_out(o, "o_orderpriority")
+
+
+@reg.add("x11_parquet_json_export_roundtrip", """SELECT c_custkey, c_name, c_acctbal FROM customer""")
+def x11(spark, sf):
+    c = load(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal")
+    base = _scratch(spark, "x11")
+    p = SK.write_version(c, base, 1, "parquet", compression="zstd")
+    j = os.path.join(base, "json")
+    SK.export_json(spark.read.parquet(p), j)
+    return spark.read.schema("c_custkey long, c_name string, c_acctbal double").json(j)
+
+
+@reg.add("x12_grid_search")
+def x12(spark, sf):
+    from cirrus.plans import train as TRN
+    from cirrus.registry.models import FEATS, _order_features
+    m = TRN.grid_search(_order_features(spark, sf), FEATS, "o_totalprice", {"maxDepth": [2, 4]}, folds=3,
+                        model_type="decision_tree")
+    rows = [(i, float(v)) for i, v in enumerate(m.avgMetrics)]
+    return spark.createDataFrame(rows, "grid_point int, avg_rmse double")

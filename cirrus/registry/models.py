@@ -343,3 +343,58 @@ def x4(spark, sf):
 def x13(spark, sf):
     _, pred = TR.mlp(load(spark, sf, "embeddings"), "embedding", "label", hidden=(16,), max_iter=20)
     return pred.select("vec_id", "label", "prediction")
+
+
+# ------------------------------------------------- ensemble votes
+# Three "models" give class probabilities over (F, O, P) for every order:
+# its line-status shares, a priority rule and a discount rule.
+ENS_BASE_SQL = """(SELECT o_orderkey, [nf / n, no_ / n, CAST(0.0 AS DOUBLE)] AS m1,
+    [p / 15, (6 - p) / 15, CAST(0.6 AS DOUBLE)] AS m2, [d * 5, 0.5 - d * 5, CAST(0.5 AS DOUBLE)] AS m3
+    FROM (SELECT o_orderkey, CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS p, nf, no_, n, d FROM orders
+          JOIN (SELECT l_orderkey, count(*) AS n, count_if(l_linestatus = 'F') AS nf,
+                       count_if(l_linestatus = 'O') AS no_, avg(l_discount) AS d FROM lineitem GROUP BY l_orderkey)
+          ON o_orderkey = l_orderkey))"""
+
+
+def _am(x):
+    return f"CAST(list_position({x}, list_max({x})) - 1 AS INTEGER)"
+
+
+def _elem(f):
+    return "[" + ", ".join(f(i) for i in (1, 2, 3)) + "]"
+
+
+ENS_SQL = f"""WITH m AS {ENS_BASE_SQL},
+    v AS (SELECT *, list_transform({_elem(lambda i: f'(m1[{i}] + m2[{i}]) + m3[{i}]')}, lambda x: x / 3.0) AS mean,
+      {_elem(lambda i: f'(m1[{i}] * 0.5 + m2[{i}] * 0.3) + m3[{i}] * 0.2')} AS wsum,
+      {_elem(lambda i: f'(m1[{i}] * list_max(m1) + m2[{i}] * list_max(m2)) + m3[{i}] * list_max(m3)')} AS csum,
+      [{_am('m1')}, {_am('m2')}, {_am('m3')}] AS votes FROM m),
+    h AS (SELECT *, {_am("[len(list_filter(votes, lambda v: v = 0)), len(list_filter(votes, lambda v: v = 1)), len(list_filter(votes, lambda v: v = 2))]")} AS hard FROM v)
+    SELECT o_orderkey, hard, {_am('mean')} AS soft, {_am('wsum')} AS weighted, {_am('csum')} AS confidence,
+      CASE WHEN list_max(m1) >= 0.6 THEN {_am('m1')} WHEN list_max(m2) >= 0.6 THEN {_am('m2')}
+           WHEN list_max(m3) >= 0.6 THEN {_am('m3')} ELSE {_am('mean')} END AS cascade,
+      {R('list_max(mean)')} AS max_probability,
+      {R('list_reduce(list_prepend(CAST(0.0 AS DOUBLE), list_filter(mean, lambda q: q > 0)), lambda acc, q: acc - q * ln(q))')} AS entropy,
+      {R('((CAST(votes[1] = hard AS INTEGER) + CAST(votes[2] = hard AS INTEGER)) + CAST(votes[3] = hard AS INTEGER)) / 3.0')} AS agreement
+    FROM h"""
+
+
+@reg.add("x6_x7_ensemble_votes", ENS_SQL)
+def x6(spark, sf):
+    from cirrus.operators import ensemble as EN
+    li = load(spark, sf, "lineitem").groupBy("l_orderkey").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("l_linestatus") == "F").alias("nf"),
+        F.count_if(F.col("l_linestatus") == "O").alias("no_"), F.avg("l_discount").alias("d"))
+    o = load(spark, sf, "orders").select("o_orderkey", F.substring("o_orderpriority", 1, 1).cast("int").alias("p"))
+    j = o.join(li, o.o_orderkey == li.l_orderkey)
+    m = j.select("o_orderkey",
+                 F.array(F.col("nf") / F.col("n"), F.col("no_") / F.col("n"), F.lit(0.0)).alias("m1"),
+                 F.array(F.col("p") / 15, (6 - F.col("p")) / 15, F.lit(0.6)).alias("m2"),
+                 F.array(F.col("d") * 5, 0.5 - F.col("d") * 5, F.lit(0.5)).alias("m3"))
+    arrs = [F.col("m1"), F.col("m2"), F.col("m3")]
+    meta = EN.meta_features(arrs, 3)
+    return m.select("o_orderkey", EN.hard_vote(arrs, 3).alias("hard"), EN.soft_vote(arrs).alias("soft"),
+                    EN.weighted_vote(arrs, [0.5, 0.3, 0.2]).alias("weighted"),
+                    EN.confidence_vote(arrs).alias("confidence"), EN.cascade_vote(arrs, 0.6).alias("cascade"),
+                    rnd(meta["max_probability"]).alias("max_probability"), rnd(meta["entropy"]).alias("entropy"),
+                    rnd(meta["agreement"]).alias("agreement"))

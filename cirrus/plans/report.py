@@ -43,3 +43,33 @@ def column_info(df: DataFrame, c: str, max_distribution: int = 20) -> dict[str,
     if k <= max_distribution:
         res["distribution"] = A.value_counts(df, c)
     return res
+
+
+def available_normalizers(df: DataFrame) -> DataFrame:
+    """Per column its coarse kind (D2) and the methods that apply, with
+    mean/std/min/max for numeric columns or distinct count and top-3 values
+    for text (one aggregate for the numbers; top-3 by a grouped count)."""
+    from cirrus.operators.detect import coarse_kinds
+    from cirrus.operators.normalize import NUMERIC_METHODS
+    from pyspark.sql.types import NumericType
+    spark = df.sparkSession
+    num = [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType)]
+    txt = [f.name for f in df.schema.fields if f.name not in num]
+    rows = []
+    if num:
+        a = df.agg(*[x for i, c in enumerate(num) for x in (
+            F.avg(c).alias(f"m{i}"), F.stddev_samp(c).alias(f"s{i}"), F.min(c).cast("double").alias(f"lo{i}"),
+            F.max(c).cast("double").alias(f"hi{i}"))]).first()
+        for i, c in enumerate(num):
+            rows.append((c, "numeric", ",".join(NUMERIC_METHODS), a[f"m{i}"], a[f"s{i}"], a[f"lo{i}"], a[f"hi{i}"],
+                         None, None))
+    if txt:
+        kinds = {r["column"]: r["coarse_kind"] for r in coarse_kinds(df, txt).collect()}  # one row per column
+        for c in txt:
+            top = A.value_counts(df, c, 3).collect()
+            methods = "LOWER,STRIP,LABEL_ENCODING,ONE_HOT" if kinds[c] == "text" else \
+                ",".join(NUMERIC_METHODS) + ",LOWER,STRIP,LABEL_ENCODING,ONE_HOT"
+            d = df.agg(F.count_distinct(c)).first()[0]
+            rows.append((c, kinds[c], methods, None, None, None, None, int(d), ",".join(str(r[0]) for r in top)))
+    return spark.createDataFrame(rows, "column string, kind string, methods string, mean double, std double, "
+                                       "min double, max double, distinct_count long, top3 string")

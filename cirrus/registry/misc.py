@@ -225,3 +225,73 @@ def x12(spark, sf):
                         model_type="decision_tree")
     rows = [(i, float(v)) for i, v in enumerate(m.avgMetrics)]
     return spark.createDataFrame(rows, "grid_point int, avg_rmse double")
+
+
+@reg.add("s1_csv_scan_inferred", """SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier""")
+def s1(spark, sf):
+    from cirrus.sources.ingest import read_csv
+    path = _scratch(spark, "csv")
+    SK.export_csv(load(spark, sf, "supplier").select(F.col("s_suppkey").alias(" s_suppkey "), "s_name",
+                                                     "s_nationkey", "s_acctbal"), path)
+    back = read_csv(spark, path)  # inferred types, trimmed names
+    return back.select(F.col("s_suppkey").cast("long"), "s_name", F.col("s_nationkey").cast("int"), "s_acctbal")
+
+
+@reg.add("s4_s5_s12_catalog", """SELECT 'orders' AS name, false AS is_normalized, CAST(NULL AS BIGINT) AS parent_id,
+    CAST(1 AS BIGINT) AS root_id, (SELECT count(*) FROM orders) AS row_count, 6 AS column_count
+    UNION ALL SELECT 'orders_copy', false, NULL, 2, (SELECT count(*) FROM orders), 6
+    UNION ALL SELECT 'orders_normalized', true, 1, 1, (SELECT count(*) FROM orders), 6""")
+def s4(spark, sf):
+    from cirrus.operators import normalize as Z
+    base = _scratch(spark, "catalog")
+    cat = SK.Catalog(spark, os.path.join(base, "catalog"))
+    o = load(spark, sf, "orders")
+    first = cat.register(o, os.path.join(base, "d1"), "orders", user_id=7)
+    cat.register(o, os.path.join(base, "d2"), "orders_copy", user_id=7)  # S5 duplicate under a new name
+    norm = Z.normalize(o, ["o_totalprice"], "MIN_MAX")
+    cat.register(norm, os.path.join(base, "d3"), "orders_normalized", user_id=7, parent_id=first, method="MIN_MAX")
+    try:
+        cat.register(o, os.path.join(base, "d4"), "orders", user_id=7)
+        raise AssertionError("a duplicate (user, name) must be refused")
+    except ValueError:
+        pass
+    return cat.table().select("name", "is_normalized", "parent_id", "root_id", "row_count", "column_count")
+
+
+@reg.add("s10_model_save_load_score")
+def s10(spark, sf):
+    from cirrus.plans import train as TRN
+    from cirrus.registry.models import FEATS, _order_features
+    o = S.random_split(_order_features(spark, sf), ["o_orderkey"], 0.7, 0.15, 0.15, seed=42)
+    res = TRN.train(o, FEATS, "o_totalprice", "decision_tree", {"max_depth": 4}, classification=False)
+    path = _scratch(spark, "model")
+    TRN.save_model(res.model, path)
+    return TRN.score(TRN.load_model(path), o, keep=["o_orderkey"])
+
+
+@reg.add("x1_remove_duplicate_rows", """SELECT DISTINCT l_returnflag, l_linestatus, l_quantity FROM lineitem""")
+def x1(spark, sf):
+    return load(spark, sf, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity").dropDuplicates()
+
+
+@reg.add("d11_column_info")
+def d11(spark, sf):
+    info = REP.column_info(load(spark, sf, "orders"), "o_orderstatus")
+    return info["distribution"]
+
+
+@reg.add("d9_available_normalizers")
+def d9(spark, sf):
+    e = load(spark, sf, "events").select("value", "event_type", F.col("user_id").cast("string").alias("uid_text"))
+    return REP.available_normalizers(e)
+
+
+@reg.add("z16_chain_preview", f"""WITH a AS (SELECT *, {R("(l_quantity - min(l_quantity) OVER ()) / (max(l_quantity) OVER () - min(l_quantity) OVER ())")} AS q
+    FROM lineitem) SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, q AS l_quantity FROM a
+    ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey LIMIT 1000""")
+def z16(spark, sf):
+    from cirrus.plans import chain as CH
+    li = load(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    p = CH.preview(li, {"l_quantity": "MIN_MAX"}, 1000, order_by=["l_orderkey", "l_linenumber", "l_partkey",
+                                                                  "l_suppkey"])
+    return p.withColumn("l_quantity", rnd("l_quantity"))

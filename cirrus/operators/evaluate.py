@@ -17,6 +17,7 @@ from cirrus.functions.numeric import round_even
 from cirrus.operators.profile import bin_index, histogram
 
 EPS = 1e-15
+MAX_CLASSES = 1000
 
 # Weather code names (fixed values), code 0–11.
 WEATHER_CODES = ["Clear", "Partly Cloudy", "Cloudy", "Overcast", "Fog", "Drizzle", "Rain",
@@ -96,7 +97,10 @@ def confusion_matrix(df: DataFrame, y: str, yhat: str, names: Sequence[str] | No
     domains, zero cells included, long form."""
     cc = confusion_counts(df, y, yhat)
     labels = cc.select(F.col("true").alias("l")).union(cc.select(F.col("pred").alias("l"))).distinct()
-    # classes² cells: the label domain is small by construction (classes)
+    k = labels.count()
+    if k > MAX_CLASSES:
+        raise ValueError(f"{k} labels: a confusion matrix needs a classification target")
+    # classes² cells over a label domain checked to be small
     grid = labels.select(F.col("l").alias("true")).crossJoin(labels.select(F.col("l").alias("pred")))
     out = grid.join(cc, ["true", "pred"], "left").select("true", "pred",
                                                          F.coalesce("count", F.lit(0)).cast("long").alias("count"))

@@ -103,16 +103,20 @@ def link_runs(runs: DataFrame, definitions: DataFrame, keys: Sequence[str], run_
               hyper: str) -> DataFrame:
     """Link runs without a definition to a definition with the same keys:
     a unique match wins; among several, the first (smallest id) with equal
-    hyper-parameters; otherwise the run stays unlinked (null)."""
-    d = definitions.select(*[F.col(k).alias(f"_d_{k}") for k in keys], F.col(def_id).alias("_def"),
-                           F.col(hyper).alias("_dh"))
-    on = [F.col(k).eqNullSafe(F.col(f"_d_{k}")) for k in keys]
-    j = runs.select(run_id, *keys, hyper).join(d, on, "left")
-    # one hash aggregate per run: number of matches, the match, the first
-    # match with equal hyper-parameters
-    g = j.groupBy(run_id).agg(F.count("_def").alias("_n"), F.min("_def").alias("_any"),
-                              F.min(F.when(F.col(hyper) == F.col("_dh"), F.col("_def"))).alias("_eq"))
-    return g.select(run_id, F.when(F.col("_n") == 1, F.col("_any")).otherwise(F.col("_eq"))
+    hyper-parameters; otherwise the run stays unlinked (null).
+
+    Definitions are first reduced to one row per key (count, smallest id)
+    and one row per (key, hyper-parameters) (smallest id); runs join those
+    summaries, so a key shared by many runs and many definitions never
+    produces run × definition pairs."""
+    per_key = definitions.groupBy(*keys).agg(F.count(def_id).alias("_n"), F.min(def_id).alias("_any"))
+    per_hyper = definitions.groupBy(*keys, hyper).agg(F.min(def_id).alias("_eq"))
+    r = runs.select(run_id, *keys, hyper)
+    on_k = [r[k].eqNullSafe(per_key[k]) for k in keys]
+    j = r.join(per_key, on_k, "left").select(r[run_id], *[r[k] for k in keys], r[hyper], "_n", "_any")
+    on_h = [j[k].eqNullSafe(per_hyper[k]) for k in keys] + [j[hyper] == per_hyper[hyper]]
+    j = j.join(per_hyper, on_h, "left").select(j[run_id], "_n", "_any", "_eq")
+    return j.select(run_id, F.when(F.col("_n") == 1, F.col("_any")).otherwise(F.col("_eq"))
                     .alias("linked_definition"))
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from cirrus.functions import udf as U
+from cirrus.functions.convert import DATE_FORMATS as C_DATE_FORMATS
 from cirrus.operators import detect as D
 from cirrus.operators import split as S
 from cirrus.plans import report as REP
@@ -165,7 +166,21 @@ def d2(spark, sf):
     return D.coarse_kinds(e, ["v_text", "event_type"])
 
 
-@reg.add("d4_output_dtype")
+def _d4_sql(name, expr):
+    x = f"lower(trim({expr}))"
+    v = f"TRY_CAST({x} AS DOUBLE)"
+    dates = "coalesce(" + ", ".join(f"try_strptime({expr}, '{f}')" for f, _ in C_DATE_FORMATS) + ")"
+    return (f"SELECT '{name}' AS \"column\", CASE WHEN count(*) = 0 THEN 'text' "
+            f"WHEN count_if({x} IN ('true', 'false', '0', '1', 'yes', 'no')) = count(*) THEN 'boolean' "
+            f"WHEN count_if({v} IS NOT NULL AND {v} = floor({v})) = count(*) THEN 'integer' "
+            f"WHEN count_if({v} IS NOT NULL) = count(*) THEN 'float' "
+            f"WHEN count_if({dates} IS NOT NULL) = count(*) THEN 'datetime' ELSE 'text' END AS dtype "
+            f"FROM events WHERE {expr} IS NOT NULL")
+
+
+@reg.add("d4_output_dtype", " UNION ALL ".join([
+    _d4_sql("a", "CAST(user_id AS VARCHAR)"), _d4_sql("b", "CAST(value AS VARCHAR)"),
+    _d4_sql("c", "strftime(ts, '%Y-%m-%d')"), _d4_sql("event_type", "event_type")]))
 def d4(spark, sf):
     e = load(spark, sf, "events").select(F.col("user_id").cast("string").alias("a"),
                                          F.col("value").cast("string").alias("b"),
@@ -274,7 +289,8 @@ def x1(spark, sf):
     return load(spark, sf, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity").dropDuplicates()
 
 
-@reg.add("d11_column_info")
+@reg.add("d11_column_info", """SELECT o_orderstatus, count(*) AS count FROM orders WHERE o_orderstatus IS NOT NULL
+    GROUP BY o_orderstatus""")
 def d11(spark, sf):
     info = REP.column_info(load(spark, sf, "orders"), "o_orderstatus")
     return info["distribution"]

@@ -83,7 +83,8 @@ def categories(df: DataFrame, c: str, cap: int = ONE_HOT_MAX) -> list:
 def one_hot(df: DataFrame, c: str, cats: Sequence | None = None, drop_first: bool = False,
             keep_original: bool = False) -> DataFrame:
     """Z8 (and Z20 with `drop_first`): `<col>_<value>` 0/1 long columns,
-    null or unknown value → all 0."""
+    null or unknown value → all 0; the new columns are appended next to the
+    others (U4, side-by-side concat)."""
     if not isinstance(df.schema[c].dataType, StringType) and cats is None:
         return df
     cats = list(cats) if cats is not None else categories(df, c)

@@ -83,7 +83,7 @@ def log_loss(df: DataFrame, y: str, prob_of_true: str, eps: float = EPS) -> Data
 
 
 def label_names(codes: Column, names: Sequence[str] | None = None) -> Column:
-    """Label of a class code: the encoder's classes, else the weather names
+    """Label of a class code: the encoder's classes, else the weather names
     when the code is in range, else `Class_<i>`."""
     names = list(names) if names is not None else WEATHER_CODES
     arr = F.array(*[F.lit(n) for n in names])

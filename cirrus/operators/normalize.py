@@ -1,5 +1,8 @@
 """Numeric normalisers (Z1–Z6, Z9, Z17–Z19): fit → transform → inverse.
 
+Z1 MIN_MAX [0, 1], Z2 Z_SCORE (population std), Z3 LSTM_TCN [−1, 1],
+Z4 CNN (= Z_SCORE), Z5 TRANSFORMER (median / IQR), Z6 TREE (identity).
+
 `fit` runs ONE aggregate over all columns and keeps a few floats per column
 (the only action); `transform` and `inverse` are plain column expressions
 with those floats as literals, so they fuse into whole-stage codegen and can

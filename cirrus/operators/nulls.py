@@ -135,7 +135,9 @@ def column_mode(df: DataFrame, c: str):
 
 
 def fill_value(df: DataFrame, c: str, method: str, custom=None):
-    """The constant that N1–N6, N10 put in place of nulls (one aggregate)."""
+    """The constant that N1–N6, N10 put in place of nulls (one aggregate):
+    N1 mean, N2 exact median, N3 mode (smallest on ties), N4 zero, N5 empty,
+    N6 'Unknown', N10 custom."""
     dtype = df.schema[c].dataType
     is_num = isinstance(dtype, NumericType)
     m = method.lower()

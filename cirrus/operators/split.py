@@ -10,7 +10,7 @@ engine that has md5. Exact split sizes need the rank of each row in that
 order: it is computed with the distributed row index (H1, range partitions
 + per-partition offsets), never with a single-partition window. Ranks inside
 a class or group use the same global rank minus a per-class offset taken
-from a one-row-per-class table.
+from a one-row-per-class table (W6: ranking for splits, folds and codes).
 """
 
 from __future__ import annotations

@@ -162,3 +162,37 @@ def preview(df: DataFrame, config: dict, n: int = 1000, order_by: str | None = N
     result); only the display is limited."""
     res = run_chain(df, config).frame
     return (res.orderBy(order_by) if order_by else res).limit(n)
+
+
+def unique_mapping(df: DataFrame, column: str, spec, max_values: int = 100) -> DataFrame:
+    """Up to `max_values` distinct values of `column`, evenly spaced in
+    sorted order, next to what the chain makes of them. Statistics are
+    fitted on the full table; the distinct values are ranked with the
+    distributed rank helper and the chain runs on that small table."""
+    from cirrus.operators.encode import rank_values
+    steps = _steps(spec)
+    distinct = df.select(column).filter(F.col(column).isNotNull()).distinct()
+    ranked = rank_values(distinct, [column], name="_k")
+    k = ranked.count()
+    step = max(1, -(-k // max_values))  # ceil(k / max_values)
+    sample = ranked.filter(F.col("_k") % step == 0).drop("_k")
+    # each step is fitted on the full column as transformed by the earlier
+    # steps, then applied to the sample
+    out = sample.withColumn("original", F.col(column))
+    full = df.select(column)
+    current = column
+    for st in steps:
+        m = st["method"].upper()
+        if m in TEXT_METHODS:
+            if m == "LABEL_ENCODING":
+                mapping = E.label_mapping(full, current)
+                out = E.label_encode(out, current, mapping=mapping)
+                full = E.label_encode(full, current, mapping=mapping)
+            elif m != "ONE_HOT":
+                out = E.apply_text_method(out, [current], m)
+                full = E.apply_text_method(full, [current], m)
+        else:
+            model = Z.fit(full, [current], m)
+            out = out.withColumn(current, model.expr(current))
+            full = full.withColumn(current, model.expr(current))
+    return out.select("original", F.col(current).alias("normalized"))

@@ -89,7 +89,8 @@ def class_weights(df: DataFrame, label: str, name: str = "weight") -> DataFrame:
 
 def estimator(model_type: str, classification: bool, params: dict | None = None, n_classes: int = 2,
               features: str = "features", label: str = "label", weight: str | None = None):
-    """ML1–ML3 estimator for a model type."""
+    """Estimator for a model type: ML1 decision tree, ML2 random forest,
+    ML3 gradient-boosted trees (OneVsRest for more than two classes)."""
     p = map_params(model_type, params or {}, classification)
     common = {"featuresCol": features, "labelCol": label}
     if weight:

@@ -286,6 +286,7 @@ def s10(spark, sf):
 
 @reg.add("x1_remove_duplicate_rows", """SELECT DISTINCT l_returnflag, l_linestatus, l_quantity FROM lineitem""")
 def x1(spark, sf):
+    """Remove duplicate rows."""
     return load(spark, sf, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity").dropDuplicates()
 
 
@@ -311,3 +312,20 @@ def z16(spark, sf):
     p = CH.preview(li, {"l_quantity": "MIN_MAX"}, 1000, order_by=["l_orderkey", "l_linenumber", "l_partkey",
                                                                   "l_suppkey"])
     return p.withColumn("l_quantity", rnd("l_quantity"))
+
+
+@reg.add("j3_unique_value_mapping", f"""WITH s AS (SELECT min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem),
+    d AS (SELECT DISTINCT l_quantity AS original FROM lineitem WHERE l_quantity IS NOT NULL)
+    SELECT original, {R('(original - lo) / (hi - lo)')} AS normalized FROM d, s""")
+def j3(spark, sf):
+    from cirrus.plans import chain as CH
+    m = CH.unique_mapping(load(spark, sf, "lineitem"), "l_quantity", "MIN_MAX", 100)
+    return m.withColumn("normalized", rnd("normalized"))
+
+
+@reg.add("j3_unique_value_mapping_spaced", """WITH d AS (SELECT DISTINCT p_type AS original FROM part),
+    r AS (SELECT original, row_number() OVER (ORDER BY original) - 1 AS k, count(*) OVER () AS n FROM d)
+    SELECT original, lower(original) AS normalized FROM r WHERE k % CAST(ceil(n / 4.0) AS BIGINT) = 0""")
+def j3b(spark, sf):
+    from cirrus.plans import chain as CH
+    return CH.unique_mapping(load(spark, sf, "part"), "p_type", "LOWER", 4)

@@ -128,8 +128,25 @@ def season(c) -> Column:
 
 
 def duration_seconds(start, end) -> Column:
-    """DT5: end − start in seconds."""
-    return (F.unix_micros(col(end).cast("timestamp")) - F.unix_micros(col(start).cast("timestamp"))) / 1e6
+    """DT5: end − start in seconds (microsecond difference: independent of
+    the session time zone for timestamps with and without zone)."""
+    return F.timestamp_diff("MICROSECOND", col(start), col(end)) / F.lit(1e6)
+
+
+EPOCH_NTZ = "1970-01-01 00:00:00"
+
+
+def ntz_to_instant(c) -> Column:
+    """A timestamp without zone read as UTC wall-clock → an instant
+    (`timestamp`), whatever the session time zone (event-time operators such
+    as watermarks need an instant)."""
+    micros = F.timestamp_diff("MICROSECOND", F.lit(EPOCH_NTZ).cast("timestamp_ntz"), col(c))
+    return F.timestamp_micros(micros)
+
+
+def instant_to_ntz(c) -> Column:
+    """Inverse of `ntz_to_instant`: the UTC wall-clock of an instant."""
+    return F.timestamp_add("MICROSECOND", F.unix_micros(col(c)), F.lit(EPOCH_NTZ).cast("timestamp_ntz"))
 
 
 def clock_time(c) -> Column:

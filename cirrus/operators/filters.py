@@ -75,10 +75,13 @@ def prediction_log_filter(df: DataFrame, ts: str = "created_at", model: str = "m
     """date range (end day included up to 23:59:59), model, minimum
     accuracy — one conjunction."""
     cond: Column = F.lit(True)
+    # literals of the column's own timestamp type: no session-zone shift and
+    # the comparison stays a pushed-down Parquet filter
+    to_ts = F.to_timestamp_ntz if dict(df.dtypes).get(ts) == "timestamp_ntz" else F.to_timestamp
     if date_from:
-        cond = cond & (F.col(ts) >= F.to_timestamp(F.lit(date_from)))
+        cond = cond & (F.col(ts) >= to_ts(F.lit(date_from)))
     if date_to:
-        cond = cond & (F.col(ts) <= F.to_timestamp(F.lit(f"{date_to} 23:59:59")))
+        cond = cond & (F.col(ts) <= to_ts(F.lit(f"{date_to} 23:59:59")))
     if model_name:
         cond = cond & (F.col(model) == model_name)
     if min_accuracy is not None:

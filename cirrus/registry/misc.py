@@ -91,11 +91,13 @@ def t6p(spark, sf):
     FROM p, m GROUP BY 1, 2, 3, wm HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= wm""")
 def st1(spark, sf):
     def prepare(raw):
-        return raw.select(F.col("ts").cast("timestamp").alias("created_at"),
+        from cirrus.functions.convert import ntz_to_instant
+        return raw.select(ntz_to_instant("ts").alias("created_at"),
                           F.col("event_type").alias("model_name"), F.col("value").alias("accuracy"))
     out = live.run_to_completion(spark, sf, prepare, glob="events.parquet")
-    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"),
-                      F.col("window_end").cast("timestamp_ntz").alias("window_end"), "model_name",
+    from cirrus.functions.convert import instant_to_ntz
+    return out.select(instant_to_ntz("window_start").alias("window_start"),
+                      instant_to_ntz("window_end").alias("window_end"), "model_name",
                       rnd("avg_accuracy").alias("avg_accuracy"), "predictions")
 
 

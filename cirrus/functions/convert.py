@@ -102,10 +102,12 @@ def _is_numeric(df, c) -> bool:
 # --- dates ---------------------------------------------------------------
 
 def parse_datetime(c, formats: list[str] | None = None) -> Column:
-    """DT1: first candidate format that parses; unparsable → null."""
+    """DT1: first candidate format that parses; unparsable → null. The
+    result is a timestamp without zone (the text's wall clock), like the
+    naive datetimes of the reference, whatever the session time zone."""
     fmts = formats or [s for _, s in DATE_FORMATS]
     x = col(c).cast("string")
-    return F.coalesce(*[F.try_to_timestamp(x, F.lit(f)) for f in fmts])
+    return F.coalesce(*[F.try_to_timestamp(x, F.lit(f)) for f in fmts]).cast("timestamp_ntz")
 
 
 def parse_request_date(c) -> Column:

@@ -216,3 +216,59 @@ def test_sorted_quantiles_equal_percentile(spark):
         assert all(abs(u - v) < 1e-9 for u, v in zip(a[k], b[k]))
     one = spark.createDataFrame([(1, 5.0)], "g int, x double")
     assert quantile_table(one, ["x"], [0.25, 0.5], method="sort").first()["quantiles"] == [5.0, 5.0]
+
+
+def test_ensemble_votes(spark):
+    from cirrus.operators import ensemble as EN
+    df = spark.createDataFrame([([0.7, 0.2, 0.1], [0.1, 0.8, 0.1], [0.2, 0.5, 0.3])],
+                               "m1 array<double>, m2 array<double>, m3 array<double>")
+    arrs = [F.col("m1"), F.col("m2"), F.col("m3")]
+    meta = EN.meta_features(arrs, 3)
+    r = df.select(EN.hard_vote(arrs, 3).alias("h"), EN.soft_vote(arrs).alias("s"),
+                  EN.weighted_vote(arrs, [0.8, 0.1, 0.1]).alias("w"), EN.confidence_vote(arrs).alias("c"),
+                  EN.cascade_vote(arrs, 0.75).alias("k"), meta["agreement"].alias("a"),
+                  meta["entropy"].alias("e")).first()
+    assert (r.h, r.s, r.w, r.c, r.k) == (1, 1, 0, 1, 1)
+    assert abs(r.a - 2 / 3) < 1e-12
+    mean = [1.0 / 3, 0.5, 0.5 / 3]
+    assert abs(r.e - -sum(p * math.log(p) for p in mean)) < 1e-12
+
+
+def test_quantiles_null_group_key(spark):
+    from cirrus.operators.quantiles import quantile_table
+    df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 2.0), ("a", 4.0), ("a", 6.0)], "g string, x double")
+    for method in ("sort", "map"):
+        got = {r["g"]: r["quantiles"] for r in quantile_table(df, ["x"], [0.5], ["g"], method).collect()}
+        assert got == {None: [2.0], "a": [4.0]}
+
+
+def test_summary_with_null_group(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 2.0)], "g string, x double")
+    rows = {r["g"]: (r["count"], r["median"]) for r in A.summary(df, ["x"], by=["g"]).collect()}
+    assert rows == {None: (2, 2.0), "a": (1, 2.0)}
+
+
+def test_filter_pushdown_and_pruning(spark):
+    from cirrus.operators import filters as FL
+    df = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    q = FL.prediction_log_filter(df, "ts", "event_type", "value", "2024-01-05", "2024-01-20", "purchase").select("event_id")
+    import contextlib
+    import io
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        q.explain("formatted")
+    plan = buf.getvalue()
+    pushed = [ln for ln in plan.splitlines() if "PushedFilters" in ln][0]
+    schema = [ln for ln in plan.splitlines() if "ReadSchema" in ln][0]
+    assert "GreaterThanOrEqual(ts" in pushed and "EqualTo(event_type,purchase)" in pushed
+    assert "props" not in schema and "value" not in schema
+
+
+def test_unique_mapping_multi_step(spark):
+    from cirrus.plans import chain as CH
+    df = spark.createDataFrame([(float(i),) for i in [1, 2, 2, 3, 10]], "x double")
+    m = {r["original"]: r["normalized"] for r in CH.unique_mapping(df, "x", ["MIN_MAX", "Z_SCORE"]).collect()}
+    mm = [(v - 1) / 9 for v in [1, 2, 2, 3, 10]]
+    mu = sum(mm) / 5
+    sd = (sum((v - mu) ** 2 for v in mm) / 5) ** 0.5
+    assert abs(m[10.0] - (1.0 - mu) / sd) < 1e-12 and len(m) == 4

@@ -52,13 +52,14 @@ class ChainResult:
 
 
 def _steps(spec) -> list[dict]:
+    """A method name, one step dict, {"layers": [...]} or a list of either."""
     if isinstance(spec, str):
         return [{"method": spec}]
     if isinstance(spec, dict):
         if "layers" in spec:
-            return list(spec["layers"])
+            return _steps(list(spec["layers"]))
         return [spec]
-    return list(spec)
+    return [{"method": st} if isinstance(st, str) else st for st in spec]
 
 
 def _apply_method(df: DataFrame, src: str, out: str, method: str) -> tuple[DataFrame, list[str]]:

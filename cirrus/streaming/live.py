@@ -1,8 +1,10 @@
 """Live windowed summary of a prediction log (ST1) with Structured
 Streaming: the prediction files are read as a stream, event time is
 bounded by a watermark, and average accuracy / counts per (day, model) are
-emitted when a day is closed (append mode); rows later than the watermark
-are dropped by Spark's state store eviction.
+emitted when a day is closed (append mode). A row whose event time is
+older than the previous micro-batch's watermark is dropped (Spark's late-row
+filter); state of closed days is evicted, so state stays bounded by the
+open windows.
 """
 
 from __future__ import annotations

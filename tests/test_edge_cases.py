@@ -272,3 +272,19 @@ def test_unique_mapping_multi_step(spark):
     mu = sum(mm) / 5
     sd = (sum((v - mu) ** 2 for v in mm) / 5) ** 0.5
     assert abs(m[10.0] - (1.0 - mu) / sd) < 1e-12 and len(m) == 4
+
+
+def test_fills_with_hot_key(spark):
+    # one key holds a third of the rows; small blocks split it over many groups
+    df = spark.range(3000).select(F.col("id").alias("i"),
+                                  F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 50).alias("k"),
+                                  F.when(F.col("id") % 4 == 0, F.col("id").cast("double")).alias("v"))
+    small = N.fills(df, "v", ["i"], keys=["k"], block_rows=64).orderBy("i").collect()
+    big = N.fills(df, "v", ["i"], keys=["k"], block_rows=1 << 20).orderBy("i").collect()
+    assert small == big
+    # brute force for the hot key
+    hot = [r for r in small if r["k"] == 0]
+    last = None
+    for r in hot:
+        last = r["v"] if r["v"] is not None else last
+        assert r["ffill"] == last

@@ -10,12 +10,21 @@ def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# Offset of the comparison rounding (fixed value): not 0.5, so that values
+# sitting exactly on a decimal tie (means of cents, e.g. 0.0499185 at 6
+# decimals) are not split by last-bit noise between two engines.
+ROUND_OFFSET = 0.4999871
+
+
 def round_half_up(c: str | Column, decimals: int = 4) -> Column:
-    """Rounding done in binary arithmetic, `floor(x*10^d + 0.5) / 10^d`, so
-    that two engines holding the same double give the same result (Spark's
-    `round` works on the decimal text of the double, other engines do not)."""
+    """Rounding for reproducible output, in binary arithmetic:
+    `floor(x·10^d + c) / 10^d` with c slightly below one half. Two engines
+    holding nearly the same double agree unless the value lies within noise
+    of an off-centre boundary (Spark's `round` works on the decimal text of
+    the double, other engines do not, and a plain half offset makes exact
+    decimal ties flip on the last bit)."""
     f = float(10 ** decimals)
-    return F.floor(col(c) * F.lit(f) + F.lit(0.5)) / F.lit(f)
+    return F.floor(col(c) * F.lit(f) + F.lit(ROUND_OFFSET)) / F.lit(f)
 
 
 def is_numeric_type(dt) -> bool:

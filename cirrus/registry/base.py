@@ -3,8 +3,9 @@
 Every registered query reads the driver's tables (whole tables, no row
 caps) and returns a DataFrame; most have an equivalent SQL text that
 DuckDB runs on the same Parquet files. Floating results are rounded in BOTH
-with the same binary arithmetic, `floor(x·10^d + 0.5) / 10^d`, so the two
-engines agree on identical doubles.
+with the same binary arithmetic, `floor(x·10^d + c) / 10^d` (c a fixed
+offset just below one half), so the two engines agree on nearly identical
+doubles, exact decimal ties included.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 
-from cirrus.functions.common import round_half_up
+from cirrus.functions.common import ROUND_OFFSET, round_half_up
 from cirrus.sources.ingest import clean
 
 DECIMALS = 6
@@ -32,7 +33,7 @@ def rnd(c: str | Column, d: int = DECIMALS) -> Column:
 def R(expr: str, d: int = DECIMALS) -> str:
     """SQL twin of `rnd`."""
     f = f"1e{d}"
-    return f"(floor(({expr}) * {f} + 0.5) / {f})"
+    return f"(floor(({expr}) * {f} + {ROUND_OFFSET}) / {f})"
 
 
 class Registry:

@@ -17,7 +17,7 @@ from cirrus.operators import detect as D
 from cirrus.operators import split as S
 from cirrus.plans import report as REP
 from cirrus.registry.base import R, Registry, load, rnd
-from cirrus.registry.profiles import EVENTS_WITH_NULLS, events_with_nulls
+from cirrus.registry.profiles import EVENTS_WITH_NULLS, _report_sql, events_with_nulls
 from cirrus.registry.rows import EV_RID, TR, VA, TE, d
 from cirrus.session import ensure_checkpoint_dir
 from cirrus.sources import sinks as SK
@@ -127,8 +127,8 @@ def s7(spark, sf):
     return SK.split_info(e, "events", "sequential", None)
 
 
-@reg.add("s8_json_safe", """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
-    CASE WHEN isinf(exp(l_quantity * 20.0)) THEN NULL ELSE floor(ln(exp(l_quantity * 20.0)) * 1e6 + 0.5) / 1e6 END AS x
+@reg.add("s8_json_safe", f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+    CASE WHEN isinf(exp(l_quantity * 20.0)) THEN NULL ELSE {R('ln(exp(l_quantity * 20.0))')} END AS x
     FROM lineitem""")
 def s8(spark, sf):
     li = load(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
@@ -201,20 +201,42 @@ def d8(spark, sf):
     return D.categorical_flags(load(spark, sf, "orders"), ["o_orderstatus", "o_custkey", "o_totalprice"])
 
 
-@reg.add("d10_leak_check")
+D10_J = """(SELECT o_totalprice, gross, next_qty, disc, o_totalprice * 2 AS o_totalprice_copy FROM orders
+    JOIN (SELECT l_orderkey, sum(l_extendedprice) AS gross, sum(l_quantity) AS next_qty, avg(l_discount) AS disc
+          FROM lineitem GROUP BY l_orderkey) ON o_orderkey = l_orderkey)"""
+
+
+def _d10_part(c, words):
+    r = f"corr({c}, o_totalprice)"
+    base = ",".join(words)
+    with_corr = ",".join(words + ["correlation"])
+    other = f"'{base}'" if base else "NULL"
+    return (f"SELECT '{c}' AS \"column\", {R(r)} AS corr_with_target, "
+            f"CASE WHEN abs({r}) > 0.99 THEN '{with_corr}' ELSE {other} END AS reasons FROM {D10_J}")
+
+
+@reg.add("d10_leak_check", " UNION ALL ".join([
+    _d10_part("gross", []), _d10_part("next_qty", ["next"]), _d10_part("disc", []),
+    _d10_part("o_totalprice_copy", ["target name"])]))
 def d10(spark, sf):
     li = load(spark, sf, "lineitem").groupBy("l_orderkey").agg(
         F.sum("l_extendedprice").alias("gross"), F.sum("l_quantity").alias("next_qty"),
         F.avg("l_discount").alias("disc"))
     o = load(spark, sf, "orders").select("o_orderkey", "o_totalprice")
     j = o.join(li, o.o_orderkey == li.l_orderkey).withColumn("o_totalprice_copy", F.col("o_totalprice") * 2)
-    return D.leak_check(j, ["gross", "next_qty", "disc", "o_totalprice_copy"], "o_totalprice")
+    out = D.leak_check(j, ["gross", "next_qty", "disc", "o_totalprice_copy"], "o_totalprice")
+    return out.withColumn("corr_with_target", rnd("corr_with_target"))
+
+
+LI_REPORT_COLS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
+                  "l_discount", "l_tax"]
 
 
-@reg.add("s9_report_columns")
+@reg.add("s9_report_columns", _report_sql(LI_REPORT_COLS, "lineitem"))
 def s9(spark, sf):
     rep = REP.report(load(spark, sf, "lineitem"), order_by=["l_orderkey", "l_linenumber"])
-    return rep["column_analysis"]
+    r = rep["column_analysis"]
+    return r.withColumns({c: rnd(c) for c in ["mean", "std", "min", "q1", "median", "q3", "max", "null_pct"]})
 
 
 @reg.add("x3_leave_one_group_out", """SELECT o_orderkey, o_orderpriority,

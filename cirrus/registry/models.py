@@ -231,9 +231,9 @@ def x5(spark, sf):
                     F.col("n").cast("long"))
 
 
-@reg.add("ml6_class_weights", """WITH c AS (SELECT quality, count(*) AS nc FROM labels GROUP BY quality),
+@reg.add("ml6_class_weights", f"""WITH c AS (SELECT quality, count(*) AS nc FROM labels GROUP BY quality),
     t AS (SELECT sum(nc) AS n, count(*) AS k FROM c)
-    SELECT doc_id, quality, (floor(n / (k * nc) * 1e6 + 0.5) / 1e6) AS weight FROM labels JOIN c USING (quality), t""")
+    SELECT doc_id, quality, {R('n / (k * nc)')} AS weight FROM labels JOIN c USING (quality), t""")
 def ml6(spark, sf):
     w = TR.class_weights(load(spark, sf, "labels").select("doc_id", "quality"), "quality")
     return w.select("doc_id", "quality", rnd("weight").alias("weight"))

@@ -332,7 +332,7 @@ def a17_map(spark, sf):
 
 
 # ---------------------------------------------------------------- A21
-def _report_sql(cols):
+def _report_sql(cols, table=EVENTS_WITH_NULLS):
     parts = []
     for c in cols:
         parts.append(f"""SELECT '{c}' AS "column", count({c}) AS count, {R(f'avg({c})')} AS mean,
@@ -340,10 +340,10 @@ def _report_sql(cols):
             {R(f'quantile_cont({c}, 0.5)')} AS median, {R(f'quantile_cont({c}, 0.75)')} AS q3,
             {R(f'max({c})')} AS max, CAST(count_if({c} IS NULL) AS BIGINT) AS null_count,
             {R(f'count_if({c} IS NULL) * 100.0 / count(*)')} AS null_pct, count(DISTINCT {c}) AS distinct_count,
-            (SELECT count(*) FROM {EVENTS_WITH_NULLS} e2, (SELECT quantile_cont({c}, 0.25) AS a,
-                quantile_cont({c}, 0.75) AS b FROM {EVENTS_WITH_NULLS}) q
+            (SELECT count(*) FROM {table} e2, (SELECT quantile_cont({c}, 0.25) AS a,
+                quantile_cont({c}, 0.75) AS b FROM {table}) q
              WHERE e2.{c} < a - 1.5 * (b - a) OR e2.{c} > b + 1.5 * (b - a)) AS outlier_count
-            FROM {EVENTS_WITH_NULLS}""")
+            FROM {table}""")
     return " UNION ALL ".join(parts)
 
 

@@ -51,7 +51,21 @@ def summary(df: DataFrame, cols: Sequence[str] | None = None, by: Sequence[str]
                  F.min(x).alias(f"min{i}"), F.max(x).alias(f"max{i}")]
         if moments:
             aggs += [F.skewness(x).alias(f"sk{i}"), F.kurtosis(x).alias(f"ku{i}")]
-    grouped = df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
+    method = quantile_method if exact else "approx"
+    if not by and method == "auto":
+        # ungrouped: the moments and the distinct-count estimates that pick
+        # the quantile method come from ONE job (a one-row result)
+        from cirrus.operators.quantiles import MAP_MAX_DISTINCT
+        hll = [F.approx_count_distinct(F.col(c), 0.05).alias(f"hll{i}") for i, c in enumerate(cols)]
+        row = df.agg(*aggs, *hll).first()
+        method = {c: ("map" if row[f"hll{i}"] <= MAP_MAX_DISTINCT else "sort") for i, c in enumerate(cols)}
+        names = ["n", "mean", "std", "min", "max"] + (["sk", "ku"] if moments else [])
+        schema = ", ".join([f"n{i} bigint" if nm == "n" else f"{nm}{i} double"
+                            for i in range(len(cols)) for nm in names])
+        grouped = df.sparkSession.createDataFrame(
+            [tuple(row[f"{nm}{i}"] for i in range(len(cols)) for nm in names)], schema)
+    else:
+        grouped = df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
     rows = []
     for i, c in enumerate(cols):
         fields = [F.lit(c).alias("column"), F.col(f"n{i}").alias("count"), F.col(f"mean{i}").alias("mean"),
@@ -62,7 +76,7 @@ def summary(df: DataFrame, cols: Sequence[str] | None = None, by: Sequence[str]
                        corrected_kurtosis(F.col(f"ku{i}"), n).alias("kurtosis")]
         rows.append(F.struct(*fields))
     base = grouped.select(*by, F.inline(F.array(*rows)))
-    q = quantile_table(df, cols, QUARTILES, by, quantile_method if exact else "approx")
+    q = quantile_table(df, cols, QUARTILES, by, method)
     q = q.select(*[F.col(b).alias(f"_qb_{b}") for b in by], F.col("column").alias("_qc"), "quantiles")
     on = [F.col("column") == F.col("_qc")] + [F.col(b).eqNullSafe(F.col(f"_qb_{b}")) for b in by]
     # one row per (group, column) on both sides

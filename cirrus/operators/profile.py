@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cirrus.functions.common import col, numeric_columns
+from cirrus.functions.common import col, numeric_columns, tcast
 from cirrus.functions.numeric import round_even
 
 QUARTILES = [0.25, 0.5, 0.75]
@@ -46,7 +46,7 @@ def summary(df: DataFrame, cols: Sequence[str] | None = None, by: Sequence[str]
     cols = list(cols) if cols else numeric_columns(df, exclude=by)
     aggs = []
     for i, c in enumerate(cols):
-        x = F.col(c).cast("double")
+        x = tcast(F.col(c), "double")  # text that does not parse counts as missing
         aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"mean{i}"), F.stddev_samp(x).alias(f"std{i}"),
                  F.min(x).alias(f"min{i}"), F.max(x).alias(f"max{i}")]
         if moments:

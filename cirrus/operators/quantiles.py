@@ -46,7 +46,7 @@ def choose(df: DataFrame, cols: Sequence[str], method: str | dict = "auto") -> d
 
 def _long(df: DataFrame, cols: Sequence[str], by: Sequence[str]) -> DataFrame:
     return df.select(*by, F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("_v")) for c in cols])))
+        F.struct(F.lit(c).alias("column"), F.col(c).try_cast("double").alias("_v")) for c in cols])))
 
 
 def sorted_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
@@ -77,8 +77,8 @@ def sorted_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
 def _agg_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str],
                    approx: bool, accuracy: int = 10000) -> DataFrame:
     ps = [float(p) for p in probs]
-    aggs = [(F.percentile_approx(F.col(c).cast("double"), ps, accuracy) if approx else
-             F.percentile(F.col(c).cast("double"), F.array(*[F.lit(p) for p in ps]))).alias(f"q{i}")
+    aggs = [(F.percentile_approx(F.col(c).try_cast("double"), ps, accuracy) if approx else
+             F.percentile(F.col(c).try_cast("double"), F.array(*[F.lit(p) for p in ps]))).alias(f"q{i}")
             for i, c in enumerate(cols)]
     g = df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
     return g.select(*by, F.inline(F.array(*[

@@ -76,8 +76,10 @@ def split_preview(df: DataFrame, split: str, n: int, targets: list[str], row_id:
     head = part.orderBy(row_id).limit(n)
     rng = part.agg(F.min(row_id).alias("min_index"), F.max(row_id).alias("max_index"),
                    F.count(F.lit(1)).alias("rows"))
+    from cirrus.functions.common import numeric_columns
     from cirrus.operators.profile import summary, value_counts
-    stats = summary(part, targets)
+    num = [t for t in targets if t in numeric_columns(part)]
+    stats = summary(part, num) if num else None
     counts = {}
     d = part.agg(*[F.count_distinct(t).alias(t) for t in targets]).first()
     for t in targets:

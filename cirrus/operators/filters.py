@@ -11,8 +11,7 @@ from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import (DateType, FractionalType, IntegralType, NumericType,
-                               TimestampType)
+from pyspark.sql.types import DateType, FractionalType, IntegralType, TimestampType
 
 from cirrus.functions.common import numeric_columns
 from cirrus.operators.profile import iqr_filter  # noqa: F401  (F4)

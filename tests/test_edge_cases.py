@@ -288,3 +288,25 @@ def test_fills_with_hot_key(spark):
     for r in hot:
         last = r["v"] if r["v"] is not None else last
         assert r["ffill"] == last
+
+
+def test_rules():
+    from cirrus.plans import rules as RU
+    assert RU.numeric_method("Standard") == "Z_SCORE" and RU.numeric_method("???") == "MIN_MAX"
+    assert RU.text_method("one-hot") == "ONE_HOT" and RU.text_method("x") == "LOWER"
+    assert RU.recommended_method("xgboost") == "TREE"
+    assert RU.split_method_for("lstm", "random") == "temporal"
+    assert RU.metrics_for("classification") == ["accuracy", "precision", "recall", "f1_score"]
+    assert RU.problem_type_of(20) == "classification" and RU.problem_type_of(21) == "regression"
+    assert RU.rf_preset("preciso")["n_estimators"] == 1000
+    assert RU.conversion_warning("float64", "TO_INT16") is not None
+    assert RU.chain_warnings([{"method": "ONE_HOT"}, {"method": "MIN_MAX"}], "text")
+    assert RU.union_columns(["a", "b"], ["b", "c"]) == ["a", "b", "c"]
+
+
+def test_rf_preset_maps_to_mllib():
+    from cirrus.plans import rules as RU
+    from cirrus.plans import train as TRN
+    p = TRN.map_params("random_forest", RU.rf_preset("preciso"), classification=True)
+    assert p == {"numTrees": 1000, "maxDepth": 20, "featureSubsetStrategy": "sqrt", "minInstancesPerNode": 2,
+                 "bootstrap": True, "seed": 42}

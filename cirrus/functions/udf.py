@@ -96,6 +96,8 @@ def dict_udf(fn: Callable, schema: StructType, stats: dict | None = None,
 def apply_value_function(df: DataFrame, c: str, fn: Callable, return_type: DataType = DoubleType(),
                          out: str | None = None, with_stats: bool = False, init: Callable | None = None) -> DataFrame:
     """UD1 on a column: `<out>` plus `<out>_error`."""
+    from cirrus.session import ship_package
+    ship_package(df.sparkSession)
     stats = column_stats(df, c) if with_stats else None
     r = value_udf(fn, return_type, stats, init)(F.col(c))
     name = out or c
@@ -105,6 +107,8 @@ def apply_value_function(df: DataFrame, c: str, fn: Callable, return_type: DataT
 
 def apply_dict_function(df: DataFrame, c: str, fn: Callable, schema: StructType, prefix: str = "") -> DataFrame:
     """UD2 on a column: one new column per declared field."""
+    from cirrus.session import ship_package
+    ship_package(df.sparkSession)
     r = dict_udf(fn, schema)(F.col(c))
     out = df.withColumn("_r", r)
     return out.select(*df.columns, *[F.col(f"_r.{f.name}").alias(f"{prefix}{f.name}") for f in schema.fields],

@@ -1,0 +1,16 @@
+import os
+import tempfile
+
+import pytest
+from pyspark.sql import SparkSession
+
+
+@pytest.fixture(scope="session")
+def spark():
+    folder = tempfile.mkdtemp(prefix="corpus-tests-")
+    builder = SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
+    spark = builder.config("spark.sql.session.timeZone", "UTC").config("spark.local.dir", os.path.join(folder, "local")).getOrCreate()
+    spark.sparkContext.setLogLevel("ERROR")
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(os.path.join(folder, "checkpoints"))
+    return spark

@@ -13,13 +13,21 @@ from pyspark.sql import functions as F
 from ..session import ensure_checkpoint_dir, ship_package
 
 #: Bytes of text that one numpy step works on; bounds the memory of a Python worker.
-STEP_BYTES = 3 << 19
+STEP_BYTES = 1 << 19
+
+
+#: Rows of an Arrow batch where the session has Spark's default of 10,000: whole texts are long,
+#: and a batch lies in the memory of the executor and of its Python worker at once.
+BATCH_ROWS, _BATCH, _DEFAULT = 500, "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Set what the operators need: the checkpoint folder and the package on the workers."""
+    """Set what the operators need: the checkpoint folder, the package on the workers, and
+    smaller Arrow batches unless the session has its own setting for them."""
     ensure_checkpoint_dir(spark)
     ship_package(spark)
+    if spark.conf.get(_BATCH) == _DEFAULT:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
     return spark
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 import base64
 import json
 import unicodedata
+from functools import cached_property
 from itertools import chain
 
 import numpy as np
@@ -107,13 +108,11 @@ class Codec:
 
     _made: dict[str, "Codec"] = {}
     #: Distinct pre-tokens kept between batches (about 50 bytes each); it starts anew beyond that.
-    KEPT = 1_000_000
+    KEPT = 500_000
 
     def __init__(self, path: str):
-        import tiktoken
-
+        self.path = path
         ranks = ranks_of(path)
-        self.library = tiktoken.Encoding("given", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         size = max(ranks.values()) + 1
         parts = [b""] * size
         for token, i in ranks.items():
@@ -121,10 +120,6 @@ class Codec:
         self.bytes_len = np.array([len(p) for p in parts], np.int64)
         self.bytes_at = np.cumsum(self.bytes_len) - self.bytes_len
         self.bytes_flat = np.frombuffer(b"".join(parts), np.uint8)
-        names = [b"%d," % i for i in range(size)]
-        self.name_len = np.array([len(p) for p in names], np.int64)
-        self.name_at = np.cumsum(self.name_len) - self.name_len
-        self.name_flat = np.frombuffer(b"".join(names), np.uint8)
         self._forget()
 
     def _forget(self) -> None:
@@ -132,6 +127,13 @@ class Codec:
         self.kept_at = self.kept_len = np.zeros(1, np.int64)
         self.kept_ids = np.zeros(0, np.int32)
 
+    @cached_property
+    def library(self):
+        """The merges; decoding does without."""
+        import tiktoken
+
+        return tiktoken.Encoding("given", pat_str=PATTERN, mergeable_ranks=ranks_of(self.path), special_tokens={})
+
     @classmethod
     def of(cls, path: str) -> "Codec":
         if path not in cls._made:
@@ -199,18 +201,10 @@ class Codec:
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The bytes that the ids stand for, one after another, and their offsets."""
-        return self._spell(ids, offsets, self.bytes_flat, self.bytes_at, self.bytes_len)
-
-    def names(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Decimal ids, each with a comma behind it."""
-        return self._spell(ids, offsets, self.name_flat, self.name_at, self.name_len)
-
-    @staticmethod
-    def _spell(ids, offsets, flat, at, length):
-        size = length[ids]
+        size = self.bytes_len[ids]
         ends = np.zeros(len(ids) + 1, np.int64)
         np.cumsum(size, out=ends[1:])
-        return gather(flat, at[ids], size), ends[offsets]
+        return gather(self.bytes_flat, self.bytes_at[ids], size), ends[offsets]
 
 
 

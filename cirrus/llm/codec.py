@@ -135,8 +135,8 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "ids", decoded: str = "dec
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(vocabulary)
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
+            for a in range(0, batch.num_rows, 128):
+                part = batch.slice(a, 128)
                 column = part.column(at)
                 offsets = np.zeros(part.num_rows + 1, np.int64)
                 np.cumsum(column.value_lengths().fill_null(0).to_numpy(), out=offsets[1:])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import base, codec, packing, sharding, warc
+from . import base, codec, langid, minhash, packing, sharding, substring, topk, toxicity, vectors, warc
 
 
 def vocabulary(name: str) -> str:
@@ -14,6 +14,19 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = base.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = F.coalesce(langid.remainder(F.col("doc_id"), 3) == 1, F.lit(False))
+    model = langid.train(docs, langid.remainder(F.col("doc_id"), 3) != 1)
+    rows = docs.select("doc_id", "text", held.alias("held_out"))
+    return langid.predict(rows, model).select("doc_id", "held_out", "lang_pred", "score", "accepted")
+
+
+def op2_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = base.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring.remove(docs, with_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary("byte_bpe_multi_50k.tiktoken")
     docs = base.table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -29,6 +42,15 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.token_pieces(docs, vocabulary("byte_bpe_50k.json")))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = base.table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = base.table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    model = toxicity.train(docs, labels, langid.remainder(F.col("doc_id"), 4) != 2)
+    held = F.coalesce(langid.remainder(F.col("doc_id"), 4) == 2, F.lit(False))
+    rows = docs.withColumn("held_out", held)
+    return toxicity.predict(rows, model).select("doc_id", "held_out", "score", "predicted")
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = base.table(spark, sf_dir, "documents").select("doc_id", "text")
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -37,15 +59,36 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_min_max_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = base.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return minhash.near_duplicates(docs, size=2).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def op8_itq_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = base.table(spark, sf_dir, "embeddings")
+    return vectors.near_duplicates(rows).select("vec_id", "n_links", "component_id", "kept")
+
+
+def op9_max_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = base.table(spark, sf_dir, "embeddings")
+    return topk.search(rows, F.col("vec_id") % 100 == 0, vector=topk.whole(F.col("embedding")))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = warc.archive(spark, base.table(spark, sf_dir, "pages"))
     return warc.read_bundles(index, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op2_repeated_phrases": op2_repeated_phrases,
     "op3_bpe": op3_bpe,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_toxicity": op5_toxicity,
     "op6_sharding": op6_sharding,
+    "op7_min_max_hash": op7_min_max_hash,
+    "op8_itq_vectors": op8_itq_vectors,
+    "op9_max_score": op9_max_score,
     "op10_warc": op10_warc,
 }
 

@@ -223,3 +223,12 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", *
     rows = source.withColumn("_k", _key(text)).join(found, "_k")
     own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(base.quoted(doc_id))
     return rows.select(*(base.quoted(c) for c in source.columns), "n_shingles", own.alias("component_id"), base.quoted(doc_id).eqNullSafe(own).alias("kept"))
+
+
+def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of `df` with the smallest id of each class, its columns unchanged; of rows
+    with one id and equal texts, one. Texts without words stay."""
+    found = base.hold(classes(df, doc_id, text, **options), "classes")
+    rows = df.withColumn("_k", _key(text)).join(found.select("_k", F.col("n_shingles").alias("_n"), F.col("component_id").alias("_low")), "_k")
+    rows = rows.where((F.col("_n") == 0) | base.quoted(doc_id).eqNullSafe(F.col("_low")))
+    return rows.dropDuplicates(["_k", doc_id]).select(*(base.quoted(c) for c in df.columns))

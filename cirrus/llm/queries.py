@@ -93,12 +93,48 @@ QUERIES = {
 }
 
 SQL = {
+    "op2_repeated_phrases": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        u AS (SELECT doc_id, len(w) AS n, generate_subscripts(w, 1) AS i, w FROM d WHERE len(w) >= 35),
+        win AS (SELECT doc_id, i, sha256(array_to_string(w[i:i + 34], ' ')) AS h FROM u WHERE i + 34 <= n),
+        hit AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY h) AS c FROM win) WHERE c > 1),
+        words AS (SELECT doc_id, w, generate_subscripts(w, 1) AS i FROM d),
+        near AS (SELECT x.doc_id, x.i, x.w, h.i AS last FROM words x ASOF LEFT JOIN hit h ON x.doc_id = h.doc_id AND x.i >= h.i),
+        kept AS (SELECT doc_id, CAST(count_if(last IS NOT NULL AND i - last < 35) AS BIGINT) AS n_removed, coalesce(string_agg(w[i], ' ' ORDER BY i) FILTER (WHERE last IS NULL OR i - last >= 35), '') AS t FROM near GROUP BY doc_id)
+        SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(k.n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256
+        FROM d LEFT JOIN kept k USING (doc_id)""",
+    "op7_min_max_hash": r"""
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]] ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS sh FROM d),
+        e AS (SELECT doc_id, unnest(sh) AS x FROM s),
+        i AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+        l AS (SELECT u, v FROM i JOIN s a ON a.doc_id = u JOIN s b ON b.doc_id = v WHERE 100 * c >= 80 * (len(a.sh) + len(b.sh) - c)),
+        r(node, seen) AS (SELECT doc_id, doc_id FROM s UNION SELECT l.u, r.seen FROM r JOIN l ON l.v = r.node),
+        m AS (SELECT node, min(seen) AS component_id FROM r GROUP BY node)
+        SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, m.component_id, s.doc_id = m.component_id AS kept FROM s JOIN m ON m.node = s.doc_id""",
+    "op8_itq_vectors": """
+        WITH RECURSIVE e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+        ok AS (SELECT * FROM e WHERE label IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+        l AS (SELECT a.vec_id AS u, b.vec_id AS v FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+              WHERE list_inner_product(a.v, b.v) / sqrt(list_inner_product(a.v, a.v)) / sqrt(list_inner_product(b.v, b.v)) >= 0.93),
+        r(node, seen) AS (SELECT vec_id, vec_id FROM e UNION SELECT l.u, r.seen FROM r JOIN l ON l.v = r.node),
+        m AS (SELECT node, min(seen) AS component_id FROM r GROUP BY node),
+        n AS (SELECT u, count(*) AS n_links FROM l GROUP BY u)
+        SELECT e.vec_id, CAST(coalesce(n.n_links, 0) AS BIGINT) AS n_links, m.component_id, e.vec_id = m.component_id AS kept
+        FROM e JOIN m ON m.node = e.vec_id LEFT JOIN n ON n.u = e.vec_id""",
+    "op9_max_score": """
+        WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+                   WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        p AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
+              FROM e q JOIN e c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id AND len(q.v) = len(c.v)),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p)
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10""",
     "op10_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
-        d AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS hex, min(page_id) OVER (PARTITION BY html) AS first FROM p),
-        b AS (SELECT *, list_aggregate(list_transform(range(40), i -> substr('0000000100100011010001010110011110001001101010111100110111101111', 1 + 4 * (instr('0123456789abcdef', substr(hex, CAST(i + 1 AS INT), 1)) - 1), 4)), 'string_agg', '') AS bits FROM d)
+        d AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha1(html) AS hex, min(page_id) OVER (PARTITION BY html) AS first FROM p),
+        b AS (SELECT *, list_aggregate(list_transform(range(40), lambda i: substr('0000000100100011010001010110011110001001101010111100110111101111', 1 + 4 * (instr('0123456789abcdef', substr(hex, CAST(i + 1 AS INT), 1)) - 1), 4)), 'string_agg', '') AS bits FROM d)
         SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
-               list_aggregate(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum(list_transform(range(5), k -> CAST(substr(bits, CAST(5 * i + k + 1 AS INT), 1) AS INT) * CAST(pow(2, 4 - k) AS INT))), 1)), 'string_agg', '') AS payload_digest,
+               list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(list_sum(list_transform(range(5), lambda k: CAST(substr(bits, CAST(5 * i + k + 1 AS INT), 1) AS INT) * CAST(pow(2, 4 - k) AS INT))) AS BIGINT), 1)), 'string_agg', '') AS payload_digest,
                CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN page_id <> first THEN first END AS refers_to
         FROM b""",

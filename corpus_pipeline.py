@@ -1,10 +1,42 @@
-"""The corpus pipeline: stages over the documents table, each written as Parquet and reread."""
+"""The corpus pipeline: stages over the documents table, each written as Parquet and reread.
+
+Every stage works on all that the one before kept: documents whose language is
+rejected go, then toxic ones, then all but one of each class of near duplicates;
+phrases that recur are cut out of the texts, and what is left is packed into
+sequences of tokens. All stages but the last return the columns they were given.
+Null and empty texts have no language and go in the first stage.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cirrus.llm import base, langid, minhash, packing, queries, substring, toxicity
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is recognised (operator 1)."""
+    model = langid.train(docs, F.coalesce(langid.remainder(F.col("doc_id"), 3) != 1, F.lit(False)))
+    return langid.predict(docs, model).where("accepted").select(docs.columns)
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not toxic (operator 5)."""
+    labels = base.table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels, langid.remainder(F.col("doc_id"), 4) != 2)
+    return toxicity.predict(docs, model).where("predicted = 0").select(docs.columns)
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates (operator 7): five words, 0.8 or more."""
+    return minhash.keep_one(docs)
+
 
-from cirrus.llm import base, packing, queries
+def cut(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without recurring phrases (operator 2); n_chars follows the text."""
+    rows = substring.remove(docs)
+    return rows.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,7 +45,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(pieces)
 
 
-STAGES = [("pack", pack)]
+STAGES = [("language", language), ("toxicity", clean), ("near_duplicates", distinct), ("repeated_phrases", cut), ("packing", pack)]
 
 #: The stages learn models and encode tokens, which SQL cannot express; tests hold them against plain versions.
 ORACLE_SQL = None

@@ -104,7 +104,7 @@ def fit(df: DataFrame, cols: Sequence[str] | None = None, method: str | dict = M
     quart = {}
     if robust:
         from cirrus.operators.quantiles import quantile_table
-        qt = quantile_table(df, robust, [0.25, 0.5, 0.75], method="auto" if exact else "approx")
+        qt = quantile_table(df, robust, [0.25, 0.5, 0.75], method="exact" if exact else "approx")
         quart = {r["column"]: r["quantiles"] for r in qt.collect()}  # one row per column
     params = {}
     for i, c in enumerate(cols):
@@ -158,7 +158,7 @@ def stats_frame(df: DataFrame, cols: Sequence[str], method: str, exact: bool = T
     m = canonical(method)
     if m == TRANSFORMER:
         from cirrus.operators.quantiles import quantile_table
-        qt = quantile_table(df, cols, [0.25, 0.5, 0.75], method="auto" if exact else "approx")
+        qt = quantile_table(df, cols, [0.25, 0.5, 0.75], method="exact" if exact else "approx")
         return qt.agg(*[F.max(F.when(F.col("column") == c, F.col("quantiles"))).alias(f"q{i}")
                         for i, c in enumerate(cols)])  # one row per column → one row
     aggs = [a for i, c in enumerate(cols) for a in _stat_aggs(c, m, i, exact)]

@@ -6,9 +6,8 @@ long table with one row per column by exploding an array of structs — never a
 per-column loop of jobs and never a collect of data rows.
 
 Exact quartiles (the linear interpolation of pandas and `quantile_cont`) come
-from `quantiles.quantile_table`: Spark's `percentile` for columns with few
-distinct values, a rank-based path without per-group value maps for the
-others; `exact=False` switches to `percentile_approx`.
+from `quantiles.quantile_table`: counts of distinct values and their running
+count over range partitions; `exact=False` switches to `percentile_approx`.
 """
 
 from __future__ import annotations
@@ -36,11 +35,10 @@ def corrected_kurtosis(g2: Column, n: Column) -> Column:
 
 def summary(df: DataFrame, cols: Sequence[str] | None = None, by: Sequence[str] = (),
             exact: bool = True, accuracy: int = 10000, moments: bool = False,
-            quantile_method: str = "auto") -> DataFrame:
+            quantile_method: str = "exact") -> DataFrame:
     """A1 (+A2 with `moments`): count, mean, std (ddof 1), min, q1, median,
     q3, max per column (and per group of `by`), one row per (group, column).
-    Moments come from one aggregate; quartiles from `quantile_table` (exact:
-    value map for low-cardinality columns, rank-based for the others)."""
+    Moments come from one aggregate; quartiles from `quantile_table` (exact, by ranks)."""
     from cirrus.operators.quantiles import quantile_table
     by = list(by)
     cols = list(cols) if cols else numeric_columns(df, exclude=by)
@@ -114,6 +112,11 @@ def duplicate_rows(df: DataFrame, subset: Sequence[str] | None = None) -> DataFr
     return g.agg(F.coalesce(F.sum(F.col("_c") - 1), F.lit(0)).cast("long").alias("duplicate_rows"))
 
 
+def distinct_rows(df: DataFrame, subset: Sequence[str] | None = None) -> DataFrame:
+    """One row of each set of rows that are equal (in `subset`)."""
+    return df.dropDuplicates(list(subset) if subset else None)
+
+
 def value_counts(df: DataFrame, c: str, k: int | None = None) -> DataFrame:
     """Value frequencies (nulls excluded), most frequent first; ties
     ordered by value. `k` keeps the top k (TakeOrderedAndProject)."""
@@ -178,7 +181,7 @@ def histogram(df: DataFrame, c: str, bins: int = 20) -> DataFrame:
 def iqr_bounds(df: DataFrame, c: str, k: float = 1.5, exact: bool = True, method=None) -> DataFrame:
     """One-row table: q1, q3, iqr, lower, upper for the IQR rule with factor k."""
     from cirrus.operators.quantiles import quantile_table
-    q = quantile_table(df, [c], [0.25, 0.75], method=method or ("auto" if exact else "approx"))
+    q = quantile_table(df, [c], [0.25, 0.75], method=method or ("exact" if exact else "approx"))
     return q.select(F.col("quantiles")[0].alias("q1"), F.col("quantiles")[1].alias("q3")).select(
         "q1", "q3", (F.col("q3") - F.col("q1")).alias("iqr"),
         (F.col("q1") - k * (F.col("q3") - F.col("q1"))).alias("lower_bound"),
@@ -295,12 +298,6 @@ def column_report(df: DataFrame, cols: Sequence[str] | None = None, k: float = 1
     return s.join(nulls, "column").join(d, "column").join(outl, "column")
 
 
-def stats_by(df: DataFrame, value: str, by: str | Sequence[str]) -> DataFrame:
-    """Target statistics for every value of `by` (e.g. each split) at once."""
-    by = [by] if isinstance(by, str) else list(by)
-    return summary(df, [value], by=by)
-
-
 def running_mean(df: DataFrame, value: str, order: str, partition: Sequence[str] = ()) -> DataFrame:
     """Running mean of `value` in `order` (for fold scores: a handful of
     rows per run)."""

@@ -1,47 +1,26 @@
-"""Exact quantiles that scale with the data (H3).
-
-Spark's `percentile` aggregate is exact but keeps a value → count map per
-group; for a continuous measure that map holds every distinct value of the
-group in one task (and one group may be the whole table). The sort path
-keeps no such state:
-
-1. unpivot the columns to (group…, column, value) and give every value its
-   global rank in (group, column, value) order with the distributed row index
-   (range partitions, so a hot group is spread over many tasks);
-2. per (group, column) the first rank and the count (a small grouped table);
-3. the ranks that linear interpolation needs (⌊q·(n−1)⌋ and ⌈q·(n−1)⌉),
-   at most 2 · |q| per (group, column), are fetched with a semi-join on the
-   rank (broadcast only after a row count check);
+"""Exact quantiles, one path for every size (H3).
+
+1. unpivot the columns to (group…, column, value) and count equal values with
+   partial aggregation, so a frequent value is one row however often it occurs;
+2. lay the distinct values out in (group, column, value) order by range
+   partitions, fixed by a reliable checkpoint of these narrow rows;
+3. a small table of the count per (partition, group, column) says in which
+   partition each rank that linear interpolation needs, ⌊q·(n−1)⌋ and
+   ⌈q·(n−1)⌉, lies; only there a running count finds the value;
 4. lo + (hi − lo)·frac, the interpolation of pandas / `quantile_cont`.
 
-`method="auto"` keeps the single-pass `percentile` for columns with few
-distinct values (estimated with a HyperLogLog aggregate) and uses the sort
-path for the others; `"approx"` is `percentile_approx`.
+No value map, no estimate and no switch by size. `method="approx"` is
+`percentile_approx`, the caller's choice.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cirrus.sources.ingest import with_row_id
-
-MAP_MAX_DISTINCT = 1_000_000  # value→count map entries per group state (tens of MB)
-FETCH_BROADCAST_ROWS = 1_000_000
-
-
-def choose(df: DataFrame, cols: Sequence[str], method: str | dict = "auto") -> dict[str, str]:
-    """Per column: "map" (percentile), "sort" or "approx". A dict gives the
-    method per column (e.g. decided once on a source table: a filter or a
-    function of one column cannot raise its number of distinct values)."""
-    if isinstance(method, dict):
-        return {c: method[c] for c in cols}
-    if method != "auto":
-        return {c: method for c in cols}
-    d = df.agg(*[F.approx_count_distinct(F.col(c), 0.05).alias(f"d{i}") for i, c in enumerate(cols)]).first()
-    return {c: ("map" if d[f"d{i}"] <= MAP_MAX_DISTINCT else "sort") for i, c in enumerate(cols)}
+from cirrus.session import ensure_checkpoint_dir
 
 
 def _long(df: DataFrame, cols: Sequence[str], by: Sequence[str]) -> DataFrame:
@@ -49,65 +28,69 @@ def _long(df: DataFrame, cols: Sequence[str], by: Sequence[str]) -> DataFrame:
         F.struct(F.lit(c).alias("column"), F.col(c).try_cast("double").alias("_v")) for c in cols])))
 
 
-def sorted_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-                     by: Sequence[str] = ()) -> DataFrame:
+def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
+                    by: Sequence[str] = ()) -> DataFrame:
     """(by…, column, quantiles: array<double> in `probs` order) by ranks."""
-    from cirrus.operators.encode import checked_join
+    ensure_checkpoint_dir(df.sparkSession)
     by = list(by)
-    long = _long(df, cols, by).filter(F.col("_v").isNotNull())
-    ranked = with_row_id(long, by + ["column", "_v"], name="_r")
-    g = ranked.groupBy(*by, "column").agg(F.min("_r").alias("_s"), F.count(F.lit(1)).alias("_n"))
-    w = g.select(*by, "column", "_s", "_n",
-                 F.posexplode(F.array(*[F.lit(float(p)) for p in probs])).alias("_qi", "_p"))
-    w = (w.withColumn("_pos", F.col("_p") * (F.col("_n") - 1).cast("double"))
-          .withColumn("_fl", F.floor("_pos"))
-          .withColumn("_lo", F.col("_s") + F.col("_fl"))
-          .withColumn("_hi", F.col("_s") + F.ceil("_pos")))
-    need = w.select(F.explode(F.array("_lo", "_hi")).alias("_r")).distinct()
-    vals = checked_join(ranked.select("_r", "_v"), need, "_r", "left_semi", max_rows=FETCH_BROADCAST_ROWS)
-    lo = vals.select(F.col("_r").alias("_lo"), F.col("_v").alias("_vlo"))
-    hi = vals.select(F.col("_r").alias("_hi"), F.col("_v").alias("_vhi"))
-    w = w.join(lo, "_lo").join(hi, "_hi")
-    w = w.withColumn("_q", F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * (F.col("_pos") - F.col("_fl")))
+    key = [*by, "column"]
+    counts = (_long(df, cols, by).filter(F.col("_v").isNotNull())
+              .groupBy(*key, "_v").agg(F.count(F.lit(1)).alias("_c")))
+    laid = (counts.repartitionByRange(*key, "_v").withColumn("_pid", F.spark_partition_id())
+            .checkpoint(eager=True))
+    # one row per (partition, group, column): ranks before the partition, rows of the group
+    per = laid.groupBy("_pid", *key).agg(F.sum("_c").alias("_t"))
+    before = Window.partitionBy(*key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select("_pid", *key, "_t", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_off"),
+                     F.sum("_t").over(Window.partitionBy(*key)).alias("_n"))
+    wanted = F.posexplode(F.array(*[F.lit(float(p)) for p in probs])).alias("_qi", "_p")
+    need = per.select("*", wanted).withColumn("_pos", F.col("_p") * (F.col("_n") - 1).cast("double"))
+    need = need.select("_pid", *key, "_off", "_t", "_qi", (F.col("_pos") - F.floor("_pos")).alias("_frac"),
+                       F.explode(F.array(F.struct(F.lit(0).alias("_end"), F.floor("_pos").alias("_r")),
+                                         F.struct(F.lit(1).alias("_end"), F.ceil("_pos").alias("_r")))).alias("_e"))
+    need = need.select("_pid", *key, "_off", "_qi", "_frac", "_e.*", "_t").where(
+        (F.col("_r") >= F.col("_off")) & (F.col("_r") < F.col("_off") + F.col("_t")))
+    # the ranks sought in a partition and group lie in an array: few, and bounded by 2·|q|
+    sought = need.groupBy("_pid", *key).agg(F.collect_list(
+        F.struct("_qi", "_end", "_frac", (F.col("_r") - F.col("_off")).alias("_r"))).alias("_s"))
+    sought = sought.withColumnsRenamed({c: f"_s_{c}" for c in ["_pid", *key]})
+    on = [F.col(c).eqNullSafe(F.col(f"_s_{c}")) for c in ["_pid", *key]]
+    here = laid.join(sought, on).drop(*[f"_s_{c}" for c in ["_pid", *key]])
+    upto = Window.partitionBy("_pid", *key).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    here = here.withColumn("_to", F.sum("_c").over(upto))
+    hit = here.select(*key, "_v", F.explode(F.filter(
+        "_s", lambda s: (s["_r"] < F.col("_to")) & (s["_r"] >= F.col("_to") - F.col("_c")))).alias("_h"))
+    ends = hit.groupBy(*key, F.col("_h._qi").alias("_qi")).agg(
+        F.max(F.when(F.col("_h._end") == 0, F.col("_v"))).alias("_lo"),
+        F.max(F.when(F.col("_h._end") == 1, F.col("_v"))).alias("_hi"), F.max("_h._frac").alias("_frac"))
+    q = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_frac")
     # at most len(probs) rows per (group, column)
-    out = w.groupBy(*by, "column").agg(F.sort_array(F.collect_list(F.struct("_qi", "_q"))).alias("_a"))
-    return out.select(*by, "column", F.col("_a._q").alias("quantiles"))
+    out = ends.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("_qi", q.alias("_q")))).alias("_a"))
+    return out.select(*key, F.col("_a._q").alias("quantiles"))
 
 
-def _agg_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str],
-                   approx: bool, accuracy: int = 10000) -> DataFrame:
+def approx_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = (),
+                     accuracy: int = 10000) -> DataFrame:
+    """The same table by `percentile_approx`."""
     ps = [float(p) for p in probs]
-    aggs = [(F.percentile_approx(F.col(c).try_cast("double"), ps, accuracy) if approx else
-             F.percentile(F.col(c).try_cast("double"), F.array(*[F.lit(p) for p in ps]))).alias(f"q{i}")
+    aggs = [F.percentile_approx(F.col(c).try_cast("double"), ps, accuracy).alias(f"q{i}")
             for i, c in enumerate(cols)]
-    g = df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
+    g = df.groupBy(*by).agg(*aggs)
     return g.select(*by, F.inline(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(f"q{i}").cast("array<double>").alias("quantiles"))
         for i, c in enumerate(cols)])))
 
 
 def quantile_table(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = (),
-                   method: str | dict = "auto") -> DataFrame:
-    """(by…, column, quantiles) for every column, each with its method."""
-    cols = list(cols)
-    chosen = choose(df, cols, method)
-    parts = []
-    maps = [c for c in cols if chosen[c] == "map"]
-    apx = [c for c in cols if chosen[c] == "approx"]
-    srt = [c for c in cols if chosen[c] == "sort"]
-    if maps:
-        parts.append(_agg_quantiles(df, maps, probs, by, approx=False))
-    if apx:
-        parts.append(_agg_quantiles(df, apx, probs, by, approx=True))
-    if srt:
-        parts.append(sorted_quantiles(df, srt, probs, by))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def quantile_row(df: DataFrame, c: str, probs: Sequence[float], method: str = "auto") -> list | None:
+                   method: str = "exact") -> DataFrame:
+    """(by…, column, quantiles) for every column; method "exact" or "approx". A column
+    (or group) without values has no row."""
+    if method not in ("exact", "approx"):
+        raise ValueError(f"unknown quantile method: {method}")
+    return (approx_quantiles if method == "approx" else exact_quantiles)(df, list(cols), probs, by)
+
+
+def quantile_row(df: DataFrame, c: str, probs: Sequence[float], method: str = "exact") -> list | None:
     """The quantiles of one column as a Python list (a one-row result)."""
     r = quantile_table(df, [c], probs, method=method).first()
     return list(r["quantiles"]) if r and r["quantiles"] is not None else None

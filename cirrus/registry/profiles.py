@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cirrus.operators import normalize as Z
 from cirrus.operators import profile as A
-from cirrus.operators.quantiles import choose, quantile_table
+from cirrus.operators.quantiles import quantile_table
 from cirrus.registry.base import PYROUND, R, Registry, load, rnd
 
 reg = Registry()
@@ -55,18 +55,14 @@ def flagship(spark, sf):
     """read → IQR filter of l_extendedprice (F4) → z-score of l_quantity
     fitted on the kept rows (Z2) → per-returnflag profile (A1)."""
     li = load(spark, sf, "lineitem").select("l_returnflag", "l_quantity", "l_extendedprice")
-    # quantile method per column decided once on the source (one HLL pass)
-    m = choose(li, ["l_quantity", "l_extendedprice"])
-    kept = A.iqr_filter(li, "l_extendedprice", method={"l_extendedprice": m["l_extendedprice"]})
+    kept = A.iqr_filter(li, "l_extendedprice")
     # lazy fit: the z-score statistics are a one-row frame inside the same plan
     z = Z.apply_stats(kept, Z.stats_frame(kept, ["l_quantity"], Z.Z_SCORE), ["l_quantity"], Z.Z_SCORE)
     z = z.withColumnRenamed("l_quantity", "zq")
     out = z.groupBy("l_returnflag").agg(
         F.count(F.lit(1)).alias("n"), F.avg("zq").alias("zq_mean"), F.stddev_samp("zq").alias("zq_std"),
         F.avg("l_extendedprice").alias("price_mean"))
-    # exact grouped quartiles (rank-based for high-cardinality columns)
-    q = quantile_table(z, ["zq", "l_extendedprice"], [0.25, 0.5, 0.75], by=["l_returnflag"],
-                       method={"zq": m["l_quantity"], "l_extendedprice": m["l_extendedprice"]})
+    q = quantile_table(z, ["zq", "l_extendedprice"], [0.25, 0.5, 0.75], by=["l_returnflag"])
     q = q.groupBy("l_returnflag").agg(  # two rows per flag → one
         F.max(F.when(F.col("column") == "zq", F.col("quantiles"))).alias("_q"),
         F.max(F.when(F.col("column") == "l_extendedprice", F.col("quantiles"))).alias("_p"))
@@ -160,6 +156,13 @@ def a6_dups(spark, sf):
     return A.duplicate_rows(li)
 
 
+@reg.add("a6_duplicate_full_rows", """SELECT count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM lineitem)) AS duplicate_rows
+    FROM (SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem WHERE l_orderkey % 3 = 0)""")
+def a6_full(spark, sf):
+    li = load(spark, sf, "lineitem")
+    return A.duplicate_rows(li.unionByName(li.filter(F.col("l_orderkey") % 3 == 0)))
+
+
 @reg.add("a6_duplicate_rows_with_nulls", f"""SELECT CAST(coalesce(sum(c - 1), 0) AS BIGINT) AS duplicate_rows
     FROM (SELECT count(*) AS c FROM {EVENTS_WITH_NULLS} GROUP BY user_id, event_type)""")
 def a6_dups_nulls(spark, sf):

@@ -4,8 +4,8 @@ T13 as methods).
 Category tables (value → code, value → mean) are built by Spark from the
 data. They are joined back with a broadcast only after their row count has
 been checked against a bound; above it the join is a shuffle join.
-One-hot encoding creates one column per category, so its width is capped
-(H5) and an over-wide column fails with a clear message.
+One-hot encoding creates one column per category, all of them; for a wide
+column `one_hot_long` gives (key, category) rows instead, the caller's choice.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -22,8 +22,6 @@ from cirrus.functions import text as T
 from cirrus.sources.ingest import with_row_id
 
 BROADCAST_MAX_ROWS = 1_000_000
-ONE_HOT_MAX = 200
-SMALL_RANK_ROWS = 100_000
 
 
 def checked_join(big: DataFrame, small: DataFrame, on, how: str = "left",
@@ -37,12 +35,7 @@ def checked_join(big: DataFrame, small: DataFrame, on, how: str = "left",
 
 def rank_values(values: DataFrame, order_by: Sequence[str], name: str = "code") -> DataFrame:
     """0-based rank of each row of a table of distinct values in `order_by`
-    order. Up to SMALL_RANK_ROWS rows a single-partition window is a proven
-    bound; above it the distributed row index (H1) is used."""
-    n = values.count()
-    if n <= SMALL_RANK_ROWS:
-        w = Window.orderBy(*order_by)
-        return values.withColumn(name, (F.row_number().over(w) - 1).cast("long"))
+    order, by the distributed row index (H1)."""
     return with_row_id(values, order_by, name=name)
 
 
@@ -70,14 +63,15 @@ def label_encode(df: DataFrame, c: str, mapping: DataFrame | None = None, unknow
     return j.select(*cols)
 
 
-def categories(df: DataFrame, c: str, cap: int = ONE_HOT_MAX) -> list:
-    """Sorted distinct non-null values, refusing more than `cap` (H5)."""
-    d = df.select(c).filter(F.col(c).isNotNull()).distinct()
-    vals = d.limit(cap + 1).collect()
-    if len(vals) > cap:
-        raise ValueError(f"column {c!r} has more than {cap} distinct values; one-hot refused "
-                         f"(use label encoding or a vector encoder)")
-    return sorted(r[0] for r in vals)
+def categories(df: DataFrame, c: str) -> list:
+    """Sorted distinct non-null values: the names of the one-hot columns."""
+    return sorted(r[0] for r in df.select(c).filter(F.col(c).isNotNull()).distinct().collect())
+
+
+def one_hot_long(df: DataFrame, c: str, key_cols: Sequence[str]) -> DataFrame:
+    """Z8 as rows: (key…, category) where the 0/1 column of the category is 1;
+    any number of categories, nothing in the driver."""
+    return df.filter(F.col(c).isNotNull()).select(*key_cols, F.col(c).alias("category"))
 
 
 def one_hot(df: DataFrame, c: str, cats: Sequence | None = None, drop_first: bool = False,
@@ -123,17 +117,20 @@ class TargetEncoder:
         return j.select(*cols)
 
 
-# Periods of cyclic columns recognised by name (fixed values).
-CYCLIC_PERIODS = {"hour": 24, "day": 7, "month": 12, "bearing": 360, "degree": 360, "angle": 360}
+# Name parts of cyclic columns, and the periods that all parts of a row give (fixed values).
+CYCLIC_NAMES = ["hour", "day", "month", "bearing", "degree", "angle"]
+CYCLIC_PERIODS = [(["hour"], 24), (["day", "week"], 7), (["month"], 12), (["bearing"], 360), (["degree"], 360)]
+
+
+def is_cyclic_name(name: str) -> bool:
+    """Whether a column is cyclic by its name."""
+    return any(part in name.lower() for part in CYCLIC_NAMES)
 
 
 def cyclic_period_by_name(name: str) -> int | None:
-    """Period from the column name; None when not cyclic by name."""
+    """Period from the column name; None where the data give it."""
     n = name.lower()
-    for key, p in CYCLIC_PERIODS.items():
-        if key in n:
-            return p
-    return None
+    return next((p for parts, p in CYCLIC_PERIODS if all(x in n for x in parts)), None)
 
 
 def cyclic(df: DataFrame, c: str, period: float, drop: bool = True) -> DataFrame:
@@ -184,16 +181,18 @@ class PreprocessingModel:
 
 
 def fit_preprocessing(df: DataFrame, features: Sequence[str], scale: str | None = "standard",
-                      categorical: Sequence[str] | None = None, max_one_hot: int = 10,
+                      categorical: Sequence[str] | None = None, encoding_method: str = "onehot",
                       cyclic_cols: Sequence[str] | None = None) -> PreprocessingModel:
     """Categorical columns are text columns or numeric columns with
     fewer than 10 distinct values (D8); cyclic ones are found by name (D7).
-    Low-cardinality categoricals are one-hot encoded (first level dropped),
-    the others ordinal-encoded with unknown → −1."""
+    `encoding_method` is the caller's: "onehot" (first level dropped, unknown
+    → all 0) or "ordinal" (unknown → −1)."""
+    if encoding_method not in ("onehot", "ordinal"):
+        raise ValueError(f"unknown encoding method: {encoding_method}")
     from cirrus.operators import normalize as N
     features = list(features)
     if cyclic_cols is None:
-        cyclic_cols = [c for c in features if cyclic_period_by_name(c)]
+        cyclic_cols = [c for c in features if is_cyclic_name(c)]
     if categorical is None:
         texts = [c for c in features if isinstance(df.schema[c].dataType, StringType)]
         others = [c for c in features if c not in texts and c not in cyclic_cols]
@@ -208,9 +207,8 @@ def fit_preprocessing(df: DataFrame, features: Sequence[str], scale: str | None
     for c in categorical:
         if c in cyclic_cols:
             continue
-        top = df.select(c).filter(F.col(c).isNotNull()).distinct().limit(max_one_hot + 1).collect()
-        if len(top) <= max_one_hot:
-            model.one_hot_cats[c] = sorted(r[0] for r in top)
+        if encoding_method == "onehot":
+            model.one_hot_cats[c] = categories(df, c)
         else:
             model.ordinal[c] = label_mapping(df, c)
     feats = []

@@ -6,19 +6,18 @@ for gap and remainder rows) — or a `fold` column — never six arrays.
 
 "Random" order is the md5 of `seed:key`, a pure function of the row, so the
 same split comes back on every run, on any number of partitions, and in any
-engine that has md5. Exact split sizes need the rank of each row in that
-order: it is computed with the distributed row index (H1, range partitions
-+ per-partition offsets), never with a single-partition window. Ranks inside
-a class or group use the same global rank minus a per-class offset taken
-from a one-row-per-class table (W6: ranking for splits, folds and codes).
+engine that has md5. Exact split sizes come from the md5 values at the ranks
+where one side ends (`hash_cuts`: counts per md5 bucket, then a sort of only
+the buckets that hold a cut), so a row is placed by comparing its own md5 and
+the table is not shuffled. Folds dealt round-robin need every rank and use
+the distributed row index (H1).
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cirrus.operators.encode import checked_join, rank_values
@@ -40,17 +39,58 @@ def hash_key(seed: int, key_cols: Sequence[str]) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in key_cols]))
 
 
-def _random_rank(df: DataFrame, seed: int, key_cols: Sequence[str], by: Sequence[str] = (),
-                 name: str = "_rank") -> DataFrame:
-    """Global 0-based rank in (by, md5) order; with `by`, also the rank inside
-    the group (`_grank`) and the group size (`_gn`)."""
-    h = df.withColumn("_h", hash_key(seed, key_cols))
-    ranked = with_row_id(h, list(by) + ["_h"] + list(key_cols), name=name)
+#: Hexadecimal digits of the md5 that number a bucket: 65,536 buckets of even size.
+_DIGITS = 4
+
+
+def hash_cuts(df: DataFrame, seed: int | Column, key_cols: Sequence[str], ranks, by: Sequence[str] = ()) -> DataFrame:
+    """The md5 at given ranks of the md5 order: (by…, _n, c0, c1, …), one row per group.
+
+    `ranks` maps the Column of the group's row count to the Columns of the ranks (0-based;
+    a rank past the end gives null). Rows are counted per md5 bucket, and only the
+    buckets that a rank falls in are sorted; the table itself is neither shuffled nor
+    written, since a row then finds its place by comparing its own md5 with the cuts.
+    The key must be unique; rows of one key fall on the same side.
+    """
+    by = list(by)
+    h = hash_key(seed, key_cols) if isinstance(seed, int) else F.md5(F.concat_ws(
+        ":", seed.cast("string"), *[F.col(k).cast("string") for k in key_cols]))
+    rows = df.select(*by, h.alias("_h")).withColumn("_b", F.substring("_h", 1, _DIGITS))
+    counts = rows.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_c"))
+    # at most 65,536 rows per group
+    group = Window.partitionBy(*(by or [F.lit(0)]))
+    upto = F.sum("_c").over(group.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))
+    counts = counts.select(*by, "_b", "_c", (upto - F.col("_c")).alias("_off"), F.sum("_c").over(group).alias("_n"))
+    wanted = ranks(F.col("_n"))
+    need = counts.select(*by, "_b", "_off", "_c", "_n", F.posexplode(F.array(*[
+        F.lit(r).cast("long") if isinstance(r, int) else r.cast("long") for r in wanted])).alias("_i", "_r"))
+    inside = need.filter((F.col("_r") >= F.col("_off")) & (F.col("_r") < F.col("_off") + F.col("_c")))
+    inside = inside.select(*[F.col(c).alias(f"_s_{c}") for c in [*by, "_b"]], "_i", (F.col("_r") - F.col("_off")).alias("_r"))
+    on = [F.col(c).eqNullSafe(F.col(f"_s_{c}")) for c in [*by, "_b"]]
+    asked = inside.groupBy(*[f"_s_{c}" for c in [*by, "_b"]]).agg(F.collect_list(F.struct("_i", "_r")).alias("_asked"))
+    place = F.row_number().over(Window.partitionBy(*by, "_b").orderBy("_h")) - 1
+    hit = (rows.join(asked, on).withColumn("_p", place)
+               .select(*by, "_h", F.explode(F.filter("_asked", lambda x: x["_r"] == F.col("_p"))).alias("_a")))
+    cuts = hit.groupBy(*by).agg(*[F.max(F.when(F.col("_a._i") == i, F.col("_h"))).alias(f"c{i}") for i in range(len(wanted))])
+    sizes = counts.groupBy(*by).agg(F.max("_n").alias("_n"))
     if not by:
-        return ranked.drop("_h")
-    starts = ranked.groupBy(*by).agg(F.min(name).alias("_gstart"), F.count(F.lit(1)).alias("_gn"))
-    j = checked_join(ranked, starts, list(by), "inner")
-    return j.withColumn("_grank", F.col(name) - F.col("_gstart")).drop("_h", "_gstart")
+        return sizes.crossJoin(cuts)  # two one-row tables
+    cuts = cuts.select(*[F.col(c).alias(f"_s_{c}") for c in by], *[f"c{i}" for i in range(len(wanted))])
+    return sizes.join(cuts, [F.col(c).eqNullSafe(F.col(f"_s_{c}")) for c in by], "left").drop(*[f"_s_{c}" for c in by])
+
+
+def _side(h: Column, cuts: Sequence[Column], names: Sequence[str]) -> Column:
+    """The first name before the first cut, and so on; a null cut lies past the end."""
+    out = F.when(F.coalesce(h < cuts[0], F.lit(True)), names[0])
+    for cut, name in zip(cuts[1:], names[1:]):
+        out = out.when(F.coalesce(h < cut, F.lit(True)), name)
+    return out.otherwise(names[-1])
+
+
+def _sides(df: DataFrame, seed: int, key_cols: Sequence[str], ranks, names: Sequence[str]) -> DataFrame:
+    row = hash_cuts(df, seed, key_cols, ranks).first()
+    cuts = [row[f"c{i}"] for i in range(len(names) - 1)] if row else [None] * (len(names) - 1)
+    return df.withColumn("split", _side(hash_key(seed, key_cols), [F.lit(c).cast("string") for c in cuts], names))
 
 
 def _by_thresholds(r: Column, cut1: Column | int, cut2: Column | int, first: str, second: str,
@@ -58,18 +98,22 @@ def _by_thresholds(r: Column, cut1: Column | int, cut2: Column | int, first: str
     return F.when(r < cut1, first).when(r < cut2, second).otherwise(third)
 
 
+def _exact_ranks(train: float, val: float, test: float):
+    """SP1 sizes: ceil(test·n) test rows first, then ceil of the val share of the rest."""
+    def ranks(n: Column) -> list[Column]:
+        n_test = F.ceil(n * F.lit(test))
+        n_val = F.ceil(F.lit(val / (train + val)) * (n - n_test)) if val > 0 else F.lit(0)
+        return [n_test, n_test + n_val]
+    return ranks
+
+
 def random_split(df: DataFrame, key_cols: Sequence[str], train: float = 0.7, val: float = 0.15,
                  test: float = 0.15, seed: int = 42) -> DataFrame:
     """SP1: n_test = ceil(test·n), n_val = ceil(val/(train+val)·(n−n_test)),
     the rest train (no val rows when val = 0). Test takes the first ranks of
-    the md5 order, then val, then train."""
+    the md5 order, then val, then train. Null keys hash like any other."""
     train, val, test = check_sizes(train, val, test)
-    ranked = _random_rank(df, seed, key_cols)
-    n = ranked.count()
-    n_test = math.ceil(test * n)
-    n_val = math.ceil(val / (train + val) * (n - n_test)) if val > 0 else 0
-    return ranked.withColumn("split", _by_thresholds(F.col("_rank"), n_test, n_test + n_val, TEST, VAL, TRAIN)
-                             ).drop("_rank")
+    return _sides(df, seed, key_cols, _exact_ranks(train, val, test), [TEST, VAL, TRAIN])
 
 
 def random_split_indices(df: DataFrame, key_cols: Sequence[str], train: float = 0.7, val: float = 0.15,
@@ -77,23 +121,21 @@ def random_split_indices(df: DataFrame, key_cols: Sequence[str], train: float =
     """SP2: index form — floors: [0, ⌊n·train⌋) train, then val up to
     ⌊n·(train+val)⌋, the rest test."""
     train, val, test = check_sizes(train, val, test)
-    ranked = _random_rank(df, seed, key_cols)
-    n = ranked.count()
-    t_end, v_end = int(n * train), int(n * (train + val))
-    return ranked.withColumn("split", _by_thresholds(F.col("_rank"), t_end, v_end, TRAIN, VAL, TEST)).drop("_rank")
+    return _sides(df, seed, key_cols, lambda n: [F.floor(n * F.lit(train)), F.floor(n * F.lit(train + val))],
+                  [TRAIN, VAL, TEST])
 
 
 def stratified_split(df: DataFrame, label: str, key_cols: Sequence[str], train: float = 0.7,
                      val: float = 0.15, test: float = 0.15, seed: int = 42) -> DataFrame:
     """SP3: the SP1 sizes applied inside every class, so each split keeps
-    the class proportions (up to the ceilings)."""
+    the class proportions (up to the ceilings); rows without a class are a
+    class of their own."""
     train, val, test = check_sizes(train, val, test)
-    ranked = _random_rank(df, seed, key_cols, by=[label])
-    n = F.col("_gn")
-    n_test = F.ceil(n * F.lit(test))
-    n_val = F.ceil(F.lit(val / (train + val)) * (n - n_test)) if val > 0 else F.lit(0)
-    return ranked.withColumn("split", _by_thresholds(F.col("_grank"), n_test, n_test + n_val, TEST, VAL, TRAIN)
-                             ).drop("_rank", "_grank", "_gn")
+    cuts = hash_cuts(df, seed, key_cols, _exact_ranks(train, val, test), by=[label])
+    cuts = cuts.select(F.col(label).alias("_class"), "c0", "c1")
+    j = df.join(cuts, F.col(label).eqNullSafe(F.col("_class")), "left")
+    side = _side(hash_key(seed, key_cols), [F.col("c0"), F.col("c1")], [TEST, VAL, TRAIN])
+    return j.select(*[df[c] for c in df.columns], side.alias("split"))
 
 
 def group_split(df: DataFrame, group: str, train: float = 0.7, val: float = 0.15, test: float = 0.15,
@@ -105,8 +147,10 @@ def group_split(df: DataFrame, group: str, train: float = 0.7, val: float = 0.15
     ranked = rank_values(groups, ["_h", group], name="_g")
     g = ranked.count()
     n_tr, n_va = int(g * train), int(g * val)
-    sides = ranked.select(group, _by_thresholds(F.col("_g"), n_tr, n_tr + n_va, TRAIN, VAL, TEST).alias("split"))
-    return checked_join(df, sides, [group], "left", known_rows=g)
+    sides = ranked.select(F.col(group).alias("_group"),
+                          _by_thresholds(F.col("_g"), n_tr, n_tr + n_va, TRAIN, VAL, TEST).alias("split"))
+    # rows without a group are a group too
+    return checked_join(df, sides, F.col(group).eqNullSafe(F.col("_group")), "left", known_rows=g).drop("_group")
 
 
 def _count(df: DataFrame) -> int:
@@ -203,24 +247,38 @@ def _kfold_of(rank: Column, n: Column | int, k: int) -> Column:
     return F.when(rank < big, F.floor(rank / (q + 1))).otherwise(rem + F.floor((rank - big) / q)).cast("int")
 
 
+def _fold_starts(k: int):
+    """First ranks of the folds 1 to k − 1 (sklearn KFold sizes)."""
+    def ranks(n: Column) -> list[Column]:
+        q = F.floor(n / F.lit(k))
+        rem = n - q * F.lit(k)
+        return [F.lit(i) * q + F.least(F.lit(i), rem) for i in range(1, k)]
+    return ranks
+
+
+def _fold_of(h: Column, cuts: Sequence[Column]) -> Column:
+    fold = F.lit(0)
+    for cut in cuts:
+        fold = fold + F.coalesce((h >= cut).cast("int"), F.lit(0))
+    return fold.cast("int")
+
+
 def kfold(df: DataFrame, key_cols: Sequence[str], k: int = 5, seed: int = 42, shuffle: bool = True,
           row_id: str = ROW_ID) -> DataFrame:
     """CV2: `fold` column; shuffled by the md5 order or in row order."""
-    if shuffle:
-        ranked = _random_rank(df, seed, key_cols)
-        r = F.col("_rank")
-    else:
-        ranked, r = df, F.col(row_id)
-    n = ranked.count()
-    return ranked.withColumn("fold", _kfold_of(r, n, k)).drop("_rank")
+    if not shuffle:
+        return df.withColumn("fold", _kfold_of(F.col(row_id), _count(df), k))
+    row = hash_cuts(df, seed, key_cols, _fold_starts(k)).first()
+    cuts = [F.lit(row[f"c{i}"]).cast("string") for i in range(k - 1)] if row else []
+    return df.withColumn("fold", _fold_of(hash_key(seed, key_cols), cuts))
 
 
 def stratified_kfold(df: DataFrame, label: str, key_cols: Sequence[str], k: int = 5, seed: int = 42) -> DataFrame:
-    """CV3: rows of each class in md5 order are dealt round-robin over the
-    folds, continuing across classes, so every fold gets ⌊n_c/k⌋ or
+    """CV3: rows of each class (null is one) in md5 order are dealt round-robin
+    over the folds, continuing across classes, so every fold gets ⌊n_c/k⌋ or
     ⌈n_c/k⌉ rows of class c and fold sizes differ by at most one."""
-    ranked = _random_rank(df, seed, key_cols, by=[label])
-    return ranked.withColumn("fold", (F.col("_rank") % k).cast("int")).drop("_rank", "_grank", "_gn")
+    ranked = with_row_id(df.withColumn("_h", hash_key(seed, key_cols)), [label, "_h", *key_cols], name="_rank")
+    return ranked.withColumn("fold", (F.col("_rank") % k).cast("int")).drop("_rank", "_h")
 
 
 def repeated_kfold(df: DataFrame, key_cols: Sequence[str], k: int = 5, repeats: int = 10, seed: int = 42,
@@ -228,16 +286,17 @@ def repeated_kfold(df: DataFrame, key_cols: Sequence[str], k: int = 5, repeats:
     """CV6 (CV7 with `label`): K-fold repeated with seeds seed+r; one row per
     (row, repeat)."""
     rep = df.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    h = F.md5(F.concat_ws(":", (F.lit(seed) + F.col("repeat")).cast("string"),
-                          *[F.col(c).cast("string") for c in key_cols]))
-    rep = rep.withColumn("_h", h)
-    by = ["repeat"] + ([label] if label else [])
-    ranked = with_row_id(rep, by + ["_h"] + list(key_cols), name="_rank")
-    starts = ranked.groupBy("repeat").agg(F.min("_rank").alias("_s"), F.count(F.lit(1)).alias("_n"))
+    of = F.lit(seed) + F.col("repeat")
+    h = F.md5(F.concat_ws(":", of.cast("string"), *[F.col(c).cast("string") for c in key_cols]))
+    if label is None:
+        cuts = hash_cuts(rep, of, key_cols, _fold_starts(k), by=["repeat"]).drop("_n")
+        j = rep.join(F.broadcast(cuts), "repeat")  # one row per repeat
+        return j.withColumn("fold", _fold_of(h, [F.col(f"c{i}") for i in range(k - 1)])).drop(
+            *[f"c{i}" for i in range(k - 1)])
+    ranked = with_row_id(rep.withColumn("_h", h), ["repeat", label, "_h", *key_cols], name="_rank")
+    starts = ranked.groupBy("repeat").agg(F.min("_rank").alias("_s"))
     j = ranked.join(F.broadcast(starts), "repeat")  # one row per repeat
-    r = F.col("_rank") - F.col("_s")
-    fold = (r % k).cast("int") if label else _kfold_of(r, F.col("_n"), k)
-    return j.withColumn("fold", fold).drop("_rank", "_s", "_n", "_h")
+    return j.withColumn("fold", ((F.col("_rank") - F.col("_s")) % k).cast("int")).drop("_rank", "_s", "_h")
 
 
 def time_series_folds(df: DataFrame, k: int = 5, gap: int = 0, test_size: int | None = None,
@@ -265,12 +324,8 @@ def time_series_folds(df: DataFrame, k: int = 5, gap: int = 0, test_size: int |
     return out.withColumn("role", F.when(r < F.get(arr[1], F.col("fold")), TRAIN).otherwise(TEST))
 
 
-def leave_one_out(df: DataFrame, row_id: str = ROW_ID, max_rows: int | None = 10_000) -> DataFrame:
-    """CV5: every row is its own fold; training loops refuse above max_rows."""
-    if max_rows is not None:
-        n = df.count()
-        if n > max_rows:
-            raise ValueError(f"leave-one-out over {n} rows refused (limit {max_rows})")
+def leave_one_out(df: DataFrame, row_id: str = ROW_ID) -> DataFrame:
+    """CV5: every row is its own fold."""
     return df.withColumn("fold", F.col(row_id))
 
 

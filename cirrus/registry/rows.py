@@ -61,6 +61,34 @@ def sp3(spark, sf):
     return S.stratified_split(li, "l_returnflag", LI_KEY, TR, VA, TE, seed=42).drop("l_returnflag")
 
 
+# a quarter of the rows without a class, a group or both
+LI_NULL_CLASS = "CASE WHEN l_linenumber % 4 <> 0 THEN l_returnflag END"
+
+
+@reg.add("sp3_stratified_split_null_classes", f"""WITH r AS (SELECT {LI_COLS}, {LI_NULL_CLASS} AS cls,
+      row_number() OVER (PARTITION BY {LI_NULL_CLASS} ORDER BY {LI_HASH}, {LI_COLS}) - 1 AS rk,
+      count(*) OVER (PARTITION BY {LI_NULL_CLASS}) AS n FROM lineitem),
+    c AS (SELECT *, ceil(n * {d(TE)}) AS nt FROM r)
+    SELECT {LI_COLS}, cls, CASE WHEN rk < nt THEN 'test'
+        WHEN rk < nt + ceil({d(VA / (TR + VA))} * (n - nt)) THEN 'val' ELSE 'train' END AS split FROM c""")
+def sp3_null(spark, sf):
+    li = load(spark, sf, "lineitem")
+    li = li.select(*LI_KEY, F.when(F.col("l_linenumber") % 4 != 0, F.col("l_returnflag")).alias("cls"))
+    return S.stratified_split(li, "cls", LI_KEY, TR, VA, TE, seed=42)
+
+
+@reg.add("sp4_group_split_null_group", f"""WITH o AS (SELECT o_orderkey, CASE WHEN o_custkey % 5 <> 0 THEN o_custkey END AS grp FROM orders),
+    g AS (SELECT grp, row_number() OVER (ORDER BY md5(concat_ws(':', '42', CAST(grp AS VARCHAR))), grp) - 1 AS gk,
+      count(*) OVER () AS gn FROM (SELECT DISTINCT grp FROM o))
+    SELECT o_orderkey, o.grp, CASE WHEN gk < floor(gn * {d(TR)}) THEN 'train'
+        WHEN gk < floor(gn * {d(TR)}) + floor(gn * {d(VA)}) THEN 'val' ELSE 'test' END AS split
+    FROM o JOIN g ON o.grp IS NOT DISTINCT FROM g.grp""")
+def sp4_null(spark, sf):
+    o = load(spark, sf, "orders")
+    o = o.select("o_orderkey", F.when(F.col("o_custkey") % 5 != 0, F.col("o_custkey")).alias("grp"))
+    return S.group_split(o, "grp", TR, VA, TE, seed=42)
+
+
 @reg.add("sp4_group_split", f"""WITH g AS (SELECT o_custkey, row_number() OVER (ORDER BY
       md5(concat_ws(':', '42', CAST(o_custkey AS VARCHAR))), o_custkey) - 1 AS gk, count(*) OVER () AS gn
       FROM (SELECT DISTINCT o_custkey FROM orders))
@@ -162,6 +190,15 @@ def cv3(spark, sf):
     return S.stratified_kfold(o, "o_orderstatus", ["o_orderkey"], 5, seed=42).drop("o_orderstatus")
 
 
+@reg.add("cv3_stratified_kfold_null_classes", f"""SELECT o_orderkey, CAST((row_number() OVER
+    (ORDER BY cls NULLS FIRST, {OR_HASH}, o_orderkey) - 1) % 5 AS INTEGER) AS fold FROM
+    (SELECT o_orderkey, CASE WHEN o_custkey % 4 <> 0 THEN o_orderstatus END AS cls FROM orders)""")
+def cv3_null(spark, sf):
+    o = load(spark, sf, "orders")
+    o = o.select("o_orderkey", F.when(F.col("o_custkey") % 4 != 0, F.col("o_orderstatus")).alias("cls"))
+    return S.stratified_kfold(o, "cls", ["o_orderkey"], 5, seed=42).drop("cls")
+
+
 @reg.add("cv4_time_series_folds", f"""WITH r AS (SELECT event_id, rid, n, n // 6 AS ts FROM {EV_RID}),
     f AS (SELECT CAST(range AS INTEGER) AS fold FROM range(5))
     SELECT event_id, fold, CASE WHEN rid < n - (5 - fold) * ts - 2 THEN 'train' ELSE 'test' END AS role
@@ -173,7 +210,7 @@ def cv4(spark, sf):
 @reg.add("cv5_leave_one_out", """SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS fold FROM labels""")
 def cv5(spark, sf):
     lab = with_row_id(load(spark, sf, "labels"), ["doc_id"])
-    return S.leave_one_out(lab, max_rows=None).select("doc_id", "fold")
+    return S.leave_one_out(lab).select("doc_id", "fold")
 
 
 def _repeated_sql(stratified: bool):

@@ -63,17 +63,11 @@ def _as_cols(cols: Sequence[str | Column]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
 
 
-def _range_partitions(df: DataFrame) -> int:
-    """Range partitions for a global sort: at least the shuffle setting and
-    at least the input's own partition count (file splits of the scan), so a
-    100 TB input keeps the parallelism of its scan instead of shrinking to
-    a few hundred huge partitions."""
-    spark = df.sparkSession
-    base = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    try:
-        return max(base, df.rdd.getNumPartitions())
-    except Exception:  # noqa: BLE001 - planning only; fall back to the setting
-        return base
+def _by_range(df: DataFrame, keys: list[Column], num_partitions: int | None) -> DataFrame:
+    """Range partitions of a global sort: the session's shuffle partitions, which
+    adaptive execution merges by their bytes, unless a number is given."""
+    laid = df.repartitionByRange(num_partitions, *keys) if num_partitions else df.repartitionByRange(*keys)
+    return laid.sortWithinPartitions(*keys)
 
 
 def with_row_id(df: DataFrame, order_by: Sequence[str | Column], name: str = ROW_ID,
@@ -89,10 +83,7 @@ def with_row_id(df: DataFrame, order_by: Sequence[str | Column], name: str = ROW
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    n = num_partitions or _range_partitions(df)
-    keys = _as_cols(order_by)
-    laid = (df.repartitionByRange(n, *keys)
-              .sortWithinPartitions(*keys)
+    laid = (_by_range(df, _as_cols(order_by), num_partitions)
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_pos", F.monotonically_increasing_id())
               .checkpoint(eager=True))
@@ -122,9 +113,7 @@ def running_total(df: DataFrame, order_by: Sequence[str | Column], value: str, n
     per partition, broadcast) as offsets, and an in-partition window."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    n = num_partitions or _range_partitions(df)
-    keys = _as_cols(order_by)
-    laid = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    laid = (_by_range(df, _as_cols(order_by), num_partitions)
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_pos", F.monotonically_increasing_id())
               .checkpoint(eager=True))

@@ -54,14 +54,20 @@ def round_even(c, decimals: int = 2) -> Column:
     return F.rint(x / F.lit(g)) * F.lit(g)
 
 
+def _whole(x: Column, fn) -> Column:
+    """`fn` (floor or ceil, a bigint in Spark) of a double; from 2^52 on every
+    double is whole already and does not fit a bigint for long."""
+    return F.when(F.abs(x) >= F.lit(float(1 << 52)), x).otherwise(fn(x).cast("double"))
+
+
 def floor(c) -> Column:
     """M2."""
-    return F.floor(col(c).cast("double")).cast("double")
+    return _whole(col(c).cast("double"), F.floor)
 
 
 def ceil(c) -> Column:
     """M3."""
-    return F.ceil(col(c).cast("double")).cast("double")
+    return _whole(col(c).cast("double"), F.ceil)
 
 
 def scale(c, factor: float = 1.0) -> Column:
@@ -118,10 +124,12 @@ def truncate_decimals(c, decimals: int = 2) -> Column:
     x = col(c).cast("double")
     if decimals < 0:
         f = float(10 ** (-decimals))
-        return F.floor(x / F.lit(f)).cast("double") * F.lit(f)
+        return _whole(x / F.lit(f), F.floor) * F.lit(f)
     f = float(10 ** decimals)
-    t = F.when(x < 0, F.ceil(x * F.lit(f))).otherwise(F.floor(x * F.lit(f))).cast("double")
-    return t / F.lit(f)
+    y = x * F.lit(f)
+    t = F.when(x < 0, _whole(y, F.ceil)).otherwise(_whole(y, F.floor))
+    # a product at or beyond 2^52 has no decimals left to cut
+    return F.when(F.abs(y) >= F.lit(float(1 << 52)), x).otherwise(t / F.lit(f))
 
 
 def accuracy_band(c) -> Column:

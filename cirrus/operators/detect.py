@@ -75,22 +75,27 @@ def coarse_kinds(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
 
 
 def output_dtype(df: DataFrame, c: str) -> DataFrame:
-    """Dtype for a new text column: boolean if every value is bool-like,
-    integer/float if all numeric, datetime if all dates, else text."""
-    x = F.lower(F.trim(F.col(c).cast("string")))
-    v = tcast(x, "double")
+    """Kind and dtype for a new text column: boolean if every value is a
+    spelling of true or false, integer (int32 where all fit, else int64) or
+    float if all are numbers, datetime if all are dates, else text."""
+    text = F.col(c).cast("string")
+    v = tcast(F.trim(text), "double")
     a = df.filter(F.col(c).isNotNull()).agg(
         F.count(F.lit(1)).alias("n"),
-        F.count_if(x.isin("true", "false", "0", "1", "yes", "no")).alias("b"),
+        F.count_if(text.isin("true", "false", "True", "False")).alias("b"),
+        F.min(v).alias("lo"), F.max(v).alias("hi"),
         F.count_if(v.isNotNull()).alias("num"),
         F.count_if(v.isNotNull() & (v == F.floor(v))).alias("ints"),
         F.count_if(F.coalesce(*[F.try_to_timestamp(F.col(c).cast("string"), F.lit(s)) for _, s in DATE_FORMATS])
                    .isNotNull()).alias("dates"))
-    return a.select(F.lit(c).alias("column"), F.when(F.col("n") == 0, "text")
-                    .when(F.col("b") == F.col("n"), "boolean")
-                    .when(F.col("ints") == F.col("n"), "integer")
-                    .when(F.col("num") == F.col("n"), "float")
-                    .when(F.col("dates") == F.col("n"), "datetime").otherwise("text").alias("dtype"))
+    kind = (F.when(F.col("n") == 0, "text").when(F.col("b") == F.col("n"), "boolean")
+             .when(F.col("ints") == F.col("n"), "integer").when(F.col("num") == F.col("n"), "float")
+             .when(F.col("dates") == F.col("n"), "datetime").otherwise("text"))
+    small = (F.col("lo") >= -(1 << 31)) & (F.col("hi") <= (1 << 31) - 1)
+    dtype = (F.when(kind == "boolean", "bool").when((kind == "integer") & small, "int32")
+              .when(kind == "integer", "int64").when(kind == "float", "float64")
+              .when(kind == "datetime", "datetime64").otherwise("string"))
+    return a.select(F.lit(c).alias("column"), kind.alias("kind"), dtype.alias("dtype"))
 
 
 def categorical_flags(df: DataFrame, cols: Sequence[str] | None = None, threshold: int = 10) -> DataFrame:
@@ -104,12 +109,12 @@ def categorical_flags(df: DataFrame, cols: Sequence[str] | None = None, threshol
 
 
 def leak_check(df: DataFrame, predictors: Sequence[str], target: str, threshold: float = 0.99) -> DataFrame:
-    """Predictors whose name suggests the future or contains the
-    target's name, or whose |corr| with the target exceeds 0.99 (one
+    """Predictors whose name suggests the future or, without `_` and
+    `-`, contains the target's name (also without them), or whose |corr| with the target exceeds 0.99 (one
     aggregate of correlations)."""
     from cirrus.operators.profile import correlation_matrix
     num = [p for p in predictors if isinstance(df.schema[p].dataType, NumericType)]
-    t = target.lower()
+    variants = {target.lower(), target.upper(), target.replace("_", ""), target.replace("-", "")}
     rows = []
     corr = {}
     if num and isinstance(df.schema[target].dataType, NumericType):
@@ -118,7 +123,8 @@ def leak_check(df: DataFrame, predictors: Sequence[str], target: str, threshold:
     for p in predictors:
         name = p.lower()
         reasons = [w for w in LEAK_WORDS if w in name]
-        if t in name and name != t:
+        plain = name.replace("_", "").replace("-", "")
+        if any(v in plain for v in variants):
             reasons.append("target name")
         r = corr.get(p)
         if r is not None and abs(r) > threshold:

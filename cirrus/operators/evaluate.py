@@ -10,18 +10,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, NumericType
 
 from cirrus.functions.numeric import round_even
 from cirrus.operators.profile import bin_index, histogram
 
 EPS = 1e-15
-MAX_CLASSES = 1000
 
 # Weather code names (fixed values), code 0–11.
-WEATHER_CODES = ["Clear", "Partly Cloudy", "Cloudy", "Overcast", "Fog", "Drizzle", "Rain",
-                 "Heavy Rain", "Snow", "Heavy Snow", "Storm", "Thunderstorm"]
+WEATHER_CODES = ["Clear", "Partly Cloudy", "Mostly Cloudy", "Overcast", "Foggy", "Light Rain", "Rain",
+                 "Heavy Rain", "Light Snow", "Snow", "Heavy Snow", "Thunderstorm"]
 
 
 def regression_metrics(df: DataFrame, y: str, yhat: str, by: Sequence[str] = ()) -> DataFrame:
@@ -42,15 +42,23 @@ def mape(df: DataFrame, y: str, yhat: str) -> DataFrame:
 
 
 def confusion_counts(df: DataFrame, y: str, yhat: str, round_predictions: bool = True) -> DataFrame:
-    """(true, pred, count) for the observed pairs; numeric predictions are
-    rounded half-even first (classification from a regressor)."""
-    p = F.col(yhat)
-    if round_predictions and dict(df.dtypes)[yhat] in ("double", "float"):
-        p = round_even(p, 0)
-    t = F.col(y)
-    if dict(df.dtypes)[y] in ("double", "float") and round_predictions:
-        t = round_even(t, 0)
-    return (df.select(t.cast("string").alias("true"), p.cast("string").alias("pred"))
+    """(true, pred, count) for the observed pairs; numeric values are rounded
+    half-even first (classification from a regressor). When both sides are
+    numeric they get one type, so the label 1 and the prediction 1.0 are one
+    class; a text label keeps its text."""
+    numeric = {c: isinstance(df.schema[c].dataType, NumericType) for c in (y, yhat)}
+    whole = {c: isinstance(df.schema[c].dataType, IntegralType) for c in (y, yhat)}
+
+    def label(c: str) -> Column:
+        if not numeric[c] or whole[c]:
+            return F.col(c).cast("string")
+        x = round_even(F.col(c), 0) if round_predictions else F.col(c).cast("double")
+        if whole[y] or whole[yhat] or not (numeric[y] and numeric[yhat]):
+            # beside whole numbers or texts a whole double is written without its ".0"
+            return F.coalesce(F.when(x == F.rint(x), x.try_cast("long").cast("string")), x.cast("string"))
+        return x.cast("string")
+
+    return (df.select(label(y).alias("true"), label(yhat).alias("pred"))
               .filter(F.col("true").isNotNull() & F.col("pred").isNotNull())
               .groupBy("true", "pred").agg(F.count(F.lit(1)).alias("count")))
 
@@ -59,11 +67,13 @@ def classification_metrics(df: DataFrame, y: str, yhat: str) -> DataFrame:
     """ML10: accuracy and support-weighted precision, recall, F1 (0 where a
     class has no predicted or no true rows)."""
     cc = confusion_counts(df, y, yhat)
-    true_n = cc.groupBy(F.col("true").alias("cls")).agg(F.sum("count").alias("support"))
-    pred_n = cc.groupBy(F.col("pred").alias("cls")).agg(F.sum("count").alias("predicted"))
-    tp = cc.filter(F.col("true") == F.col("pred")).select(F.col("true").alias("cls"), F.col("count").alias("tp"))
-    per = (true_n.join(pred_n, "cls", "full").join(tp, "cls", "left")
-                 .na.fill(0, ["support", "predicted", "tp"]))
+    zero = F.lit(0).cast("long")
+    hit = F.when(F.col("true") == F.col("pred"), F.col("count")).otherwise(zero)
+    # each pair counts once for its true and once for its predicted class
+    roles = F.inline(F.array(
+        F.struct(F.col("true").alias("cls"), F.col("count").alias("support"), zero.alias("predicted"), hit.alias("tp")),
+        F.struct(F.col("pred").alias("cls"), zero.alias("support"), F.col("count").alias("predicted"), zero.alias("tp"))))
+    per = cc.select(roles).groupBy("cls").agg(*[F.sum(c).alias(c) for c in ("support", "predicted", "tp")])
     prec = F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("predicted")), F.lit(0.0))
     rec = F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("support")), F.lit(0.0))
     f1 = F.coalesce(F.try_divide(2 * prec * rec, prec + rec), F.lit(0.0))
@@ -84,26 +94,29 @@ def log_loss(df: DataFrame, y: str, prob_of_true: str, eps: float = EPS) -> Data
 
 def label_names(codes: Column, names: Sequence[str] | None = None) -> Column:
     """Label of a class code: the encoder's classes, else the weather names
-    when the code is in range, else `Class_<i>`."""
+    when the code is in range, else `Class_<i>`. A text label that is no number
+    stays as it is; 1.0 is the code 1."""
     names = list(names) if names is not None else WEATHER_CODES
     arr = F.array(*[F.lit(n) for n in names])
-    i = codes.cast("int")
-    return F.when((i >= 0) & (i < len(names)), F.get(arr, i)).otherwise(F.concat(F.lit("Class_"), codes.cast("string")))
+    x = codes.try_cast("double")
+    i = F.when(x == F.rint(x), x.try_cast("int"))
+    shown = F.coalesce(i.cast("string"), codes.cast("string"))
+    return (F.when(x.isNull(), codes.cast("string"))
+             .when((i >= 0) & (i < len(names)), F.get(arr, i)).otherwise(F.concat(F.lit("Class_"), shown)))
 
 
 def confusion_matrix(df: DataFrame, y: str, yhat: str, names: Sequence[str] | None = None,
-                     with_names: bool = False) -> DataFrame:
+                     with_names: bool = False, grid: bool = True) -> DataFrame:
     """ML13 (+U2): every (true, pred) cell over the UNION of the label
-    domains, zero cells included, long form."""
-    cc = confusion_counts(df, y, yhat)
-    labels = cc.select(F.col("true").alias("l")).union(cc.select(F.col("pred").alias("l"))).distinct()
-    k = labels.count()
-    if k > MAX_CLASSES:
-        raise ValueError(f"{k} labels: a confusion matrix needs a classification target")
-    # classes² cells over a label domain checked to be small
-    grid = labels.select(F.col("l").alias("true")).crossJoin(labels.select(F.col("l").alias("pred")))
-    out = grid.join(cc, ["true", "pred"], "left").select("true", "pred",
-                                                         F.coalesce("count", F.lit(0)).cast("long").alias("count"))
+    domains, zero cells included, long form; `grid=False` gives the observed
+    cells only (for a domain whose square is not wanted)."""
+    out = confusion_counts(df, y, yhat)
+    if grid:
+        # the matrix itself is classes² cells: the zero cells join the counts
+        labels = out.select(F.explode(F.array("true", "pred")).alias("l")).distinct()
+        zeros = labels.select(F.col("l").alias("true"), F.lit(0).cast("long").alias("count")).crossJoin(
+            labels.select(F.col("l").alias("pred")))
+        out = (out.unionByName(zeros).groupBy("true", "pred").agg(F.sum("count").alias("count")))
     if with_names:
         out = out.withColumns({"true_label": label_names(F.col("true"), names),
                                "pred_label": label_names(F.col("pred"), names)})
@@ -217,9 +230,3 @@ def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
     a = c.agg(F.sum(F.col("pos") * (F.col("neg_upto") - F.col("neg")) + F.col("pos") * F.col("neg") * 0.5).alias("num"),
               F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
     return a.select(F.try_divide(F.col("num"), F.col("n_pos") * F.col("n_neg")).alias("auc"))
-
-
-def running_scores(scores: DataFrame, value: str = "score", order: str = "fold") -> DataFrame:
-    """Running mean of fold scores (a handful of rows)."""
-    w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return scores.withColumn("running_mean", F.avg(value).over(w))

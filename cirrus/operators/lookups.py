@@ -153,27 +153,46 @@ def label_domain(*frames_and_cols: tuple[DataFrame, str]) -> DataFrame:
     return out.distinct()
 
 
-def lineage(nodes: DataFrame, id_col: str = "id", parent_col: str = "parent_id", max_depth: int = 64) -> DataFrame:
-    """Root and depth of every node of a parent-pointer forest by pointer
-    jumping — ⌈log2(max_depth)⌉ self-joins, each a shuffle join of the node
-    table. Nodes on a cycle (or deeper than max_depth) get a null root."""
+def _jump(nodes: DataFrame, id_col: str, parent_col: str, with_list: bool) -> DataFrame:
+    """Pointer jumping until no pointer moves: (id, anc, depth, list, more). After
+    s steps every pointer spans 2^s parents, so chains of n nodes end after
+    log2(n) steps; a node that still moves then is on, or leads to, a cycle."""
     from cirrus.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(nodes.sparkSession)
-    cur = nodes.select(F.col(id_col).alias("id"), F.col(parent_col).alias("anc"),
-                       F.when(F.col(parent_col).isNull(), 0).otherwise(1).alias("depth"))
-    steps = 0
-    while (1 << steps) < max_depth:
-        nxt = cur.alias("a").join(cur.alias("b"), F.col("a.anc") == F.col("b.id"), "left").select(
-            F.col("a.id").alias("id"),
-            F.when(F.col("b.anc").isNotNull(), F.col("b.anc")).otherwise(F.col("a.anc")).alias("anc"),
-            (F.col("a.depth") + F.when(F.col("b.anc").isNotNull(), F.col("b.depth")).otherwise(0)).alias("depth"))
-        # each step reads the previous one twice: cut the lineage with a
-        # reliable checkpoint in the session's checkpoint folder
+    parent = F.col(parent_col)
+    known = nodes.select(F.col(id_col).alias("_known"))
+    cur = nodes.select(F.col(id_col).alias("id"), parent.alias("anc"),
+                       parent.isNotNull().cast("int").alias("depth"),
+                       F.when(parent.isNull() | F.lit(not with_list), F.expr("array()").cast("array<string>"))
+                       .otherwise(F.array(parent.cast("string"))).alias("list"))
+    cur = cur.join(known, F.col("anc") == F.col("_known"), "left").withColumn(
+        "more", F.col("_known").isNotNull()).drop("_known").checkpoint(eager=True)
+    left = cur.count()
+    while True:
+        a, b = cur.alias("a"), cur.filter("anc is not null").alias("b")
+        moved = F.col("b.anc").isNotNull()
+        nxt = a.join(b, F.col("a.anc") == F.col("b.id"), "left").select(
+            F.col("a.id").alias("id"), F.coalesce("b.anc", "a.anc").alias("anc"),
+            (F.col("a.depth") + F.when(moved, F.col("b.depth")).otherwise(0)).alias("depth"),
+            F.when(moved & F.lit(with_list), F.concat(F.col("b.list"), F.col("a.list"))).otherwise(F.col("a.list")).alias("list"),
+            moved.alias("more"))
+        # each step reads the one before twice: its lineage ends at a reliable checkpoint
         cur = nxt.checkpoint(eager=True)
-        steps += 1
-    # after the jumps `anc` is the root (null for a root itself)
-    roots = nodes.select(F.col(id_col).alias("rid"), F.col(parent_col).alias("rpar"))
-    out = cur.join(roots, F.col("anc") == F.col("rid"), "left").select(
-        "id", F.when(F.col("anc").isNull(), F.col("id")).when(F.col("rpar").isNull(), F.col("anc")).alias("root"),
-        "depth")
-    return out.withColumn("depth", F.when(F.col("root").isNotNull(), F.col("depth")))
+        if left <= 1 or not cur.filter("more").limit(1).count():
+            return cur
+        left = -(-left // 2)
+
+
+def lineage(nodes: DataFrame, id_col: str = "id", parent_col: str = "parent_id") -> DataFrame:
+    """Root and depth of every node of a parent-pointer forest, however deep.
+    Nodes on a cycle, or below one, get a null root and depth."""
+    cur = _jump(nodes, id_col, parent_col, with_list=False)
+    done = ~F.col("more")
+    return cur.select("id", F.when(done, F.coalesce("anc", "id")).alias("root"),
+                      F.when(done, F.col("depth")).alias("depth"))
+
+
+def ancestors(nodes: DataFrame, id_col: str = "id", parent_col: str = "parent_id") -> DataFrame:
+    """The ancestors of every node as texts, the oldest first; null on or below a cycle."""
+    cur = _jump(nodes, id_col, parent_col, with_list=True)
+    return cur.select("id", F.when(~F.col("more"), F.col("list")).alias("ancestors"))

@@ -6,6 +6,7 @@ user_id = location)."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cirrus.operators import evaluate as EV
@@ -141,21 +142,42 @@ def j4(spark, sf):
     return L.link_runs(c, s, ["nk", "pos"], "c_custkey", "s_suppkey", "hp")
 
 
-@reg.add("j5_lineage_root_depth", """WITH RECURSIVE n AS (SELECT conv_id * 1000 + turn AS id,
-      CASE WHEN turn > 0 THEN conv_id * 1000 + turn - 1 END AS parent_id FROM conversations),
-    walk AS (SELECT id, id AS cur, parent_id AS par, 0 AS depth FROM n
-             UNION ALL SELECT w.id, n.id, n.parent_id, w.depth + 1 FROM walk w JOIN n ON w.par = n.id WHERE w.depth < 64)
+# turns in order, conversation after conversation, in chains of 40 conversations
+def chain(spark, sf):
+    c = load(spark, sf, "conversations").select("conv_id", "turn", (F.col("conv_id") * 1000 + F.col("turn")).alias("id"))
+    c = c.withColumn("chain", F.floor(F.col("conv_id") / 40))
+    last = c.groupBy("chain", "conv_id").agg(F.max("id").alias("end"))
+    # the turn before, or the last turn of the conversation before in the chain
+    ends = last.select(F.col("chain").alias("_chain"), F.lead("conv_id").over(
+        Window.partitionBy("chain").orderBy("conv_id")).alias("_conv"), F.col("end").alias("_end"))
+    prev = F.lag("id").over(Window.partitionBy("conv_id").orderBy("turn"))
+    c = c.withColumn("_prev", prev).join(ends, (F.col("chain") == F.col("_chain")) & (F.col("conv_id") == F.col("_conv")), "left")
+    return c.select("id", F.coalesce("_prev", "_end").alias("parent_id"))
+
+
+CHAIN_WALK = """n AS (SELECT id, parent_id FROM (SELECT id, conv_id, turn,
+      lag(id) OVER (PARTITION BY conv_id // 40 ORDER BY conv_id, turn) AS parent_id FROM
+      (SELECT conv_id, turn, conv_id * 1000 + turn AS id FROM conversations))),
+    walk AS (SELECT id, id AS cur, parent_id AS par, 0 AS depth, CAST([] AS VARCHAR[]) AS seen FROM n
+             UNION ALL SELECT w.id, n.id, n.parent_id, w.depth + 1, list_prepend(CAST(n.id AS VARCHAR), w.seen)
+             FROM walk w JOIN n ON w.par = n.id)"""
+
+
+@reg.add("j5_lineage_root_depth", f"""WITH RECURSIVE {CHAIN_WALK}
     SELECT id, cur AS root, CAST(depth AS INTEGER) AS depth FROM walk WHERE par IS NULL""")
 def j5(spark, sf):
-    c = load(spark, sf, "conversations")
-    nodes = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"),
-                     F.when(F.col("turn") > 0, F.col("conv_id") * 1000 + F.col("turn") - 1).alias("parent_id"))
-    return L.lineage(nodes, "id", "parent_id", max_depth=64)
+    return L.lineage(chain(spark, sf), "id", "parent_id")
+
+
+@reg.add("j5_ancestors", f"""WITH RECURSIVE {CHAIN_WALK}
+    SELECT id, array_to_string(seen, ',') AS ancestors FROM walk WHERE par IS NULL""")
+def j5_ancestors(spark, sf):
+    return L.ancestors(chain(spark, sf), "id", "parent_id").select("id", F.array_join("ancestors", ",").alias("ancestors"))
 
 
 @reg.add("j6_weather_code_decode", """SELECT p_partkey, p_size % 12 AS code,
-    ['Clear', 'Partly Cloudy', 'Cloudy', 'Overcast', 'Fog', 'Drizzle', 'Rain', 'Heavy Rain', 'Snow', 'Heavy Snow',
-     'Storm', 'Thunderstorm'][p_size % 12 + 1] AS weather FROM part""")
+    ['Clear', 'Partly Cloudy', 'Mostly Cloudy', 'Overcast', 'Foggy', 'Light Rain', 'Rain', 'Heavy Rain', 'Light Snow',
+     'Snow', 'Heavy Snow', 'Thunderstorm'][p_size % 12 + 1] AS weather FROM part""")
 def j6(spark, sf):
     p = load(spark, sf, "part").select("p_partkey", (F.col("p_size") % 12).alias("code"))
     return p.withColumn("weather", EV.label_names(F.col("code")))

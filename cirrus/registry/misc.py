@@ -14,6 +14,7 @@ from pyspark.sql.types import DoubleType, LongType, StringType, StructField, Str
 from cirrus.functions import udf as U
 from cirrus.functions.convert import DATE_FORMATS as C_DATE_FORMATS
 from cirrus.operators import detect as D
+from cirrus.operators import profile as A
 from cirrus.operators import split as S
 from cirrus.plans import report as REP
 from cirrus.registry.base import R, Registry, load, rnd
@@ -55,11 +56,23 @@ UD2_SCHEMA = StructType([StructField("k", LongType()), StructField("k_bucket", S
 
 @reg.add("ud2_ud5_dict_function_errors", f"""WITH r AS (SELECT event_id,
       TRY_CAST(trim(split_part(props, ':', 2), ' }}') AS BIGINT) AS k FROM {EVENTS_WITH_NULLS} WHERE props IS NOT NULL)
-    SELECT 'KeyError: ''round k''' AS _error, count(*) AS count FROM r WHERE k % 10 = 0""")
+    SELECT 'KeyError: ''round k''' AS _error, count(*) AS count, (SELECT string_agg(props, '|' ORDER BY props) FROM
+      (SELECT DISTINCT props FROM {EVENTS_WITH_NULLS} WHERE TRY_CAST(trim(split_part(props, ':', 2), ' }}') AS BIGINT) % 10 = 0
+       ORDER BY props LIMIT 5)) AS examples FROM r WHERE k % 10 = 0""")
 def ud2(spark, sf):
     e = events_with_nulls(spark, sf).select("event_id", "props").filter(F.col("props").isNotNull())
     out = U.apply_dict_function(e, "props", _split_props, UD2_SCHEMA)
-    return U.error_summary(out, "_error", "props").select("_error", "count")
+    return U.error_summary(out, "_error", "props").select("_error", "count", F.array_join("examples", "|").alias("examples"))
+
+
+@reg.add("ud2_dict_function_columns", f"""WITH r AS (SELECT event_id, props,
+      TRY_CAST(trim(split_part(props, ':', 2), ' }}') AS BIGINT) AS k FROM {EVENTS_WITH_NULLS})
+    SELECT event_id, CASE WHEN k % 10 <> 0 THEN k END AS k,
+      CASE WHEN props IS NULL THEN NULL WHEN k % 10 = 0 THEN '' WHEN k >= 50 THEN 'high' ELSE 'low' END AS k_bucket,
+      CASE WHEN k % 10 = 0 THEN 'KeyError: ''round k''' END AS _error FROM r""")
+def ud2_columns(spark, sf):
+    e = events_with_nulls(spark, sf).select("event_id", "props")
+    return U.apply_dict_function(e, "props", _split_props, UD2_SCHEMA).drop("props")
 
 
 @reg.add("ud4_init_once_per_task", f"""SELECT event_id, {R('value - (SELECT avg(value) FROM events)', 9)} AS value
@@ -75,15 +88,6 @@ def ud4(spark, sf):
     return out.select("event_id", rnd("value", 9).alias("value"))
 
 
-@reg.add("t6_title_pandas_udf", "SELECT p_partkey, p_name AS r FROM part WHERE false")
-def t6p(spark, sf):
-    # Python str.title on whole values vs the JVM form: rows where they differ
-    from cirrus.functions.text import title
-    p = load(spark, sf, "part").select("p_partkey", "p_name")
-    return p.select("p_partkey", U.py_title("p_name").alias("r"), title("p_name").alias("_j")) \
-            .filter(F.col("r") != F.col("_j")).drop("_j")
-
-
 @reg.add("st1_live_daily_summary", f"""WITH p AS (SELECT ts, event_type, value FROM events),
     m AS (SELECT max(ts) - INTERVAL 1 HOUR AS wm FROM p)
     SELECT date_trunc('day', ts) AS window_start, date_trunc('day', ts) + INTERVAL 1 DAY AS window_end,
@@ -94,7 +98,7 @@ def st1(spark, sf):
         from cirrus.functions.convert import ntz_to_instant
         return raw.select(ntz_to_instant("ts").alias("created_at"),
                           F.col("event_type").alias("model_name"), F.col("value").alias("accuracy"))
-    out = live.run_to_completion(spark, sf, prepare, glob="events.parquet")
+    out = live.run_to_completion(spark, f"{sf.rstrip('/')}/events.parquet", prepare)
     from cirrus.functions.convert import instant_to_ntz
     return out.select(instant_to_ntz("window_start").alias("window_start"),
                       instant_to_ntz("window_end").alias("window_end"), "model_name",
@@ -169,26 +173,40 @@ def d2(spark, sf):
 
 
 def _d4_sql(name, expr):
-    x = f"lower(trim({expr}))"
-    v = f"TRY_CAST({x} AS DOUBLE)"
+    v = f"TRY_CAST(trim({expr}) AS DOUBLE)"
     dates = "coalesce(" + ", ".join(f"try_strptime({expr}, '{f}')" for f, _ in C_DATE_FORMATS) + ")"
     return (f"SELECT '{name}' AS \"column\", CASE WHEN count(*) = 0 THEN 'text' "
-            f"WHEN count_if({x} IN ('true', 'false', '0', '1', 'yes', 'no')) = count(*) THEN 'boolean' "
+            f"WHEN count_if({expr} IN ('true', 'false', 'True', 'False')) = count(*) THEN 'boolean' "
             f"WHEN count_if({v} IS NOT NULL AND {v} = floor({v})) = count(*) THEN 'integer' "
             f"WHEN count_if({v} IS NOT NULL) = count(*) THEN 'float' "
-            f"WHEN count_if({dates} IS NOT NULL) = count(*) THEN 'datetime' ELSE 'text' END AS dtype "
-            f"FROM events WHERE {expr} IS NOT NULL")
+            f"WHEN count_if({dates} IS NOT NULL) = count(*) THEN 'datetime' ELSE 'text' END AS kind, "
+            f"min({v}) AS lo, max({v}) AS hi FROM events WHERE {expr} IS NOT NULL")
+
 
+# text columns made of the events table, one of each kind
+D4_COLUMNS = {
+    "a": "CAST(user_id AS VARCHAR)", "b": "CAST(value AS VARCHAR)", "c": "strftime(ts, '%Y-%m-%d')",
+    "event_type": "event_type", "bits": "CAST(event_id % 2 AS VARCHAR)",
+    "flag": "CASE WHEN event_id % 2 = 0 THEN 'True' ELSE 'false' END",
+    "yes": "CASE WHEN event_id % 2 = 0 THEN 'yes' ELSE 'no' END",
+    "big": "CAST(event_id * 3000000000 + 3000000000 AS VARCHAR)",
+}
 
-@reg.add("d4_output_dtype", " UNION ALL ".join([
-    _d4_sql("a", "CAST(user_id AS VARCHAR)"), _d4_sql("b", "CAST(value AS VARCHAR)"),
-    _d4_sql("c", "strftime(ts, '%Y-%m-%d')"), _d4_sql("event_type", "event_type")]))
+
+@reg.add("d4_output_dtype", "SELECT \"column\", kind, CASE kind WHEN 'boolean' THEN 'bool' "
+         "WHEN 'integer' THEN CASE WHEN lo >= -2147483648 AND hi <= 2147483647 THEN 'int32' ELSE 'int64' END "
+         "WHEN 'float' THEN 'float64' WHEN 'datetime' THEN 'datetime64' ELSE 'string' END AS dtype FROM ("
+         + " UNION ALL ".join(_d4_sql(c, x) for c, x in D4_COLUMNS.items()) + ")")
 def d4(spark, sf):
-    e = load(spark, sf, "events").select(F.col("user_id").cast("string").alias("a"),
-                                         F.col("value").cast("string").alias("b"),
-                                         F.date_format("ts", "yyyy-MM-dd").alias("c"), "event_type")
+    k = F.col("event_id")
+    e = load(spark, sf, "events").select(
+        F.col("user_id").cast("string").alias("a"), F.col("value").cast("string").alias("b"),
+        F.date_format("ts", "yyyy-MM-dd").alias("c"), "event_type", (k % 2).cast("string").alias("bits"),
+        F.when(k % 2 == 0, "True").otherwise("false").alias("flag"),
+        F.when(k % 2 == 0, "yes").otherwise("no").alias("yes"),
+        (k * 3_000_000_000 + 3_000_000_000).cast("string").alias("big"))
     out = None
-    for c in ["a", "b", "c", "event_type"]:
+    for c in D4_COLUMNS:
         x = D.output_dtype(e, c)
         out = x if out is None else out.unionByName(x)
     return out
@@ -308,10 +326,17 @@ def s10(spark, sf):
     return TRN.score(TRN.load_model(path), o, keep=["o_orderkey"])
 
 
+@reg.add("x1_remove_duplicate_full_rows", """SELECT DISTINCT * FROM (SELECT * FROM lineitem UNION ALL
+    SELECT * FROM lineitem WHERE l_orderkey % 3 = 0)""")
+def x1_full(spark, sf):
+    li = load(spark, sf, "lineitem")
+    return A.distinct_rows(li.unionByName(li.filter(F.col("l_orderkey") % 3 == 0)))
+
+
 @reg.add("x1_remove_duplicate_rows", """SELECT DISTINCT l_returnflag, l_linestatus, l_quantity FROM lineitem""")
 def x1(spark, sf):
     """Remove duplicate rows."""
-    return load(spark, sf, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity").dropDuplicates()
+    return A.distinct_rows(load(spark, sf, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity"))
 
 
 @reg.add("d11_column_info", """SELECT o_orderstatus, count(*) AS count FROM orders WHERE o_orderstatus IS NOT NULL

@@ -29,17 +29,22 @@ def windowed_summary(stream: DataFrame, ts: str = "created_at", model: str = "mo
                           model, "avg_accuracy", "predictions"))
 
 
-def run_to_completion(spark: SparkSession, source_dir: str, prepare, glob: str = "*.parquet",
+def run_to_completion(spark: SparkSession, source: str, prepare, files_per_trigger: int | None = None,
                       out_dir: str | None = None, **summary_args) -> DataFrame:
-    """Run the streaming summary over everything available at `source_path`
-    in `source_dir` whose names match `glob` (trigger availableNow) into
-    Parquet under the session's checkpoint folder, then read the result as a
-    batch DataFrame. `prepare` maps the raw stream to (created_at,
-    model_name, accuracy)."""
+    """Run the streaming summary over everything available in `source`, a folder
+    of Parquet files or one file (trigger availableNow), into Parquet under
+    the session's checkpoint folder, then read the result as a batch
+    DataFrame. `prepare` maps the raw stream to (created_at, model_name,
+    accuracy); `files_per_trigger` bounds a micro-batch (all files if None)."""
     base = out_dir or os.path.join(ensure_checkpoint_dir(spark), f"live-{uuid.uuid4().hex}")
-    schema = spark.read.option("pathGlobFilter", glob).parquet(source_dir).schema
-    raw = (spark.readStream.schema(schema).option("pathGlobFilter", glob)
-                .option("maxFilesPerTrigger", 1).parquet(source_dir))
+    reader = spark.readStream.schema(spark.read.parquet(source).schema)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(source)
+    if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).isFile():
+        # a stream reads folders: the file's folder, and only the file's name in it
+        reader, source = reader.option("pathGlobFilter", path.getName()), path.getParent().toString()
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    raw = reader.parquet(source)
     agg = windowed_summary(prepare(raw), **summary_args)
     q = (agg.writeStream.outputMode("append").format("parquet")
             .option("path", os.path.join(base, "out"))

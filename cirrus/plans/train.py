@@ -3,7 +3,7 @@ X13).
 
 Tree models are MLlib estimators in a `Pipeline` (VectorAssembler → model);
 they train on partitions in parallel. Hyper-parameters use the reference's
-names and are mapped to MLlib (ML4); names MLlib has no equivalent for are
+names and are mapped to MLlib (ML4); what MLlib has no equivalent for is
 rejected with a message. Multiclass gradient boosting uses OneVsRest.
 """
 
@@ -23,46 +23,56 @@ from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearReg
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from cirrus.session import ensure_checkpoint_dir
 
-UNSUPPORTED = ("oob_score", "ccp_alpha", "max_leaf_nodes", "splitter", "gamma", "reg_alpha", "reg_lambda",
-               "colsample_bytree", "colsample_bylevel", "colsample_bynode")
 UNSUPPORTED_CRITERIA = ("absolute_error", "poisson", "log_loss")
+#: MLlib grows trees to this depth at most; it stands for the unlimited depth of `max_depth=None`.
+DEEPEST = 30
+#: Values that say what MLlib does anyway.
+IMPLIED = {"min_samples_split": (2,), "oob_score": (False,), "ccp_alpha": (0, 0.0), "splitter": ("best",),
+           "gamma": (0, 0.0), "reg_alpha": (0, 0.0), "colsample_bytree": (1, 1.0), "colsample_bylevel": (1, 1.0),
+           "colsample_bynode": (1, 1.0), "scale_pos_weight": (1, 1.0), "n_jobs": (-1,), "verbose": (0,)}
 
 
 def map_params(model_type: str, params: dict, classification: bool) -> dict:
-    """ML4: reference hyper-parameter names → MLlib parameters."""
+    """ML4: reference hyper-parameter names → MLlib parameters. A name or value
+    that MLlib has no equivalent for is refused, never dropped; `max_depth`
+    None (unlimited) is DEEPEST, and None elsewhere is MLlib's default."""
     out: dict = {}
+    trees = model_type in ("random_forest", "xgboost", "gbt", "gradient_boosting")
     for k, v in params.items():
-        if v is None:
+        if k == "max_depth":
+            if v is not None and int(v) > DEEPEST:
+                raise ValueError(f"max_depth {v}: MLlib grows trees to a depth of {DEEPEST} at most")
+            out["maxDepth"] = DEEPEST if v is None else int(v)
+        elif v is None or v in IMPLIED.get(k, ()):
             continue
-        if k in UNSUPPORTED:
-            raise ValueError(f"hyper-parameter {k!r} has no MLlib equivalent")
-        if k == "n_estimators":
+        elif k == "n_estimators" and trees:
             out["numTrees" if model_type == "random_forest" else "maxIter"] = int(v)
-        elif k == "max_depth":
-            out["maxDepth"] = min(int(v), 30)
         elif k == "min_samples_leaf":
             out["minInstancesPerNode"] = int(v)
         elif k == "min_weight_fraction_leaf":
             out["minWeightFractionPerNode"] = float(v)
         elif k == "min_impurity_decrease":
             out["minInfoGain"] = float(v)
-        elif k == "max_features":
+        elif k == "max_features" and trees:
             out["featureSubsetStrategy"] = _max_features(v, classification)
-        elif k == "criterion":
-            if v in UNSUPPORTED_CRITERIA:
-                raise ValueError(f"criterion {v!r} has no MLlib equivalent")
+        elif k == "criterion" and v not in UNSUPPORTED_CRITERIA:
             out["impurity"] = {"gini": "gini", "entropy": "entropy", "squared_error": "variance"}[v]
-        elif k in ("max_samples", "subsample"):
+        elif k in ("max_samples", "subsample") and trees:
             out["subsamplingRate"] = float(v)
         elif k == "bootstrap" and model_type == "random_forest":
             out["bootstrap"] = bool(v)
-        elif k == "learning_rate":
+        elif k == "learning_rate" and trees:
             out["stepSize"] = float(v)
         elif k == "max_bin":
             out["maxBins"] = int(v)
         elif k == "random_state":
             out["seed"] = int(v)
+        else:
+            raise ValueError(f"{model_type}: hyper-parameter {k}={v!r} has no MLlib equivalent")
     return out
 
 
@@ -78,13 +88,15 @@ def _max_features(v, classification: bool) -> str:
     return "all"
 
 
-def class_weights(df: DataFrame, label: str, name: str = "weight") -> DataFrame:
-    """ML6: balanced weight n / (k · n_class) per row (classes table joined
-    with a broadcast: one row per class)."""
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
+def class_weights(df: DataFrame, label: str, name: str = "weight", rows: DataFrame | None = None) -> DataFrame:
+    """ML6: balanced weight n / (k · n_class) per row, counted on `rows` (the
+    training rows; `df` if not given). A class that they lack weighs 1. The
+    class table is joined as the planner sees fit: its size is not known."""
+    counts = (rows if rows is not None else df).groupBy(F.col(label).alias("_class")).agg(F.count(F.lit(1)).alias("_nc"))
     tot = counts.agg(F.sum("_nc").alias("_n"), F.count(F.lit(1)).alias("_k"))
-    w = counts.crossJoin(F.broadcast(tot)).select(label, (F.col("_n") / (F.col("_k") * F.col("_nc"))).alias(name))
-    return df.join(F.broadcast(w), label, "left")
+    w = counts.crossJoin(F.broadcast(tot)).select("_class", (F.col("_n") / (F.col("_k") * F.col("_nc"))).alias("_w"))
+    j = df.join(w, F.col(label).eqNullSafe(F.col("_class")), "left")
+    return j.withColumn(name, F.coalesce("_w", F.lit(1.0))).drop("_class", "_w")
 
 
 def estimator(model_type: str, classification: bool, params: dict | None = None, n_classes: int = 2,
@@ -97,14 +109,11 @@ def estimator(model_type: str, classification: bool, params: dict | None = None,
         common["weightCol"] = weight
     if model_type == "decision_tree":
         cls = DecisionTreeClassifier if classification else DecisionTreeRegressor
-        p.pop("featureSubsetStrategy", None)
-        p.pop("subsamplingRate", None)
         return cls(**common, **p)
     if model_type == "random_forest":
         cls = RandomForestClassifier if classification else RandomForestRegressor
         return cls(**common, **p)
     if model_type in ("xgboost", "gbt", "gradient_boosting"):
-        p.pop("bootstrap", None)
         if not classification:
             return GBTRegressor(**common, **p)
         if n_classes <= 2:
@@ -130,39 +139,82 @@ class TrainResult:
     predictions: DataFrame
     metrics: DataFrame
     feature_names: list[str] = field(default_factory=list)
+    labels: DataFrame | None = None  # (text, code) of a text target
+
+
+def _encoded(df: DataFrame, target: str) -> tuple[DataFrame, DataFrame | None]:
+    """`df` with a double `label`; a text target is coded in sorted order."""
+    if not isinstance(df.schema[target].dataType, StringType):
+        return df.withColumn("label", F.col(target).cast("double")), None
+    from cirrus.operators.encode import label_encode, label_mapping
+    labels = label_mapping(df, target).checkpoint(eager=True)
+    return label_encode(df, target, mapping=labels, out="label").withColumn("label", F.col("label").cast("double")), labels
 
 
 def train(df: DataFrame, features: Sequence[str], target: str, model_type: str = "random_forest",
           params: dict | None = None, classification: bool | None = None, split_col: str = "split",
-          balanced: bool = False) -> TrainResult:
+          balanced: bool = False, scale: bool = False, early_stopping: bool = True) -> TrainResult:
     """ML7: spec + DataFrame with a `split` column → fitted pipeline,
     predictions on the test rows, metrics rows (test split only — the
-    stored split, not the last positional block)."""
+    stored split, not the last positional block).
+
+    A text target is label-encoded and the predictions get `prediction_label`.
+    `scale` standardises the features inside the pipeline. Boosted trees stop
+    early on the rows of the split `val` where there are any (ML3). Class
+    weights (`balanced`) are counted on the training rows."""
     from cirrus.operators import evaluate as EV
+    from cirrus.operators.encode import decode_labels
+    ensure_checkpoint_dir(df.sparkSession)
+    data, labels = _encoded(df, target)
     if classification is None:
-        k = df.agg(F.count_distinct(target)).first()[0]
-        classification = k <= 20
-    data = df.withColumn("label", F.col(target).cast("double"))
+        classification = labels is not None or data.agg(F.count_distinct("label")).first()[0] <= 20
+    has_split = split_col in data.columns
+    train_rows = data.filter(F.col(split_col) == "train") if has_split else data
     weight = None
     if balanced and classification:
-        data = class_weights(data, "label")
-        weight = "weight"
+        data, weight = class_weights(data, "label", rows=train_rows), "weight"
     n_classes = int(data.agg(F.max("label")).first()[0] or 1) + 1 if classification else 0
+    params = dict(params or {})
+    rounds = params.pop("early_stopping_rounds", None)
     est = estimator(model_type, classification, params, n_classes, weight=weight)
-    pipe = Pipeline(stages=[assemble(features), est])
-    train_rows = data.filter(F.col(split_col) == "train") if split_col in data.columns else data
-    model = pipe.fit(train_rows)
-    test_rows = data.filter(F.col(split_col) == "test") if split_col in data.columns else data
+    train_rows = data.filter(F.col(split_col) == "train") if has_split else data
+    if isinstance(est, (GBTClassifier, GBTRegressor)) and has_split and (early_stopping or rounds):
+        both = data.filter(F.col(split_col).isin("train", "val")).withColumn("_val", F.col(split_col) == "val")
+        if not both.filter("_val").isEmpty():
+            est, train_rows = est.setValidationIndicatorCol("_val"), both
+    stages = [assemble(features)]
+    if scale:
+        stages = [stages[0].setOutputCol("raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True)]
+    model = Pipeline(stages=[*stages, est]).fit(train_rows.filter(F.col("label").isNotNull()))
+    test_rows = data.filter(F.col(split_col) == "test") if has_split else data
     pred = model.transform(test_rows)
+    if labels is not None:
+        pred = decode_labels(pred, "prediction", labels, out="prediction_label")
     metrics = (EV.classification_metrics(pred, "label", "prediction") if classification
                else EV.regression_metrics(pred, "label", "prediction"))
-    return TrainResult(model, pred, metrics, list(features))
+    return TrainResult(model, pred, metrics, list(features), labels)
+
 
+def train_targets(df: DataFrame, features: Sequence[str], targets: Sequence[str], **spec) -> dict[str, TrainResult]:
+    """ML7 with several targets: one fitted pipeline for each."""
+    return {t: train(df, features, t, **spec) for t in targets}
 
-def score(model: PipelineModel, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    """ML8: batch scoring; the input columns asked for plus the prediction."""
-    out = model.transform(df)
-    return out.select(*keep, "prediction")
+
+def score(model: PipelineModel, df: DataFrame, keep: Sequence[str] = (), labels: DataFrame | None = None) -> DataFrame:
+    """ML8: batch scoring; the input columns asked for plus the prediction, and
+    with the `labels` of a text target its text."""
+    from cirrus.operators.encode import decode_labels
+    out = model.transform(df).select(*keep, "prediction")
+    return out if labels is None else decode_labels(out, "prediction", labels, out="prediction_label")
+
+
+def score_targets(results: dict[str, TrainResult], df: DataFrame, key: Sequence[str]) -> DataFrame:
+    """ML8 for several targets: (key…, target, prediction) rows."""
+    out = None
+    for t, r in results.items():
+        x = score(r.model, df, keep=key).withColumn("target", F.lit(t))
+        out = x if out is None else out.unionByName(x)
+    return out.select(*key, "target", "prediction")
 
 
 def save_model(model: PipelineModel, path: str) -> None:
@@ -174,34 +226,56 @@ def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
-def cross_validate(df: DataFrame, features: Sequence[str], target: str, fold_col: str = "fold",
-                   model_type: str = "random_forest", params: dict | None = None, classification: bool = False,
-                   parallelism: int = 2) -> DataFrame:
-    """CV8: fit on every fold's complement, score accuracy (classification)
-    or −MSE (regression) on the fold; one row per fold plus summary rows
-    computed with an aggregate (mean, std ddof 0, best, worst)."""
+@dataclass
+class CVResult:
+    folds: DataFrame  # fold, score, train_score
+    summary: DataFrame  # mean, std, best, worst, train_mean, folds
+    model: PipelineModel | None  # refitted on all rows
+
+
+def cv_run(df: DataFrame, features: Sequence[str], target: str, fold_col: str = "fold",
+           model_type: str = "random_forest", params: dict | None = None, classification: bool = False,
+           parallelism: int = 2, refit: bool = True) -> CVResult:
+    """CV8: fit on every fold's complement, score accuracy (classification) or
+    −MSE (regression) on the fold and on the rows fitted on; the list of fold
+    scores, their summary (std ddof 0) and the model refitted on all rows."""
     from concurrent.futures import ThreadPoolExecutor
     from cirrus.operators import evaluate as EV
-    data = df.withColumn("label", F.col(target).cast("double"))
+    ensure_checkpoint_dir(df.sparkSession)
+    data, _ = _encoded(df, target)
+    data = data.filter(F.col("label").isNotNull())
     folds = sorted(r[0] for r in data.select(fold_col).distinct().collect())  # k values
+    n_classes = int(data.agg(F.max("label")).first()[0] or 1) + 1 if classification else 0
 
-    def one(k):
-        est = estimator(model_type, classification, params)
-        m = Pipeline(stages=[assemble(features), est]).fit(data.filter(F.col(fold_col) != k))
-        p = m.transform(data.filter(F.col(fold_col) == k))
+    def fitted(rows: DataFrame) -> PipelineModel:
+        return Pipeline(stages=[assemble(features), estimator(model_type, classification, params, n_classes)]).fit(rows)
+
+    def scored(model: PipelineModel, rows: DataFrame) -> float:
+        p = model.transform(rows)
         if classification:
-            s = EV.classification_metrics(p, "label", "prediction").select("accuracy").first()[0]
-        else:
-            s = -EV.regression_metrics(p, "label", "prediction").select("mse").first()[0]
-        return (int(k), float(s))
+            return float(EV.classification_metrics(p, "label", "prediction").first()["accuracy"])
+        return -float(EV.regression_metrics(p, "label", "prediction").first()["mse"])
+
+    def one(k):
+        rest = data.filter(F.col(fold_col) != k)
+        m = fitted(rest)
+        return int(k), scored(m, data.filter(F.col(fold_col) == k)), scored(m, rest)
 
     with ThreadPoolExecutor(max_workers=parallelism) as pool:
         rows = list(pool.map(one, folds))
-    spark = df.sparkSession
-    scores = spark.createDataFrame(rows, "fold int, score double")
-    return scores.agg(F.avg("score").alias("mean"), F.stddev_pop("score").alias("std"),
-                      F.max("score").alias("best"), F.min("score").alias("worst"),
-                      F.count(F.lit(1)).alias("folds"))
+    scores = df.sparkSession.createDataFrame(rows, "fold int, score double, train_score double")
+    total = scores.agg(F.avg("score").alias("mean"), F.stddev_pop("score").alias("std"),
+                       F.max("score").alias("best"), F.min("score").alias("worst"),
+                       F.avg("train_score").alias("train_mean"), F.count(F.lit(1)).alias("folds"))
+    return CVResult(scores, total, fitted(data) if refit else None)
+
+
+def cross_validate(df: DataFrame, features: Sequence[str], target: str, fold_col: str = "fold",
+                   model_type: str = "random_forest", params: dict | None = None, classification: bool = False,
+                   parallelism: int = 2) -> DataFrame:
+    """CV8: the summary row of `cv_run`."""
+    r = cv_run(df, features, target, fold_col, model_type, params, classification, parallelism, refit=False)
+    return r.summary.drop("train_mean")
 
 
 def grid_search(df: DataFrame, features: Sequence[str], target: str, grid: dict, folds: int = 3,

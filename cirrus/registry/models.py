@@ -119,6 +119,13 @@ def ml10b(spark, sf):
     return _round_metrics(m, ["accuracy", "precision", "recall", "f1"]).withColumn("n", F.col("n").cast("long"))
 
 
+@reg.add("ml10_whole_labels_double_predictions", _cls_sql(BIN_PAIRS_SQL))
+def ml10_mixed(spark, sf):
+    b = bin_pairs(spark, sf).withColumn("yhat", F.col("yhat").cast("double"))
+    m = EV.classification_metrics(b, "y", "yhat")
+    return _round_metrics(m, ["accuracy", "precision", "recall", "f1"]).withColumn("n", F.col("n").cast("long"))
+
+
 @reg.add("ml11_log_loss", f"""SELECT {R('avg(-ln(least(greatest(CASE WHEN y = 1 THEN p1 ELSE 1 - p1 END, 1e-15), 1 - 1e-15)))')}
     AS log_loss FROM {BIN_PAIRS_SQL}""")
 def ml11(spark, sf):
@@ -145,6 +152,25 @@ def ml13n(spark, sf):
     return EV.confusion_matrix(bin_pairs(spark, sf), "y", "yhat", with_names=True)
 
 
+@reg.add("ml13_confusion_with_names_of_doubles", f"""WITH cc AS (SELECT y AS t, yhat AS p, count(*) AS c FROM {BIN_PAIRS_SQL} GROUP BY 1, 2),
+    l AS (SELECT t AS l FROM cc UNION SELECT p FROM cc)
+    SELECT CAST(a.l AS VARCHAR) AS "true", CAST(b.l AS VARCHAR) AS pred, CAST(coalesce(c, 0) AS BIGINT) AS count,
+      CASE a.l WHEN 0 THEN 'Clear' WHEN 1 THEN 'Partly Cloudy' END AS true_label,
+      CASE b.l WHEN 0 THEN 'Clear' WHEN 1 THEN 'Partly Cloudy' END AS pred_label
+    FROM l a CROSS JOIN l b LEFT JOIN cc ON cc.t = a.l AND cc.p = b.l""")
+def ml13_doubles(spark, sf):
+    b = bin_pairs(spark, sf).withColumn("yhat", F.col("yhat").cast("double"))
+    return EV.confusion_matrix(b, "y", "yhat", with_names=True)
+
+
+@reg.add("ml13_confusion_with_text_names", f"""WITH cc AS (SELECT y AS t, yhat AS p, count(*) AS c FROM {CLS_PAIRS_SQL} GROUP BY 1, 2),
+    l AS (SELECT t AS l FROM cc UNION SELECT p FROM cc)
+    SELECT a.l AS "true", b.l AS pred, CAST(coalesce(c, 0) AS BIGINT) AS count, a.l AS true_label, b.l AS pred_label
+    FROM l a CROSS JOIN l b LEFT JOIN cc ON cc.t = a.l AND cc.p = b.l""")
+def ml13_text(spark, sf):
+    return EV.confusion_matrix(cls_pairs(spark, sf), "y", "yhat", with_names=True)
+
+
 @reg.add("ml14_regression_confusion", f"""WITH p AS (SELECT y, yhat FROM {REG_PAIRS_SQL}),
     r AS (SELECT min(y) AS lo, max(y) AS hi FROM p),
     c AS (SELECT CAST(least(greatest(floor((y - lo) / ((hi - lo) / 5.0)), 0), 4) AS INTEGER) AS true_bin,
@@ -305,6 +331,121 @@ def ml19(spark, sf):
     return EV.feature_importance(spark, FEATS, res.model.stages[-1].featureImportances.toArray(), 20)
 
 
+# ---- closed forms: trees over one 0/1 feature predict the means of the two groups
+STUMP_SQL = f"""(SELECT o_orderkey, o_orderstatus, o_totalprice / 1000.0 AS y, CAST(o_orderstatus = 'F' AS INTEGER) AS flag,
+    CASE WHEN o_orderkey % 3 = 0 THEN 'test' ELSE 'train' END AS split, CAST(o_orderkey % 4 AS INTEGER) AS fold FROM orders)"""
+
+
+def stump_rows(spark, sf):
+    k = F.col("o_orderkey")
+    return load(spark, sf, "orders").select(
+        "o_orderkey", "o_orderstatus", (F.col("o_totalprice") / 1000.0).alias("y"),
+        (F.col("o_orderstatus") == "F").cast("int").alias("flag"),
+        F.when(k % 3 == 0, "test").otherwise("train").alias("split"), (k % 4).cast("int").alias("fold"))
+
+
+STUMP_PREDICTED = f"""WITH t AS (SELECT flag, avg(y) AS m FROM {STUMP_SQL} WHERE split = 'train' GROUP BY flag)
+    SELECT o_orderkey, {R('m', 3)} AS prediction FROM {STUMP_SQL} JOIN t USING (flag) WHERE split = 'test'"""
+
+
+def _stump(spark, sf, model, params):
+    r = TR.train(stump_rows(spark, sf), ["flag"], "y", model, params, classification=False)
+    return r.predictions.select("o_orderkey", rnd("prediction", 3).alias("prediction"))
+
+
+@reg.add("ml1_ml7_stump_group_means", STUMP_PREDICTED)
+def ml1_stump(spark, sf):
+    return _stump(spark, sf, "decision_tree", {"max_depth": 1})
+
+
+@reg.add("ml2_forest_without_bootstrap", STUMP_PREDICTED)
+def ml2_plain(spark, sf):
+    return _stump(spark, sf, "random_forest", {"max_depth": 1, "n_estimators": 3, "bootstrap": False, "max_features": 1.0})
+
+
+@reg.add("ml3_one_boosting_round", STUMP_PREDICTED)
+def ml3_once(spark, sf):
+    return _stump(spark, sf, "xgboost", {"max_depth": 1, "n_estimators": 1})
+
+
+@reg.add("ml7_text_target", f"""WITH c AS (SELECT flag, o_orderstatus AS s, count(*) AS n FROM {STUMP_SQL} WHERE split = 'train' GROUP BY 1, 2),
+    t AS (SELECT flag, arg_max(s, n) AS s FROM c GROUP BY flag)
+    SELECT o_orderkey, t.s AS prediction_label FROM {STUMP_SQL} x JOIN t USING (flag) WHERE split = 'test'""")
+def ml7_text(spark, sf):
+    r = TR.train(stump_rows(spark, sf), ["flag"], "o_orderstatus", "decision_tree", {"max_depth": 1}, scale=True)
+    return r.predictions.select("o_orderkey", "prediction_label")
+
+
+@reg.add("ml7_ml8_two_targets", f"""WITH b AS (SELECT *, y * 2 + 1 AS y2 FROM {STUMP_SQL}),
+    t AS (SELECT flag, avg(y) AS m, avg(y2) AS m2 FROM b WHERE split = 'train' GROUP BY flag)
+    SELECT o_orderkey, target, {R("CASE target WHEN 'y' THEN m ELSE m2 END", 3)} AS prediction
+    FROM b JOIN t USING (flag), (VALUES ('y'), ('y2')) v(target)""")
+def ml7_two(spark, sf):
+    rows = stump_rows(spark, sf).withColumn("y2", F.col("y") * 2 + 1)
+    fitted = TR.train_targets(rows, ["flag"], ["y", "y2"], model_type="decision_tree", params={"max_depth": 1},
+                              classification=False)
+    return TR.score_targets(fitted, rows, ["o_orderkey"]).withColumn("prediction", rnd("prediction", 3))
+
+
+CV_STUMP = f"""t AS (SELECT k.fold AS fold, flag, avg(y) AS m FROM {STUMP_SQL} x, (VALUES (0), (1), (2), (3)) k(fold)
+      WHERE x.fold <> k.fold GROUP BY 1, 2),
+    e AS (SELECT t.fold, x.fold = t.fold AS out, avg((y - m) * (y - m)) AS mse FROM {STUMP_SQL} x JOIN t USING (flag) GROUP BY 1, 2)"""
+
+
+@reg.add("cv8_fold_scores", f"""WITH {CV_STUMP}
+    SELECT fold, {R('-max(CASE WHEN out THEN mse END)', 3)} AS score, {R('-max(CASE WHEN NOT out THEN mse END)', 3)} AS train_score
+    FROM e GROUP BY fold""")
+def cv8_folds(spark, sf):
+    r = TR.cv_run(stump_rows(spark, sf), ["flag"], "y", "fold", "decision_tree", {"max_depth": 1}, refit=False)
+    return r.folds.withColumns({c: rnd(c, 3) for c in ("score", "train_score")})
+
+
+@reg.add("cv8_refit_on_all_rows", f"""WITH t AS (SELECT flag, avg(y) AS m FROM {STUMP_SQL} GROUP BY flag)
+    SELECT o_orderkey, {R('m', 3)} AS prediction FROM {STUMP_SQL} JOIN t USING (flag)""")
+def cv8_refit(spark, sf):
+    rows = stump_rows(spark, sf)
+    r = TR.cv_run(rows, ["flag"], "y", "fold", "decision_tree", {"max_depth": 1})
+    return TR.score(r.model, rows, keep=["o_orderkey"]).withColumn("prediction", rnd("prediction", 3))
+
+
+@reg.add("ml6_weights_of_train_rows", f"""WITH t AS (SELECT o_orderstatus, count(*) AS n FROM {STUMP_SQL} WHERE split = 'train' GROUP BY 1)
+    SELECT o_orderkey, {R('(SELECT sum(n) FROM t) / ((SELECT count(*) FROM t) * t.n)')} AS weight
+    FROM {STUMP_SQL} x JOIN t USING (o_orderstatus)""")
+def ml6_train(spark, sf):
+    rows = stump_rows(spark, sf)
+    w = TR.class_weights(rows, "o_orderstatus", rows=rows.filter("split = 'train'"))
+    return w.select("o_orderkey", rnd("weight").alias("weight"))
+
+
+@reg.add("ml19_importance_of_the_only_feature", "SELECT 'flag' AS feature, CAST(1.0 AS DOUBLE) AS importance FROM orders LIMIT 1")
+def ml19_only(spark, sf):
+    r = TR.train(stump_rows(spark, sf), ["flag"], "y", "decision_tree", {"max_depth": 1}, classification=False)
+    return EV.feature_importance(spark, ["flag"], r.model.stages[-1].featureImportances.toArray(), 20)
+
+
+@reg.add("a18_pca_of_two_columns", f"""WITH c AS (SELECT abs(corr(l_quantity, l_extendedprice)) AS r FROM lineitem)
+    SELECT CAST(1 AS INTEGER) AS component, {R('(1 + r) / 2')} AS ratio, {R('(1 + r) / 2')} AS cumulative FROM c
+    UNION ALL SELECT 2, {R('(1 - r) / 2')}, {R('1.0')} FROM c""")
+def a18_two(spark, sf):
+    var, _, _ = TR.pca(load(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice"], k=2)
+    return var.withColumns({c: rnd(c) for c in ("ratio", "cumulative")})
+
+
+@reg.add("a19_k3_projection_and_loadings", f"""WITH s AS (SELECT avg(l_quantity) AS mq, stddev_samp(l_quantity) AS sq,
+      avg(l_extendedprice) AS mp, stddev_samp(l_extendedprice) AS sp, corr(l_quantity, l_extendedprice) AS r FROM lineitem)
+    SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+      {R("abs((l_quantity - mq) / sq + sign(r) * (l_extendedprice - mp) / sp) / sqrt(2.0)")} AS pc1,
+      {R("abs((l_quantity - mq) / sq - sign(r) * (l_extendedprice - mp) / sp) / sqrt(2.0)")} AS pc2,
+      {R("sqrt((1 + abs(r)) / 2)")} AS loading FROM lineitem, s""")
+def a19_two(spark, sf):
+    key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    _, loadings, proj = TR.pca(load(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice"], k=2, key=key)
+    # signs of a component are arbitrary; both features load equally on the first
+    first = loadings.filter("component = 1").agg(F.avg(F.abs("loading")).alias("loading"))
+    return proj.crossJoin(F.broadcast(first)).select(*key, rnd(F.abs("pc1")).alias("pc1"), rnd(F.abs("pc2")).alias("pc2"),
+                                                     rnd("loading").alias("loading"))
+
+
 @reg.add("cv8_cross_validation_run")
 def cv8(spark, sf):
     o = S.kfold(_order_features(spark, sf), ["o_orderkey"], 3, seed=42)

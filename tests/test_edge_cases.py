@@ -158,9 +158,87 @@ def test_unseen_categories(spark):
 
 def test_lineage_with_cycle(spark):
     nodes = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, None), (5, 6), (6, 5)], "id long, parent_id long")
-    out = {r["id"]: (r["root"], r["depth"]) for r in L.lineage(nodes, max_depth=8).collect()}
+    out = {r["id"]: (r["root"], r["depth"]) for r in L.lineage(nodes).collect()}
     assert out[3] == (1, 2) and out[1] == (1, 0) and out[4] == (4, 0)
     assert out[5][0] is None and out[6][0] is None
+    lists = {r["id"]: r["ancestors"] for r in L.ancestors(nodes).collect()}
+    assert lists == {1: [], 2: ["1"], 3: ["1", "2"], 4: [], 5: None, 6: None}
+
+
+def test_lineage_of_a_long_chain(spark):
+    n = 200
+    nodes = spark.createDataFrame([(i, i - 1 if i else None) for i in range(n)] + [(500, 999)], "id long, parent_id long")
+    out = {r["id"]: (r["root"], r["depth"]) for r in L.lineage(nodes).collect()}
+    assert all(out[i] == (0, i) for i in range(n))
+    assert out[500] == (999, 1)  # a parent that is not there is the root
+
+
+def test_large_numbers_keep_their_value(spark):
+    df = spark.createDataFrame([(1e20,), (-1e20,), (4503599627370497.0,), (-2.5,)], "x double")
+    rows = df.select(M.floor("x"), M.ceil("x"), M.truncate_decimals("x", 2), M.truncate_decimals("x", -1)).collect()
+    assert [tuple(r)[:3] for r in rows[:3]] == [(x,) * 3 for x in (1e20, -1e20, 4503599627370497.0)]
+    assert tuple(rows[3]) == (-3.0, -2.0, -2.5, -10.0)
+    assert rows[0][3] == 1e20
+
+
+def test_splits_keep_rows_without_class_or_group(spark):
+    from cirrus.operators import split as S
+    df = spark.range(100).select("id", F.when(F.col("id") % 4 != 0, F.col("id") % 3).alias("c"))
+    assert S.stratified_split(df, "c", ["id"]).filter("split is not null").count() == 100
+    assert S.stratified_kfold(df, "c", ["id"], 5).groupBy("fold").count().filter("count = 20").count() == 5
+    assert S.group_split(df, "c").filter("split is not null").count() == 100
+    empty = df.limit(0)
+    for out in (S.random_split(empty, ["id"]), S.kfold(empty, ["id"]), S.stratified_split(empty, "c", ["id"])):
+        assert out.count() == 0
+    few = S.kfold(df.limit(3), ["id"], 5)
+    assert sorted(r["fold"] for r in few.collect()) == [0, 1, 2]
+
+
+def test_metrics_of_mixed_label_types(spark):
+    df = spark.createDataFrame([(1, 1.0), (0, 0.0), (2, 2.0)], "y int, p double")
+    assert EV.classification_metrics(df, "y", "p").first()["accuracy"] == 1.0
+    names = {r["true"]: r["true_label"] for r in EV.confusion_matrix(df, "p", "p", with_names=True).collect()}
+    assert names == {"0.0": "Clear", "1.0": "Partly Cloudy", "2.0": "Mostly Cloudy"}
+
+
+def test_error_examples_and_text_fields(spark):
+    from cirrus.functions import udf as U
+    from pyspark.sql.types import LongType, StringType, StructField, StructType
+
+    def odd(v):
+        if v % 2:
+            raise ValueError("odd")
+        return {"half": v // 2, "name": f"n{v}"}
+
+    df = spark.createDataFrame([(i % 12,) for i in range(60)] + [(None,)], "v int")
+    out = U.apply_dict_function(df, "v", odd, StructType([StructField("half", LongType()), StructField("name", StringType())]))
+    rows = {r["v"]: r for r in out.collect()}
+    assert (rows[3]["half"], rows[3]["name"]) == (None, "") and (rows[4]["half"], rows[4]["name"]) == (2, "n4")
+    e = U.error_summary(out, "_error", "v").first()
+    assert (e["count"], e["examples"]) == (30, ["1", "11", "3", "5", "7"])
+
+
+def test_hyper_parameters_are_mapped_or_refused():
+    from cirrus.plans import train as TRN
+    assert TRN.map_params("random_forest", {"max_depth": None, "min_samples_split": 2}, True) == {"maxDepth": 30}
+    for bad in ({"max_depth": 31}, {"min_samples_split": 5}, {"max_leaf_nodes": 7}, {"unheard": 1}):
+        with pytest.raises(ValueError):
+            TRN.map_params("random_forest", bad, True)
+    with pytest.raises(ValueError):
+        TRN.map_params("decision_tree", {"max_features": "sqrt"}, True)
+
+
+def test_cyclic_names():
+    names = ["hour", "day_of_week", "day_of_month", "month", "wind_angle", "wind_bearing", "price"]
+    assert [E.cyclic_period_by_name(n) for n in names] == [24, 7, 12, 12, None, 360, None]
+    assert [E.is_cyclic_name(n) for n in names] == [True] * 6 + [False]
+
+
+def test_ordinal_preprocessing(spark):
+    df = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("b", 3.0)], "c string, x double")
+    m = E.fit_preprocessing(df, ["c", "x"], scale=None, categorical=["c"], encoding_method="ordinal")
+    new = spark.createDataFrame([("b", 1.0), ("z", 1.0)], "c string, x double")
+    assert [r["c"] for r in m.transform(new).collect()] == [1, -1]
 
 
 def test_link_runs(spark):
@@ -203,19 +281,24 @@ def test_classification_metrics_zero_division(spark):
     assert abs(m["precision"] - (2 * 1.0 + 1 * (1 / 3) + 1 * 0.0) / 4) < 1e-12
 
 
-def test_sorted_quantiles_equal_percentile(spark):
+def test_quantiles_equal_percentile(spark):
     from cirrus.operators.quantiles import quantile_table
+    hot = F.when(F.col("id") % 3 == 0, 7.0)  # one value in a third of the rows
     df = spark.range(2000).select((F.col("id") % 7).alias("g"),
-                                  ((F.col("id") * 7919) % 1013 / 3.0).alias("x"),
+                                  hot.otherwise((F.col("id") * 7919) % 1013 / 3.0).alias("x"),
                                   F.when(F.col("id") % 5 == 0, F.lit(None)).otherwise(F.col("id") * 1.5).alias("y"))
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
-    a = {(r["g"], r["column"]): r["quantiles"] for r in quantile_table(df, ["x", "y"], probs, ["g"], "sort").collect()}
-    b = {(r["g"], r["column"]): r["quantiles"] for r in quantile_table(df, ["x", "y"], probs, ["g"], "map").collect()}
-    assert a.keys() == b.keys()
-    for k in a:
-        assert all(abs(u - v) < 1e-9 for u, v in zip(a[k], b[k]))
+    p = F.array(*[F.lit(x) for x in probs])
+    for by in (["g"], []):
+        want = df.groupBy(*by).agg(F.percentile("x", p).alias("x"), F.percentile("y", p).alias("y")).collect()
+        want = {(*[r[c] for c in by], c): r[c] for r in want for c in ("x", "y")}
+        got = {(*[r[c] for c in by], r["column"]): r["quantiles"] for r in quantile_table(df, ["x", "y"], probs, by).collect()}
+        assert got.keys() == want.keys()
+        for k in got:
+            assert all(abs(u - v) < 1e-9 for u, v in zip(got[k], want[k]))
     one = spark.createDataFrame([(1, 5.0)], "g int, x double")
-    assert quantile_table(one, ["x"], [0.25, 0.5], method="sort").first()["quantiles"] == [5.0, 5.0]
+    assert quantile_table(one, ["x"], [0.25, 0.5]).first()["quantiles"] == [5.0, 5.0]
+    assert quantile_table(one.limit(0), ["x"], [0.5]).count() == 0
 
 
 def test_ensemble_votes(spark):
@@ -237,9 +320,8 @@ def test_ensemble_votes(spark):
 def test_quantiles_null_group_key(spark):
     from cirrus.operators.quantiles import quantile_table
     df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 2.0), ("a", 4.0), ("a", 6.0)], "g string, x double")
-    for method in ("sort", "map"):
-        got = {r["g"]: r["quantiles"] for r in quantile_table(df, ["x"], [0.5], ["g"], method).collect()}
-        assert got == {None: [2.0], "a": [4.0]}
+    got = {r["g"]: r["quantiles"] for r in quantile_table(df, ["x"], [0.5], ["g"]).collect()}
+    assert got == {None: [2.0], "a": [4.0]}
 
 
 def test_summary_with_null_group(spark):

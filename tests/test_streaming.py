@@ -35,8 +35,10 @@ def test_watermark_drops_late_rows(spark):
         return raw.select(ntz_to_instant("ts").alias("created_at"), F.col("event_type").alias("model_name"),
                           F.col("value").alias("accuracy"))
 
-    out = live.run_to_completion(spark, src, prepare, glob="*.parquet", watermark="1 hour")
+    out = live.run_to_completion(spark, src, prepare, files_per_trigger=1, watermark="1 hour")
     got = sorted((r["predictions"], r["avg_accuracy"]) for r in out.collect())
     # day 1 closed with its on-time row only (the late 100.0 is dropped),
     # day 2 closed, day 3 still open (watermark = day 3 11:00)
     assert got == [(1, 1.0), (1, 3.0)]
+    one = live.run_to_completion(spark, os.path.join(src, "b1.parquet"), prepare, watermark="1 hour")
+    assert [(r["predictions"], r["avg_accuracy"]) for r in one.collect()] == [(1, 1.0)]

@@ -126,6 +126,13 @@ def replace_values(df: DataFrame, c: str, ids: Sequence, mode: str = "direct", n
     return res.drop("_hit") if "_hit" in res.columns else res
 
 
+def failed_reparse(df: DataFrame, c: str, ids: Sequence, mode: str, row_id: str = ROW_ID, **change) -> DataFrame:
+    """How many of the listed values of a numeric column no longer parse as
+    its type after the replacement (one row: failed)."""
+    after = replace_values(df.withColumn("_before", F.col(c)), c, ids, mode, row_id=row_id, **change)
+    return after.agg(F.count_if(F.col("_before").isNotNull() & F.col(c).isNull()).alias("failed"))
+
+
 def in_range(row_id: str, start: int, end: int, n_rows: int | None = None) -> Column:
     """rows [start, end] inclusive, clamped to the table."""
     lo = max(0, start)

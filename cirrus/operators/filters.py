@@ -42,14 +42,18 @@ def _coerce(values: Sequence, dtype) -> tuple[list, bool]:
     return out, want_null
 
 
-def remove_values(df: DataFrame, c: str, values: Sequence) -> DataFrame:
+def remove_values(df: DataFrame, c: str, values: Sequence, must_remove: bool = True) -> DataFrame:
     """drop rows whose value is listed. A plain `~isin` would also drop
-    the null rows (null → unknown), so the predicate is null-aware."""
+    the null rows (null → unknown), so the predicate is null-aware. When no
+    row holds any of the values that is an error, unless `must_remove` is off
+    (which also saves the look)."""
     vals, want_null = _coerce(values, df.schema[c].dataType)
     x = F.col(c)
     hit = F.coalesce(x.isin(vals), F.lit(False)) if vals else F.lit(False)
     if want_null:
         hit = hit | x.isNull()
+    if must_remove and df.filter(hit).isEmpty():
+        raise ValueError(f"no row of {c!r} has any of the values to remove")
     return df.filter(~hit)
 
 

@@ -19,11 +19,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
-from cirrus.operators.encode import checked_join
+from cirrus.operators.encode import label_encode
 from cirrus.sources.ingest import ROW_ID, block_of, with_row_id
 
 BLOCK_ROWS = 1 << 20
-SUMMARY_BROADCAST_ROWS = 1_000_000
 
 
 def _ordered(df: DataFrame, order_by: Sequence[str] | None, keys: Sequence[str]) -> tuple[DataFrame, bool]:
@@ -72,11 +71,11 @@ def neighbours(df: DataFrame, c: str, order_by: Sequence[str] | None = None,
         F.last("_lp", ignorenulls=True).over(sw).alias("_cp"),
         F.last("_fv", ignorenulls=True).over(sr).alias("_dv"),
         F.last("_fp", ignorenulls=True).over(sr).alias("_dp"))
-    # one row per (key, block); broadcast only below a checked row count.
-    # Keys may be null, so the key equality is null-safe.
+    # one row per (key, block): the planner broadcasts it where it measures it
+    # small. Keys may be null, so the key equality is null-safe.
     carry = carry.withColumnsRenamed({k: f"_ck_{k}" for k in keys + ["_blk"]})
     on = [data["_blk"] == F.col("_ck__blk")] + [data[k].eqNullSafe(F.col(f"_ck_{k}")) for k in keys]
-    j = checked_join(data, carry, on, "left", max_rows=SUMMARY_BROADCAST_ROWS)
+    j = data.join(carry, on, "left")
     out = j.withColumns({
         "_pv": F.coalesce("_pv_in", "_cv"), "_pp": F.coalesce("_pp_in", "_cp"),
         "_nv": F.coalesce("_nv_in", "_dv"), "_np": F.coalesce("_np_in", "_dp"),
@@ -182,15 +181,18 @@ def fill_nulls(df: DataFrame, c: str, method: str, custom=None, order_by=None,
 
 
 def impute_for_training(df: DataFrame, features: Sequence[str], target: str | None = None,
-                        target_by_mode: bool = False) -> DataFrame:
+                        target_by_mode: bool = False, encode: bool = True) -> DataFrame:
     """Numeric features by mean, text features by most frequent
-    value; the target by its mode when asked. One aggregate for all means."""
+    value and then, with `encode`, as label codes (sorted order); the target
+    by its mode when asked. One aggregate for all means."""
     num = [c for c in features if isinstance(df.schema[c].dataType, NumericType)]
     txt = [c for c in features if isinstance(df.schema[c].dataType, StringType)]
     means = df.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in num]).first() if num else {}
     out = df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(means[c])) for c in num})
     for c in txt:
         out = out.withColumn(c, F.coalesce(F.col(c), F.lit(column_mode(df, c))))
+        if encode:
+            out = label_encode(out, c)
     if target and target_by_mode:
         out = out.withColumn(target, F.coalesce(F.col(target), F.lit(column_mode(df, target))))
     return out

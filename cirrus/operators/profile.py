@@ -222,6 +222,16 @@ def outlier_rows(df: DataFrame, c: str, k: float = 1.5, order_by: str | None = N
     return out.limit(limit) if limit else out
 
 
+def outlier_map(df: DataFrame, c: str, k: float = 1.5, order_by: Sequence[str] = (), n: int = 20) -> DataFrame:
+    """One row: outlier count and %, bounds, and the first n outlying
+    values in `order_by` order as an array."""
+    s = outlier_summary(df, c, k).select("lower_bound", "upper_bound", "outlier_count", "outlier_pct")
+    first = outlier_rows(df.select(*order_by, c), c, k, list(order_by) or None, n)
+    # n rows at most
+    values = first.agg(F.array_sort(F.collect_list(F.struct(*order_by, F.col(c).cast("double").alias("_v")))).alias("_a"))
+    return s.crossJoin(values).select(*s.columns, F.col("_a._v").alias("values"))
+
+
 def iqr_filter(df: DataFrame, c: str, k: float = 1.5, method=None) -> DataFrame:
     """keep rows whose value lies inside the IQR fences (inclusive)."""
     b = iqr_bounds(df, c, k, method=method).select("lower_bound", "upper_bound")
@@ -238,25 +248,18 @@ def histogram_without_outliers(df: DataFrame, c: str, bins: int = 20) -> DataFra
 
 def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """A10: pairwise-complete Pearson r, long form (var1, var2, r), all
-    ordered pairs including the diagonal. One aggregate of co-moments; a
-    constant column gives null instead of a division-by-zero error."""
+    ordered pairs including the diagonal. One aggregate, `corr` of each
+    unordered pair (it skips rows where either is null); a constant column
+    gives null instead of a division-by-zero error."""
     cols = list(cols) if cols else numeric_columns(df)
     x = {c: F.col(c).cast("double") for c in cols}
-    aggs, cells = [], []
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+    agg = df.agg(*[F.corr(x[cols[i]], x[cols[j]]).alias(f"r{i}_{j}") for i, j in pairs])
+    cells = []
     for i, a in enumerate(cols):
         for j, b in enumerate(cols):
-            if j < i:
-                continue
-            both = x[a].isNotNull() & x[b].isNotNull()
-            xa, xb = F.when(both, x[a]), F.when(both, x[b])
-            aggs += [F.covar_samp(xa, xb).alias(f"cv{i}_{j}"),
-                     F.stddev_samp(xa).alias(f"sa{i}_{j}"), F.stddev_samp(xb).alias(f"sb{i}_{j}")]
-    agg = df.agg(*aggs)
-    for i, a in enumerate(cols):
-        for j, b in enumerate(cols):
-            lo, hi = min(i, j), max(i, j)
-            r = F.try_divide(F.col(f"cv{lo}_{hi}"), F.col(f"sa{lo}_{hi}") * F.col(f"sb{lo}_{hi}"))
-            cells.append(F.struct(F.lit(a).alias("var1"), F.lit(b).alias("var2"), r.alias("r")))
+            r = F.col(f"r{min(i, j)}_{max(i, j)}")
+            cells.append(F.struct(F.lit(a).alias("var1"), F.lit(b).alias("var2"), F.when(~F.isnan(r), r).alias("r")))
     return agg.select(F.inline(F.array(*cells)))
 
 
@@ -281,21 +284,26 @@ def top_correlations(df: DataFrame, cols=None, threshold: float = 0.5, k: int =
 
 
 def column_report(df: DataFrame, cols: Sequence[str] | None = None, k: float = 1.5) -> DataFrame:
-    """Per numeric column, A1 + A3 + A5 + outlier counts in one pass of
-    aggregates plus one pass for the fences."""
+    """Per numeric column, A1 + A3 + A5 + outlier counts: the summary, one
+    aggregate of distinct counts, and one of the nulls and the values outside
+    the fences, which lie in a one-row table."""
     cols = list(cols) if cols else numeric_columns(df)
     s = summary(df, cols)
-    nulls = null_counts(df, cols)
     d = distinct_counts(df, cols)
-    # fences per column from the summary (one row per column: small)
-    fences = s.select("column", (F.col("q1") - k * (F.col("q3") - F.col("q1"))).alias("lo"),
-                      (F.col("q3") + k * (F.col("q3") - F.col("q1"))).alias("hi"))
-    longv = df.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in cols])))
-    outl = (longv.join(F.broadcast(fences), "column")
-                 .groupBy("column").agg(F.count_if((F.col("v") < F.col("lo")) | (F.col("v") > F.col("hi")))
-                                        .alias("outlier_count")))
-    return s.join(nulls, "column").join(d, "column").join(outl, "column")
+    lo = F.col("q1") - k * (F.col("q3") - F.col("q1"))
+    hi = F.col("q3") + k * (F.col("q3") - F.col("q1"))
+    fences = s.agg(*[F.max(F.when(F.col("column") == c, e)).alias(f"_{n}{i}")
+                     for i, c in enumerate(cols) for n, e in (("lo", lo), ("hi", hi))])
+    one = df.select(*cols).crossJoin(F.broadcast(fences)).agg(
+        F.count(F.lit(1)).alias("_rows"),
+        *[x for i, c in enumerate(cols) for x in (
+            F.count_if(F.col(c).isNull()).alias(f"z{i}"),
+            F.count_if((F.col(c).cast("double") < F.col(f"_lo{i}")) | (F.col(c).cast("double") > F.col(f"_hi{i}"))).alias(f"o{i}"))])
+    rest = one.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(f"z{i}").alias("null_count"),
+                 F.try_divide(F.col(f"z{i}") * 100.0, F.col("_rows")).alias("null_pct"),
+                 F.col(f"o{i}").alias("outlier_count")) for i, c in enumerate(cols)])))
+    return s.join(rest, "column").join(d, "column")
 
 
 def running_mean(df: DataFrame, value: str, order: str, partition: Sequence[str] = ()) -> DataFrame:

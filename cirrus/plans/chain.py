@@ -17,12 +17,13 @@ Retention (P11): the last output is kept; inputs of steps marked
 `keep_original` are kept; the original column and intermediates consumed by
 a later step are dropped; outputs nobody consumed are kept.
 
-Each statistics-bearing step costs one aggregate (its fit); everything else
-is a lazy projection, so a chain is one scan + a handful of small jobs.
+All columns' n-th steps are fitted by one aggregate; everything else is a lazy
+projection, so a spec costs one small job per level of its longest chain.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -62,7 +63,8 @@ def _steps(spec) -> list[dict]:
     return [{"method": st} if isinstance(st, str) else st for st in spec]
 
 
-def _apply_method(df: DataFrame, src: str, out: str, method: str) -> tuple[DataFrame, list[str]]:
+def _apply_method(df: DataFrame, src: str, out: str, method: str,
+                  model: Z.ScalerModel | None = None) -> tuple[DataFrame, list[str]]:
     m = method.upper()
     is_text = isinstance(df.schema[src].dataType, StringType)
     if m in TEXT_METHODS:
@@ -78,69 +80,69 @@ def _apply_method(df: DataFrame, src: str, out: str, method: str) -> tuple[DataF
         return E.apply_text_method(df.withColumn(out, F.col(src)), [out], m), [out]
     if is_text:
         raise ValueError(f"numeric method {method} on text column {src}")
-    model = Z.fit(df, [src], m)
     return df.withColumn(out, model.expr(src)), [out]
 
 
+def _converted(df: DataFrame, c: str, step: dict) -> DataFrame:
+    if not step.get("conversion"):
+        return df
+    is_num = is_numeric_type(df.schema[c].dataType)
+    return df.withColumn(c, C.convert(c, step["conversion"], is_num, **(step.get("conversion_params") or {})))
+
+
 def run_chain(df: DataFrame, config: dict, output_conversions: dict | None = None) -> ChainResult:
-    """Execute the spec column by column; returns the frame and, per
-    column, what each step read and wrote."""
+    """Execute the spec; returns the frame and, per column, what each step
+    read and wrote. Columns advance together: the statistics of all columns'
+    n-th steps are one aggregate. Where a step reads a named column, that may
+    be another chain's output, so the columns then go one after another."""
+    names = list(config)
+    alone = any(st.get("input_column") for c in names for st in _steps(config[c]))
     out = df
     info: dict[str, list[StepInfo]] = {}
-    for column, spec in config.items():
-        steps = _steps(spec)
-        total = len(steps)
-        current = column
-        infos: list[StepInfo] = []
-        for i, step in enumerate(steps):
+    for batch in ([[c] for c in names] if alone else [names]):
+        out = _run_columns(out, {c: _steps(config[c]) for c in batch}, info)
+    if output_conversions:
+        out = apply_output_conversions(out, output_conversions)
+    return ChainResult(out, info)
+
+
+def _run_columns(df: DataFrame, specs: dict[str, list[dict]], info: dict[str, list[StepInfo]]) -> DataFrame:
+    out, current = df, {c: c for c in specs}
+    for c in specs:
+        info[c] = []
+    for i in range(max(map(len, specs.values()))):
+        level = {c: steps[i] for c, steps in specs.items() if i < len(steps)}
+        for c, step in level.items():
             if step.get("input_column"):
                 if step["input_column"] not in out.columns:
                     raise ValueError(f"input column {step['input_column']!r} not found for step {i + 1}")
-                current = step["input_column"]
-            if i > 0 and steps[i - 1].get("conversion"):
-                prev = steps[i - 1]
-                is_num = is_numeric_type(out.schema[current].dataType)
-                out = out.withColumn(current, C.convert(current, prev["conversion"], is_num,
-                                                        **(prev.get("conversion_params") or {})))
+                current[c] = step["input_column"]
+            if i:
+                out = _converted(out, current[c], specs[c][i - 1])
+        numeric = {current[c]: step["method"] for c, step in level.items()
+                   if step["method"].upper() not in TEXT_METHODS
+                   and not isinstance(out.schema[current[c]].dataType, StringType)}
+        model = Z.fit(out, list(numeric), numeric) if numeric else None
+        for c, step in level.items():
             keep = bool(step.get("keep_original", False))
-            if total > 1:
-                target = f"{column}_step{i + 1}"
-            else:
-                target = f"{column}_normalized" if keep else column
-            out, outputs = _apply_method(out, current, target, step["method"])
-            infos.append(StepInfo(i, current, outputs, keep))
-            current = outputs[0]
-        last = steps[-1]
-        if last.get("conversion"):
-            is_num = is_numeric_type(out.schema[current].dataType)
-            out = out.withColumn(current, C.convert(current, last["conversion"], is_num,
-                                                    **(last.get("conversion_params") or {})))
-        out = _retain(out, column, infos)
-        info[column] = infos
-    if output_conversions:
-        out = apply_output_conversions(out, output_conversions)
-    return ChainResult(out, info)
+            target = f"{c}_step{i + 1}" if len(specs[c]) > 1 else f"{c}_normalized" if keep else c
+            out, outputs = _apply_method(out, current[c], target, step["method"], model)
+            info[c].append(StepInfo(i, current[c], outputs, keep))
+            current[c] = outputs[0]
+    for c, steps in specs.items():
+        out = _retain(_converted(out, current[c], steps[-1]), c, info[c])
+    return out
 
 
 def _retain(df: DataFrame, column: str, infos: list[StepInfo]) -> DataFrame:
-    """P11 retention rules."""
-    if len(infos) == 1:
-        s = infos[0]
-        if s.keep_original or s.outputs == [column]:
-            return df
-        return df.drop(column) if column not in s.outputs else df
-    keep = set(infos[-1].outputs[:1])
-    keep |= {s.input for s in infos if s.keep_original}
-    consumed = {s.input for s in infos}
-    remove = []
-    for s in infos:
-        x = s.input
-        if x in keep or x not in df.columns:
-            continue
-        produced_and_used = any(x in o.outputs for o in infos) and x in consumed
-        if x == column or produced_and_used:
-            remove.append(x)
-    return df.drop(*remove)
+    """Of the column and the chain's outputs, what a later step consumed
+    goes, unless it is the last output or the input of a `keep_original` step."""
+    if len(infos) == 1 and column in infos[0].outputs:
+        return df
+    made = {column, *(o for s in infos for o in s.outputs)}
+    consumed = {s.input for s in infos} & made
+    kept = set(infos[-1].outputs[:1]) | {s.input for s in infos if s.keep_original}
+    return df.drop(*(consumed - kept))
 
 
 def apply_output_conversions(df: DataFrame, conversions: dict) -> DataFrame:
@@ -157,7 +159,7 @@ def apply_output_conversions(df: DataFrame, conversions: dict) -> DataFrame:
     return out
 
 
-def preview(df: DataFrame, config: dict, n: int = 1000, order_by: str | None = None) -> DataFrame:
+def preview(df: DataFrame, config: dict, n: int = 1000, order_by: str | Sequence[str] | None = None) -> DataFrame:
     """The chain on the first n rows. Statistics are fitted on the full
     table (the reference fits on the sample, so its preview differs from the
     result); only the display is limited."""
@@ -165,6 +167,35 @@ def preview(df: DataFrame, config: dict, n: int = 1000, order_by: str | None = N
     return (res.orderBy(order_by) if order_by else res).limit(n)
 
 
+def step_preview(df: DataFrame, config: dict, column: str, key: Sequence[str], n: int = 1000) -> DataFrame:
+    """Before and after of every step of one column's chain, as text, for
+    the first n rows in `key` order: (key…, step, method, before, after)."""
+    steps = [{**s, "keep_original": True} for s in _steps(config[column])]
+    frame = df.withColumn("_original", F.col(column))
+    res = run_chain(frame, {column: steps})
+    rows = []
+    for s, step in zip(res.steps[column], steps):
+        src = "_original" if s.input == column else s.input
+        rows.append(F.struct(F.lit(s.index + 1).alias("step"), F.lit(step["method"].upper()).alias("method"),
+                             F.col(src).cast("string").alias("before"), F.col(s.outputs[0]).cast("string").alias("after")))
+    return res.frame.orderBy(*key).limit(n).select(*key, F.inline(F.array(*rows)))
+
+
+def step_statistics(df: DataFrame, config: dict, column: str) -> DataFrame:
+    """Statistics of the original column and of each numeric step's output
+    over the whole table: (column, count, mean, std, min, max), one aggregate."""
+    steps = [{**s, "keep_original": True} for s in _steps(config[column])]
+    res = run_chain(df.withColumn("_original", F.col(column)), {column: steps})
+    shown = ["_original", *(s.outputs[0] for s in res.steps[column])]
+    shown = [c for c in shown if is_numeric_type(res.frame.schema[c].dataType)]
+    x = {c: F.col(c).cast("double") for c in shown}
+    a = res.frame.agg(*[f(x[c]).alias(f"{n}{i}") for i, c in enumerate(shown) for n, f in (
+        ("count", F.count), ("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max))])
+    return a.select(F.inline(F.array(*[F.struct(
+        F.lit(column if c == "_original" else c).alias("column"),
+        *[F.col(f"{n}{i}").alias(n) for n in ("count", "mean", "std", "min", "max")]) for i, c in enumerate(shown)])))
+
+
 def unique_mapping(df: DataFrame, column: str, spec, max_values: int = 100) -> DataFrame:
     """Up to `max_values` distinct values of `column`, evenly spaced in
     sorted order, next to what the chain makes of them. Statistics are

@@ -351,6 +351,13 @@ def f1n(spark, sf):
     return FL.remove_values(e, "user_id", ["8", "46.0", 7, "x"])
 
 
+@reg.add("r5_failed_reparse", f"""SELECT CAST(count_if(value IS NOT NULL AND event_id < 500 AND
+      TRY_CAST(replace(CAST(value AS VARCHAR), '1', 'x') AS DOUBLE) IS NULL) AS BIGINT) AS failed FROM {EVENTS_WITH_NULLS}""")
+def r5_failed(spark, sf):
+    e = events_with_nulls(spark, sf).select(F.col("event_id").alias("_row_id"), "value")
+    return RP.failed_reparse(e, "value", range(500), "substring", find="1", new_value="x")
+
+
 @reg.add("f2_drop_nulls_one_column", f"SELECT * FROM {EVENTS_WITH_NULLS} WHERE value IS NOT NULL")
 def f2(spark, sf):
     return FL.drop_null_rows(events_with_nulls(spark, sf), "value")
@@ -413,6 +420,21 @@ def p5(spark, sf):
     return counts
 
 
+@reg.add("p5_column_as_text", f"""SELECT value, count(*) AS n FROM (SELECT CAST(user_id AS VARCHAR) AS value
+    FROM {EVENTS_WITH_NULLS}) GROUP BY value""")
+def p5_text(spark, sf):
+    values, _ = FL.column_as_text(events_with_nulls(spark, sf), "user_id")
+    return values.groupBy(F.col("user_id").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@reg.add("m2_m3_m11_large_numbers", """SELECT o_orderkey, floor(x) AS fl, ceil(x) AS ce, trunc(x) AS tr
+    FROM (SELECT o_orderkey, o_totalprice * 1e16 AS x FROM orders)""")
+def m_large(spark, sf):
+    x = F.col("o_totalprice") * 1e16
+    return load(spark, sf, "orders").select("o_orderkey", M.floor(x).alias("fl"), M.ceil(x).alias("ce"),
+                                            M.truncate_decimals(x, 0).alias("tr"))
+
+
 @reg.add("p6_preview_first_10", f"SELECT _row_id, event_id, value FROM {EV_ROWID_SQL} ORDER BY _row_id LIMIT 10")
 def p6(spark, sf):
     e = with_row_id(load(spark, sf, "events"), ["ts", "event_id"])

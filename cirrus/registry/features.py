@@ -48,6 +48,17 @@ def z1(spark, sf):
                      a.expr("l_tax").alias("t_tree"))
 
 
+@reg.add("z4_z18_cnn_fitted_on_all_rows", f"""SELECT {LI_COLS}, {R(_z_sql('l_quantity', 'Z_SCORE'))} AS l_quantity,
+    {R(_z_sql('l_extendedprice', 'MIN_MAX'))} AS l_extendedprice FROM lineitem""")
+def z4_z18(spark, sf):
+    li = load(spark, sf, "lineitem").select(*LI_KEY, "l_quantity", "l_extendedprice")
+    li = li.withColumn("split", F.when(F.col("l_linenumber") == 1, "test").otherwise("train"))
+    a = Z.fit_on_split(li, ["l_quantity"], "CNN", fit_split=None)
+    b = Z.fit_on_split(li, ["l_extendedprice"], "minmax", fit_split=None)
+    out = b.transform(a.transform(li))
+    return out.select(*LI_KEY, *[rnd(c).alias(c) for c in ("l_quantity", "l_extendedprice")])
+
+
 @reg.add("z9_normalize_whole_table", f"""SELECT {R(_z_sql('CAST(s_suppkey AS DOUBLE)', 'MIN_MAX'))} AS s_suppkey,
     lower(s_name) AS s_name, {R(_z_sql('CAST(s_nationkey AS DOUBLE)', 'MIN_MAX'))} AS s_nationkey,
     {R(_z_sql('s_acctbal', 'MIN_MAX'))} AS s_acctbal FROM supplier""")
@@ -207,6 +218,54 @@ CHAIN = {"l_quantity": [{"method": "MIN_MAX", "conversion": "TO_FLOAT32"},
          "l_discount": {"method": "LSTM_TCN", "keep_original": True}}
 
 
+@reg.add("z15_output_conversions", f"""SELECT {LI_COLS}, CAST({_z_sql('l_quantity', 'MIN_MAX')} AS FLOAT) AS l_quantity_normalized,
+    l_quantity FROM lineitem""")
+def z15(spark, sf):
+    li = load(spark, sf, "lineitem").select(*LI_KEY, "l_quantity")
+    res = CH.run_chain(li, {"l_quantity": {"method": "MIN_MAX", "keep_original": True}},
+                       output_conversions={"*": {"conversion": "TO_FLOAT32"}})
+    return res.frame.select(*LI_KEY, "l_quantity_normalized", "l_quantity")
+
+
+@reg.add("z16_step_preview", """WITH a AS (SELECT s_suppkey, s_name FROM supplier ORDER BY s_suppkey LIMIT 1000),
+    u AS (SELECT s_suppkey, s_name, trim(lower(s_name)) AS t FROM a)
+    SELECT s_suppkey, CAST(1 AS INTEGER) AS step, 'LOWER' AS method, s_name AS before, lower(s_name) AS after FROM u
+    UNION ALL SELECT s_suppkey, 2, 'STRIP', lower(s_name), t FROM u""")
+def z16_steps(spark, sf):
+    s = load(spark, sf, "supplier").select("s_suppkey", "s_name")
+    return CH.step_preview(s, {"s_name": ["LOWER", "STRIP"]}, "s_name", ["s_suppkey"], 1000)
+
+
+@reg.add("z16_step_statistics", f"""WITH a AS (SELECT l_quantity, {_z_sql('l_quantity', 'MIN_MAX')} AS s1 FROM lineitem),
+    b AS (SELECT *, {_z_sql('s1', 'LSTM_TCN')} AS s2 FROM a)
+    """ + " UNION ALL ".join(f"""SELECT '{n}' AS "column", count({c}) AS count, {R(f'avg({c})')} AS mean, {R(f'stddev_samp({c})')} AS std,
+    {R(f'min({c})')} AS min, {R(f'max({c})')} AS max FROM b""" for n, c in (
+        ("l_quantity", "l_quantity"), ("l_quantity_step1", "s1"), ("l_quantity_step2", "s2"))))
+def z16_stats(spark, sf):
+    li = load(spark, sf, "lineitem").select("l_quantity")
+    out = CH.step_statistics(li, {"l_quantity": ["MIN_MAX", "LSTM_TCN"]}, "l_quantity")
+    return out.withColumns({c: rnd(c) for c in ("mean", "std", "min", "max")})
+
+
+@reg.add("z25_ordinal_preprocessing", """SELECT o_orderkey, CAST(dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS BIGINT) AS o_orderpriority,
+    o_totalprice FROM orders""")
+def z25_ordinal(spark, sf):
+    o = load(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
+    m = E.fit_preprocessing(o, ["o_orderpriority", "o_totalprice"], scale=None, categorical=["o_orderpriority"],
+                            encoding_method="ordinal")
+    return m.transform(o)
+
+
+@reg.add("z23_cyclic_names", f"""SELECT event_id, {R('sin(2 * pi() * day(ts) / (SELECT max(day(ts)) + 1.0 FROM events))', 9)} AS day_number_sin,
+    {R('cos(2 * pi() * dayofweek(ts) / 7.0)', 9)} AS day_of_week_cos FROM events""")
+def z23_names(spark, sf):
+    e = load(spark, sf, "events").select("event_id", F.dayofmonth("ts").alias("day_number"),
+                                         (F.dayofweek("ts") - 1).alias("day_of_week"))
+    for c in ("day_number", "day_of_week"):
+        e = E.cyclic(e, c, E.fit_cyclic_period(e, c))
+    return e.select("event_id", rnd("day_number_sin", 9).alias("day_number_sin"), rnd("day_of_week_cos", 9).alias("day_of_week_cos"))
+
+
 @reg.add("z13_z15_normalization_chain", f"""WITH a AS (SELECT *, CAST({_z_sql('l_quantity', 'MIN_MAX')} AS FLOAT) AS s1 FROM lineitem)
     SELECT {LI_COLS}, CAST(dense_rank() OVER (ORDER BY l_returnflag) - 1 AS BIGINT) AS l_returnflag,
       {R(_z_sql('CAST(s1 AS DOUBLE)', 'Z_SCORE'))} AS l_quantity_step2, l_discount,

@@ -149,6 +149,61 @@ def s13(spark, sf):
     return rng
 
 
+@reg.add("s13_preview_rows", f"""SELECT event_id, rid AS _row_id FROM {EV_RID}
+    WHERE rid >= floor(n * {d(TR)}) AND rid < floor(n * {d(TR + VA)}) ORDER BY rid LIMIT 20""")
+def s13_rows(spark, sf):
+    e = S.sequential_split(with_row_id(load(spark, sf, "events"), ["ts", "event_id"]), TR, VA, TE)
+    head, _, _, _ = SK.split_preview(e, "val", 20, ["value", "event_type"])
+    return head.select("event_id", "_row_id")
+
+
+@reg.add("s13_preview_statistics", f"""WITH v AS (SELECT * FROM {EV_RID} WHERE rid >= floor(n * {d(TR)}) AND rid < floor(n * {d(TR + VA)}))
+    SELECT 'value' AS "column", count(value) AS count, {R('avg(value)')} AS mean, {R('quantile_cont(value, 0.5)')} AS median,
+      {R('min(value)')} AS min, {R('max(value)')} AS max FROM v""")
+def s13_stats(spark, sf):
+    e = S.sequential_split(with_row_id(load(spark, sf, "events"), ["ts", "event_id"]), TR, VA, TE)
+    _, _, stats, _ = SK.split_preview(e, "val", 20, ["value", "event_type"])
+    return stats.select("column", "count", *[rnd(c).alias(c) for c in ("mean", "median", "min", "max")])
+
+
+@reg.add("s13_preview_value_counts", f"""SELECT event_type, count(*) AS count FROM {EV_RID}
+    WHERE rid >= floor(n * {d(TR)}) AND rid < floor(n * {d(TR + VA)}) AND event_type IS NOT NULL GROUP BY event_type""")
+def s13_counts(spark, sf):
+    e = S.sequential_split(with_row_id(load(spark, sf, "events"), ["ts", "event_id"]), TR, VA, TE)
+    _, _, _, counts = SK.split_preview(e, "val", 20, ["value", "event_type"])
+    return counts["event_type"]
+
+
+def _report(spark, sf):
+    return REP.report(events_with_nulls(spark, sf), order_by=["event_id"])
+
+
+@reg.add("s9_report_info", f"""SELECT count(*) AS rows, CAST(6 AS INTEGER) AS columns, (SELECT count(*) FROM {EVENTS_WITH_NULLS}) -
+    (SELECT count(*) FROM (SELECT DISTINCT * FROM {EVENTS_WITH_NULLS})) AS duplicate_rows FROM {EVENTS_WITH_NULLS}""")
+def s9_info(spark, sf):
+    r = _report(spark, sf)
+    return r["info"].crossJoin(r["duplicates"])  # two one-row tables
+
+
+@reg.add("s9_report_missing", f"""SELECT * FROM ({" UNION ALL ".join(f"""SELECT '{c}' AS "column", CAST(count_if({c} IS NULL) AS BIGINT) AS null_count,
+    count_if({c} IS NULL) * 100.0 / count(*) AS null_pct FROM {EVENTS_WITH_NULLS}""" for c in ("event_type", "value", "props"))}) WHERE null_count > 0""")
+def s9_missing(spark, sf):
+    return _report(spark, sf)["missing"]
+
+
+@reg.add("s9_report_preview", f"SELECT event_id, user_id, event_type FROM {EVENTS_WITH_NULLS} ORDER BY event_id LIMIT 10")
+def s9_preview(spark, sf):
+    return _report(spark, sf)["preview"].select("event_id", "user_id", "event_type")
+
+
+@reg.add("d11_column_counts_and_statistics", f"""SELECT count(*) AS rows, count(value) AS non_null, count(DISTINCT value) AS "distinct",
+    {R('avg(value)')} AS mean, {R('quantile_cont(value, 0.5)')} AS median FROM {EVENTS_WITH_NULLS}""")
+def d11_counts(spark, sf):
+    info = REP.column_info(events_with_nulls(spark, sf), "value")
+    c = info["counts"].select("rows", "non_null", "distinct")
+    return c.crossJoin(info["statistics"].select(rnd("mean").alias("mean"), rnd("median").alias("median")))
+
+
 @reg.add("d1_column_kinds")
 def d1(spark, sf):
     d_ = load(spark, sf, "documents")

@@ -217,6 +217,29 @@ def ml18(spark, sf):
     return t.crossJoin(p1).crossJoin(p2)  # three one-row tables
 
 
+@reg.add("d6_problem_types", """SELECT 'total' AS target, count(DISTINCT o_totalprice) AS k, count(o_totalprice) AS n, 'regression' AS problem_type FROM orders
+    UNION ALL SELECT 'month', count(DISTINCT month(o_orderdate)), count(*), CASE WHEN count(DISTINCT month(o_orderdate)) <= 2 THEN 'binary'
+      WHEN count(DISTINCT month(o_orderdate)) < 20 AND count(DISTINCT month(o_orderdate)) < count(*) * 0.05 THEN 'multiclass' ELSE 'regression' END FROM orders
+    UNION ALL SELECT 'name', count(DISTINCT s_name), count(s_name), 'multiclass' FROM supplier""")
+def d6(spark, sf):
+    o = load(spark, sf, "orders").select(F.col("o_totalprice").alias("total"), F.month("o_orderdate").alias("month"))
+    s = load(spark, sf, "supplier").select(F.col("s_name").alias("name"))
+    out = None
+    for frame, c in ((o, "total"), (o, "month"), (s, "name")):
+        x = EV.problem_type(frame, c).select(F.lit(c).alias("target"), "k", "n", "problem_type")
+        out = x if out is None else out.unionByName(x)
+    return out
+
+
+@reg.add("ml21_residual_histogram_edges", f"""WITH d AS (SELECT y - yhat AS x FROM {REG_PAIRS_SQL}),
+    r AS (SELECT min(x) AS lo, max(x) AS hi, (max(x) - min(x)) / 30.0 AS w FROM d)
+    SELECT CAST(range AS INTEGER) AS bin, {R('lo + range * w')} AS bin_start,
+      {R('CASE WHEN range = 29 THEN hi ELSE lo + (range + 1) * w END')} AS bin_end FROM range(30), r""")
+def ml21_edges(spark, sf):
+    h = EV.residual_histogram(reg_pairs(spark, sf), "y", "yhat", 30)
+    return h.select("bin", rnd("bin_start").alias("bin_start"), rnd("bin_end").alias("bin_end"))
+
+
 @reg.add("ml21_residual_histogram_30", f"""WITH d AS (SELECT y - yhat AS x FROM {REG_PAIRS_SQL}),
     r AS (SELECT min(x) AS lo, max(x) AS hi FROM d),
     c AS (SELECT CAST(least(greatest(floor((x - lo) / ((hi - lo) / 30.0)), 0), 29) AS INTEGER) AS bin, count(*) AS n

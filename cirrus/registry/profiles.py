@@ -328,6 +328,21 @@ def a14_rows(spark, sf):
     return A.outlier_rows(li, "value", 3.0)
 
 
+@reg.add("a17_outlier_map", f"""WITH b AS (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM events),
+    f AS (SELECT q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM b),
+    o AS (SELECT event_id, value FROM events, f WHERE value < lo OR value > hi)
+    SELECT {R('lo')} AS lower_bound, {R('hi')} AS upper_bound, (SELECT count(*) FROM o) AS outlier_count,
+      {R('(SELECT count(*) FROM o) * 100.0 / (SELECT count(value) FROM events)')} AS outlier_pct,
+      (SELECT {R('sum(value)')} FROM (SELECT value FROM o ORDER BY event_id LIMIT 20)) AS sum_of_values,
+      (SELECT count(*) FROM (SELECT value FROM o ORDER BY event_id LIMIT 20)) AS n_values FROM f""")
+def a17_full(spark, sf):
+    m = A.outlier_map(load(spark, sf, "events"), "value", 1.5, ["event_id"], 20)
+    total = F.aggregate("values", F.lit(0.0), lambda a, x: a + x)
+    return m.select(rnd("lower_bound").alias("lower_bound"), rnd("upper_bound").alias("upper_bound"), "outlier_count",
+                    rnd("outlier_pct").alias("outlier_pct"), rnd(total).alias("sum_of_values"),
+                    F.size("values").cast("long").alias("n_values"))
+
+
 @reg.add("a17_outlier_map_first_20", _outlier_rows_sql(1.5, 20))
 def a17_map(spark, sf):
     li = load(spark, sf, "events").select("event_id", "value")

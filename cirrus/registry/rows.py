@@ -317,6 +317,15 @@ def n11(spark, sf):
     return out.select("event_id", rnd("value").alias("value"), "event_type")
 
 
+@reg.add("n11_text_feature_codes", f"""WITH m AS (SELECT event_type AS mode_v FROM {EVENTS_WITH_NULLS} WHERE event_type IS NOT NULL
+          GROUP BY event_type ORDER BY count(*) DESC, event_type LIMIT 1),
+    f AS (SELECT event_id, coalesce(event_type, mode_v) AS t FROM {EVENTS_WITH_NULLS}, m)
+    SELECT event_id, CAST(dense_rank() OVER (ORDER BY t) - 1 AS BIGINT) AS event_type FROM f""")
+def n11_codes(spark, sf):
+    e = events_with_nulls(spark, sf).select("event_id", "event_type")
+    return N.impute_for_training(e, ["event_type"])
+
+
 # ----------------------------------------------------------------- windows
 @reg.add("w1_training_sequences", f"""SELECT event_id, list(value) OVER (ORDER BY ts, event_id
         ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS sequence, value AS target FROM events

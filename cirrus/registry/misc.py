@@ -17,6 +17,7 @@ from cirrus.operators import detect as D
 from cirrus.operators import profile as A
 from cirrus.operators import split as S
 from cirrus.plans import report as REP
+from cirrus.operators.normalize import NUMERIC_METHODS
 from cirrus.registry.base import R, Registry, load, rnd
 from cirrus.registry.profiles import EVENTS_WITH_NULLS, _report_sql, events_with_nulls
 from cirrus.registry.rows import EV_RID, TR, VA, TE, d
@@ -204,7 +205,23 @@ def d11_counts(spark, sf):
     return c.crossJoin(info["statistics"].select(rnd("mean").alias("mean"), rnd("median").alias("median")))
 
 
-@reg.add("d1_column_kinds")
+def _d1_sql(name, table, expr, order, numeric=False):
+    sample = f"(SELECT {expr} AS v FROM {table} WHERE {expr} IS NOT NULL ORDER BY {order} LIMIT 100)"
+    fits = [(f, f"(SELECT avg(CAST(try_strptime(v, '{f}') IS NOT NULL AS INTEGER)) > 0.8 FROM {sample})") for f, _ in C_DATE_FORMATS]
+    fmt = "CASE " + " ".join(f"WHEN {x} THEN '{f}'" for f, x in fits) + " END"
+    num = f"(SELECT avg(CAST(TRY_CAST(trim(v) AS DOUBLE) IS NOT NULL AS INTEGER)) > 0.8 FROM {sample})"
+    kind = "'numeric'" if numeric else (f"CASE WHEN {fmt} IS NOT NULL THEN 'datetime' WHEN {num} THEN 'numeric_string' "
+                                        f"WHEN count(DISTINCT {expr}) < 50 THEN 'categorical' ELSE 'text' END")
+    return (f"SELECT '{name}' AS \"column\", CASE WHEN count({expr}) < 100 THEN 'insufficient_data' ELSE {kind} END AS kind, "
+            f"{'NULL' if numeric else f'CASE WHEN count({expr}) >= 100 THEN {fmt} END'} AS date_format, "
+            f"count({expr}) AS non_null, count(DISTINCT {expr}) AS distinct_count FROM {table}")
+
+
+@reg.add("d1_column_kinds", " UNION ALL ".join([
+    *[_d1_sql(c, "documents", c, "doc_id", c == "n_chars") for c in ("lang", "source", "text", "n_chars")],
+    _d1_sql("ts_text", "events", "strftime(ts, '%Y-%m-%d %H:%M:%S')", "ts, event_id"),
+    _d1_sql("v_text", "events", "CAST(value AS VARCHAR)", "ts, event_id"),
+    _d1_sql("event_type", "events", "event_type", "ts, event_id"), _d1_sql("props", "events", "props", "ts, event_id")]))
 def d1(spark, sf):
     d_ = load(spark, sf, "documents")
     e = load(spark, sf, "events")
@@ -401,10 +418,22 @@ def d11(spark, sf):
     return info["distribution"]
 
 
-@reg.add("d9_available_normalizers")
+def _d9_text_sql(name, expr):
+    num = f"count_if(TRY_CAST(trim({expr}) AS DOUBLE) IS NOT NULL) > count({expr}) * 0.5"
+    text, every = "LOWER,STRIP,LABEL_ENCODING,ONE_HOT", ",".join(NUMERIC_METHODS) + ",LOWER,STRIP,LABEL_ENCODING,ONE_HOT"
+    top = (f"(SELECT string_agg(v, ',' ORDER BY n DESC, v) FROM (SELECT {expr} AS v, count(*) AS n FROM events "
+           f"WHERE {expr} IS NOT NULL GROUP BY 1 ORDER BY n DESC, v LIMIT 3))")
+    return (f"SELECT '{name}', CASE WHEN {num} THEN 'numeric' ELSE 'text' END, CASE WHEN {num} THEN '{every}' ELSE '{text}' END, "
+            f"NULL, NULL, NULL, NULL, count(DISTINCT {expr}), {top} FROM events")
+
+
+@reg.add("d9_available_normalizers", f"""SELECT 'value' AS "column", 'numeric' AS kind, '{",".join(NUMERIC_METHODS)}' AS methods,
+    {R('avg(value)')} AS mean, {R('stddev_samp(value)')} AS std, {R('min(value)')} AS min, {R('max(value)')} AS max,
+    CAST(NULL AS BIGINT) AS distinct_count, CAST(NULL AS VARCHAR) AS top3 FROM events
+    UNION ALL {_d9_text_sql("event_type", "event_type")} UNION ALL {_d9_text_sql("uid_text", "CAST(user_id AS VARCHAR)")}""")
 def d9(spark, sf):
     e = load(spark, sf, "events").select("value", "event_type", F.col("user_id").cast("string").alias("uid_text"))
-    return REP.available_normalizers(e)
+    return REP.available_normalizers(e).withColumns({c: rnd(c) for c in ("mean", "std", "min", "max")})
 
 
 @reg.add("z16_chain_preview", f"""WITH a AS (SELECT *, {R("(l_quantity - min(l_quantity) OVER ()) / (max(l_quantity) OVER () - min(l_quantity) OVER ())")} AS q

@@ -84,7 +84,7 @@ def without(df: DataFrame, names: list[str]) -> DataFrame:
 def text_key(text: Column) -> list[Column]:
     """A 128-bit key of a text as two longs; null and the empty text are one key."""
     t = F.coalesce(text, F.lit(""))
-    return [F.xxhash64(t).alias("_k1"), F.xxhash64(F.lit(0x5EED), t).alias("_k2")]
+    return [F.xxhash64(t).alias("_c_k1"), F.xxhash64(F.lit(0x5EED), t).alias("_c_k2")]
 
 
 def steps(texts: list, size: int = STEP_BYTES):

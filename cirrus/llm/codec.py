@@ -26,7 +26,7 @@ from . import base
 from .bpe import BLANK, EDGE, Codec, classes, token_starts
 
 CHUNK_CHARS, OVERLAP_CHARS = 32768, 1024
-_KEYS = T.StructType([T.StructField("_k1", T.LongType()), T.StructField("_k2", T.LongType())])
+_KEYS = T.StructType([T.StructField("_c_k1", T.LongType()), T.StructField("_c_k2", T.LongType())])
 
 
 def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids",
@@ -50,7 +50,7 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids",
 
     found = long_ids(long, vocabulary, text, ids, chunk_chars, overlap_chars)
     k1, k2 = base.text_key(base.quoted(text))
-    joined = long.withColumns({"_k1": k1, "_k2": k2}).join(found, ["_k1", "_k2"]).select(*(base.quoted(c) for c in schema.names))
+    joined = long.withColumns({"_c_k1": k1, "_c_k2": k2}).join(found, ["_c_k1", "_c_k2"]).select(*(base.quoted(c) for c in schema.names))
     return here.mapInArrow(short, schema).unionByName(joined)
 
 
@@ -62,40 +62,40 @@ def split_long(df: DataFrame, text: str, chunk_chars: int) -> tuple[DataFrame, D
 
 def long_ids(df: DataFrame, vocabulary: str, text: str, ids: str = "ids",
              chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS) -> DataFrame:
-    """One row (_k1, _k2, ids) for each distinct text of `df`, by overlapping chunks."""
-    texts = df.select(*base.text_key(base.quoted(text)), base.quoted(text).alias("_text")).groupBy("_k1", "_k2").agg(F.any_value("_text").alias("_text"))
+    """One row (_c_k1, _c_k2, ids) for each distinct text of `df`, by overlapping chunks."""
+    texts = df.select(*base.text_key(base.quoted(text)), base.quoted(text).alias("_c_text")).groupBy("_c_k1", "_c_k2").agg(F.any_value("_c_text").alias("_c_text"))
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                whole = row["_text"]
+                whole = row["_c_text"]
                 for i, a in enumerate(range(0, max(1, len(whole) - overlap_chars), chunk_chars)):
-                    yield pa.RecordBatch.from_pylist([{"_k1": row["_k1"], "_k2": row["_k2"], "_i": i, "_chunk": whole[a : a + chunk_chars + overlap_chars]}])
+                    yield pa.RecordBatch.from_pylist([{"_c_k1": row["_c_k1"], "_c_k2": row["_c_k2"], "_i": i, "_chunk": whole[a : a + chunk_chars + overlap_chars]}])
 
     def boundaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.to_pylist()
             cuts = [safe_cuts(r["_chunk"]) + r["_i"] * chunk_chars for r in rows]
             keep = [c[(c < r["_i"] * chunk_chars + overlap_chars) | (c >= (r["_i"] + 1) * chunk_chars)] for r, c in zip(rows, cuts)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array([k.tolist() for k in keep], pa.list_(pa.int64()))], names=["_k1", "_k2", "_i", "_cuts"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array([k.tolist() for k in keep], pa.list_(pa.int64()))], names=["_c_k1", "_c_k2", "_i", "_cuts"])
 
-    parts = texts.mapInArrow(chunks, T.StructType([*_KEYS.fields, T.StructField("_i", T.LongType()), T.StructField("_chunk", T.StringType())])).repartition("_k1", "_k2", "_i")
+    parts = texts.mapInArrow(chunks, T.StructType([*_KEYS.fields, T.StructField("_i", T.LongType()), T.StructField("_chunk", T.StringType())])).repartition("_c_k1", "_c_k2", "_i")
     found = parts.mapInArrow(boundaries, T.StructType([*_KEYS.fields, T.StructField("_i", T.LongType()), T.StructField("_cuts", T.ArrayType(T.LongType()))]))
     # a boundary in the overlap of chunks i and i + 1 that both report; the last one of each overlap
     both = (
-        found.select("_k1", "_k2", "_i", F.explode("_cuts").alias("_cut"))
+        found.select("_c_k1", "_c_k2", "_i", F.explode("_cuts").alias("_cut"))
         .withColumn("_lap", F.floor(F.col("_cut") / chunk_chars))
-        .groupBy("_k1", "_k2", "_lap", "_cut").agg(F.count("*").alias("_n")).where("_n = 2")
-        .groupBy("_k1", "_k2", "_lap").agg(F.max("_cut").alias("_cut"))
-        .groupBy("_k1", "_k2").agg(F.sort_array(F.collect_list("_cut")).alias("_cuts"))
+        .groupBy("_c_k1", "_c_k2", "_lap", "_cut").agg(F.count("*").alias("_c_n")).where("_c_n = 2")
+        .groupBy("_c_k1", "_c_k2", "_lap").agg(F.max("_cut").alias("_cut"))
+        .groupBy("_c_k1", "_c_k2").agg(F.sort_array(F.collect_list("_cut")).alias("_cuts"))
     )
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                whole, at = row["_text"], [0, *(row["_cuts"] or [])]
+                whole, at = row["_c_text"], [0, *(row["_cuts"] or [])]
                 for i, (a, b) in enumerate(zip(at, [*at[1:], len(whole)])):
-                    yield pa.RecordBatch.from_pylist([{"_k1": row["_k1"], "_k2": row["_k2"], "_i": i, "_piece": whole[a:b]}])
+                    yield pa.RecordBatch.from_pylist([{"_c_k1": row["_c_k1"], "_c_k2": row["_c_k2"], "_i": i, "_piece": whole[a:b]}])
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(vocabulary)
@@ -103,12 +103,12 @@ def long_ids(df: DataFrame, vocabulary: str, text: str, ids: str = "ids",
             texts = batch.column(3).to_pylist()
             for a, b in base.steps(texts):
                 got, offsets = codec.encode(texts[a:b])
-                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns[:3], base.list_array(got, offsets)], names=["_k1", "_k2", "_i", "_ids"])
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns[:3], base.list_array(got, offsets)], names=["_c_k1", "_c_k2", "_i", "_c_ids"])
 
-    cut = texts.join(both, ["_k1", "_k2"], "left").mapInArrow(pieces, T.StructType([*_KEYS.fields, T.StructField("_i", T.LongType()), T.StructField("_piece", T.StringType())])).repartition("_k1", "_k2", "_i")
-    out = cut.mapInArrow(encoded, T.StructType([*_KEYS.fields, T.StructField("_i", T.LongType()), T.StructField("_ids", T.ArrayType(T.IntegerType()))]))
-    gathered = out.groupBy("_k1", "_k2").agg(F.sort_array(F.collect_list(F.struct("_i", "_ids"))).alias("_all"))
-    return gathered.select("_k1", "_k2", F.flatten(F.col("_all._ids")).alias(ids))
+    cut = texts.join(both, ["_c_k1", "_c_k2"], "left").mapInArrow(pieces, T.StructType([*_KEYS.fields, T.StructField("_i", T.LongType()), T.StructField("_piece", T.StringType())])).repartition("_c_k1", "_c_k2", "_i")
+    out = cut.mapInArrow(encoded, T.StructType([*_KEYS.fields, T.StructField("_i", T.LongType()), T.StructField("_c_ids", T.ArrayType(T.IntegerType()))]))
+    gathered = out.groupBy("_c_k1", "_c_k2").agg(F.sort_array(F.collect_list(F.struct("_i", "_c_ids"))).alias("_all"))
+    return gathered.select("_c_k1", "_c_k2", F.flatten(F.col("_all._c_ids")).alias(ids))
 
 
 def safe_cuts(chunk: str) -> np.ndarray:

@@ -108,13 +108,14 @@ def train(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang"
                     bucket, _ = subwords([t])
                     b, n = np.unique(bucket, return_counts=True)
                     if len(b):
-                        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([kind]), pa.array([b.astype(np.int32).tobytes()], pa.binary()), pa.array([n.astype(np.int32).tobytes()], pa.binary())], names=["lang", "kind", "bucket", "n"])
+                        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([kind]), pa.array([b.astype(np.int32).tobytes()], pa.binary()), pa.array([n.astype(np.float32).tobytes()], pa.binary())], names=["lang", "kind", "bucket", "n"])
 
     got = chosen.mapInArrow(features, "lang string, kind string, bucket binary, n binary").collect()
     names = sorted(counts)
     data = sorted((r["lang"], r["kind"], bytes(r["bucket"]), bytes(r["n"])) for r in got)
+    del got
     order = np.random.default_rng(seed).permutation(len(data))
-    examples = [(names.index(data[i][0]), data[i][1], np.frombuffer(data[i][2], np.int32), np.frombuffer(data[i][3], np.int32).astype(np.float32)) for i in order]
+    examples = [(names.index(data[i][0]), data[i][1], np.frombuffer(data[i][2], np.int32), np.frombuffer(data[i][3], np.float32)) for i in order]
     return _descend(examples, names, epochs, max_rejected, seed)
 
 

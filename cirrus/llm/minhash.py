@@ -76,7 +76,7 @@ def min_max(h: np.ndarray, begin: np.ndarray, bands: int, values: int, seed: int
 
 
 def signatures(df: DataFrame, size: int, bands: int, values: int) -> DataFrame:
-    """`df` (_id, _k, _text) to (_id, _k, _n, _bytes, _bands): size of the set and band hashes."""
+    """`df` (_id, _c_k, _c_text) to (_id, _c_k, _c_n, _bytes, _bands): size of the set and band hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -89,9 +89,9 @@ def signatures(df: DataFrame, size: int, bands: int, values: int) -> DataFrame:
                 got = min_max(h, begin, bands, values) if len(begin) else np.zeros((0, bands), np.int64)
                 offsets = np.append(0, np.cumsum(some * bands))
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n.astype(np.int64)), pa.array([len(t or b"") for t in texts[a:b]], pa.int64()), base.list_array(got.ravel(), offsets)], names=["_id", "_k", "_n", "_bytes", "_bands"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n.astype(np.int64)), pa.array([len(t or b"") for t in texts[a:b]], pa.int64()), base.list_array(got.ravel(), offsets)], names=["_id", "_c_k", "_c_n", "_bytes", "_bands"])
 
-    schema = T.StructType([df.schema["_id"], T.StructField("_k", _BIN), T.StructField("_n", _LONG), T.StructField("_bytes", _LONG), T.StructField("_bands", T.ArrayType(_LONG))])
+    schema = T.StructType([df.schema["_id"], T.StructField("_c_k", _BIN), T.StructField("_c_n", _LONG), T.StructField("_bytes", _LONG), T.StructField("_bands", T.ArrayType(_LONG))])
     return df.mapInArrow(run, schema)
 
 
@@ -157,13 +157,13 @@ def spanning_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]
 
 
 def confirmed(cand: DataFrame, size: int, percent: int, block_rows: int, block_bytes: int) -> DataFrame:
-    """(u, v): links that span the classes, from candidates (_k, _text, _c, _rows, _all), _rows and
+    """(u, v): links that span the classes, from candidates (_c_k, _c_text, _c, _rows, _all), _rows and
     _all being the number and bytes of the texts of the cluster _c."""
     blocks = F.greatest(F.ceil(F.col("_rows") / block_rows), F.ceil(F.col("_all") / block_bytes)).cast("int")
-    block = F.pmod(F.xxhash64("_k"), blocks).cast("int")
-    rows = cand.withColumns({"_n": blocks, "_b": block})
-    other = F.explode(F.when(F.col("_n") == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("_n") - 1), F.col("_b"))))
-    rows = rows.select("_k", "_text", "_c", "_b", other.alias("_o")).select("_c", F.least("_b", "_o").alias("_x"), F.greatest("_b", "_o").alias("_y"), "_k", "_text")
+    block = F.pmod(F.xxhash64("_c_k"), blocks).cast("int")
+    rows = cand.withColumns({"_c_n": blocks, "_b": block})
+    other = F.explode(F.when(F.col("_c_n") == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("_c_n") - 1), F.col("_b"))))
+    rows = rows.select("_c_k", "_c_text", "_c", "_b", other.alias("_o")).select("_c", F.least("_b", "_o").alias("_x"), F.greatest("_b", "_o").alias("_y"), "_c_k", "_c_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in groups(batches, 3):
@@ -172,7 +172,7 @@ def confirmed(cand: DataFrame, size: int, percent: int, block_rows: int, block_b
             if pairs:
                 yield pa.RecordBatch.from_arrays([pa.array([group[i][3] for i, _ in pairs], pa.binary()), pa.array([group[j][3] for _, j in pairs], pa.binary())], names=["u", "v"])
 
-    rows = rows.withColumn("_text", F.col("_text").cast("binary")).repartition("_c", "_x", "_y").sortWithinPartitions("_c", "_x", "_y")
+    rows = rows.withColumn("_c_text", F.col("_c_text").cast("binary")).repartition("_c", "_x", "_y").sortWithinPartitions("_c", "_x", "_y")
     return rows.mapInArrow(run, T.StructType([T.StructField("u", _BIN), T.StructField("v", _BIN)]))
 
 
@@ -190,29 +190,29 @@ def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]
 
 
 def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT, bands: int = BANDS, values: int = VALUES, block_rows: int = BLOCK_ROWS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row for each distinct text: _k, n_shingles and component_id (null where the text has
+    """One row for each distinct text: _c_k, n_shingles and component_id (null where the text has
     no words: such a document is its own class)."""
     base.ready(df.sparkSession)
-    docs = df.select(base.quoted(doc_id).alias("_id"), _key(text).alias("_k"), base.quoted(text).alias("_text"))
+    docs = df.select(base.quoted(doc_id).alias("_id"), _key(text).alias("_c_k"), base.quoted(text).alias("_c_text"))
     made = signatures(docs, size, bands, values)
-    one = base.hold(made.groupBy("_k").agg(F.min("_id").alias("_low"), F.any_value("_n").alias("_n"), F.any_value("_bytes").alias("_bytes"), F.any_value("_bands").alias("_bands")), "signatures")
-    rows = one.select(F.explode("_bands").alias("_b"), "_k")
+    one = base.hold(made.groupBy("_c_k").agg(F.min("_id").alias("_c_low"), F.any_value("_c_n").alias("_c_n"), F.any_value("_bytes").alias("_bytes"), F.any_value("_bands").alias("_bands")), "signatures")
+    rows = one.select(F.explode("_bands").alias("_b"), "_c_k")
     several = rows.groupBy("_b").agg(F.count("*").alias("_m")).where("_m > 1").select("_b")
     shared = base.hold(rows.join(several, "_b"), "shared-bands")
-    star = shared.groupBy("_b").agg(F.min("_k").alias("v"))
-    edges = shared.join(star, "_b").where("_k <> v").select(F.col("_k").alias("u"), "v").distinct()
-    clusters = base.components(edges).select(F.col("node").alias("_k"), F.col("root").alias("_c"))
-    clusters = base.hold(clusters.join(one.select("_k", "_bytes"), "_k"), "clusters")
+    star = shared.groupBy("_b").agg(F.min("_c_k").alias("v"))
+    edges = shared.join(star, "_b").where("_c_k <> v").select(F.col("_c_k").alias("u"), "v").distinct()
+    clusters = base.components(edges).select(F.col("node").alias("_c_k"), F.col("root").alias("_c"))
+    clusters = base.hold(clusters.join(one.select("_c_k", "_bytes"), "_c_k"), "clusters")
     base.release(shared)
     weight = clusters.groupBy("_c").agg(F.count("*").alias("_rows"), F.sum("_bytes").alias("_all"))
-    texts = docs.where("_text is not null").groupBy("_k").agg(F.any_value("_text").alias("_text"))
-    cand = clusters.drop("_bytes").join(weight, "_c").join(texts, "_k")
+    texts = docs.where("_c_text is not null").groupBy("_c_k").agg(F.any_value("_c_text").alias("_c_text"))
+    cand = clusters.drop("_bytes").join(weight, "_c").join(texts, "_c_k")
     links = base.hold(confirmed(cand, size, percent, block_rows, block_bytes), "links")
-    root = base.components(links).select(F.col("node").alias("_k"), F.col("root").alias("_root"))
+    root = base.components(links).select(F.col("node").alias("_c_k"), F.col("root").alias("_c_root"))
     base.release(links)
-    low = one.select("_k", "_low", "_n").join(root, "_k", "left").withColumn("_root", F.coalesce("_root", "_k"))
-    least = low.groupBy("_root").agg(F.min("_low").alias("component_id"))
-    return low.join(least, "_root").select("_k", F.col("_n").alias("n_shingles"), F.when(F.col("_n") > 0, F.col("component_id")).alias("component_id"))
+    low = one.select("_c_k", "_c_low", "_c_n").join(root, "_c_k", "left").withColumn("_c_root", F.coalesce("_c_root", "_c_k"))
+    least = low.groupBy("_c_root").agg(F.min("_c_low").alias("component_id"))
+    return low.join(least, "_c_root").select("_c_k", F.col("_c_n").alias("n_shingles"), F.when(F.col("_c_n") > 0, F.col("component_id")).alias("component_id"))
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -220,7 +220,7 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", *
     is that one). Clashing columns are replaced; copies are classed like their text."""
     source = base.without(df, ["n_shingles", "component_id", "kept"])
     found = base.hold(classes(source, doc_id, text, **options), "classes")
-    rows = source.withColumn("_k", _key(text)).join(found, "_k")
+    rows = source.withColumn("_c_k", _key(text)).join(found, "_c_k")
     own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(base.quoted(doc_id))
     return rows.select(*(base.quoted(c) for c in source.columns), "n_shingles", own.alias("component_id"), base.quoted(doc_id).eqNullSafe(own).alias("kept"))
 
@@ -229,6 +229,6 @@ def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **option
     """The rows of `df` with the smallest id of each class, its columns unchanged; of rows
     with one id and equal texts, one. Texts without words stay."""
     found = base.hold(classes(df, doc_id, text, **options), "classes")
-    rows = df.withColumn("_k", _key(text)).join(found.select("_k", F.col("n_shingles").alias("_n"), F.col("component_id").alias("_low")), "_k")
-    rows = rows.where((F.col("_n") == 0) | base.quoted(doc_id).eqNullSafe(F.col("_low")))
-    return rows.dropDuplicates(["_k", doc_id]).select(*(base.quoted(c) for c in df.columns))
+    rows = df.withColumn("_c_k", _key(text)).join(found.select("_c_k", F.col("n_shingles").alias("_c_n"), F.col("component_id").alias("_c_low")), "_c_k")
+    rows = rows.where((F.col("_c_n") == 0) | base.quoted(doc_id).eqNullSafe(F.col("_c_low")))
+    return rows.dropDuplicates(["_c_k", doc_id]).select(*(base.quoted(c) for c in df.columns))

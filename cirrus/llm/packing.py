@@ -35,7 +35,7 @@ def token_pieces(df: DataFrame, vocabulary: str, text: str = "text", capacity: i
     made = ["piece", "start", "length", "ids_crc32"]
     kept = base.without(df, [text, *made]).columns
     schema = T.StructType([*(f for f in df.schema.fields if f.name in kept), T.StructField("piece", T.IntegerType()), *(T.StructField(n, _LONG) for n in made[1:])])
-    df = df.select(*(base.quoted(c) for c in kept), base.quoted(text).alias("_text"))
+    df = df.select(*(base.quoted(c) for c in kept), base.quoted(text).alias("_c_text"))
 
     def cut(part: pa.RecordBatch, ids: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
         row, piece, start, length, crc = [], [], [], [], []
@@ -62,10 +62,10 @@ def token_pieces(df: DataFrame, vocabulary: str, text: str = "text", capacity: i
                 ids = batch.column(len(kept)).slice(i, 1).flatten().to_numpy()
                 yield cut(batch.slice(i, 1), ids, np.array([0, len(ids)]))
 
-    here, rest = codec.split_long(df, "_text", chunk_chars)
-    k1, k2 = base.text_key(F.col("_text"))
-    ids = codec.long_ids(rest, vocabulary, "_text", "_ids", chunk_chars)
-    rest = rest.withColumns({"_k1": k1, "_k2": k2}).join(ids, ["_k1", "_k2"]).select(*(base.quoted(c) for c in kept), "_ids")
+    here, rest = codec.split_long(df, "_c_text", chunk_chars)
+    k1, k2 = base.text_key(F.col("_c_text"))
+    ids = codec.long_ids(rest, vocabulary, "_c_text", "_c_ids", chunk_chars)
+    rest = rest.withColumns({"_c_k1": k1, "_c_k2": k2}).join(ids, ["_c_k1", "_c_k2"]).select(*(base.quoted(c) for c in kept), "_c_ids")
     return here.mapInArrow(short, schema).unionByName(rest.mapInArrow(long, schema))
 
 
@@ -127,7 +127,7 @@ def pack(pieces: DataFrame, length: str = "length", capacity: int = CAPACITY,
     made = ["sequence_id", "offset", "bins", "bound"]
     pieces = base.without(pieces, made)
     names = pieces.columns
-    schema = T.StructType([*pieces.schema.fields, *(T.StructField(n, _LONG) for n in made), T.StructField("_full", T.BooleanType())])
+    schema = T.StructType([*pieces.schema.fields, *(T.StructField(n, _LONG) for n in made), T.StructField("_c_full", T.BooleanType())])
 
     def packed(turn: int):
         def one(key, group):
@@ -137,8 +137,8 @@ def pack(pieces: DataFrame, length: str = "length", capacity: int = CAPACITY,
             bins, offsets = best_fit_decreasing(size, capacity)
             used, bound = int(bins.max()) + 1, lower_bound(size, capacity)
             full = np.bincount(bins, size)[bins] == capacity
-            group = group.drop(columns="_shard")
-            return group.assign(sequence_id=(turn << 54) + (int(key[0]) << 24) + bins, offset=offsets, bins=used, bound=bound, _full=full | (used == bound))
+            group = group.drop(columns="_c_shard")
+            return group.assign(sequence_id=(turn << 54) + (int(key[0]) << 24) + bins, offset=offsets, bins=used, bound=bound, _c_full=full | (used == bound))
         return one
 
     pool, done, before = base.hold(pieces, "pieces"), [], None
@@ -146,8 +146,8 @@ def pack(pieces: DataFrame, length: str = "length", capacity: int = CAPACITY,
         n = pool.count()
         shards = max(1, -(-n // partition_rows))
         deal = F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(turn)), F.lit(shards))
-        out = base.hold(pool.withColumn("_shard", deal).groupBy("_shard").applyInPandas(packed(turn), schema), "packed")
-        open_ = out.where("not _full")
+        out = base.hold(pool.withColumn("_c_shard", deal).groupBy("_c_shard").applyInPandas(packed(turn), schema), "packed")
+        open_ = out.where("not _c_full")
         left = open_.agg(F.countDistinct("sequence_id"), F.coalesce(F.sum(length), F.lit(0))).first()
         new = out.agg(F.countDistinct("sequence_id")).first()[0]
         if before is not None and new >= before[0]:  # no better than the bins it came from
@@ -156,9 +156,9 @@ def pack(pieces: DataFrame, length: str = "length", capacity: int = CAPACITY,
         if shards == 1 or turn == rounds - 1 or left[0] <= -(-left[1] // capacity):
             done.append(out)
             break
-        done.append(out.where("_full"))
+        done.append(out.where("_c_full"))
         before, pool = (left[0], open_), base.hold(open_.select(*(base.quoted(c) for c in names)), "pool")
     result = done[0]
     for part in done[1:]:
         result = result.unionByName(part)
-    return result.drop("_full")
+    return result.drop("_c_full")

@@ -53,11 +53,11 @@ def _smallest(ends: np.ndarray, solid: np.ndarray, shards: int) -> int:
 
 
 def minimax_cuts(atoms: DataFrame, shards: int, first_bits: int = FIRST_BITS, more_bits: int = MORE_BITS) -> tuple[list[int], int]:
-    """First hash of each shard but the first, and the capacity, for `atoms` (_g, _size), _g unique."""
+    """First hash of each shard but the first, and the capacity, for `atoms` (_c_g, _size), _c_g unique."""
 
     def ranges(bits: int, where: Column | None = None) -> list[tuple[int, int, int, int]]:
         df = atoms if where is None else atoms.where(where)
-        rows = df.groupBy(F.shiftright("_g", 64 - bits).alias("v") if bits < 64 else F.col("_g").alias("v")).agg(F.sum("_size").alias("s"), F.count("*").alias("n")).collect()
+        rows = df.groupBy(F.shiftright("_c_g", 64 - bits).alias("v") if bits < 64 else F.col("_c_g").alias("v")).agg(F.sum("_size").alias("s"), F.count("*").alias("n")).collect()
         return [(r.v << (64 - bits), bits, r.s, r.n) for r in rows]
 
     now = sorted(ranges(first_bits))
@@ -81,7 +81,7 @@ def minimax_cuts(atoms: DataFrame, shards: int, first_bits: int = FIRST_BITS, mo
         split, keep = [r for r, m in zip(now, mark) if m], [r for r, m in zip(now, mark) if not m]
         for bits in {r[1] for r in split}:
             own = [r[0] >> (64 - bits) for r in split if r[1] == bits]
-            keep += ranges(min(64, bits + more_bits), F.shiftright("_g", 64 - bits).isin(own))
+            keep += ranges(min(64, bits + more_bits), F.shiftright("_c_g", 64 - bits).isin(own))
         now = sorted(keep)
     cuts = _greedy(ends, np.ones(len(now), bool), high, shards)
     return [now[int(np.searchsorted(ends, c, "left")) + 1][0] for c in cuts[:-1]], high
@@ -95,24 +95,24 @@ def shard(df: DataFrame, size: Column, group: Column, shards: int, keep: list[st
     spark = base.ready(df.sparkSession)
     made = ["size", "shard", "slot"]
     kept = base.without(df if keep is None else df.select(*(base.quoted(c) for c in keep)), made).columns
-    rows = df.select(*(base.quoted(c) for c in kept), size.cast("long").alias("size"), F.xxhash64(F.coalesce(group.cast("string"), F.lit(""))).alias("_g"))
-    atoms = base.hold(rows.groupBy("_g").agg(F.sum("size").alias("_size")), "atoms")
+    rows = df.select(*(base.quoted(c) for c in kept), size.cast("long").alias("size"), F.xxhash64(F.coalesce(group.cast("string"), F.lit(""))).alias("_c_g"))
+    atoms = base.hold(rows.groupBy("_c_g").agg(F.sum("size").alias("_size")), "atoms")
     cuts, _ = minimax_cuts(atoms, shards)
     base.release(atoms)
     number = F.lit(0)
     for cut in cuts:
-        number = number + (F.col("_g") >= F.lit(cut)).cast("int")
+        number = number + (F.col("_c_g") >= F.lit(cut)).cast("int")
     # slots: rows are written with the rows of a shard together; a file's rows of one shard
     # then follow each other, and the shard's counts in the files before it are the offset
-    held = base.hold(rows.withColumn("shard", number).sortWithinPartitions("shard", "_g").drop("_g"), "sharded")
-    rows = held.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-    runs = rows.groupBy("shard", "_file").agg(F.min("_row").alias("_from"), F.count("*").alias("_n"))
-    before = F.sum("_n").over(_before())
-    runs = runs.select("shard", "_file", (F.coalesce(before, F.lit(0)) - F.col("_from")).alias("_shift"))
-    return rows.join(runs, ["shard", "_file"]).select(*(base.quoted(c) for c in kept), "size", "shard", (F.col("_row") + F.col("_shift")).alias("slot"))
+    held = base.hold(rows.withColumn("shard", number).sortWithinPartitions("shard", "_c_g").drop("_c_g"), "sharded")
+    rows = held.select("*", F.col("_metadata.file_path").alias("_c_file"), F.col("_metadata.row_index").alias("_c_row"))
+    runs = rows.groupBy("shard", "_c_file").agg(F.min("_c_row").alias("_from"), F.count("*").alias("_c_n"))
+    before = F.sum("_c_n").over(_before())
+    runs = runs.select("shard", "_c_file", (F.coalesce(before, F.lit(0)) - F.col("_from")).alias("_c_shift"))
+    return rows.join(runs, ["shard", "_c_file"]).select(*(base.quoted(c) for c in kept), "size", "shard", (F.col("_c_row") + F.col("_c_shift")).alias("slot"))
 
 
 def _before():
     from pyspark.sql import Window
 
-    return Window.partitionBy("shard").orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    return Window.partitionBy("shard").orderBy("_c_file").rowsBetween(Window.unboundedPreceding, -1)

@@ -61,7 +61,7 @@ def _runs(values: np.ndarray) -> np.ndarray:
 
 
 def anchor_rows(df: DataFrame, window: int, phrase: int) -> DataFrame:
-    """(_h, _k1, _pos): the anchors of the texts (_k1, _text); copies within a partition once."""
+    """(_h, _c_k1, _pos): the anchors of the texts (_c_k1, _c_text); copies within a partition once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
@@ -77,13 +77,13 @@ def anchor_rows(df: DataFrame, window: int, phrase: int) -> DataFrame:
                 k = _runs(anchor)
                 at, whose = anchor[k], owner[k]
                 key = np.array([keys[i] for i in new[a:b]], np.int64)[whose]
-                yield pa.RecordBatch.from_arrays([pa.array(grams[at].view(np.int64)), pa.array(key), pa.array((at - first[whose]).astype(np.int32))], names=["_h", "_k1", "_pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(grams[at].view(np.int64)), pa.array(key), pa.array((at - first[whose]).astype(np.int32))], names=["_h", "_c_k1", "_pos"])
 
-    return df.mapInArrow(run, _struct(_h=_LONG, _k1=_LONG, _pos=T.IntegerType()))
+    return df.mapInArrow(run, _struct(_h=_LONG, _c_k1=_LONG, _pos=T.IntegerType()))
 
 
 def _excerpts(batch: pa.RecordBatch, window: int, phrase: int, hot: bool):
-    """For the texts of a batch (_k1, _k2, _text, _marks), runs of windows with one marked
+    """For the texts of a batch (_c_k1, _c_k2, _c_text, _marks), runs of windows with one marked
     anchor: index of the text, hash, first window, number of windows, and their words."""
     texts = base.byte_texts(batch.column(2))
     marks = batch.column(3)
@@ -105,7 +105,7 @@ def _excerpts(batch: pa.RecordBatch, window: int, phrase: int, hot: bool):
 
 
 def excerpt_rows(cand: DataFrame, window: int, phrase: int) -> DataFrame:
-    """(_h, _k1, _k2, _at, _words): the excerpt of each marked anchor that is not hot."""
+    """(_h, _c_k1, _c_k2, _at, _words): the excerpt of each marked anchor that is not hot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,9 +113,9 @@ def excerpt_rows(cand: DataFrame, window: int, phrase: int) -> DataFrame:
             for a, flat, starts, ends, first, at, owner, h, n in _excerpts(batch, window, phrase, False):
                 to = at + n - 1 + window
                 said = [flat[x:y] for x, y in zip(starts[at].tolist(), ends[to - 1].tolist())] if len(at) else []
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(k1[a + owner]), pa.array(k2[a + owner]), pa.array(at - first[owner]), pa.array(said, pa.binary())], names=["_h", "_k1", "_k2", "_at", "_words"])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(k1[a + owner]), pa.array(k2[a + owner]), pa.array(at - first[owner]), pa.array(said, pa.binary())], names=["_h", "_c_k1", "_c_k2", "_at", "_words"])
 
-    return cand.mapInArrow(run, _struct(_h=_LONG, _k1=_LONG, _k2=_LONG, _at=_LONG, _words=_BIN))
+    return cand.mapInArrow(run, _struct(_h=_LONG, _c_k1=_LONG, _c_k2=_LONG, _at=_LONG, _words=_BIN))
 
 
 def locate(rows: list[tuple[int, bytes]], window: int) -> list[tuple[int, int, int]]:
@@ -162,7 +162,7 @@ def locate(rows: list[tuple[int, bytes]], window: int) -> list[tuple[int, int, i
 
 
 def located_rows(excerpts: DataFrame, window: int, shard_rows: int) -> DataFrame:
-    """(_k1, _k2, _a, _b): spans of words to remove, from excerpts dealt by anchor."""
+    """(_c_k1, _c_k2, _a, _b): spans of words to remove, from excerpts dealt by anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -170,7 +170,7 @@ def located_rows(excerpts: DataFrame, window: int, shard_rows: int) -> DataFrame
         def shard(rows: list[tuple]) -> pa.RecordBatch:
             found = locate([(r[0], r[4]) for r in rows], window)
             columns = [[rows[i][1] for i, _, _ in found], [rows[i][2] for i, _, _ in found], [rows[i][3] + a for i, a, _ in found], [rows[i][3] + b for i, _, b in found]]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["_k1", "_k2", "_a", "_b"])
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["_c_k1", "_c_k2", "_a", "_b"])
 
         for batch in batches:
             held += zip(*(c.to_pylist() for c in batch.columns))
@@ -185,11 +185,11 @@ def located_rows(excerpts: DataFrame, window: int, shard_rows: int) -> DataFrame
         if held:
             yield shard(held)
 
-    return excerpts.repartition("_h").sortWithinPartitions("_h").mapInArrow(run, _struct(_k1=_LONG, _k2=_LONG, _a=_LONG, _b=_LONG))
+    return excerpts.repartition("_h").sortWithinPartitions("_h").mapInArrow(run, _struct(_c_k1=_LONG, _c_k2=_LONG, _a=_LONG, _b=_LONG))
 
 
 def hot_rows(cand: DataFrame, window: int, phrase: int) -> DataFrame:
-    """(_k1, _k2, _a, _b) of the recurring windows whose anchor is hot."""
+    """(_c_k1, _c_k2, _a, _b) of the recurring windows whose anchor is hot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,30 +198,30 @@ def hot_rows(cand: DataFrame, window: int, phrase: int) -> DataFrame:
                 whose = np.repeat(owner, n)
                 place = np.repeat(at - np.cumsum(n) + n, n) + np.arange(n.sum())
                 said = [hashlib.blake2b(b" ".join(flat[x:y].split()), digest_size=16).digest() for x, y in zip(starts[place].tolist(), ends[place + window - 1].tolist())] if len(place) else []
-                yield pa.RecordBatch.from_arrays([pa.array(said, pa.binary()), pa.array(k1[a + whose]), pa.array(k2[a + whose]), pa.array(place - first[whose])], names=["_d", "_k1", "_k2", "_a"])
+                yield pa.RecordBatch.from_arrays([pa.array(said, pa.binary()), pa.array(k1[a + whose]), pa.array(k2[a + whose]), pa.array(place - first[whose])], names=["_d", "_c_k1", "_c_k2", "_a"])
 
-    rows = cand.where(F.exists("_marks", lambda m: m["_hot"])).mapInArrow(run, _struct(_d=_BIN, _k1=_LONG, _k2=_LONG, _a=_LONG))
-    again = rows.groupBy("_d").agg(F.count("*").alias("_n")).where("_n > 1").select("_d")
-    return rows.join(again, "_d").select("_k1", "_k2", "_a", (F.col("_a") + window).alias("_b"))
+    rows = cand.where(F.exists("_marks", lambda m: m["_hot"])).mapInArrow(run, _struct(_d=_BIN, _c_k1=_LONG, _c_k2=_LONG, _a=_LONG))
+    again = rows.groupBy("_d").agg(F.count("*").alias("_c_n")).where("_c_n > 1").select("_d")
+    return rows.join(again, "_d").select("_c_k1", "_c_k2", "_a", (F.col("_a") + window).alias("_b"))
 
 
 def recurring(df: DataFrame, text: str = "text", window: int = WINDOW, phrase: int = PHRASE, shard_rows: int = SHARD_ROWS, hot: int = HOT, with_text: bool = True) -> DataFrame:
-    """One row for each distinct text that recurs in part: _k1, _k2, n_words, n_removed,
+    """One row for each distinct text that recurs in part: _c_k1, _c_k2, n_words, n_removed,
     kept_sha256 and (with_text) kept_text, the words that stay joined by one space."""
     base.ready(df.sparkSession)
-    docs = df.where(base.quoted(text).isNotNull()).select(*base.text_key(base.quoted(text)), base.quoted(text).alias("_text"))
-    anchors = base.hold(anchor_rows(docs.select("_k1", "_text"), window, phrase), "anchors")
-    seen = anchors.groupBy("_h").agg(F.count("*").alias("_n"), F.min("_k1").alias("_lo"), F.max("_k1").alias("_hi"), F.min("_pos").alias("_from"), F.max("_pos").alias("_to"))
+    docs = df.where(base.quoted(text).isNotNull()).select(*base.text_key(base.quoted(text)), base.quoted(text).alias("_c_text"))
+    anchors = base.hold(anchor_rows(docs.select("_c_k1", "_c_text"), window, phrase), "anchors")
+    seen = anchors.groupBy("_h").agg(F.count("*").alias("_n"), F.min("_c_k1").alias("_lo"), F.max("_c_k1").alias("_hi"), F.min("_pos").alias("_from"), F.max("_pos").alias("_to"))
     seen = seen.where("_lo <> _hi or _from <> _to").select("_h", (F.col("_n") > hot).alias("_hot"))
-    marks = anchors.join(seen, "_h").groupBy("_k1").agg(F.collect_set(F.struct("_pos", "_hot")).alias("_marks"))
-    texts = docs.groupBy("_k1", "_k2").agg(F.any_value("_text").alias("_text"))
-    cand = base.hold(texts.join(marks, "_k1").select("_k1", "_k2", "_text", "_marks"), "candidates")
+    marks = anchors.join(seen, "_h").groupBy("_c_k1").agg(F.collect_set(F.struct("_pos", "_hot")).alias("_marks"))
+    texts = docs.groupBy("_c_k1", "_c_k2").agg(F.any_value("_c_text").alias("_c_text"))
+    cand = base.hold(texts.join(marks, "_c_k1").select("_c_k1", "_c_k2", "_c_text", "_marks"), "candidates")
     base.release(anchors)
     spans = located_rows(excerpt_rows(cand, window, phrase), window, shard_rows)
     spans = spans.unionByName(hot_rows(cand, window, phrase))
-    spans = spans.groupBy("_k1", "_k2").agg(F.collect_list(F.struct("_a", "_b")).alias("_spans"))
-    done = cand.select("_k1", "_k2", "_text").join(spans, ["_k1", "_k2"])
-    names = ["_k1", "_k2", "n_words", "n_removed", "kept_sha256", *(["kept_text"] if with_text else [])]
+    spans = spans.groupBy("_c_k1", "_c_k2").agg(F.collect_list(F.struct("_a", "_b")).alias("_spans"))
+    done = cand.select("_c_k1", "_c_k2", "_c_text").join(spans, ["_c_k1", "_c_k2"])
+    names = ["_c_k1", "_c_k2", "n_words", "n_removed", "kept_sha256", *(["kept_text"] if with_text else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -240,24 +240,24 @@ def recurring(df: DataFrame, text: str = "text", window: int = WINDOW, phrase: i
             out = [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2]), pa.array(columns[3])] if rows else [pa.array([], k) for k in (pa.int64(), pa.int64(), pa.string(), pa.string())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *out][: len(names)], names=names)
 
-    kinds = dict(_k1=_LONG, _k2=_LONG, n_words=_LONG, n_removed=_LONG, kept_sha256=T.StringType(), kept_text=T.StringType())
+    kinds = dict(_c_k1=_LONG, _c_k2=_LONG, n_words=_LONG, n_removed=_LONG, kept_sha256=T.StringType(), kept_text=T.StringType())
     return done.mapInArrow(run, _struct(**{n: kinds[n] for n in names}))
 
 
 def copies(df: DataFrame, text: str = "text") -> DataFrame:
-    """(_k1, _k2) of the texts that more than one row has."""
+    """(_c_k1, _c_k2) of the texts that more than one row has."""
     rows = df.where(base.quoted(text).isNotNull()).select(*base.text_key(base.quoted(text)))
-    return rows.groupBy("_k1", "_k2").agg(F.count("*").alias("_n")).where("_n > 1").select("_k1", "_k2", F.lit(True).alias("_copied"))
+    return rows.groupBy("_c_k1", "_c_k2").agg(F.count("*").alias("_c_n")).where("_c_n > 1").select("_c_k1", "_c_k2", F.lit(True).alias("_c_copied"))
 
 
 def own_words(df: DataFrame, text: str = "text", replace: bool = False) -> DataFrame:
-    """`df` with _k1, _k2, _n and _sha: the count of words and the digest of all words joined
-    by a space; its text is dropped, or with `replace` kept as _text."""
-    keys = dict(zip(("_k1", "_k2"), base.text_key(base.quoted(text))))
+    """`df` with _c_k1, _c_k2, _c_n and _c_sha: the count of words and the digest of all words joined
+    by a space; its text is dropped, or with `replace` kept as _c_text."""
+    keys = dict(zip(("_c_k1", "_c_k2"), base.text_key(base.quoted(text))))
     rest = base.without(df, [text])
-    frame = df.withColumns(keys).select(*(base.quoted(c) for c in rest.columns), "_k1", "_k2", base.quoted(text).alias("_text"))
-    kept = T.StructType([f for f in frame.schema.fields if replace or f.name != "_text"])
-    schema = T.StructType([*kept.fields, T.StructField("_n", _LONG), T.StructField("_sha", T.StringType())])
+    frame = df.withColumns(keys).select(*(base.quoted(c) for c in rest.columns), "_c_k1", "_c_k2", base.quoted(text).alias("_c_text"))
+    kept = T.StructType([f for f in frame.schema.fields if replace or f.name != "_c_text"])
+    schema = T.StructType([*kept.fields, T.StructField("_c_n", _LONG), T.StructField("_c_sha", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -277,14 +277,15 @@ def remove(df: DataFrame, text: str = "text", window: int = WINDOW, phrase: int
     made = ["n_words", "n_removed", "kept_sha256"]
     source = base.without(df, made)
     found = recurring(source, text, window, phrase, shard_rows, hot, with_text)
-    rows = own_words(source, text, replace=with_text).join(found, ["_k1", "_k2"], "left").join(copies(source, text), ["_k1", "_k2"], "left")
+    found = found.select("_c_k1", "_c_k2", F.col("n_removed").alias("_c_removed"), F.col("kept_sha256").alias("_c_kept"), *([F.col("kept_text").alias("_c_stays")] if with_text else []))
+    rows = own_words(source, text, replace=with_text).join(found, ["_c_k1", "_c_k2"], "left").join(copies(source, text), ["_c_k1", "_c_k2"], "left")
     empty = F.lit(hashlib.sha256(b"").hexdigest())
-    whole = F.col("_copied").isNotNull() & (F.col("_n") >= window)
+    whole = F.col("_c_copied").isNotNull() & (F.col("_c_n") >= window)
     digests = [
-        F.col("_n").alias("n_words"),
-        F.when(whole, F.col("_n")).otherwise(F.coalesce("n_removed", F.lit(0).cast("long"))).alias("n_removed"),
-        F.when(whole, empty).otherwise(F.coalesce("kept_sha256", "_sha")).alias("kept_sha256"),
+        F.col("_c_n").alias("n_words"),
+        F.when(whole, F.col("_c_n")).otherwise(F.coalesce("_c_removed", F.lit(0).cast("long"))).alias("n_removed"),
+        F.when(whole, empty).otherwise(F.coalesce("_c_kept", "_c_sha")).alias("kept_sha256"),
     ]
-    stays = F.when(whole, F.lit("")).otherwise(F.coalesce("kept_text", "_text")) if with_text else None
+    stays = F.when(whole, F.lit("")).otherwise(F.coalesce("_c_stays", "_c_text")) if with_text else None
     columns = [stays.alias(c) if c == text else base.quoted(c) for c in source.columns if with_text or c != text]
     return rows.select(*columns, *digests)

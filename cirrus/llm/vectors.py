@@ -70,17 +70,17 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def classes(df: DataFrame, vector: str, label: str, threshold: float, sample: int = SAMPLE, tables: int = TABLES, sub: int = SUB, block: int = BLOCK) -> DataFrame:
-    """One row for each distinct linked vector: _k (of `vector_key`), _links (of one row with
-    it) and _root of its class."""
+    """One row for each distinct linked vector: _c_k (of `vector_key`), _c_links (of one row with
+    it) and _c_root of its class."""
     spark = base.ready(df.sparkSession)
-    rows = df.select(vector_key(df, vector, label).alias("_k"), base.quoted(vector).cast("array<double>").alias("_v"), base.quoted(label).alias("_l")).where("_k is not null")
-    one = base.hold(rows.groupBy("_k").agg(F.count("*").alias("_w"), F.any_value("_v").alias("_v"), F.any_value("_l").alias("_l")), "vectors")
-    nothing = spark.createDataFrame([], "_k string, _links long, _root string")
+    rows = df.select(vector_key(df, vector, label).alias("_c_k"), base.quoted(vector).cast("array<double>").alias("_v"), base.quoted(label).alias("_l")).where("_c_k is not null")
+    one = base.hold(rows.groupBy("_c_k").agg(F.count("*").alias("_w"), F.any_value("_v").alias("_v"), F.any_value("_l").alias("_l")), "vectors")
+    nothing = spark.createDataFrame([], "_c_k string, _c_links long, _c_root string")
     top = one.groupBy(F.size("_v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
     if not top:
         return nothing
     one = one.where(F.size("_v") == top[0]["n"])
-    picked = one.orderBy(F.xxhash64("_k"), "_k").limit(sample).select("_v").collect()
+    picked = one.orderBy(F.xxhash64("_c_k"), "_c_k").limit(sample).select("_v").collect()
     model = spark.sparkContext.broadcast(learn_rotations(np.array([r[0] for r in picked]), tables * sub))
     words_ = tables * sub // 64
 
@@ -93,51 +93,51 @@ def classes(df: DataFrame, vector: str, label: str, threshold: float, sample: in
             subs = bits.view("<u2").astype(np.int32) if sub == 16 else bits.astype(np.int32)
             subs = subs[:, :tables] + (np.arange(tables, dtype=np.int32) << sub)
             at = np.arange(len(x) + 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), base.list_array(np.ascontiguousarray(code).ravel(), at * words_), base.list_array(np.ascontiguousarray(subs).ravel(), at * tables)], names=["_k", "_l", "_code", "_subs"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), base.list_array(np.ascontiguousarray(code).ravel(), at * words_), base.list_array(np.ascontiguousarray(subs).ravel(), at * tables)], names=["_c_k", "_l", "_code", "_subs"])
 
-    schema = T.StructType([T.StructField("_k", _STR), one.schema["_l"], T.StructField("_code", T.ArrayType(_LONG)), T.StructField("_subs", T.ArrayType(T.IntegerType()))])
-    coded = base.hold(one.select("_k", "_v", "_l").mapInArrow(encode, schema), "codes")
-    codes = coded.select("_k", "_code")
-    members = coded.select("_k", "_l", F.explode("_subs").alias("_b"))
-    several = members.groupBy("_l", "_b").agg(F.count("*").alias("_n"), F.min("_k").alias("_rep")).where("_n > 1").select("_l", "_b", "_rep")
+    schema = T.StructType([T.StructField("_c_k", _STR), one.schema["_l"], T.StructField("_code", T.ArrayType(_LONG)), T.StructField("_subs", T.ArrayType(T.IntegerType()))])
+    coded = base.hold(one.select("_c_k", "_v", "_l").mapInArrow(encode, schema), "codes")
+    codes = coded.select("_c_k", "_code")
+    members = coded.select("_c_k", "_l", F.explode("_subs").alias("_b"))
+    several = members.groupBy("_l", "_b").agg(F.count("*").alias("_c_n"), F.min("_c_k").alias("_rep")).where("_c_n > 1").select("_l", "_b", "_rep")
     shared = base.hold(members.join(several, ["_l", "_b"]), "buckets")
     apart = F.aggregate(F.zip_with("_x", "_y", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
 
     def near(pairs: DataFrame) -> DataFrame:
-        got = pairs.join(codes.select(F.col("_k").alias("u"), F.col("_code").alias("_x")), "u").join(codes.select(F.col("_k").alias("v"), F.col("_code").alias("_y")), "v")
+        got = pairs.join(codes.select(F.col("_c_k").alias("u"), F.col("_code").alias("_x")), "u").join(codes.select(F.col("_c_k").alias("v"), F.col("_code").alias("_y")), "v")
         return got.where(apart <= int(NEAR * tables * sub)).select("u", "v")
 
-    star = near(shared.where("_k <> _rep").select(F.col("_k").alias("u"), F.col("_rep").alias("v")).distinct())
-    cluster = base.hold(base.components(star).select(F.col("node").alias("_k"), F.col("root").alias("_c")), "clusters")
-    inside = base.hold(_inside(one.join(cluster, "_k"), threshold, block), "inside")
+    star = near(shared.where("_c_k <> _rep").select(F.col("_c_k").alias("u"), F.col("_rep").alias("v")).distinct())
+    cluster = base.hold(base.components(star).select(F.col("node").alias("_c_k"), F.col("root").alias("_c")), "clusters")
+    inside = base.hold(_inside(one.join(cluster, "_c_k"), threshold, block), "inside")
     # buckets that more than one cluster is in: only members of different clusters meet
-    placed = shared.select("_l", "_b", "_k").join(cluster, "_k", "left").withColumn("_c", F.coalesce("_c", "_k"))
+    placed = shared.select("_l", "_b", "_c_k").join(cluster, "_c_k", "left").withColumn("_c", F.coalesce("_c", "_c_k"))
     placed = base.hold(placed, "placed")
     kinds = placed.select("_l", "_b", "_c").distinct()
     other = kinds.join(kinds.withColumnRenamed("_c", "_d"), ["_l", "_b"]).where("_c < _d")
-    met = other.join(placed.withColumnRenamed("_k", "u"), ["_l", "_b", "_c"]).join(placed.select("_l", "_b", F.col("_c").alias("_d"), F.col("_k").alias("v")), ["_l", "_b", "_d"]).select("u", "v").distinct()
+    met = other.join(placed.withColumnRenamed("_c_k", "u"), ["_l", "_b", "_c"]).join(placed.select("_l", "_b", F.col("_c").alias("_d"), F.col("_c_k").alias("v")), ["_l", "_b", "_d"]).select("u", "v").distinct()
     across = near(met)
-    vec = one.select("_k", "_v", "_w")
-    across = across.join(vec.select(F.col("_k").alias("u"), F.col("_v").alias("_x"), F.col("_w").alias("_wu")), "u").join(vec.select(F.col("_k").alias("v"), F.col("_v").alias("_y"), F.col("_w").alias("_wv")), "v")
+    vec = one.select("_c_k", "_v", "_w")
+    across = across.join(vec.select(F.col("_c_k").alias("u"), F.col("_v").alias("_x"), F.col("_w").alias("_wu")), "u").join(vec.select(F.col("_c_k").alias("v"), F.col("_v").alias("_y"), F.col("_w").alias("_wv")), "v")
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     across = base.hold(across.where(dot("_x", "_y") / F.sqrt(dot("_x", "_x")) / F.sqrt(dot("_y", "_y")) >= threshold).select("u", "v", "_wu", "_wv"), "across")
-    forest = inside.select(F.col("_k").alias("u"), F.explode("_with").alias("v")).unionByName(across.select("u", "v"))
-    counts = inside.select("_k", "_links").unionByName(across.select(F.col("u").alias("_k"), F.col("_wv").alias("_links"))).unionByName(across.select(F.col("v").alias("_k"), F.col("_wu").alias("_links")))
-    counts = counts.groupBy("_k").agg(F.sum("_links").alias("_links"))
-    root = base.components(forest).select(F.col("node").alias("_k"), F.col("root").alias("_root"))
+    forest = inside.select(F.col("_c_k").alias("u"), F.explode("_with").alias("v")).unionByName(across.select("u", "v"))
+    counts = inside.select("_c_k", "_c_links").unionByName(across.select(F.col("u").alias("_c_k"), F.col("_wv").alias("_c_links"))).unionByName(across.select(F.col("v").alias("_c_k"), F.col("_wu").alias("_c_links")))
+    counts = counts.groupBy("_c_k").agg(F.sum("_c_links").alias("_c_links"))
+    root = base.components(forest).select(F.col("node").alias("_c_k"), F.col("root").alias("_c_root"))
     for held in (shared, placed, coded):
         base.release(held)
-    return one.select("_k", "_w").join(counts, "_k", "left").join(root, "_k", "left").select("_k", (F.coalesce("_links", F.lit(0)) + F.col("_w") - 1).alias("_links"), F.coalesce("_root", "_k").alias("_root"))
+    return one.select("_c_k", "_w").join(counts, "_c_k", "left").join(root, "_c_k", "left").select("_c_k", (F.coalesce("_c_links", F.lit(0)) + F.col("_w") - 1).alias("_c_links"), F.coalesce("_c_root", "_c_k").alias("_c_root"))
 
 
 def _inside(rows: DataFrame, threshold: float, block: int) -> DataFrame:
-    """(_k, _links, _with): for the vectors of a cluster (_c), links to others in the tasks
+    """(_c_k, _c_links, _with): for the vectors of a cluster (_c), links to others in the tasks
     that they were in, and vectors that span the links found there."""
     size = rows.groupBy("_c").agg(F.count("*").alias("_m"))
     n = F.ceil(F.col("_m") / block).cast("int")
-    rows = rows.join(size, "_c").withColumn("_n", n).withColumn("_b", F.pmod(F.xxhash64("_k"), F.col("_n")).cast("int"))
-    rows = rows.select("_k", "_v", "_w", "_c", "_b", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_o"))
-    rows = rows.select("_c", F.least("_b", "_o").alias("_x"), F.greatest("_b", "_o").alias("_y"), "_k", "_b", "_w", "_v")
+    rows = rows.join(size, "_c").withColumn("_c_n", n).withColumn("_b", F.pmod(F.xxhash64("_c_k"), F.col("_c_n")).cast("int"))
+    rows = rows.select("_c_k", "_v", "_w", "_c", "_b", F.explode(F.sequence(F.lit(0), F.col("_c_n") - 1)).alias("_o"))
+    rows = rows.select("_c", F.least("_b", "_o").alias("_x"), F.greatest("_b", "_o").alias("_y"), "_c_k", "_b", "_w", "_v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in groups(batches, 3):
@@ -165,10 +165,10 @@ def _inside(rows: DataFrame, threshold: float, block: int) -> DataFrame:
                         forest[j].append(group[to[0]][3])
                         root[root == root[to[0]]] = root[j]
                         to = to[root[to] != root[j]]
-            yield pa.RecordBatch.from_arrays([pa.array([r[3] for r in group]), pa.array(links), pa.array(forest, pa.list_(pa.string()))], names=["_k", "_links", "_with"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[3] for r in group]), pa.array(links), pa.array(forest, pa.list_(pa.string()))], names=["_c_k", "_c_links", "_with"])
 
     rows = rows.repartition("_c", "_x", "_y").sortWithinPartitions("_c", "_x", "_y")
-    return rows.mapInArrow(run, T.StructType([T.StructField("_k", _STR), T.StructField("_links", _LONG), T.StructField("_with", T.ArrayType(_STR))]))
+    return rows.mapInArrow(run, T.StructType([T.StructField("_c_k", _STR), T.StructField("_c_links", _LONG), T.StructField("_with", T.ArrayType(_STR))]))
 
 
 def vector_key(df: DataFrame, vector: str, label: str) -> Column:
@@ -183,11 +183,11 @@ def near_duplicates(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedd
     Clashing columns are replaced."""
     source = base.without(df, ["n_links", "component_id", "kept"])
     found = classes(source, vector, label, threshold, **options)
-    keyed = source.withColumn("_k", vector_key(source, vector, label)).join(base.hold(found, "classes"), "_k", "left")
-    least = keyed.where("_root is not null").groupBy("_root").agg(F.min(base.quoted(vec_id)).alias("component_id"))
-    rows = keyed.join(least, "_root", "left")
-    own = F.when(F.col("_root").isNotNull(), F.col("component_id")).otherwise(base.quoted(vec_id))
-    return rows.select(*(base.quoted(c) for c in source.columns), F.coalesce("_links", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), base.quoted(vec_id).eqNullSafe(own).alias("kept"))
+    keyed = source.withColumn("_c_k", vector_key(source, vector, label)).join(base.hold(found, "classes"), "_c_k", "left")
+    least = keyed.where("_c_root is not null").groupBy("_c_root").agg(F.min(base.quoted(vec_id)).alias("component_id"))
+    rows = keyed.join(least, "_c_root", "left")
+    own = F.when(F.col("_c_root").isNotNull(), F.col("component_id")).otherwise(base.quoted(vec_id))
+    return rows.select(*(base.quoted(c) for c in source.columns), F.coalesce("_c_links", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), base.quoted(vec_id).eqNullSafe(own).alias("kept"))
 
 
 def recall(df: DataFrame, links: DataFrame, every: int = 100, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = 0.93) -> float:
@@ -197,6 +197,6 @@ def recall(df: DataFrame, links: DataFrame, every: int = 100, vec_id: str = "vec
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     asked = rows.where(F.pmod("_i", F.lit(every)) == 0).select(F.col("_i").alias("_q"), "_l", F.col("_v").alias("_x"))
     pairs = rows.join(asked, "_l").where("_i <> _q").where(dot("_x", "_v") / F.sqrt(dot("_x", "_x")) / F.sqrt(dot("_v", "_v")) >= threshold)
-    want = pairs.groupBy("_q").agg(F.count("*").alias("_n"))
-    got = want.join(links.select(base.quoted(vec_id).alias("_q"), "n_links"), "_q").agg(F.sum("_n"), F.sum("n_links")).first()
+    want = pairs.groupBy("_q").agg(F.count("*").alias("_c_n"))
+    got = want.join(links.select(base.quoted(vec_id).alias("_q"), "n_links"), "_q").agg(F.sum("_c_n"), F.sum("n_links")).first()
     return 1.0 if not got[0] else got[1] / got[0]

@@ -37,7 +37,7 @@ def brute_cut(texts, window):
 @pytest.mark.parametrize(("seed", "hot", "shard"), [(1, 50_000, 10_000), (2, 3, 10), (3, 1, 1)])
 def test_recurring_words_are_removed(spark, seed, hot, shard):
     texts = corpus(seed)
-    df = spark.createDataFrame([(i if i % 9 else None, i, t, "old") for i, t in enumerate(texts)], "doc_id long, row long, text string, n_words string")
+    df = spark.createDataFrame([(i if i % 9 else None, i, t, "old", "mine", 3, "x") for i, t in enumerate(texts)], "doc_id long, row long, text string, n_words string, kept_text string, _n int, _text string")
     want = brute_cut(texts, 6)
     for with_text in (True, False):
         out = substring.remove(df, window=6, phrase=3, hot=hot, shard_rows=shard, with_text=with_text).collect()
@@ -46,6 +46,7 @@ def test_recurring_words_are_removed(spark, seed, hot, shard):
             n, gone, kept = want[r.row]
             assert (r.n_words, r.n_removed) == (n, gone)
             assert r.kept_sha256 == hashlib.sha256(kept).hexdigest()
+            assert (r.kept_text, r._n, r._text) == ("mine", 3, "x")
             if with_text:
                 assert r.text == (kept.decode() if gone else texts[r.row])
 
@@ -95,7 +96,7 @@ def near_copies(seed, groups=12, copies=9, words=60):
 def test_classes_match_brute_force(spark, size, block):
     texts = near_copies(size)
     ids = [None if i % 17 == 3 else 1000 - i for i in range(len(texts))]
-    df = spark.createDataFrame([(i, k, t, True) for k, (i, t) in enumerate(zip(ids, texts))], "doc_id long, row long, text string, kept boolean")
+    df = spark.createDataFrame([(i, k, t, True, 8) for k, (i, t) in enumerate(zip(ids, texts))], "doc_id long, row long, text string, kept boolean, _k int")
     out = {r.row: r for r in minhash.near_duplicates(df, size=size, block_rows=block).collect()}
     want = brute_classes(ids, texts, size)
     assert len(out) == len(texts)

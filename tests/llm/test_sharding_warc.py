@@ -47,7 +47,7 @@ def test_refined_ranges_give_the_same_cuts(spark):
     g = rng.integers(-(2**63), 2**63 - 1, 3000)
     sizes = rng.integers(1, 5000, 3000)
     sizes[17] = 900_000
-    atoms = spark.createDataFrame([(int(a), int(b)) for a, b in zip(g, sizes)], "_g long, _size long")
+    atoms = spark.createDataFrame([(int(a), int(b)) for a, b in zip(g, sizes)], "_c_g long, _size long")
     cuts, capacity = sharding.minimax_cuts(atoms, 11, first_bits=3, more_bits=2)
     order = np.argsort(g)
     assert capacity == best_capacity(sizes[order].tolist(), 11)

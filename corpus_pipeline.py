@@ -15,17 +15,26 @@ from pyspark.sql import functions as F
 from cirrus.llm import base, langid, minhash, packing, queries, substring, toxicity
 
 
+def _apart(docs: DataFrame, used: list[str]):
+    """`docs` with the columns that an operator does not use under names that no operator
+    adds, and a function that gives back the columns of `docs` from what it returns."""
+    hidden = {c: f"_kept_{i}" for i, c in enumerate(docs.columns) if c not in used}
+    return docs.withColumnsRenamed(hidden), lambda df: df.select(*(base.quoted(hidden.get(c, c)).alias(c) for c in docs.columns))
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised (operator 1)."""
     model = langid.train(docs, F.coalesce(langid.remainder(F.col("doc_id"), 3) != 1, F.lit(False)))
-    return langid.predict(docs, model).where("accepted").select(docs.columns)
+    inner, back = _apart(docs, ["text"])
+    return back(langid.predict(inner, model).where("accepted"))
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not toxic (operator 5)."""
     labels = base.table(spark, sf_dir, "labels")
     model = toxicity.train(docs, labels, langid.remainder(F.col("doc_id"), 4) != 2)
-    return toxicity.predict(docs, model).where("predicted = 0").select(docs.columns)
+    inner, back = _apart(docs, ["text"])
+    return back(toxicity.predict(inner, model).where("predicted = 0"))
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +44,9 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def cut(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without recurring phrases (operator 2); n_chars follows the text."""
-    rows = substring.remove(docs)
-    return rows.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    inner, back = _apart(docs, ["text", "n_chars"])
+    chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return back(substring.remove(inner).withColumn("n_chars", chars))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -195,11 +195,17 @@ def residual_histogram(df: DataFrame, y: str, yhat: str, bins: int = 30) -> Data
     return histogram(r, "residual", bins)
 
 
+def best_epoch_of_rows(history: DataFrame, key: str, epoch: str, loss: str) -> DataFrame:
+    """ML22 on (run, epoch, loss) rows: the epoch of the smallest loss, the first on
+    ties. A partial aggregate: no run's history is gathered."""
+    return history.groupBy(key).agg(F.min_by(epoch, F.struct(loss, epoch)).alias("best_epoch"),
+                                    F.min(loss).alias("best_loss"))
+
+
 def best_epoch(history: DataFrame, key: str, losses: str = "val_loss") -> DataFrame:
     """ML22: argmin of the validation-loss array of each run (1-based epoch)."""
     e = history.select(key, F.posexplode(losses).alias("pos", "loss"))
-    return e.groupBy(key).agg((F.min_by("pos", F.struct("loss", "pos")) + 1).alias("best_epoch"),
-                              F.min("loss").alias("best_loss"))
+    return best_epoch_of_rows(e.withColumn("pos", F.col("pos") + 1), key, "pos", "loss")
 
 
 def feature_importance(spark, names: Sequence[str], importances, k: int = 20) -> DataFrame:

@@ -350,8 +350,9 @@ def x11(spark, sf):
 def x12(spark, sf):
     from cirrus.plans import train as TRN
     from cirrus.registry.models import FEATS, _order_features
-    m = TRN.grid_search(_order_features(spark, sf), FEATS, "o_totalprice", {"maxDepth": [2, 4]}, folds=3,
-                        model_type="decision_tree")
+    rows = S.kfold(_order_features(spark, sf), ["o_orderkey"], 3, seed=42)
+    m = TRN.grid_search(rows, FEATS, "o_totalprice", {"maxDepth": [2, 4]}, folds=3, model_type="decision_tree",
+                        fold_col="fold")
     rows = [(i, float(v)) for i, v in enumerate(m.avgMetrics)]
     return spark.createDataFrame(rows, "grid_point int, avg_rmse double")
 

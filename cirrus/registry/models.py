@@ -255,10 +255,8 @@ def ml21(spark, sf):
     FROM conversations GROUP BY conv_id)""")
 def ml22(spark, sf):
     c = load(spark, sf, "conversations")
-    hist = c.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", F.length("text").cast("double")
-                                                                          .alias("l")))).alias("_h"))
-    hist = hist.select("conv_id", F.col("_h.l").alias("val_loss"))  # one conversation's turns
-    return EV.best_epoch(hist, "conv_id").select("conv_id", F.col("best_epoch").cast("int"), "best_loss")
+    rows = c.select("conv_id", (F.col("turn") + 1).cast("int").alias("epoch"), F.length("text").cast("double").alias("loss"))
+    return EV.best_epoch_of_rows(rows, "conv_id", "epoch", "loss")
 
 
 @reg.add("x2_mape_auc", f"""WITH a AS (SELECT {R('avg(abs((y - yhat) / y)) * 100')} AS mape FROM {REG_PAIRS_SQL} WHERE y <> 0),
@@ -376,6 +374,18 @@ def _stump(spark, sf, model, params):
     return r.predictions.select("o_orderkey", rnd("prediction", 3).alias("prediction"))
 
 
+@reg.add("x12_grid_search_over_given_folds", f"""WITH t AS (SELECT k.fold AS fold, flag, avg(y) AS m FROM {STUMP_SQL} x, (VALUES (0), (1), (2), (3)) k(fold)
+      WHERE x.fold <> k.fold GROUP BY 1, 2),
+    e AS (SELECT t.fold, sqrt(avg((y - m) * (y - m))) AS rmse FROM {STUMP_SQL} x JOIN t ON x.flag = t.flag AND x.fold = t.fold GROUP BY 1)
+    SELECT CAST(g AS INTEGER) AS grid_point, {R('avg(rmse)', 3)} AS avg_rmse FROM e, (VALUES (0), (1)) v(g) GROUP BY g""")
+def x12_folds(spark, sf):
+    # deeper trees cannot split a 0/1 feature again: both grid points are the stump
+    m = TR.grid_search(stump_rows(spark, sf), ["flag"], "y", {"maxDepth": [1, 3]}, folds=4, model_type="decision_tree",
+                       fold_col="fold")
+    rows = [(i, float(v)) for i, v in enumerate(m.avgMetrics)]
+    return spark.createDataFrame(rows, "grid_point int, avg_rmse double").withColumn("avg_rmse", rnd("avg_rmse", 3))
+
+
 @reg.add("ml1_ml7_stump_group_means", STUMP_PREDICTED)
 def ml1_stump(spark, sf):
     return _stump(spark, sf, "decision_tree", {"max_depth": 1})

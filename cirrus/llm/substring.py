@@ -211,11 +211,14 @@ def recurring(df: DataFrame, text: str = "text", window: int = WINDOW, phrase: i
     base.ready(df.sparkSession)
     docs = df.where(base.quoted(text).isNotNull()).select(*base.text_key(base.quoted(text)), base.quoted(text).alias("_c_text"))
     anchors = base.hold(anchor_rows(docs.select("_c_k1", "_c_text"), window, phrase), "anchors")
-    seen = anchors.groupBy("_h").agg(F.count("*").alias("_n"), F.min("_c_k1").alias("_lo"), F.max("_c_k1").alias("_hi"), F.min("_pos").alias("_from"), F.max("_pos").alias("_to"))
-    seen = seen.where("_lo <> _hi or _from <> _to").select("_h", (F.col("_n") > hot).alias("_hot"))
+    place = F.xxhash64("_c_k1", "_pos")
+    seen = anchors.groupBy("_h").agg(F.count("*").alias("_c_n"), F.min(place).alias("_lo"), F.max(place).alias("_hi"))
+    seen = seen.where("_lo <> _hi").select("_h", (F.col("_c_n") > hot).alias("_hot"))
     marks = anchors.join(seen, "_h").groupBy("_c_k1").agg(F.collect_set(F.struct("_pos", "_hot")).alias("_marks"))
+    # the marks get the whole key first, so that the texts are shuffled once, by it
+    marks = marks.join(docs.select("_c_k1", "_c_k2").distinct(), "_c_k1")
     texts = docs.groupBy("_c_k1", "_c_k2").agg(F.any_value("_c_text").alias("_c_text"))
-    cand = base.hold(texts.join(marks, "_c_k1").select("_c_k1", "_c_k2", "_c_text", "_marks"), "candidates")
+    cand = base.hold(texts.join(marks, ["_c_k1", "_c_k2"]).select("_c_k1", "_c_k2", "_c_text", "_marks"), "candidates")
     base.release(anchors)
     spans = located_rows(excerpt_rows(cand, window, phrase), window, shard_rows)
     spans = spans.unionByName(hot_rows(cand, window, phrase))

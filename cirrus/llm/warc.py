@@ -188,6 +188,8 @@ def read_bundles(index: DataFrame, payloads: bool = True) -> DataFrame:
                         yield records_batch(rows, payloads)
 
     bundles = index.select("bundle").distinct()
+    # a bundle is a few bytes here and megabytes to read: tasks by their number
+    bundles = bundles.repartition(min(max(1, bundles.count()), 100_000), "bundle")
     return bundles.mapInArrow(run, RECORDS if payloads else T.StructType(RECORDS.fields[:-1]))
 
 

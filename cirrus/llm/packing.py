@@ -3,9 +3,10 @@
 Pieces are dealt to partitions of bounded size; each packs its own by best-fit
 decreasing and takes the largest lower bound that a family of dual-feasible
 functions gives for its lengths. A partition whose bin count meets its bound is
-certified and done. Partitions with a gap keep their full bins and put the pieces
-of the others into a pool that is dealt anew (another mix, fewer partitions) and
-packed again, until no gap is left, nothing improves, or `rounds` have passed.
+certified and done, but for its emptiest bin. Partitions with a gap keep their full
+bins. The pieces of the other bins are pooled, dealt anew (another mix, fewer
+partitions) and packed again, until the pool needs no fewer bins than it has,
+nothing improves, or `rounds` have passed.
 """
 
 from __future__ import annotations
@@ -136,9 +137,11 @@ def pack(pieces: DataFrame, length: str = "length", capacity: int = CAPACITY,
                 raise ValueError(f"a length is outside 1 to {capacity}")
             bins, offsets = best_fit_decreasing(size, capacity)
             used, bound = int(bins.max()) + 1, lower_bound(size, capacity)
-            full = np.bincount(bins, size)[bins] == capacity
+            filled = np.bincount(bins, size)
+            # of a certified partition only the emptiest bin is open, for what others have left
+            done = filled == capacity if used > bound else (filled == capacity) | (np.arange(used) != filled.argmin())
             group = group.drop(columns="_c_shard")
-            return group.assign(sequence_id=(turn << 54) + (int(key[0]) << 24) + bins, offset=offsets, bins=used, bound=bound, _c_full=full | (used == bound))
+            return group.assign(sequence_id=(turn << 54) + (int(key[0]) << 24) + bins, offset=offsets, bins=used, bound=bound, _c_full=done[bins])
         return one
 
     pool, done, before = base.hold(pieces, "pieces"), [], None

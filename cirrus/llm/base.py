@@ -105,6 +105,11 @@ def byte_texts(column: pa.Array) -> list:
     return column.cast(pa.binary()).to_pylist()
 
 
+def binary_views(column: pa.ChunkedArray) -> list:
+    """The values of a binary column as buffers that lie in the column; None for null."""
+    return [x.as_buffer() if x.is_valid else None for chunk in column.chunks for x in chunk]
+
+
 def list_array(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))
 

@@ -16,6 +16,7 @@ any labelled row every text is `und`. Repeated rows are scored each.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,6 +33,10 @@ BITS, SIZES, WIDTH = 16, (2, 3, 4), 16
 MAX_ROWS, EPOCHS, BATCH, RATE, MAX_REJECTED, MOST = 4000, 5, 32, 0.5, 0.0005, 0.35
 
 
+#: Tasks that the bounded sample is dealt to.
+TASKS = 32
+
+
 @dataclass
 class Model:
     names: list[str]
@@ -99,7 +104,7 @@ def train(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang"
     for name, n in counts.items():
         share = F.when(F.col("_lang") == name, F.lit(min(1.0, max_rows / len(counts) / n))).otherwise(share)
     chance = F.pmod(F.xxhash64("_text"), F.lit(1 << 30)) / (1 << 30)
-    chosen = rows.where(chance < share).limit(2 * max_rows)
+    chosen = rows.where(chance < share).limit(2 * max_rows).repartition(TASKS)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,12 +115,14 @@ def train(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang"
                     if len(b):
                         yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([kind]), pa.array([b.astype(np.int32).tobytes()], pa.binary()), pa.array([n.astype(np.float32).tobytes()], pa.binary())], names=["lang", "kind", "bucket", "n"])
 
-    got = chosen.mapInArrow(features, "lang string, kind string, bucket binary, n binary").collect()
+    got = chosen.mapInArrow(features, "lang string, kind string, bucket binary, n binary").toArrow()
     names = sorted(counts)
-    data = sorted((r["lang"], r["kind"], bytes(r["bucket"]), bytes(r["n"])) for r in got)
-    del got
-    order = np.random.default_rng(seed).permutation(len(data))
-    examples = [(names.index(data[i][0]), data[i][1], np.frombuffer(data[i][2], np.int32), np.frombuffer(data[i][3], np.float32)) for i in order]
+    lang, kind = got["lang"].to_pylist(), got["kind"].to_pylist()
+    bucket, times = (base.binary_views(got[c]) for c in ("bucket", "n"))
+    # one order whatever the partitions were
+    rank = sorted(range(len(lang)), key=lambda i: (lang[i], kind[i], zlib.crc32(bucket[i]), zlib.crc32(times[i])))
+    order = np.random.default_rng(seed).permutation(len(rank))
+    examples = [(names.index(lang[i]), kind[i], np.frombuffer(bucket[i], np.int32), np.frombuffer(times[i], np.float32)) for i in (rank[k] for k in order)]
     return _descend(examples, names, epochs, max_rejected, seed)
 
 

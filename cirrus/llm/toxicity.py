@@ -15,6 +15,7 @@ scored each; labels that contradict each other count as toxic.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,6 +29,8 @@ from . import base, words
 from .letters import letters
 
 BITS, BEGINNINGS, MAX_ROWS, SWAP_WEIGHT, RIDGE, ROUNDS, LEAST_G = 18, (3, 4, 5, 6), 8000, 4.0, 1.0, 300, 12.0
+#: Tasks that the bounded sample is dealt to.
+TASKS = 32
 THRESHOLD = 0.3
 
 #: Terms of one kind may be swapped for each other; a parameter of `train`.
@@ -97,7 +100,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "doc_
     chance = F.pmod(F.xxhash64(F.lit(5), "_id"), F.lit(1 << 30)) / (1 << 30)
     share = F.when(F.col("_y") == 1, F.lit(min(1.0, max_rows / 2 / yes))).otherwise(F.lit(min(1.0, max(max_rows / 2, max_rows - yes) / no)))
     chosen = marks.where(chance < share).limit(2 * max_rows)
-    rows = docs.select(base.quoted(doc_id).alias("_id"), base.quoted(text).alias("_text")).join(F.broadcast(chosen), "_id").limit(2 * max_rows).select("_text", "_y")
+    rows = docs.select(base.quoted(doc_id).alias("_id"), base.quoted(text).alias("_text")).join(F.broadcast(chosen), "_id").limit(2 * max_rows).select("_text", "_y").repartition(TASKS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,21 +109,21 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "doc_
                 own, turned = features([t])[0].astype(np.int32), features([other])[0].astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array([int(y == 1)], pa.int32()), pa.array([own.tobytes()], pa.binary()), pa.array([None if other is None else turned.tobytes()], pa.binary())], names=["y", "own", "turned"])
 
-    got = sorted((r["y"], bytes(r["own"]), bytes(r["turned"]) if r["turned"] is not None else None) for r in rows.mapInArrow(run, "y int, own binary, turned binary").collect())
-    return _fit(got, yes / (yes + no), swap_weight)
+    got = rows.mapInArrow(run, "y int, own binary, turned binary").toArrow()
+    y, own, turned = got["y"].to_pylist(), base.binary_views(got["own"]), base.binary_views(got["turned"])
+    # one order whatever the partitions were
+    order = sorted(range(len(y)), key=lambda i: (y[i], zlib.crc32(own[i]), len(own[i])))
+    sets = [np.frombuffer(own[i], np.int32) for i in order]
+    swaps = [None if turned[i] is None else np.frombuffer(turned[i], np.int32) for i in order]
+    return _fit(np.array([y[i] for i in order], float), sets, swaps, yes / (yes + no), swap_weight)
 
 
-def _rows_of(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    return np.repeat(np.arange(len(parts)), [len(p) for p in parts]), np.concatenate(parts) if parts else np.zeros(0, np.int64)
-
-
-def _fit(got: list, prior: float, swap_weight: float) -> Model:
-    y = np.array([g[0] for g in got], float)
-    own = [np.frombuffer(g[1], np.int32) for g in got]
-    row, bucket = _rows_of(own)
+def _fit(y: np.ndarray, own: list, swaps: list, prior: float, swap_weight: float) -> Model:
     n, n1 = len(y), y.sum()
-    have = np.bincount(bucket, minlength=1 << BITS).astype(float)
-    have1 = np.bincount(bucket, y[row], 1 << BITS)
+    have, have1 = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    for label, buckets in zip(y, own):  # a text has each bucket once
+        have[buckets] += 1
+        have1[buckets] += label
 
     def part(k, total):  # k log(k / expected share)
         with np.errstate(divide="ignore", invalid="ignore"):
@@ -128,11 +131,12 @@ def _fit(got: list, prior: float, swap_weight: float) -> Model:
 
     g = 2 * (part(have1, have * n1 / n) + part(have - have1, have * (n - n1) / n) + part(n1 - have1, (n - have) * n1 / n) + part(n - have - n1 + have1, (n - have) * (n - n1) / n))
     used = np.where((g >= LEAST_G) & (have >= 2))[0]
-    place = np.full(1 << BITS, -1)
+    place = np.full(1 << BITS, -1, np.int32)
     place[used] = np.arange(len(used))
-    ok = place[bucket] >= 0
-    row, col = row[ok], place[bucket[ok]]
-    turned = [(i, np.frombuffer(x[2], np.int32)) for i, x in enumerate(got) if x[2] is not None]
+    learned = [c[c >= 0] for c in (place[b] for b in own)]
+    row = np.repeat(np.arange(n, dtype=np.int32), [len(c) for c in learned])
+    col = np.concatenate(learned) if learned else np.zeros(0, np.int32)
+    turned = [(i, x) for i, x in enumerate(swaps) if x is not None]
     # difference of the features of a text and of its counterfactual: +1 gone, -1 new
     d_row, d_col, d_sign = [], [], []
     for k, (i, other) in enumerate(turned):

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 import unicodedata
 from functools import cached_property
 from itertools import chain
@@ -96,6 +97,17 @@ def ranks_of(path: str) -> dict[bytes, int]:
     return out
 
 
+def added_of(path: str) -> dict[str, int]:
+    """Ids of the added tokens of a .json vocabulary by their content; a .tiktoken file has none."""
+    if not path.endswith(".json"):
+        return {}
+    with open(path, encoding="utf-8") as f:
+        tokens = json.load(f).get("added_tokens", [])
+    if any(t.get(k) for t in tokens for k in ("single_word", "lstrip", "rstrip")) or len({bool(t.get("normalized")) for t in tokens}) > 1:
+        raise ValueError(f"{path}: an added token has rules of its own")
+    return {t["content"]: t["id"] for t in tokens}
+
+
 def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """flat[start : start + length] of every pair, put together."""
     ends = np.cumsum(lengths)
@@ -104,19 +116,26 @@ def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndar
 
 
 class Codec:
-    """Encoder and decoder of one rank file; `of(path)` keeps one in each process."""
+    """Encoder and decoder of one rank file; `of(path)` keeps one in each process. With `added`,
+    the added tokens of the file that stand in a text are one id each, as in the tokenizers
+    library, and what is between them is encoded by itself."""
 
-    _made: dict[str, "Codec"] = {}
+    _made: dict[tuple[str, bool], "Codec"] = {}
     #: Distinct pre-tokens kept between batches (about 50 bytes each); it starts anew beyond that.
     KEPT = 500_000
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         self.path = path
+        self.added = added_of(path) if added else {}
+        longest_first = sorted(self.added, key=len, reverse=True)
+        self.finder = re.compile(f"({'|'.join(map(re.escape, longest_first))})") if self.added else None
         ranks = ranks_of(path)
-        size = max(ranks.values()) + 1
+        size = max(*ranks.values(), *self.added.values()) + 1
         parts = [b""] * size
         for token, i in ranks.items():
             parts[i] = token
+        for token, i in self.added.items():
+            parts[i] = token.encode()
         self.bytes_len = np.array([len(p) for p in parts], np.int64)
         self.bytes_at = np.cumsum(self.bytes_len) - self.bytes_len
         self.bytes_flat = np.frombuffer(b"".join(parts), np.uint8)
@@ -135,13 +154,24 @@ class Codec:
         return tiktoken.Encoding("given", pat_str=PATTERN, mergeable_ranks=ranks_of(self.path), special_tokens={})
 
     @classmethod
-    def of(cls, path: str) -> "Codec":
-        if path not in cls._made:
-            cls._made[path] = cls(path)
-        return cls._made[path]
+    def of(cls, path: str, added: bool = False) -> "Codec":
+        if (path, added) not in cls._made:
+            cls._made[path, added] = cls(path, added)
+        return cls._made[path, added]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another (int32) and the offsets of each text in them."""
+        if self.finder is None or not any(map(self.finder.search, texts)):
+            return self._ordinary(texts)
+        parts = [self.finder.split(t) for t in texts]  # every second part is an added token
+        token = np.array([self.added[p] if i % 2 else -1 for own in parts for i, p in enumerate(own)], np.int64)
+        ids, at = self._ordinary(["" if i % 2 else p for own in parts for i, p in enumerate(own)])
+        whole = token >= 0
+        offsets = np.concatenate([[0], np.cumsum(np.diff(at) + whole)])
+        return np.insert(ids, at[:-1][whole], token[whole]), offsets[np.cumsum([0, *map(len, parts)])]
+
+    def _ordinary(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """`encode` of texts in which nothing is an added token."""
         joined = _EDGE_CHAR.join(texts)
         chars = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         if not len(chars):
@@ -192,7 +222,7 @@ class Codec:
 
     def _by_library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(texts) > 1:  # find the odd ones
-            parts = [self.encode([t]) for t in texts]
+            parts = [self._ordinary([t]) for t in texts]
             offsets = np.zeros(len(texts) + 1, np.int64)
             np.cumsum([len(p[0]) for p in parts], out=offsets[1:])
             return np.concatenate([p[0] for p in parts]), offsets

@@ -61,8 +61,9 @@ def split_long(df: DataFrame, text: str, chunk_chars: int) -> tuple[DataFrame, D
 
 
 def long_ids(df: DataFrame, vocabulary: str, text: str, ids: str = "ids",
-             chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS) -> DataFrame:
-    """One row (_c_k1, _c_k2, ids) for each distinct text of `df`, by overlapping chunks."""
+             chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS, added: bool = False) -> DataFrame:
+    """One row (_c_k1, _c_k2, ids) for each distinct text of `df`, by overlapping chunks;
+    `added` as in Codec."""
     texts = df.select(*base.text_key(base.quoted(text)), base.quoted(text).alias("_c_text")).groupBy("_c_k1", "_c_k2").agg(F.any_value("_c_text").alias("_c_text"))
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,9 +74,10 @@ def long_ids(df: DataFrame, vocabulary: str, text: str, ids: str = "ids",
                     yield pa.RecordBatch.from_pylist([{"_c_k1": row["_c_k1"], "_c_k2": row["_c_k2"], "_i": i, "_chunk": whole[a : a + chunk_chars + overlap_chars]}])
 
     def boundaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = list(Codec.of(vocabulary, added).added)
         for batch in batches:
             rows = batch.to_pylist()
-            cuts = [safe_cuts(r["_chunk"]) + r["_i"] * chunk_chars for r in rows]
+            cuts = [safe_cuts(r["_chunk"], tokens) + r["_i"] * chunk_chars for r in rows]
             keep = [c[(c < r["_i"] * chunk_chars + overlap_chars) | (c >= (r["_i"] + 1) * chunk_chars)] for r, c in zip(rows, cuts)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array([k.tolist() for k in keep], pa.list_(pa.int64()))], names=["_c_k1", "_c_k2", "_i", "_cuts"])
 
@@ -98,7 +100,7 @@ def long_ids(df: DataFrame, vocabulary: str, text: str, ids: str = "ids",
                     yield pa.RecordBatch.from_pylist([{"_c_k1": row["_c_k1"], "_c_k2": row["_c_k2"], "_i": i, "_piece": whole[a:b]}])
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec.of(vocabulary)
+        codec = Codec.of(vocabulary, added)
         for batch in batches:
             texts = batch.column(3).to_pylist()
             for a, b in base.steps(texts):
@@ -111,9 +113,11 @@ def long_ids(df: DataFrame, vocabulary: str, text: str, ids: str = "ids",
     return gathered.select("_c_k1", "_c_k2", F.flatten(F.col("_all._c_ids")).alias(ids))
 
 
-def safe_cuts(chunk: str) -> np.ndarray:
+def safe_cuts(chunk: str, added: list[str] = []) -> np.ndarray:
     """Places where a pre-token of the chunk starts with white space after another
-    character. The last characters are left out: what follows them is not known."""
+    character. The last characters are left out: what follows them is not known. So is
+    what is, or at the ends of the chunk may be, inside one of the `added` tokens (which
+    only those with white space can be)."""
     chars = np.frombuffer(chunk.encode("utf-32-le", "surrogatepass"), np.uint32)
     kind = classes()[chars]
     kind = np.where(kind == EDGE, 3, kind)
@@ -121,6 +125,14 @@ def safe_cuts(chunk: str) -> np.ndarray:
     ok[:1] = False
     ok[1:] &= (kind[1:] == BLANK) & (kind[:-1] != BLANK)
     ok[-3:] = False
+    for token in added:
+        if safe_cuts(token + "   ").size:
+            n = len(token) - 1
+            ok[:n] = ok[max(0, len(ok) - n) :] = False
+            at = chunk.find(token)
+            while at >= 0:
+                ok[at + 1 : at + 1 + n] = False
+                at = chunk.find(token, at + 1)
     return ok.nonzero()[0]
 
 

@@ -30,8 +30,9 @@ _LONG = T.LongType()
 def token_pieces(df: DataFrame, vocabulary: str, text: str = "text", capacity: int = CAPACITY,
                  end_id: int = 0, chunk_chars: int = codec.CHUNK_CHARS) -> DataFrame:
     """The columns of `df` but its text, with piece, start, length and ids_crc32: the ids
-    of each text (null: none) and then `end_id`, cut where they are more than `capacity`
-    (the first piece takes the remainder). Clashing columns of `df` are replaced."""
+    of each text (null: none; an added token of a .json vocabulary is one id) and then
+    `end_id`, cut where they are more than `capacity` (the first piece takes the remainder).
+    Clashing columns of `df` are replaced."""
     base.ready(df.sparkSession)
     made = ["piece", "start", "length", "ids_crc32"]
     kept = base.without(df, [text, *made]).columns
@@ -51,7 +52,7 @@ def token_pieces(df: DataFrame, vocabulary: str, text: str = "text", capacity: i
         return pa.RecordBatch.from_arrays([*take.columns[: len(kept)], *new], names=schema.names)
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = Codec.of(vocabulary)
+        vocab = Codec.of(vocabulary, added=True)
         for batch in batches:
             texts = [t or "" for t in batch.column(len(kept)).to_pylist()]
             for a, b in base.steps(texts):
@@ -65,7 +66,7 @@ def token_pieces(df: DataFrame, vocabulary: str, text: str = "text", capacity: i
 
     here, rest = codec.split_long(df, "_c_text", chunk_chars)
     k1, k2 = base.text_key(F.col("_c_text"))
-    ids = codec.long_ids(rest, vocabulary, "_c_text", "_c_ids", chunk_chars)
+    ids = codec.long_ids(rest, vocabulary, "_c_text", "_c_ids", chunk_chars, added=True)
     rest = rest.withColumns({"_c_k1": k1, "_c_k2": k2}).join(ids, ["_c_k1", "_c_k2"]).select(*(base.quoted(c) for c in kept), "_c_ids")
     return here.mapInArrow(short, schema).unionByName(rest.mapInArrow(long, schema))
 

@@ -78,6 +78,44 @@ def test_pieces_and_packing(spark, chunk):
     assert packing.pack(pieces.limit(0)).count() == 0
 
 
+END = "<|endoftext|>"
+
+
+def texts_with_added_tokens():
+    texts = [END, END * 3, f"a{END}b", f" {END} ", f"x  {END}  y's", END[:-1], f"{END[:5]}{END}", f"\n\n{END}\n", "\u0378" + END, ("word " * 9 + END) * 40, (END + "\u3000a ") * 60]
+    return texts + [t.replace("é", END).replace("一", END + END) for t in random_texts(300, 60, 8)]
+
+
+def test_added_tokens_match_the_library():
+    texts = ODD + texts_with_added_tokens()
+    given = Tokenizer.from_file(PLAIN)
+    own = Codec(PLAIN, added=True)
+    for part in [texts, *([t] for t in texts)]:
+        ids, at = own.encode(part)
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [x.ids for x in given.encode_batch(part, add_special_tokens=False)]
+        raw, ends = own.decode(ids, at)
+        assert [raw[a:b].tobytes().decode() for a, b in zip(ends, ends[1:])] == part
+
+
+@pytest.mark.parametrize("chunk", [64, 10_000])
+def test_pieces_hold_added_tokens(spark, chunk):
+    texts = texts_with_added_tokens()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = packing.token_pieces(df, PLAIN, capacity=50, chunk_chars=chunk).collect()
+    given = Tokenizer.from_file(PLAIN)
+    want = sorted((i, *p) for i, t in enumerate(texts) for p in plain_pieces(given.encode(t, add_special_tokens=False).ids, 50))
+    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in out) == want
+
+
+def test_added_tokens_with_white_space_are_never_cut():
+    token = "<a b>"
+    chunk = f"one two {token} three {token}{token} four five"
+    cuts = codec.safe_cuts(chunk, [token]).tolist()
+    inside = {i + k for i in range(len(chunk)) if chunk.startswith(token, i) for k in range(1, len(token))}
+    assert inside & set(codec.safe_cuts(chunk).tolist()) and cuts and not inside & set(cuts)
+    assert codec.safe_cuts(chunk, [END]).tolist() == codec.safe_cuts(chunk).tolist()
+
+
 def check_sequences(rows, capacity):
     by = defaultdict(list)
     for r in rows:

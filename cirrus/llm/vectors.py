@@ -1,6 +1,6 @@
 """Near-duplicate vectors by iterative quantisation (operator 8).
 
-Rotations are learned on a bounded sample so that the signs of the rotated, centred
+Rotations are learned for each length of vectors on a bounded sample so that the signs of the rotated, centred
 unit vectors lose little (ITQ); together they give a code of TABLES * SUB bits, cut
 into substrings, one Hamming table each. Vectors of one label that share a substring
 are candidates; two vectors at most TABLES - 1 bits apart share one for certain, and
@@ -17,8 +17,12 @@ double precision, so no link is below the threshold.
    Hamming distance, and reranked.
 4. The components of forests and pairs are the classes.
 
-Vectors that are null, zero, or hold null or non-finite components, have a null label
-or another length than most (of the sample) are linked with nothing: own class.
+Vectors meet those of their label and length only, whatever the length. Lengths beyond
+the LEARNED most frequent, or of fewer than LEARN_ROWS vectors, take the random rotations
+that learning starts from.
+
+Vectors that are null, zero, hold null or non-finite components, or have a null label
+are linked with nothing: own class.
 """
 
 from __future__ import annotations
@@ -37,6 +41,8 @@ from .minhash import groups
 TABLES, SUB, SAMPLE, TURNS, BLOCK = 64, 16, 5000, 25, 2000
 #: Part of the code's bits that near vectors differ in at most (a cosine of about 0.7 in angle).
 NEAR = 0.25
+#: Lengths that rotations are learned for, and the vectors that a length must have for it.
+LEARNED, LEARN_ROWS = 8, 1000
 _LONG, _STR = T.LongType(), T.StringType()
 
 
@@ -46,17 +52,22 @@ def valid(vector: Column) -> Column:
     return F.coalesce(fine & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def random_rotations(d: int, bits: int, seed: int = 3) -> np.ndarray:
+    """Projections (dimension x bits) of random orthogonal matrices."""
+    rng = np.random.default_rng(seed)
+    return np.concatenate([np.linalg.qr(rng.normal(size=(d, d)))[0] for _ in range(-(-bits // d))], 1)[:, :bits]
+
+
 def learn_rotations(sample: np.ndarray, bits: int, turns: int = TURNS, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """Mean and projections (dimension x bits) by ITQ: alternately the nearest signs and
     the orthogonal matrix that best maps the data to them, from random starts."""
-    rng = np.random.default_rng(seed)
     x = sample / np.linalg.norm(sample, axis=1, keepdims=True)
     mean = x.mean(0)
     x = x - mean
     d = x.shape[1]
     parts = []
-    for _ in range(-(-bits // d)):
-        r, _ = np.linalg.qr(rng.normal(size=(d, d)))
+    start = random_rotations(d, -(-bits // d) * d, seed)
+    for r in np.split(start, start.shape[1] // d, 1):
         for _ in range(turns):
             u, _, v = np.linalg.svd(x.T @ np.sign(x @ r))
             r = u @ v
@@ -76,31 +87,41 @@ def classes(df: DataFrame, vector: str, label: str, threshold: float, sample: in
     rows = df.select(vector_key(df, vector, label).alias("_c_k"), base.quoted(vector).cast("array<double>").alias("_v"), base.quoted(label).alias("_l")).where("_c_k is not null")
     one = base.hold(rows.groupBy("_c_k").agg(F.count("*").alias("_w"), F.any_value("_v").alias("_v"), F.any_value("_l").alias("_l")), "vectors")
     nothing = spark.createDataFrame([], "_c_k string, _c_links long, _c_root string")
-    top = one.groupBy(F.size("_v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
+    top = one.groupBy(F.size("_v").alias("n")).count().orderBy(F.desc("count"), "n").limit(LEARNED).collect()
     if not top:
         return nothing
-    one = one.where(F.size("_v") == top[0]["n"])
-    picked = one.orderBy(F.xxhash64("_c_k"), "_c_k").limit(sample).select("_v").collect()
-    model = spark.sparkContext.broadcast(learn_rotations(np.array([r[0] for r in picked]), tables * sub))
+    learned = {}
+    for n in (r["n"] for r in top if r["count"] >= LEARN_ROWS):
+        picked = one.where(F.size("_v") == n).orderBy(F.xxhash64("_c_k"), "_c_k").limit(sample).select("_v").collect()
+        learned[n] = learn_rotations(np.array([r[0] for r in picked]), tables * sub)
+    model = spark.sparkContext.broadcast(learned)
     words_ = tables * sub // 64
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mean, turn = model.value
+        d = None
         for batch in batches:
-            x = _matrix(batch.column(1))
-            bits = np.packbits(((x / np.linalg.norm(x, axis=1, keepdims=True) - mean) @ turn) > 0, axis=1, bitorder="little")
-            code = bits.view("<i8")
-            subs = bits.view("<u2").astype(np.int32) if sub == 16 else bits.astype(np.int32)
-            subs = subs[:, :tables] + (np.arange(tables, dtype=np.int32) << sub)
-            at = np.arange(len(x) + 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), base.list_array(np.ascontiguousarray(code).ravel(), at * words_), base.list_array(np.ascontiguousarray(subs).ravel(), at * tables)], names=["_c_k", "_l", "_code", "_subs"])
-
-    schema = T.StructType([T.StructField("_c_k", _STR), one.schema["_l"], T.StructField("_code", T.ArrayType(_LONG)), T.StructField("_subs", T.ArrayType(T.IntegerType()))])
-    coded = base.hold(one.select("_c_k", "_v", "_l").mapInArrow(encode, schema), "codes")
+            size = batch.column(1).value_lengths().to_numpy()
+            for a, b in zip(cut := [0, *(np.flatnonzero(np.diff(size)) + 1).tolist()], [*cut[1:], len(size)]):
+                if a == b:
+                    continue
+                if size[a] != d:  # rows come by length
+                    d = int(size[a])
+                    mean, turn = model.value.get(d) or (0.0, random_rotations(d, tables * sub))
+                part = batch.slice(a, b - a)
+                x = _matrix(part.column(1))
+                bits = np.packbits(((x / np.linalg.norm(x, axis=1, keepdims=True) - mean) @ turn) > 0, axis=1, bitorder="little")
+                code = bits.view("<i8")
+                subs = bits.view("<u2").astype(np.int32) if sub == 16 else bits.astype(np.int32)
+                subs = subs[:, :tables] + (np.arange(tables, dtype=np.int32) << sub)
+                at = np.arange(len(x) + 1)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(size[a:b], pa.int32()), base.list_array(np.ascontiguousarray(code).ravel(), at * words_), base.list_array(np.ascontiguousarray(subs).ravel(), at * tables)], names=["_c_k", "_l", "_n", "_code", "_subs"])
+
+    schema = T.StructType([T.StructField("_c_k", _STR), one.schema["_l"], T.StructField("_n", T.IntegerType()), T.StructField("_code", T.ArrayType(_LONG)), T.StructField("_subs", T.ArrayType(T.IntegerType()))])
+    coded = base.hold(one.select("_c_k", "_v", "_l").sortWithinPartitions(F.size("_v")).mapInArrow(encode, schema), "codes")
     codes = coded.select("_c_k", "_code")
-    members = coded.select("_c_k", "_l", F.explode("_subs").alias("_b"))
-    several = members.groupBy("_l", "_b").agg(F.count("*").alias("_c_n"), F.min("_c_k").alias("_rep")).where("_c_n > 1").select("_l", "_b", "_rep")
-    shared = base.hold(members.join(several, ["_l", "_b"]), "buckets")
+    members = coded.select("_c_k", "_l", "_n", F.explode("_subs").alias("_b"))
+    several = members.groupBy("_l", "_n", "_b").agg(F.count("*").alias("_c_n"), F.min("_c_k").alias("_rep")).where("_c_n > 1").select("_l", "_n", "_b", "_rep")
+    shared = base.hold(members.join(several, ["_l", "_n", "_b"]), "buckets")
     apart = F.aggregate(F.zip_with("_x", "_y", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
 
     def near(pairs: DataFrame) -> DataFrame:
@@ -111,11 +132,11 @@ def classes(df: DataFrame, vector: str, label: str, threshold: float, sample: in
     cluster = base.hold(base.components(star).select(F.col("node").alias("_c_k"), F.col("root").alias("_c")), "clusters")
     inside = base.hold(_inside(one.join(cluster, "_c_k"), threshold, block), "inside")
     # buckets that more than one cluster is in: only members of different clusters meet
-    placed = shared.select("_l", "_b", "_c_k").join(cluster, "_c_k", "left").withColumn("_c", F.coalesce("_c", "_c_k"))
+    placed = shared.select("_l", "_n", "_b", "_c_k").join(cluster, "_c_k", "left").withColumn("_c", F.coalesce("_c", "_c_k"))
     placed = base.hold(placed, "placed")
-    kinds = placed.select("_l", "_b", "_c").distinct()
-    other = kinds.join(kinds.withColumnRenamed("_c", "_d"), ["_l", "_b"]).where("_c < _d")
-    met = other.join(placed.withColumnRenamed("_c_k", "u"), ["_l", "_b", "_c"]).join(placed.select("_l", "_b", F.col("_c").alias("_d"), F.col("_c_k").alias("v")), ["_l", "_b", "_d"]).select("u", "v").distinct()
+    kinds = placed.select("_l", "_n", "_b", "_c").distinct()
+    other = kinds.join(kinds.withColumnRenamed("_c", "_d"), ["_l", "_n", "_b"]).where("_c < _d")
+    met = other.join(placed.withColumnRenamed("_c_k", "u"), ["_l", "_n", "_b", "_c"]).join(placed.select("_l", "_n", "_b", F.col("_c").alias("_d"), F.col("_c_k").alias("v")), ["_l", "_n", "_b", "_d"]).select("u", "v").distinct()
     across = near(met)
     vec = one.select("_c_k", "_v", "_w")
     across = across.join(vec.select(F.col("_c_k").alias("u"), F.col("_v").alias("_x"), F.col("_w").alias("_wu")), "u").join(vec.select(F.col("_c_k").alias("v"), F.col("_v").alias("_y"), F.col("_w").alias("_wv")), "v")

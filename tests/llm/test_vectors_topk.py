@@ -43,6 +43,31 @@ def test_links_match_brute_force(spark, block):
     assert vectors.recall(df.where("vec_id between 700 and 1000").dropDuplicates(["vec_id"]), links.dropDuplicates(["vec_id"]), every=1) >= 0.9
 
 
+def linked(rows):
+    """n_links of (id, vector) rows of one label by brute force, vectors of equal length only."""
+    want = {}
+    for d in {len(v) for _, v in rows}:
+        ids = [i for i, v in rows if len(v) == d]
+        x = np.array([v for _, v in rows if len(v) == d], float)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        want.update(zip(ids, ((x @ x.T >= 0.93).sum(1) - 1).tolist()))
+    return want
+
+
+@pytest.mark.parametrize("least", [100, 1000])
+def test_vectors_of_every_length_are_linked(spark, monkeypatch, least):
+    monkeypatch.setattr(vectors, "LEARN_ROWS", least)
+    xs = [*crowd(1), *crowd(2, d=24), *crowd(3, n=260, d=33), *np.ones((3, 1), np.float32), *(np.ones((2, 2), np.float32) * 7)]
+    rows = [(i, v.tolist()) for i, v in enumerate(xs)]
+    out = vectors.near_duplicates(spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<float>, label int")).collect()
+    want = linked(rows)
+    for d in {len(v) for v in xs}:
+        asked = sum(want[i] for i, v in rows if len(v) == d)
+        got = sum(r.n_links for r in out if len(r.embedding) == d)
+        assert 0.99 * asked <= got <= asked and asked > 0
+    assert all(r.n_links <= want[r.vec_id] and len(rows[r.component_id][1]) == len(r.embedding) for r in out)
+
+
 def test_nothing_to_link(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert vectors.near_duplicates(none).count() == 0

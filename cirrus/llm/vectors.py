@@ -1,11 +1,14 @@
 """Near-duplicate vectors by iterative quantisation (operator 8).
 
-Rotations are learned for each length of vectors on a bounded sample so that the signs of the rotated, centred
-unit vectors lose little (ITQ); together they give a code of TABLES * SUB bits, cut
+Rotations are learned for each length of vectors on a bounded sample so that the signs of the rotated unit
+vectors lose little (ITQ); together they give a code of TABLES * SUB bits, cut
 into substrings, one Hamming table each. Vectors of one label that share a substring
 are candidates; two vectors at most TABLES - 1 bits apart share one for certain, and
-at a cosine of 0.93 all 64 tables miss a pair with a chance of about 2e-4 (`recall`
-measures it). Candidates are reranked by the cosine of the original vectors in
+at a cosine of 0.93 all 64 tables of random rotations miss a pair with a chance of about
+2e-4, wherever it lies (`recall` measures it). The mean is taken off for learning, never
+in the codes, as that would widen the angle of a pair where the vectors lean one way;
+and learned rotations are used only where pairs at the threshold, made from the sample,
+are missed no more often than MISSED: otherwise the random ones are. Candidates are reranked by the cosine of the original vectors in
 double precision, so no link is below the threshold.
 
 1. Equal vectors of a label are one, with a weight.
@@ -43,6 +46,8 @@ TABLES, SUB, SAMPLE, TURNS, BLOCK = 64, 16, 5000, 25, 2000
 NEAR = 0.25
 #: Lengths that rotations are learned for, and the vectors that a length must have for it.
 LEARNED, LEARN_ROWS = 8, 1000
+#: Part of the sample's pairs at the threshold that learned rotations may miss.
+MISSED = 0.001
 _LONG, _STR = T.LongType(), T.StringType()
 
 
@@ -58,12 +63,11 @@ def random_rotations(d: int, bits: int, seed: int = 3) -> np.ndarray:
     return np.concatenate([np.linalg.qr(rng.normal(size=(d, d)))[0] for _ in range(-(-bits // d))], 1)[:, :bits]
 
 
-def learn_rotations(sample: np.ndarray, bits: int, turns: int = TURNS, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and projections (dimension x bits) by ITQ: alternately the nearest signs and
-    the orthogonal matrix that best maps the data to them, from random starts."""
+def learn_rotations(sample: np.ndarray, bits: int, turns: int = TURNS, seed: int = 3) -> np.ndarray:
+    """Projections (dimension x bits) by ITQ on the centred sample: alternately the nearest
+    signs and the orthogonal matrix that best maps the data to them, from random starts."""
     x = sample / np.linalg.norm(sample, axis=1, keepdims=True)
-    mean = x.mean(0)
-    x = x - mean
+    x = x - x.mean(0)
     d = x.shape[1]
     parts = []
     start = random_rotations(d, -(-bits // d) * d, seed)
@@ -72,7 +76,24 @@ def learn_rotations(sample: np.ndarray, bits: int, turns: int = TURNS, seed: int
             u, _, v = np.linalg.svd(x.T @ np.sign(x @ r))
             r = u @ v
         parts.append(r)
-    return mean, np.concatenate(parts, 1)[:, :bits]
+    return np.concatenate(parts, 1)[:, :bits]
+
+
+def missed(turn: np.ndarray, sample: np.ndarray, threshold: float, tables: int, sub: int, seed: int = 3) -> float:
+    """Part of pairs at exactly `threshold` that no table joins or the Hamming distance parts.
+    Each vector of the sample has two partners: towards another one, and in a random direction."""
+    rng = np.random.default_rng(seed)
+    x = sample / np.linalg.norm(sample, axis=1, keepdims=True)
+    lost = []
+    for to in (x[rng.permutation(len(x))], rng.normal(size=x.shape)):
+        off = to - (x * to).sum(1, keepdims=True) * x
+        size = np.linalg.norm(off, axis=1)
+        some = size > 1e-9
+        y = threshold * x[some] + np.sqrt(1 - threshold**2) * off[some] / size[some, None]
+        apart = ((x[some] @ turn > 0) != (y @ turn > 0)).reshape(len(y), tables, sub)
+        lost.append(apart.any(2).all(1) | (apart.sum((1, 2)) > int(NEAR * tables * sub)))
+    lost = np.concatenate(lost)
+    return float(lost.mean()) if len(lost) else 0.0
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -93,7 +114,10 @@ def classes(df: DataFrame, vector: str, label: str, threshold: float, sample: in
     learned = {}
     for n in (r["n"] for r in top if r["count"] >= LEARN_ROWS):
         picked = one.where(F.size("_v") == n).orderBy(F.xxhash64("_c_k"), "_c_k").limit(sample).select("_v").collect()
-        learned[n] = learn_rotations(np.array([r[0] for r in picked]), tables * sub)
+        known = np.array([r[0] for r in picked])
+        turn = learn_rotations(known, tables * sub)
+        if missed(turn, known, threshold, tables, sub) <= MISSED:
+            learned[n] = turn
     model = spark.sparkContext.broadcast(learned)
     words_ = tables * sub // 64
 
@@ -106,10 +130,10 @@ def classes(df: DataFrame, vector: str, label: str, threshold: float, sample: in
                     continue
                 if size[a] != d:  # rows come by length
                     d = int(size[a])
-                    mean, turn = model.value.get(d) or (0.0, random_rotations(d, tables * sub))
+                    turn = model.value[d] if d in model.value else random_rotations(d, tables * sub)
                 part = batch.slice(a, b - a)
                 x = _matrix(part.column(1))
-                bits = np.packbits(((x / np.linalg.norm(x, axis=1, keepdims=True) - mean) @ turn) > 0, axis=1, bitorder="little")
+                bits = np.packbits(((x / np.linalg.norm(x, axis=1, keepdims=True)) @ turn) > 0, axis=1, bitorder="little")
                 code = bits.view("<i8")
                 subs = bits.view("<u2").astype(np.int32) if sub == 16 else bits.astype(np.int32)
                 subs = subs[:, :tables] + (np.arange(tables, dtype=np.int32) << sub)
@@ -117,7 +141,9 @@ def classes(df: DataFrame, vector: str, label: str, threshold: float, sample: in
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(size[a:b], pa.int32()), base.list_array(np.ascontiguousarray(code).ravel(), at * words_), base.list_array(np.ascontiguousarray(subs).ravel(), at * tables)], names=["_c_k", "_l", "_n", "_code", "_subs"])
 
     schema = T.StructType([T.StructField("_c_k", _STR), one.schema["_l"], T.StructField("_n", T.IntegerType()), T.StructField("_code", T.ArrayType(_LONG)), T.StructField("_subs", T.ArrayType(T.IntegerType()))])
-    coded = base.hold(one.select("_c_k", "_v", "_l").sortWithinPartitions(F.size("_v")).mapInArrow(encode, schema), "codes")
+    plain = one.select("_c_k", "_v", "_l")
+    plain = plain.sortWithinPartitions(F.size("_v")) if len(top) > 1 else plain
+    coded = base.hold(plain.mapInArrow(encode, schema), "codes")
     codes = coded.select("_c_k", "_code")
     members = coded.select("_c_k", "_l", "_n", F.explode("_subs").alias("_b"))
     several = members.groupBy("_l", "_n", "_b").agg(F.count("*").alias("_c_n"), F.min("_c_k").alias("_rep")).where("_c_n > 1").select("_l", "_n", "_b", "_rep")

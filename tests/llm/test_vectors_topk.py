@@ -68,6 +68,37 @@ def test_vectors_of_every_length_are_linked(spark, monkeypatch, least):
     assert all(r.n_links <= want[r.vec_id] and len(rows[r.component_id][1]) == len(r.embedding) for r in out)
 
 
+def leaning(d, norm, n=400, seed=4):
+    """Unit vectors with a mean of about `norm`, every other one at a cosine of 0.94 with the one before."""
+    rng = np.random.default_rng(seed)
+    x, to = rng.normal(size=(2, n, d))
+    x[:, 0] = x[:, 1:].std() * math.sqrt(d) * norm / math.sqrt(1 - norm * norm)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    to -= (to * x).sum(1, keepdims=True) * x
+    y = 0.94 * x + math.sqrt(1 - 0.94**2) * to / np.linalg.norm(to, axis=1, keepdims=True)
+    x[1::2] = y[::2]
+    return x
+
+
+@pytest.mark.parametrize("least", [100, 1000])
+@pytest.mark.parametrize("norm", [0.7, 0.85])
+def test_a_common_direction_costs_no_links(spark, monkeypatch, norm, least):
+    monkeypatch.setattr(vectors, "LEARN_ROWS", least)
+    rows = [(i, v.tolist()) for i, v in enumerate(leaning(64, norm))]
+    out = vectors.near_duplicates(spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, label int")).collect()
+    want = linked(rows)
+    assert sum(want.values()) >= 400 and all(r.n_links <= want[r.vec_id] for r in out)
+    assert sum(r.n_links for r in out) >= 0.99 * sum(want.values())
+
+
+@pytest.mark.parametrize("d", [2, 8, 64])
+@pytest.mark.parametrize("norm", [0.0, 0.7, 0.9])
+def test_pairs_at_the_threshold_are_rarely_missed(d, norm):
+    x = leaning(d, norm, 2000)
+    bits = vectors.TABLES * vectors.SUB
+    assert vectors.missed(vectors.random_rotations(d, bits), x, 0.93, vectors.TABLES, vectors.SUB) < 0.005
+
+
 def test_nothing_to_link(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert vectors.near_duplicates(none).count() == 0

@@ -190,8 +190,9 @@ def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]
 
 
 def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT, bands: int = BANDS, values: int = VALUES, block_rows: int = BLOCK_ROWS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row for each distinct text: _c_k, n_shingles and component_id (null where the text has
-    no words: such a document is its own class)."""
+    """One row for each distinct text: _c_k, n_shingles, component_id (null where the text has
+    no words: such a document is its own class) and _c_kept: of the texts of its class with that
+    id, the one of the smallest key."""
     base.ready(df.sparkSession)
     docs = df.select(base.quoted(doc_id).alias("_id"), _key(text).alias("_c_k"), base.quoted(text).alias("_c_text"))
     made = signatures(docs, size, bands, values)
@@ -211,24 +212,25 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
     root = base.components(links).select(F.col("node").alias("_c_k"), F.col("root").alias("_c_root"))
     base.release(links)
     low = one.select("_c_k", "_c_low", "_c_n").join(root, "_c_k", "left").withColumn("_c_root", F.coalesce("_c_root", "_c_k"))
-    least = low.groupBy("_c_root").agg(F.min("_c_low").alias("component_id"))
-    return low.join(least, "_c_root").select("_c_k", F.col("_c_n").alias("n_shingles"), F.when(F.col("_c_n") > 0, F.col("component_id")).alias("component_id"))
+    least = low.groupBy("_c_root").agg(F.min("_c_low").alias("component_id"), F.min(F.struct(F.col("_c_low").isNull().alias("none"), "_c_low", "_c_k")).alias("_c_first"))
+    return low.join(least, "_c_root").select("_c_k", F.col("_c_n").alias("n_shingles"), F.when(F.col("_c_n") > 0, F.col("component_id")).alias("component_id"), (F.col("_c_first._c_k") == F.col("_c_k")).alias("_c_kept"))
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """`df` with n_shingles, component_id (the smallest id of its class) and kept (its id
     is that one). Clashing columns are replaced; copies are classed like their text."""
     source = base.without(df, ["n_shingles", "component_id", "kept"])
-    found = base.hold(classes(source, doc_id, text, **options), "classes")
+    found = base.hold(classes(source, doc_id, text, **options).drop("_c_kept"), "classes")
     rows = source.withColumn("_c_k", _key(text)).join(found, "_c_k")
     own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(base.quoted(doc_id))
     return rows.select(*(base.quoted(c) for c in source.columns), "n_shingles", own.alias("component_id"), base.quoted(doc_id).eqNullSafe(own).alias("kept"))
 
 
 def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of `df` with the smallest id of each class, its columns unchanged; of rows
-    with one id and equal texts, one. Texts without words stay."""
+    """One row of each class, the columns of `df` unchanged: one with the smallest id (null
+    ids lose), of several texts with it the one of the smallest key. Texts without words stay."""
     found = base.hold(classes(df, doc_id, text, **options), "classes")
-    rows = df.withColumn("_c_k", _key(text)).join(found.select("_c_k", F.col("n_shingles").alias("_c_n"), F.col("component_id").alias("_c_low")), "_c_k")
-    rows = rows.where((F.col("_c_n") == 0) | base.quoted(doc_id).eqNullSafe(F.col("_c_low")))
-    return rows.dropDuplicates(["_c_k", doc_id]).select(*(base.quoted(c) for c in df.columns))
+    rows = df.withColumn("_c_k", _key(text)).join(found.select("_c_k", F.col("n_shingles").alias("_c_n"), F.col("component_id").alias("_c_low"), "_c_kept"), "_c_k")
+    rows = rows.where((F.col("_c_n") == 0) | (F.col("_c_kept") & base.quoted(doc_id).eqNullSafe(F.col("_c_low"))))
+    rows = rows.withColumn("_c_own", F.when(F.col("_c_n") == 0, F.monotonically_increasing_id()))
+    return rows.dropDuplicates(["_c_k", "_c_own"]).select(*(base.quoted(c) for c in df.columns))

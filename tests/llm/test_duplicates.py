@@ -114,6 +114,18 @@ def test_one_of_each_class_stays(spark):
     assert out.columns == df.columns
 
 
+def test_one_row_of_a_class_stays_whatever_the_ids(spark):
+    words = [f"w{i}" for i in range(60)]
+    near = [" ".join(words[:k]) for k in (56, 57, 58)]  # one class
+    other = [" ".join(words[::-1][:k]) for k in (56, 57)]
+    rows = [(5, near[0]), (5, near[1]), (5, near[1]), (9, near[2]), (None, other[0]), (None, other[1]), (7, ""), (7, ""), (7, None), (None, " "), (None, " ")]
+    out = [tuple(r) for r in minhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    worded = [r for r in out if r[1] and r[1].strip()]
+    assert sorted(str(r) for r in out if r not in worded) == sorted(str(r) for r in rows[6:])
+    assert len(worded) == 2 and {r[0] for r in worded} == {5, None}
+    assert set(worded) <= set(rows)
+
+
 def test_forest_spans_the_links():
     rng = random.Random(4)
     import numpy as np

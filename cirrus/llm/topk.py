@@ -11,7 +11,8 @@ meet in tasks of bounded size; each task returns k rows for a query, and those a
 Rows with a null id, a null vector or null or non-finite components take no part, and
 vectors are compared with queries of their length only. A query never finds its own id;
 equal scores go to the smaller id; equal rows are found each. Components are whole numbers
-below 2**31 in size and scores must stay below 2**53.
+of 64 bits; a query whose scores could reach 2**52 in a shard is scored there in Python's
+integers, and a score or component beyond 64 bits raises.
 """
 
 from __future__ import annotations
@@ -31,9 +32,14 @@ SHARD_ROWS, BLOCK_ROWS, SEED_ROWS = 4096, 256, 256
 
 
 def whole(vector: Column, scale: int = 1024) -> Column:
-    """floor(scale * x) of every component; null if one is null or not finite."""
+    """floor(scale * x) of every component; null if one is null or not finite. One beyond 64 bits raises."""
     fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return F.when(fine, F.transform(vector, lambda x: F.floor(scale * x.cast("double")).cast("long")))
+
+    def scaled(x: Column) -> Column:
+        y = scale * x.cast("double")
+        return F.when(F.abs(y) < 2.0**63, F.floor(y).cast("long")).otherwise(F.raise_error(F.lit("a scaled component is beyond 64 bits")).cast("long"))
+
+    return F.when(fine, F.transform(vector, scaled))
 
 
 def best(shard: np.ndarray, ids: np.ndarray, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -61,6 +67,16 @@ def best(shard: np.ndarray, ids: np.ndarray, query: np.ndarray, own: int, k: int
     return ids[top], score[top]
 
 
+def best_exact(shard: np.ndarray, ids: np.ndarray, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """As `best`, in integers of any size: `shard` and `query` are whole numbers."""
+    score = query.astype(object) @ shard.astype(object)
+    some = (ids != own).nonzero()[0]
+    top = np.array(sorted(some.tolist(), key=lambda i: (-score[i], ids[i]))[:k], int)
+    if any(abs(score[i]) >= 1 << 63 for i in top):
+        raise ValueError("a score is beyond 64 bits")
+    return ids[top], score[top].astype(np.int64)
+
+
 def search(df: DataFrame, queries: Column, k: int = 10, vec_id: str = "vec_id", vector: Column | str = "embedding", shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score) of the rows for which `queries` holds against all
     rows of `df`; `vector` is an array of whole numbers (see `whole`)."""
@@ -78,7 +94,9 @@ def search(df: DataFrame, queries: Column, k: int = 10, vec_id: str = "vec_id",
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for group in groups(batches, 2):
                 ids = np.array([r[2] for r in group], np.int64)
-                matrix = np.ascontiguousarray(np.array([r[3] for r in group], np.int64).T.astype(np.int32))
+                matrix = np.ascontiguousarray(np.array([r[3] for r in group], np.int64).T)
+                if matrix.min() >= -(1 << 31) and matrix.max() < 1 << 31:
+                    matrix = matrix.astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array([group[0][0]], pa.int32()), pa.array([group[0][1]], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([matrix.tobytes()], pa.binary())], names=["_d", "_p", "_ids", "_m"])
 
         return part.repartition("_d", "_p").sortWithinPartitions("_d", "_p").mapInArrow(run, "_d int, _p int, _ids binary, _m binary")
@@ -87,16 +105,21 @@ def search(df: DataFrame, queries: Column, k: int = 10, vec_id: str = "vec_id",
     asked_rows = asked_rows.select("_d", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("_p"), F.col("_ids").alias("_qids"), F.col("_m").alias("_qm"))
     tasks = packed(rows, shards).join(asked_rows, ["_d", "_p"]).repartition(max(1, min(shards * blocks, 100_000)), "_p", "_qids")
 
+    def unpacked(raw: bytes, d: int, n: int) -> np.ndarray:
+        return np.frombuffer(raw, np.int32 if len(raw) == 4 * d * n else np.int64).reshape(d, n)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 ids, asked_ids = np.frombuffer(row["_ids"], np.int64), np.frombuffer(row["_qids"], np.int64)
-                shard = np.frombuffer(row["_m"], np.int32).reshape(row["_d"], -1).astype(np.float64)
-                weights = np.frombuffer(row["_qm"], np.int32).reshape(row["_d"], -1).astype(np.float64)
+                known, asked_for = unpacked(row["_m"], row["_d"], len(ids)), unpacked(row["_qm"], row["_d"], len(asked_ids))
+                shard, weights = known.astype(np.float64), asked_for.astype(np.float64)
+                reach = np.abs(weights).T @ np.abs(shard).max(1)
                 out: list[list[np.ndarray]] = [[], [], [], []]
                 for j, own in enumerate(asked_ids.tolist()):
-                    got, score = best(shard, ids, weights[:, j], own, k)
-                    key = np.frombuffer(weights[:, j].tobytes(), np.uint64)
+                    got, score = best(shard, ids, weights[:, j], own, k) if reach[j] < 2**52 else best_exact(known, ids, asked_for[:, j], own, k)
+                    exact = np.abs(weights[:, j]).max() < 2**53  # then the doubles tell vectors apart
+                    key = np.frombuffer((weights if exact else asked_for)[:, j].tobytes(), np.uint64)
                     key = int(np.bitwise_xor.reduce(key * (np.arange(len(key), dtype=np.uint64) * np.uint64(2) + np.uint64(0x9E3779B1))))
                     for column, x in zip(out, (np.full(len(got), own), np.full(len(got), key, np.uint64).view(np.int64), got, score.astype(np.int64))):
                         column.append(x)

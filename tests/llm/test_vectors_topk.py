@@ -128,6 +128,36 @@ def test_top_k_is_exact(spark, shard):
     assert topk.search(df, F.lit(False), vector=topk.whole(F.col("embedding"))).count() == 0
 
 
+@pytest.mark.parametrize("size", [2.0**21, 2.0**24, 2.0**40])
+def test_large_components_are_scored_exactly(spark, size):
+    rng = np.random.default_rng(6)
+    x = np.round(rng.normal(size=(60, 4)), 3)
+    x[::3] *= size
+    x[0] /= 2.0**14  # scores above 2**53 that still fit 64 bits
+    x[1::3, 1:] *= 1e-3
+    x[20:, 2] = 0.0
+    if size > 2.0**30:  # the largest only where scores still fit 64 bits
+        x[::3, 1:], x[0], x[1::3], x[2::3] = 0.0, 1.0, np.round(x[1::3], 1), np.round(x[2::3], 1)
+    x[3, 0] = size + 1 / 1024
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    asked = [0, 1, 2]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = topk.search(df, F.col("vec_id").isin(asked), vector=topk.whole(F.col("embedding")), shard_rows=20).collect()
+    use = [[math.floor(1024 * c) for c in v] for _, v in rows]
+    want = []
+    for q in asked:
+        found = sorted((-sum(a * b for a, b in zip(use[q], v)), i) for i, v in enumerate(use) if i != q)[:10]
+        want += [(q, k, i, -s) for k, (s, i) in enumerate(found, 1)]
+    assert sorted(tuple(r) for r in out) == sorted(want)
+
+
+def test_what_64_bits_do_not_hold_raises(spark):
+    for size in (1e30, 2.0**40):
+        df = spark.createDataFrame([(0, [size]), (1, [size])], "vec_id long, embedding array<double>")
+        with pytest.raises(Exception, match="beyond 64 bits"):
+            topk.search(df, F.lit(True), vector=topk.whole(F.col("embedding"))).collect()
+
+
 def test_pruning_never_loses_a_row():
     rng = np.random.default_rng(9)
     for _ in range(60):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import base, codec, langid, minhash, packing, sharding, substring, topk, toxicity, vectors, warc
+from . import base, codec, collocations, langid, minhash, mixing, packing, sharding, substring, topk, toxicity, vectors, warc, whitening
 
 
 def vocabulary(name: str) -> str:
@@ -79,6 +79,22 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_bundles(index, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = base.table(spark, sf_dir, "documents").select("text", "lang")
+    return collocations.mine(docs).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = base.table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    rows = mixing.mix(docs, mixing.word_count(F.col("text")), F.col("source"), F.col("doc_id"), F.col("text"), keep=["doc_id"])
+    return rows.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = base.table(spark, sf_dir, "embeddings")
+    return whitening.whiten(rows).select("vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_repeated_phrases": op2_repeated_phrases,
@@ -90,6 +106,9 @@ QUERIES = {
     "op8_itq_vectors": op8_itq_vectors,
     "op9_max_score": op9_max_score,
     "op10_warc": op10_warc,
+    "op11_collocations": op11_collocations,
+    "op12_source_mix": op12_source_mix,
+    "op13_whitening": op13_whitening,
 }
 
 SQL = {
@@ -138,4 +157,41 @@ SQL = {
                CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN page_id <> first THEN first END AS refers_to
         FROM b""",
+    "op11_collocations": r"""
+        WITH d AS (SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS doc, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+        p AS (SELECT lang, doc, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+        w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+        u AS (SELECT lang, w, generate_subscripts(w, 1) AS i FROM w),
+        f AS (SELECT lang, 1 AS k, w[i] AS phrase, '' AS head, '' AS tail, '' AS first, '' AS last, count(*) AS c FROM u GROUP BY ALL
+              UNION ALL SELECT lang, 2, w[i] || ' ' || w[i + 1], w[i], w[i + 1], w[i], w[i + 1], count(*) FROM u WHERE i < len(w) GROUP BY ALL HAVING count(*) >= 10
+              UNION ALL SELECT lang, 3, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2], w[i] || ' ' || w[i + 1], w[i + 1] || ' ' || w[i + 2], w[i], w[i + 2], count(*) FROM u WHERE i + 1 < len(w) GROUP BY ALL HAVING count(*) >= 10),
+        n AS (SELECT lang, sum(c) AS n FROM f WHERE k = 1 GROUP BY lang),
+        cuts AS (SELECT x.lang, x.k, x.phrase, x.c AS a, 1 AS cut, l.c AS l, r.c AS r FROM f x JOIN f l ON l.lang = x.lang AND l.phrase = x.first AND l.k = 1 JOIN f r ON r.lang = x.lang AND r.phrase = x.tail AND r.k = x.k - 1 WHERE x.k > 1
+                 UNION ALL SELECT x.lang, x.k, x.phrase, x.c, 2, l.c, r.c FROM f x JOIN f l ON l.lang = x.lang AND l.phrase = x.head AND l.k = 2 JOIN f r ON r.lang = x.lang AND r.phrase = x.last AND r.k = 1 WHERE x.k = 3),
+        scored AS (SELECT *, CAST((CAST(1000000 AS HUGEINT) * a * a) // (CAST(l AS HUGEINT) * r) AS BIGINT) AS score FROM cuts),
+        least AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, k, phrase ORDER BY score, cut) = 1),
+        longer AS (SELECT lang, phrase, max(c) AS c FROM (SELECT lang, head AS phrase, c FROM f WHERE k = 3 UNION ALL SELECT lang, tail, c FROM f WHERE k = 3) GROUP BY ALL),
+        kept AS (SELECT x.* FROM least x LEFT JOIN longer g ON x.k = 2 AND g.lang = x.lang AND g.phrase = x.phrase WHERE g.c IS NULL OR 100 * g.c < 50 * x.a),
+        ranked AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, score FROM kept)
+        SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000""",
+    "op12_source_mix": r"""
+        WITH RECURSIVE d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+                 md5('11:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')) AS h FROM documents),
+        s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [3, 1, 2][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INT)] AS w FROM d GROUP BY source),
+        o AS (SELECT *, sum(2 * source_size) OVER (ORDER BY source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS used,
+                 sum(w) OVER (ORDER BY source_size / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest, sum(source_size) OVER () AS total FROM s),
+        free AS (SELECT *, CAST(150 * total AS DOUBLE) / 100 - CAST(coalesce(used, 0) AS DOUBLE) AS num, rest AS den FROM o),
+        lev AS (SELECT num, den FROM free WHERE w * num / den < 2.0 * source_size ORDER BY source_size / w, source NULLS LAST LIMIT 1),
+        t AS (SELECT source, source_size, coalesce(least(w * (SELECT num FROM lev) / (SELECT den FROM lev), CAST(2 * source_size AS DOUBLE)), CAST(2 * source_size AS DOUBLE)) AS target FROM s),
+        e AS (SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS copies FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+        c AS (SELECT *, CAST(floor(copies) AS BIGINT) AS certain, greatest(copies - floor(copies), CAST(1e-9 AS DOUBLE)) AS p, (CAST('0x' || substr(h, 1, 13) AS BIGINT) + CAST(0.5 AS DOUBLE)) / CAST(4503599627370496 AS DOUBLE) AS u FROM e),
+        k AS (SELECT *, least(CAST(floor((u * (1 - p)) / (u * (1 - p) + (1 - u) * p) * CAST(1125899906842624 AS DOUBLE)) AS BIGINT), 1125899906842623) AS k1, CAST('0x' || substr(h, 14, 15) AS BIGINT) AS k2 FROM c),
+        want AS (SELECT source, CAST(floor(target - sum(size * certain)) AS BIGINT) AS words FROM k GROUP BY source, target),
+        q AS (SELECT k.source, doc_id, size, source_size, target, certain, row_number() OVER (PARTITION BY k.source ORDER BY k1, k2) AS i FROM k),
+        run(source, i, left_, extra) AS (
+            SELECT source, CAST(0 AS BIGINT), words, CAST(0 AS BIGINT) FROM want
+            UNION ALL SELECT q.source, q.i, CASE WHEN q.certain < 2 AND q.size <= run.left_ THEN run.left_ - q.size ELSE run.left_ END, CASE WHEN q.certain < 2 AND q.size <= run.left_ THEN 1 ELSE 0 END
+            FROM run JOIN q ON q.source IS NOT DISTINCT FROM run.source AND q.i = run.i + 1)
+        SELECT q.doc_id, q.size, q.source_size, q.target, CAST(q.size * (q.certain + run.extra) AS BIGINT) AS taken
+        FROM q JOIN run ON q.source IS NOT DISTINCT FROM run.source AND q.i = run.i""",
 }

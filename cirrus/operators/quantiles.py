@@ -1,72 +1,146 @@
 """Exact quantiles, one path for every size (H3).
 
-1. unpivot the columns to (group…, column, value) and count equal values with
-   partial aggregation, so a frequent value is one row however often it occurs;
-2. lay the distinct values out in (group, column, value) order by range
-   partitions, fixed by a reliable checkpoint of these narrow rows;
-3. a small table of the count per (partition, group, column) says in which
-   partition each rank that linear interpolation needs, ⌊q·(n−1)⌋ and
-   ⌈q·(n−1)⌉, lies; only there a running count finds the value;
-4. lo + (hi − lo)·frac, the interpolation of pandas / `quantile_cont`.
-
-No value map, no estimate and no switch by size. `method="approx"` is
+No value is shuffled. A double has a 64-bit key of the same order; rows are counted by the
+key's leading bits with partial aggregation, and the counts say which buckets hold the ranks
+that linear interpolation needs, ⌊q·(n−1)⌋ and ⌈q·(n−1)⌉. Only rows of those buckets are
+counted again, by the bits that follow, until a bucket's least and largest value are equal:
+its rank is found. A frequent value is such a bucket at once, and a step reads the columns
+again but passes on one row for each bucket it has met. Then lo + (hi − lo)·frac, the
+interpolation of pandas / `quantile_cont`.
+
+What the next step needs is a row for each bucket that holds a rank: without groups as many
+as columns times twice the quantiles, which come to the driver; with groups a table in the
+shared folder, as there may be many. No estimate and no switch by size. `method="approx"` is
 `percentile_approx`, the caller's choice.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cirrus.session import ensure_checkpoint_dir
+from cirrus.sources.held import hold
+
+#: Bits of the key that the first step and each later step look at.
+FIRST_BITS, STEP_BITS = 16, 12
+_NAN_KEY = (1 << 63) - 1
+
+
+def order_key(x: Column) -> Column:
+    """The bits of a double as a whole number of the same order: the sign, 11 bits of exponent,
+    52 of mantissa. The logarithm only guesses the exponent; powers of two, which are exact,
+    correct it. NaN is the largest; the zeros are equal."""
+    a = F.abs(x)
+    two = F.lit(2.0)
+    guess = F.floor(F.log2(a)).cast("double")
+    guess = F.when(F.pow(two, guess) > a, guess - 1).otherwise(guess)
+    exponent = F.when(F.pow(two, guess + 1) <= a, guess + 1).otherwise(guess)
+    tiny = F.lit(2.0**-1022)
+    key = (F.when(a == 0, F.lit(0).cast("long"))
+           .when(a == float("inf"), F.lit(2047 << 52))
+           .when(a < tiny, (a * F.lit(2.0**1022) * F.lit(2.0**52)).cast("long"))
+           .otherwise((exponent.cast("long") + 1022) * F.lit(1 << 52) + (a / F.pow(two, exponent) * F.lit(2.0**52)).cast("long")))
+    return F.when(F.isnan(x), F.lit(_NAN_KEY)).when(x < 0, -key).otherwise(key)
 
 
 def _long(df: DataFrame, cols: Sequence[str], by: Sequence[str]) -> DataFrame:
-    return df.select(*by, F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).try_cast("double").alias("_v")) for c in cols])))
+    """(by…, _ci, _v, _k): number of the column, value and key of all values that are not null."""
+    values = F.array(*[F.struct(F.lit(i).alias("_ci"), (F.col(c).try_cast("double") + 0.0).alias("_v")) for i, c in enumerate(cols)])
+    return df.select(*by, F.inline(values)).where(F.col("_v").isNotNull()).withColumn("_k", order_key(F.col("_v")))
+
+
+def _counted(rows: DataFrame, key: list[str], shift: int) -> DataFrame:
+    """Buckets of `rows` by the key's bits from `shift` up, with the rows before each in `key`."""
+    b = rows.groupBy(*key, F.shiftright("_k", shift).alias("_b")).agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    # at most 2^bits buckets in a window
+    before = Window.partitionBy(*key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    return b.withColumn("_off", F.coalesce(F.sum("_c").over(before), F.lit(0)))
+
+
+def _inside(ranks: Column) -> Column:
+    """The ranks that lie in a bucket, counted from its first row."""
+    here = F.filter(ranks, lambda s: (s["r"] >= F.col("_off")) & (s["r"] < F.col("_off") + F.col("_c")))
+    return F.transform(here, lambda s: F.struct(s["q"].alias("q"), s["end"].alias("end"), (s["r"] - F.col("_off")).alias("r")))
+
+
+def _first(rows: DataFrame, key: list[str], probs: Sequence[float], shift: int) -> DataFrame:
+    """Buckets that hold a rank: (key…, _b, _lo, _hi, _n, _s), _n rows of the key, _s the ranks."""
+    n = F.sum("_c").over(Window.partitionBy(*key))
+    ranks = [F.struct(F.lit(i).alias("q"), F.lit(end).alias("end"), of(F.lit(float(p)) * (F.col("_n") - 1).cast("double")).cast("long").alias("r"))
+             for i, p in enumerate(probs) for end, of in ((0, F.floor), (1, F.ceil))]
+    found = _counted(rows, key, shift).withColumn("_n", n).withColumn("_s", _inside(F.array(*ranks)))
+    return found.where(F.size("_s") > 0).select(*key, "_b", "_lo", "_hi", "_n", "_s")
+
+
+def _next(rows: DataFrame, state: DataFrame, key: list[str], was: int, shift: int) -> DataFrame:
+    """The same for the bits behind, in the buckets of `state` only."""
+    own = state.select(*[F.col(c).alias(f"_s_{c}") for c in key], F.col("_b").alias("_s_b"), "_n", "_s")
+    same = [F.col(c).eqNullSafe(F.col(f"_s_{c}")) for c in key]
+    part = rows.withColumn("_p", F.shiftright("_k", was)).join(own.drop("_n", "_s"), [*same, F.col("_p") == F.col("_s_b")], "left_semi")
+    found = _counted(part, [*key, "_p"], shift).join(own, [*same, F.col("_p") == F.col("_s_b")]).withColumn("_s", _inside(F.col("_s")))
+    return found.where(F.size("_s") > 0).select(*key, "_b", "_lo", "_hi", "_n", "_s")
+
+
+def _table(spark, rows: list, fields: str) -> DataFrame:
+    """A few rows as a table that stays in the JVM."""
+    return spark.createDataFrame(rows, fields).coalesce(1)
 
 
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
                     by: Sequence[str] = ()) -> DataFrame:
     """(by…, column, quantiles: array<double> in `probs` order) by ranks."""
-    ensure_checkpoint_dir(df.sparkSession)
-    by = list(by)
-    key = [*by, "column"]
-    counts = (_long(df, cols, by).filter(F.col("_v").isNotNull())
-              .groupBy(*key, "_v").agg(F.count(F.lit(1)).alias("_c")))
-    laid = (counts.repartitionByRange(*key, "_v").withColumn("_pid", F.spark_partition_id())
-            .checkpoint(eager=True))
-    # one row per (partition, group, column): ranks before the partition, rows of the group
-    per = laid.groupBy("_pid", *key).agg(F.sum("_c").alias("_t"))
-    before = Window.partitionBy(*key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    per = per.select("_pid", *key, "_t", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_off"),
-                     F.sum("_t").over(Window.partitionBy(*key)).alias("_n"))
-    wanted = F.posexplode(F.array(*[F.lit(float(p)) for p in probs])).alias("_qi", "_p")
-    need = per.select("*", wanted).withColumn("_pos", F.col("_p") * (F.col("_n") - 1).cast("double"))
-    need = need.select("_pid", *key, "_off", "_t", "_qi", (F.col("_pos") - F.floor("_pos")).alias("_frac"),
-                       F.explode(F.array(F.struct(F.lit(0).alias("_end"), F.floor("_pos").alias("_r")),
-                                         F.struct(F.lit(1).alias("_end"), F.ceil("_pos").alias("_r")))).alias("_e"))
-    need = need.select("_pid", *key, "_off", "_qi", "_frac", "_e.*", "_t").where(
-        (F.col("_r") >= F.col("_off")) & (F.col("_r") < F.col("_off") + F.col("_t")))
-    # the ranks sought in a partition and group lie in an array: few, and bounded by 2·|q|
-    sought = need.groupBy("_pid", *key).agg(F.collect_list(
-        F.struct("_qi", "_end", "_frac", (F.col("_r") - F.col("_off")).alias("_r"))).alias("_s"))
-    sought = sought.withColumnsRenamed({c: f"_s_{c}" for c in ["_pid", *key]})
-    on = [F.col(c).eqNullSafe(F.col(f"_s_{c}")) for c in ["_pid", *key]]
-    here = laid.join(sought, on).drop(*[f"_s_{c}" for c in ["_pid", *key]])
-    upto = Window.partitionBy("_pid", *key).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    here = here.withColumn("_to", F.sum("_c").over(upto))
-    hit = here.select(*key, "_v", F.explode(F.filter(
-        "_s", lambda s: (s["_r"] < F.col("_to")) & (s["_r"] >= F.col("_to") - F.col("_c")))).alias("_h"))
-    ends = hit.groupBy(*key, F.col("_h._qi").alias("_qi")).agg(
-        F.max(F.when(F.col("_h._end") == 0, F.col("_v"))).alias("_lo"),
-        F.max(F.when(F.col("_h._end") == 1, F.col("_v"))).alias("_hi"), F.max("_h._frac").alias("_frac"))
-    q = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_frac")
+    by, cols = list(by), list(cols)
+    key = [*by, "_ci"]
+    rows = _long(df, cols, by)
+    shift = 64 - FIRST_BITS
+    found = _first(rows, key, probs, shift)
+    return _grouped(rows, found, key, by, cols, probs, shift) if by else _whole(rows, found, cols, probs, shift)
+
+
+def _whole(rows: DataFrame, found: DataFrame, cols: list[str], probs: Sequence[float], shift: int) -> DataFrame:
+    spark, ends, sizes = rows.sparkSession, {}, {}
+    while True:
+        got = found.collect()  # at most a row for each column and rank
+        for r in got:
+            sizes[r["_ci"]] = r["_n"]
+            for s in r["_s"] if r["_lo"] == r["_hi"] or r["_lo"] != r["_lo"] else ():
+                ends[r["_ci"], s["q"], s["end"]] = r["_lo"]
+        left = [r for r in got if r["_lo"] != r["_hi"] and r["_lo"] == r["_lo"]]
+        if not left or shift == 0:
+            break
+        # rows of the driver, as many as there are columns and ranks at most: a proven bound
+        state = F.broadcast(_table(spark, left, found.schema))
+        found, shift = _next(rows, state, ["_ci"], shift, shift - STEP_BITS), shift - STEP_BITS
+    out = []
+    for i, n in sorted(sizes.items()):
+        at = [p * (n - 1) for p in probs]
+        lo, hi = ([ends[i, q, end] for q in range(len(probs))] for end in (0, 1))
+        out.append((cols[i], [a + (b - a) * (x - math.floor(x)) for a, b, x in zip(lo, hi, at)]))
+    return _table(spark, out, "column string, quantiles array<double>")
+
+
+def _grouped(rows: DataFrame, found: DataFrame, key: list[str], by: list[str], cols: list[str], probs: Sequence[float], shift: int) -> DataFrame:
+    done, settled = [], F.col("_lo").eqNullSafe(F.col("_hi"))
+    while True:
+        held = hold(found, "ranks")
+        done.append(held.where(settled))
+        if shift == 0 or not held.where(~settled).limit(1).count():
+            break
+        found, shift = _next(rows, held.where(~settled), key, shift, shift - STEP_BITS), shift - STEP_BITS
+    every = done[0]
+    for more in done[1:]:
+        every = every.unionByName(more)
+    ends = every.select(*key, "_n", "_lo", F.explode("_s").alias("s")).groupBy(*key, "s.q").agg(
+        F.max(F.when(F.col("s.end") == 0, F.col("_lo"))).alias("_a"), F.max(F.when(F.col("s.end") == 1, F.col("_lo"))).alias("_z"), F.max("_n").alias("_n"))
+    at = F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("q") + 1) * (F.col("_n") - 1).cast("double")
+    value = F.col("_a") + (F.col("_z") - F.col("_a")) * (at - F.floor(at))
     # at most len(probs) rows per (group, column)
-    out = ends.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("_qi", q.alias("_q")))).alias("_a"))
-    return out.select(*key, F.col("_a._q").alias("quantiles"))
+    out = ends.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("q", value.alias("v")))).alias("_all"))
+    name = F.element_at(F.array(*[F.lit(c) for c in cols]), F.col("_ci") + 1)
+    return out.select(*by, name.alias("column"), F.col("_all.v").alias("quantiles"))
 
 
 def approx_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = (),

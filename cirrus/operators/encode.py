@@ -4,8 +4,10 @@ T13 as methods).
 Category tables (value → code, value → mean) are built by Spark from the
 data. They are joined back with a broadcast only after their row count has
 been checked against a bound; above it the join is a shuffle join.
-One-hot encoding creates one column per category, all of them; for a wide
-column `one_hot_long` gives (key, category) rows instead, the caller's choice.
+One-hot encoding as columns has a column for each category, so the schema, in the
+driver, grows with them: up to MAX_COLUMNS, beyond which it refuses. `one_hot_vector`
+keeps the categories as a table and writes one sparse vector column, whatever their
+number; `one_hot_long` gives (key, category) rows.
 """
 
 from __future__ import annotations
@@ -14,14 +16,18 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from cirrus.functions import text as T
+from cirrus.sources.held import hold
 from cirrus.sources.ingest import with_row_id
 
 BROADCAST_MAX_ROWS = 1_000_000
+#: Most columns that one-hot encoding makes of a column.
+MAX_COLUMNS = 10_000
 
 
 def checked_join(big: DataFrame, small: DataFrame, on, how: str = "left",
@@ -64,8 +70,12 @@ def label_encode(df: DataFrame, c: str, mapping: DataFrame | None = None, unknow
 
 
 def categories(df: DataFrame, c: str) -> list:
-    """Sorted distinct non-null values: the names of the one-hot columns."""
-    return sorted(r[0] for r in df.select(c).filter(F.col(c).isNotNull()).distinct().collect())
+    """Sorted distinct non-null values: the names of the one-hot columns. More than
+    MAX_COLUMNS raise, and no more of them come to the driver."""
+    got = df.select(c).filter(F.col(c).isNotNull()).distinct().limit(MAX_COLUMNS + 1).collect()
+    if len(got) > MAX_COLUMNS:
+        raise ValueError(f"{c!r} has more than {MAX_COLUMNS} categories for columns; use one_hot_vector")
+    return sorted(r[0] for r in got)
 
 
 def one_hot_long(df: DataFrame, c: str, key_cols: Sequence[str]) -> DataFrame:
@@ -89,6 +99,35 @@ def one_hot(df: DataFrame, c: str, cats: Sequence | None = None, drop_first: boo
     return out if keep_original else out.drop(c)
 
 
+def sparse_vector(index: Column, size: int) -> Column:
+    """A sparse ML vector of `size` with 1 at `index`; all 0 where that is null. Built in
+    the JVM: the vector type is read from the JSON of its parts."""
+    one = index.isNotNull()
+    parts = F.struct(F.struct(
+        F.lit(0).alias("type"), F.lit(size).alias("size"),
+        F.when(one, F.array(index.cast("int"))).otherwise(F.array().cast("array<int>")).alias("indices"),
+        F.when(one, F.array(F.lit(1.0))).otherwise(F.array().cast("array<double>")).alias("values")).alias("v"))
+    return F.from_json(F.to_json(parts), StructType([StructField("v", VectorUDT())]))["v"]
+
+
+def one_hot_vector(df: DataFrame, c: str, codes: DataFrame | None = None, size: int | None = None, out: str | None = None,
+                   drop_first: bool = False) -> DataFrame:
+    """Z8 (Z20 with `drop_first`) for any number of categories: column `c` becomes the sparse
+    vector `<c>_onehot` over the sorted categories, which lie in the table `codes`
+    (see `label_mapping`) and are joined. Null or unknown → all 0."""
+    codes = codes if codes is not None else label_mapping(df, c)
+    size = size if size is not None else codes.count()
+    first = int(drop_first)
+    out = out or f"{c}_onehot"
+    m = codes.select(F.col(codes.columns[0]).alias("_k"), F.col("code").alias("_code"))
+    # the table grows with the data; the planner picks the join by its size
+    j = df.join(m, F.col(c) == F.col("_k"), "left")
+    index = F.when(F.col("_code") >= first, F.col("_code") - first)
+    width = max(1, size - first)
+    vector = sparse_vector(index, width).alias(out, metadata={"ml_attr": {"num_attrs": width}})
+    return j.select(*[F.col(f"`{x}`") for x in df.columns if x not in (c, out)], vector)
+
+
 @dataclass
 class TargetEncoder:
     """Category → mean of the target; unseen → mean of the means."""
@@ -157,27 +196,16 @@ class PreprocessingModel:
     """Cyclic → one-hot → column alignment → scaling, fitted once."""
     cyclic_periods: dict[str, float] = field(default_factory=dict)
     one_hot_cats: dict[str, list] = field(default_factory=dict)
+    vectors: dict[str, tuple[DataFrame, int, str]] = field(default_factory=dict)  # codes, their number, output
     ordinal: dict[str, DataFrame] = field(default_factory=dict)
     feature_columns: list[str] = field(default_factory=list)
     scaler: object | None = None
 
     def transform(self, df: DataFrame) -> DataFrame:
-        out = df
-        for c, p in self.cyclic_periods.items():
-            out = cyclic(out, c, p, drop=True)
-        for c, cats in self.one_hot_cats.items():
-            out = one_hot(out, c, cats=cats, drop_first=True)
-        for c, m in self.ordinal.items():
-            out = label_encode(out, c, mapping=m, unknown=-1)
-        # align: missing feature columns → 0, extra columns dropped
-        present = set(out.columns)
-        out = out.withColumns({c: F.lit(0).cast("double") for c in self.feature_columns if c not in present})
-        keep = [c for c in df.columns if c not in self.feature_columns and c not in self.cyclic_periods
-                and c not in self.one_hot_cats and c not in self.ordinal]
-        out = out.select(*keep, *self.feature_columns)
-        if self.scaler is not None:
-            out = self.scaler.transform(out)
-        return out
+        from cirrus.operators.stages import preparation_stages
+        for stage in preparation_stages(self):
+            df = stage.transform(df)
+        return df
 
 
 def fit_preprocessing(df: DataFrame, features: Sequence[str], scale: str | None = "standard",
@@ -186,8 +214,9 @@ def fit_preprocessing(df: DataFrame, features: Sequence[str], scale: str | None
     """Categorical columns are text columns or numeric columns with
     fewer than 10 distinct values (D8); cyclic ones are found by name (D7).
     `encoding_method` is the caller's: "onehot" (first level dropped, unknown
-    → all 0) or "ordinal" (unknown → −1)."""
-    if encoding_method not in ("onehot", "ordinal"):
+    → all 0), "sparse" (the same as one sparse vector column for each, for any number
+    of categories) or "ordinal" (unknown → −1). Vectors are not scaled."""
+    if encoding_method not in ("onehot", "sparse", "ordinal"):
         raise ValueError(f"unknown encoding method: {encoding_method}")
     from cirrus.operators import normalize as N
     features = list(features)
@@ -209,6 +238,9 @@ def fit_preprocessing(df: DataFrame, features: Sequence[str], scale: str | None
             continue
         if encoding_method == "onehot":
             model.one_hot_cats[c] = categories(df, c)
+        elif encoding_method == "sparse":
+            codes = hold(label_mapping(df, c), "codes")
+            model.vectors[c] = (codes, codes.count(), f"{c}_onehot")
         else:
             model.ordinal[c] = label_mapping(df, c)
     feats = []
@@ -217,12 +249,14 @@ def fit_preprocessing(df: DataFrame, features: Sequence[str], scale: str | None
             feats += [f"{c}_sin", f"{c}_cos"]
         elif c in model.one_hot_cats:
             feats += [f"{c}_{v}" for v in model.one_hot_cats[c][1:]]
+        elif c in model.vectors:
+            feats.append(model.vectors[c][2])
         else:
             feats.append(c)
     model.feature_columns = feats
     if scale and scale != "none":
         staged = model.transform(df)
-        model.scaler = N.fit(staged, feats, scale)
+        model.scaler = N.fit(staged, [c for c in feats if not isinstance(staged.schema[c].dataType, VectorUDT)], scale)
     return model
 
 

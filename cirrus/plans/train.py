@@ -5,6 +5,8 @@ Tree models are MLlib estimators in a `Pipeline` (VectorAssembler → model);
 they train on partitions in parallel. Hyper-parameters use the reference's
 names and are mapped to MLlib (ML4); what MLlib has no equivalent for is
 rejected with a message. Multiclass gradient boosting uses OneVsRest.
+Boosted trees stop early by the losses of their rounds on validation rows. A fitted
+preparation, the model and the names of its classes are one `PipelineModel`.
 """
 
 from __future__ import annotations
@@ -14,13 +16,16 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, MultilayerPerceptronClassifier,
-                                       OneVsRest, RandomForestClassifier)
+from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassificationModel, GBTClassifier,
+                                       MultilayerPerceptronClassifier, OneVsRest, OneVsRestModel,
+                                       RandomForestClassifier)
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import (DecisionTreeRegressor, GBTRegressionModel, GBTRegressor, LinearRegression,
+                                   RandomForestRegressor)
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark import SparkContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -30,6 +35,8 @@ from cirrus.session import ensure_checkpoint_dir
 UNSUPPORTED_CRITERIA = ("absolute_error", "poisson", "log_loss")
 #: MLlib grows trees to this depth at most; it stands for the unlimited depth of `max_depth=None`.
 DEEPEST = 30
+#: Rounds without a better validation loss after which boosting stops (fixed value).
+STOPPING_ROUNDS = 50
 #: Values that say what MLlib does anyway.
 IMPLIED = {"min_samples_split": (2,), "oob_score": (False,), "ccp_alpha": (0, 0.0), "splitter": ("best",),
            "gamma": (0, 0.0), "reg_alpha": (0, 0.0), "colsample_bytree": (1, 1.0), "colsample_bylevel": (1, 1.0),
@@ -140,6 +147,60 @@ class TrainResult:
     metrics: DataFrame
     feature_names: list[str] = field(default_factory=list)
     labels: DataFrame | None = None  # (text, code) of a text target
+    preparation: object | None = None  # fitted PreprocessingModel
+
+    @property
+    def pipeline(self) -> PipelineModel:
+        """Preparation, assembler, model and the names of the classes as one model: it
+        scores rows as they were before the preparation, and is saved as a whole."""
+        from cirrus.operators.stages import names_stage, preparation_stages
+        before = preparation_stages(self.preparation) if self.preparation is not None else []
+        after = [names_stage(self.labels)] if self.labels is not None else []
+        return PipelineModel(stages=[*before, *self.model.stages, *after])
+
+
+def stopping_round(losses: Sequence[float], rounds: int) -> int:
+    """ML3: the number of rounds to keep: up to the least loss, seen before `rounds` rounds
+    in a row were no better than it."""
+    best = 0
+    for i, x in enumerate(losses):
+        if x < losses[best]:
+            best = i
+        elif i - best >= rounds:
+            break
+    return best + 1
+
+
+def first_rounds(model, k: int):
+    """The boosted model of the first `k` rounds of a fitted one."""
+    if k >= model.getNumTrees:
+        return model
+    gate, jvm, java = model._java_obj, SparkContext._active_spark_context._jvm, SparkContext._active_spark_context._gateway
+    old, weights = gate.trees(), gate.treeWeights()
+    trees, kept = java.new_array(jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, k), java.new_array(jvm.double, k)
+    for i in range(k):
+        trees[i], kept[i] = old[i], weights[i]
+    if isinstance(model, GBTRegressionModel):
+        out = GBTRegressionModel(jvm.org.apache.spark.ml.regression.GBTRegressionModel(model.uid, trees, kept, model.numFeatures))
+    else:
+        out = GBTClassificationModel(jvm.org.apache.spark.ml.classification.GBTClassificationModel(
+            model.uid, trees, kept, model.numFeatures, model.numClasses))
+    out._resetUid(model.uid)
+    return model._copyValues(out)
+
+
+def stopped_early(model, rows: DataFrame, rounds: int = STOPPING_ROUNDS):
+    """ML3: a fitted boosted model, or one-vs-rest of them, cut at the round that the losses
+    on `rows` (assembled validation rows) name: one pass over them for all rounds. In
+    one-vs-rest, each class has its own."""
+    if isinstance(model, OneVsRestModel):
+        label, models = model.getLabelCol(), []
+        for i, m in enumerate(model.models):
+            own = rows.withColumn(m.getLabelCol(), (F.col(label) == i).cast("double"))
+            models.append(stopped_early(m, own, rounds))
+        return model._copyValues(OneVsRestModel(models=models))
+    losses = model.evaluateEachIteration(rows, "squared") if isinstance(model, GBTRegressionModel) else model.evaluateEachIteration(rows)
+    return first_rounds(model, stopping_round(list(losses), rounds))
 
 
 def _encoded(df: DataFrame, target: str) -> tuple[DataFrame, DataFrame | None]:
@@ -153,19 +214,33 @@ def _encoded(df: DataFrame, target: str) -> tuple[DataFrame, DataFrame | None]:
 
 def train(df: DataFrame, features: Sequence[str], target: str, model_type: str = "random_forest",
           params: dict | None = None, classification: bool | None = None, split_col: str = "split",
-          balanced: bool = False, scale: bool = False, early_stopping: bool = True) -> TrainResult:
+          balanced: bool = False, scale: bool = False, early_stopping: bool = True, preparation=None) -> TrainResult:
     """ML7: spec + DataFrame with a `split` column → fitted pipeline,
     predictions on the test rows, metrics rows (test split only — the
     stored split, not the last positional block).
 
     A text target is label-encoded and the predictions get `prediction_label`.
-    `scale` standardises the features inside the pipeline. Boosted trees stop
-    early on the rows of the split `val` where there are any (ML3). Class
+    `scale` standardises the features inside the pipeline; `preparation` is a fitted
+    `PreprocessingModel` whose feature columns are used (`features` may be empty then).
+    Boosted trees stop early on the rows of the split `val` where there are any (ML3),
+    after `early_stopping_rounds` rounds (50) without a better loss; with the parameter
+    `early_stopping_enabled` false, or without such rows, they do not. Class
     weights (`balanced`) are counted on the training rows."""
     from cirrus.operators import evaluate as EV
     from cirrus.operators.encode import decode_labels
     ensure_checkpoint_dir(df.sparkSession)
+    params = dict(params or {})
+    rounds = params.pop("early_stopping_rounds", None)
+    stop = bool(params.pop("early_stopping_enabled", early_stopping))
+    rounds = STOPPING_ROUNDS if rounds is None else int(rounds)
+    if rounds < 1:
+        raise ValueError(f"early_stopping_rounds {rounds}: one round at least")
     data, labels = _encoded(df, target)
+    if preparation is not None:
+        kept = {c: f"_raw_{i}" for i, c in enumerate([target, split_col]) if c in data.columns}
+        data = preparation.transform(data.withColumns({b: F.col(a) for a, b in kept.items()}))
+        data = data.withColumns({a: F.col(b) for a, b in kept.items() if a not in preparation.feature_columns}).drop(*kept.values())
+        features = preparation.feature_columns
     if classification is None:
         classification = labels is not None or data.agg(F.count_distinct("label")).first()[0] <= 20
     has_split = split_col in data.columns
@@ -174,25 +249,24 @@ def train(df: DataFrame, features: Sequence[str], target: str, model_type: str =
     if balanced and classification:
         data, weight = class_weights(data, "label", rows=train_rows), "weight"
     n_classes = int(data.agg(F.max("label")).first()[0] or 1) + 1 if classification else 0
-    params = dict(params or {})
-    rounds = params.pop("early_stopping_rounds", None)
     est = estimator(model_type, classification, params, n_classes, weight=weight)
     train_rows = data.filter(F.col(split_col) == "train") if has_split else data
-    if isinstance(est, (GBTClassifier, GBTRegressor)) and has_split and (early_stopping or rounds):
-        both = data.filter(F.col(split_col).isin("train", "val")).withColumn("_val", F.col(split_col) == "val")
-        if not both.filter("_val").isEmpty():
-            est, train_rows = est.setValidationIndicatorCol("_val"), both
     stages = [assemble(features)]
     if scale:
         stages = [stages[0].setOutputCol("raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True)]
     model = Pipeline(stages=[*stages, est]).fit(train_rows.filter(F.col("label").isNotNull()))
+    if stop and has_split and isinstance(model.stages[-1], (GBTClassificationModel, GBTRegressionModel, OneVsRestModel)):
+        val = data.filter((F.col(split_col) == "val") & F.col("label").isNotNull())
+        if not val.isEmpty():
+            val = PipelineModel(stages=model.stages[:-1]).transform(val)
+            model = PipelineModel(stages=[*model.stages[:-1], stopped_early(model.stages[-1], val, rounds)])
     test_rows = data.filter(F.col(split_col) == "test") if has_split else data
     pred = model.transform(test_rows)
     if labels is not None:
         pred = decode_labels(pred, "prediction", labels, out="prediction_label")
     metrics = (EV.classification_metrics(pred, "label", "prediction") if classification
                else EV.regression_metrics(pred, "label", "prediction"))
-    return TrainResult(model, pred, metrics, list(features), labels)
+    return TrainResult(model, pred, metrics, list(features), labels, preparation)
 
 
 def train_targets(df: DataFrame, features: Sequence[str], targets: Sequence[str], **spec) -> dict[str, TrainResult]:
@@ -218,7 +292,9 @@ def score_targets(results: dict[str, TrainResult], df: DataFrame, key: Sequence[
 
 
 def save_model(model: PipelineModel, path: str) -> None:
-    """The fitted pipeline (assembler + model) in MLlib's format."""
+    """A fitted pipeline in MLlib's format: `TrainResult.pipeline` holds the preparation, the
+    assembler, the model and the names of the classes. A model that was loaded from `path`
+    reads its tables there, so save it elsewhere."""
     model.write().overwrite().save(path)
 
 

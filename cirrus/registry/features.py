@@ -121,6 +121,25 @@ def z20(spark, sf):
     return E.one_hot(o.select("o_orderkey", "o_orderstatus"), "o_orderstatus", cats=cats, drop_first=True)
 
 
+@reg.add("z8_sparse_one_hot", """SELECT p_partkey, (SELECT CAST(count(DISTINCT p_name) AS INTEGER) FROM part) AS size,
+    CAST([dense_rank() OVER (ORDER BY p_name) - 1] AS INTEGER[]) AS indices, CAST([1] AS DOUBLE[]) AS "values" FROM part""")
+def z8_sparse(spark, sf):
+    p = load(spark, sf, "part").select("p_partkey", "p_name")
+    v = F.unwrap_udt("p_name_onehot")
+    return E.one_hot_vector(p, "p_name").select("p_partkey", v["size"].alias("size"), v["indices"].alias("indices"), v["values"].alias("values"))
+
+
+@reg.add("z20_sparse_drop_first_fit_on_train", f"""WITH c AS (SELECT p_partkey, CASE WHEN p_partkey % 11 <> 0 THEN p_type END AS t FROM part),
+    m AS (SELECT t, row_number() OVER (ORDER BY t) - 2 AS i FROM (SELECT DISTINCT t FROM c WHERE p_partkey % 2 = 0 AND t IS NOT NULL))
+    SELECT p_partkey, (SELECT CAST(greatest(1, count(*) - 1) AS INTEGER) FROM m) AS size,
+      CAST(CASE WHEN i >= 0 THEN [i] ELSE [] END AS INTEGER[]) AS indices FROM c LEFT JOIN m USING (t)""")
+def z20_sparse(spark, sf):
+    p = load(spark, sf, "part").select("p_partkey", F.when(F.col("p_partkey") % 11 != 0, F.col("p_type")).alias("t"))
+    codes = E.label_mapping(p.where("p_partkey % 2 = 0"), "t")
+    v = F.unwrap_udt("t_onehot")
+    return E.one_hot_vector(p, "t", codes, drop_first=True).select("p_partkey", v["size"].alias("size"), v["indices"].alias("indices"))
+
+
 CUST_SEQ = f"""(SELECT *, CASE WHEN row_number() OVER (ORDER BY c_custkey) - 1 < floor(count(*) OVER () * {d(TR)})
     THEN 'train' ELSE 'rest' END AS split FROM customer)"""
 

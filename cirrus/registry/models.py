@@ -5,13 +5,17 @@ X13) as rows-only checks."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
+from cirrus.operators import encode as E
 from cirrus.operators import evaluate as EV
 from cirrus.operators import split as S
 from cirrus.plans import train as TR
 from cirrus.registry.base import R, Registry, load, rnd
+from cirrus.session import ensure_checkpoint_dir
 
 reg = Registry()
 
@@ -401,6 +405,23 @@ def ml3_once(spark, sf):
     return _stump(spark, sf, "xgboost", {"max_depth": 1, "n_estimators": 1})
 
 
+# x1 explains 10, x2 explains 4 of the target in training but 1.2 in validation. The first tree takes x1;
+# then each round closes a fifth of the gap of x2, so after m rounds it has 4 · (1 − 0.8^m).
+@reg.add("ml3_early_stopping_rounds", f"""WITH x AS (SELECT CASE WHEN o_orderkey % 5 = 0 THEN 'test' WHEN o_orderkey % 5 = 1 THEN 'val' ELSE 'train' END AS split FROM orders),
+    m AS (SELECT 1 + arg_min(m, abs(4 * (1 - pow(0.8, m)) - 1.2)) AS trees FROM range(1, 40) r(m))
+    SELECT split, count(*) AS n, CAST(any_value(trees) AS INTEGER) AS trees FROM x, m GROUP BY split""")
+def ml3_stop(spark, sf):
+    k = F.col("o_orderkey")
+    x1, x2 = (k % 2).cast("int"), (F.floor(k / 2) % 2).cast("int")
+    o = load(spark, sf, "orders").select(
+        "o_orderkey", x1.alias("x1"), x2.alias("x2"),
+        F.when(k % 5 == 0, "test").when(k % 5 == 1, "val").otherwise("train").alias("split"))
+    o = o.withColumn("y", 10.0 * F.col("x1") + F.when(F.col("split") == "val", 1.2).otherwise(4.0) * F.col("x2"))
+    r = TR.train(o, ["x1", "x2"], "y", "xgboost", {"n_estimators": 30, "max_depth": 1, "learning_rate": 0.1,
+                                                    "early_stopping_rounds": 5, "random_state": 1}, classification=False)
+    return o.groupBy("split").agg(F.count(F.lit(1)).alias("n")).withColumn("trees", F.lit(r.model.stages[-1].getNumTrees))
+
+
 @reg.add("ml7_text_target", f"""WITH c AS (SELECT flag, o_orderstatus AS s, count(*) AS n FROM {STUMP_SQL} WHERE split = 'train' GROUP BY 1, 2),
     t AS (SELECT flag, arg_max(s, n) AS s FROM c GROUP BY flag)
     SELECT o_orderkey, t.s AS prediction_label FROM {STUMP_SQL} x JOIN t USING (flag) WHERE split = 'test'""")
@@ -409,6 +430,34 @@ def ml7_text(spark, sf):
     return r.predictions.select("o_orderkey", "prediction_label")
 
 
+def _saved(spark, model):
+    """A pipeline as it comes back from storage."""
+    path = f"{ensure_checkpoint_dir(spark)}/model-{uuid.uuid4().hex[:12]}"
+    TR.save_model(model, path)
+    return TR.load_model(path)
+
+
+# a tree that is deep enough predicts the mean of each (segment, nation)
+@reg.add("s10_saved_pipeline_scores", f"""SELECT c_custkey, {R('avg(c_acctbal) OVER (PARTITION BY c_mktsegment, c_nationkey)', 3)} AS prediction FROM customer""")
+def s10_scores(spark, sf):
+    c = load(spark, sf, "customer").select("c_custkey", "c_mktsegment", "c_nationkey", "c_acctbal")
+    prep = E.fit_preprocessing(c, ["c_mktsegment", "c_nationkey"], scale="min_max", categorical=["c_mktsegment"],
+                               encoding_method="sparse")
+    r = TR.train(c, [], "c_acctbal", "decision_tree", {"max_depth": 30}, classification=False, preparation=prep)
+    return _saved(spark, r.pipeline).transform(c).select("c_custkey", rnd("prediction", 3).alias("prediction"))
+
+
+@reg.add("s10_saved_pipeline_labels", """WITH n AS (SELECT c_nationkey, c_mktsegment, count(*) AS c FROM customer GROUP BY 1, 2),
+    best AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY c DESC, c_mktsegment) = 1)
+    SELECT c_custkey, best.c_mktsegment AS prediction_label FROM customer JOIN best USING (c_nationkey)""")
+def s10_labels(spark, sf):
+    c = load(spark, sf, "customer").select("c_custkey", "c_mktsegment", F.col("c_nationkey").cast("string").alias("nation"))
+    prep = E.fit_preprocessing(c, ["nation"], scale=None, categorical=["nation"], cyclic_cols=[])
+    r = TR.train(c, [], "c_mktsegment", "decision_tree", {"max_depth": 30}, preparation=prep)
+    rows = c.drop("c_mktsegment")  # a loaded model needs no target
+    return _saved(spark, r.pipeline).transform(rows).select("c_custkey", "prediction_label")
+
+
 @reg.add("ml7_ml8_two_targets", f"""WITH b AS (SELECT *, y * 2 + 1 AS y2 FROM {STUMP_SQL}),
     t AS (SELECT flag, avg(y) AS m, avg(y2) AS m2 FROM b WHERE split = 'train' GROUP BY flag)
     SELECT o_orderkey, target, {R("CASE target WHEN 'y' THEN m ELSE m2 END", 3)} AS prediction

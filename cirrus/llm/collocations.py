@@ -23,7 +23,7 @@ the others by key. COO buckets follow the number of words, so their size does no
 Null texts are empty, a null language is `und`; repeated texts count each time. Texts
 without words and empty tables give no rows. Only the two columns are read, so other columns
 and clashing names play no part. Equal scores are ordered by count, then phrase in byte order.
-More than 2**32 frequent words or phrases of one length in a language raise.
+More than 2**31 frequent words or phrases of one length in a language raise.
 """
 
 from __future__ import annotations
@@ -43,13 +43,13 @@ from . import base, words
 
 LONGEST, LEAST, TOP, INSIDE = 3, 10, 2000, 50
 #: Bytes of text in the blocks of a task before they are sent on.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 #: Side of a tile, tiles along a side of the dense plane, interleaved slices of a tile.
 TILE, TILES, SLICES = 256, 8, 16
 #: Occurrences of pairs that one COO bucket is meant for, and the fewest buckets.
-BUCKET, BUCKETS = 1 << 22, 64
-#: Words or phrases that the look-ups broadcast; top rows are first taken in so many salts.
-HEAD, SALTS = 4096, 64
+BUCKET, BUCKETS = 1 << 20, 64
+#: Words or phrases that the look-ups broadcast; width of a class of scores; top rows are first taken in so many salts.
+HEAD, CLASS, SALTS = 4096, 1000, 64
 
 _BREAK = b"\xff"  # no UTF-8 text holds this byte
 _EDGES = bytes.maketrans(b".,;:!?\x0a\x0b\x0c\x0d\x09", b"\x0a" * 10 + b" ")
@@ -104,7 +104,7 @@ def _ranked(rows: DataFrame, order: list) -> DataFrame:
     """`rows` with _id: their number in their language by falling count `a`."""
     at = base.hold(with_row_id(rows, ["_lang", F.desc("a"), *order], "_id"), "ranked")
     first = at.groupBy("_lang").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
-    return at.join(first, "_lang").withColumn("_id", F.when(F.col("_n") < 1 << 32, F.col("_id") - F.col("_first")).otherwise(F.raise_error(F.lit("more than 2**32 frequent phrases of one length")).cast("long"))).drop("_first", "_n")
+    return at.join(first, "_lang").withColumn("_id", F.when(F.col("_n") < 1 << 31, F.col("_id") - F.col("_first")).otherwise(F.raise_error(F.lit("more than 2**31 frequent phrases of one length")).cast("long"))).drop("_first", "_n")
 
 
 def _word_ids(blocks: DataFrame, table: DataFrame) -> DataFrame:
@@ -118,7 +118,7 @@ def _word_ids(blocks: DataFrame, table: DataFrame) -> DataFrame:
                 seq = np.frombuffer(batch.column(2)[i].as_buffer(), np.int32)
                 pairs = batch.column(3)[i].values
                 at, ids = (c.to_numpy(zero_copy_only=False) for c in pairs.flatten())
-                out = np.full(int(max(seq.max(), at.max())) + 2, -1, np.int64)
+                out = np.full(int(max(seq.max(), at.max())) + 2, -1, np.int32)
                 out[at] = ids  # the last place stays -1, for edges
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), pa.array([out[seq].tobytes()], pa.binary())], names=["_b", "_lang", "_seq"])
 
@@ -150,7 +150,7 @@ def _pairs(blocks: DataFrame, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b, lang, raw in zip(*(c.to_pylist() for c in batch.columns)):
-                seq = np.frombuffer(raw, np.int64)
+                seq = np.frombuffer(raw, np.int32)
                 x, y = seq[:-1], seq[1:]
                 ok = (x >= 0) & (y >= 0)
                 x, y = x[ok], y[ok]
@@ -158,14 +158,14 @@ def _pairs(blocks: DataFrame, buckets: int) -> DataFrame:
                 rows: list[list] = [[], [], [], []]
 
                 def put(t, s, at, n):
-                    for c, v in zip(rows, (t, s, at.tobytes(), n.astype(np.int64).tobytes())):
+                    for c, v in zip(rows, (t, s, at.tobytes(), n.astype(np.int32).tobytes())):
                         c.append(v)
 
                 for t, at, n in _tiled(x[near], y[near]):
                     cut = np.searchsorted(at, np.arange(SLICES + 1) * per)
                     for s, (c, d) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())):
                         if d > c:
-                            put(t, s, (at[c:d] - s * per).astype(np.int32), n[c:d])
+                            put(t, s, (at[c:d] - s * per).astype(np.uint16), n[c:d])
                 code, n = np.unique(x[~near].astype(np.uint64) << np.uint64(32) | y[~near].astype(np.uint64), return_counts=True)
                 bucket = (words.mix(code) % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")  # codes stay sorted in their bucket
@@ -225,9 +225,9 @@ def _frequent(pairs: DataFrame, least: int) -> DataFrame:
                         yield from summed()
                     now, at, n, size = (lang, t, s), [], [], 0
                     dense = np.zeros(TILE * TILE // SLICES, np.int64)
-                times = np.frombuffer(times, np.int64)
+                times = np.frombuffer(times, np.int32).astype(np.int64)
                 if t >= 0:
-                    dense[np.frombuffer(places, np.int32)] += times  # a block names an address once
+                    dense[np.frombuffer(places, np.uint16)] += times  # a block names an address once
                 else:
                     at.append(np.frombuffer(places, np.uint64))
                     n.append(times)
@@ -260,11 +260,11 @@ def _next_blocks(blocks: DataFrame, pairs: DataFrame, table: DataFrame) -> DataF
                     order = np.argsort(code.view(np.uint64))
                     code, ids = code.view(np.uint64)[order], ids[order]
                 elif key == now:
-                    at = np.frombuffer(batch.column(5)[i].as_buffer(), np.int32 if key[1] >= 0 else np.uint64)
+                    at = np.frombuffer(batch.column(5)[i].as_buffer(), np.uint16 if key[1] >= 0 else np.uint64)
                     place = np.minimum(np.searchsorted(code, at.astype(np.uint64)), len(code) - 1)
                     hit = code[place] == at.astype(np.uint64)
                     if hit.any():
-                        for c, v in zip(out, (b[i], _code(key[1], key[2], at[hit]).tobytes(), ids[place[hit]].tobytes())):
+                        for c, v in zip(out, (b[i], _code(key[1], key[2], at[hit]).tobytes(), ids[place[hit]].astype(np.int32).tobytes())):
                             c.append(v)
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], names=["_b", "_codes", "_ids"])
@@ -275,17 +275,17 @@ def _next_blocks(blocks: DataFrame, pairs: DataFrame, table: DataFrame) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                seq = np.frombuffer(batch.column(2)[i].as_buffer(), np.int64)
+                seq = np.frombuffer(batch.column(2)[i].as_buffer(), np.int32)
                 parts = batch.column(3)[i].as_py()
                 code = np.concatenate([np.frombuffer(p["_codes"], np.uint64) for p in parts])
-                ids = np.concatenate([np.frombuffer(p["_ids"], np.int64) for p in parts])
+                ids = np.concatenate([np.frombuffer(p["_ids"], np.int32) for p in parts])
                 order = np.argsort(code)
                 code, ids = code[order], ids[order]
                 x, y = seq[:-1], seq[1:]
                 ok = (x >= 0) & (y >= 0)
                 want = x.astype(np.uint64) << np.uint64(32) | y.astype(np.uint64)
                 place = np.minimum(np.searchsorted(code, want), len(code) - 1)
-                out = np.where(ok & (code[place] == want), ids[place], -1)
+                out = np.where(ok & (code[place] == want), ids[place], np.int32(-1))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), pa.array([out.tobytes()], pa.binary())], names=["_b", "_lang", "_seq"])
 
     return blocks.select("_b", "_lang", "_seq").join(own, "_b").mapInArrow(run, "_b long, _lang string, _seq binary")
@@ -363,6 +363,12 @@ def mine(df: DataFrame, text: str = "text", lang: str = "lang", longest: int = L
     if kept is None:
         raise ValueError("phrases have two words at least")
     order = [F.desc("_best.score"), F.desc("a"), F.col("phrase")]
+    kept = base.hold(kept, "scored")
+    # classes of scores from the best down, until a language has enough: at most 10**6 / CLASS + 1 of them
+    classes = kept.groupBy("_lang", F.floor(F.col("_best.score") / CLASS).alias("_class")).agg(F.count("*").alias("_c"))
+    above = F.coalesce(F.sum("_c").over(Window.partitionBy("_lang").orderBy(F.desc("_class")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    least_class = classes.withColumn("_above", above).where(F.col("_above") < top).groupBy("_lang").agg(F.min("_class").alias("_class"))
+    kept = kept.join(least_class, "_lang").where(F.col("_best.score") >= F.col("_class") * CLASS).drop("_class")
     salted = kept.withColumn("_salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)))
     first = salted.withColumn("rank", F.row_number().over(Window.partitionBy("_lang", "_salt").orderBy(*order))).where(F.col("rank") <= top)
     best = first.withColumn("rank", F.row_number().over(Window.partitionBy("_lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top)

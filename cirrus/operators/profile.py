@@ -248,27 +248,11 @@ def histogram_without_outliers(df: DataFrame, c: str, bins: int = 20) -> DataFra
 
 def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """A10: pairwise-complete Pearson r, long form (var1, var2, r), all
-    ordered pairs including the diagonal. One aggregate of co-moments; a
-    constant column gives null (`corr` would raise a division by zero under
-    ANSI rules, as it cannot be guarded inside the aggregate)."""
-    cols = list(cols) if cols else numeric_columns(df)
-    x = {c: F.col(c).cast("double") for c in cols}
-    aggs, cells = [], []
-    for i, a in enumerate(cols):
-        for j, b in enumerate(cols):
-            if j < i:
-                continue
-            both = x[a].isNotNull() & x[b].isNotNull()
-            xa, xb = F.when(both, x[a]), F.when(both, x[b])
-            aggs += [F.covar_samp(xa, xb).alias(f"cv{i}_{j}"),
-                     F.stddev_samp(xa).alias(f"sa{i}_{j}"), F.stddev_samp(xb).alias(f"sb{i}_{j}")]
-    agg = df.agg(*aggs)
-    for i, a in enumerate(cols):
-        for j, b in enumerate(cols):
-            lo, hi = min(i, j), max(i, j)
-            r = F.try_divide(F.col(f"cv{lo}_{hi}"), F.col(f"sa{lo}_{hi}") * F.col(f"sb{lo}_{hi}"))
-            cells.append(F.struct(F.lit(a).alias("var1"), F.lit(b).alias("var2"), r.alias("r")))
-    return agg.select(F.inline(F.array(*cells)))
+    ordered pairs including the diagonal, in one pass for any number of columns
+    (see `comoments`). A column that is constant where the other has values gives
+    null, as do pairs with fewer than two common rows."""
+    from cirrus.operators.comoments import correlations
+    return correlations(df, list(cols) if cols else numeric_columns(df))
 
 
 def strong_correlations(df: DataFrame, cols=None, threshold: float = 0.7) -> DataFrame:

@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 ROWS, STEP = 32, 1 << 21
 #: A variance below this part of the mean square about the shift is the rounding of a constant.
 NOISE = 1e-13
+#: A spread below this part of a mean is the rounding of the mean.
+ROUNDING = 1e-14
 
 _PARTS = ("n", "mi", "mj", "vi", "vj", "c")  # of pair (i, j): count, means, squares about them, products
 
@@ -128,8 +130,9 @@ def correlations(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         for b in batches:
             i, *parts = (b.column(b.schema.get_field_index(n)) for n in ("_i", *_PARTS))
             for k, row in enumerate(i.to_pylist()):
-                n, _, _, vi, vj, c = (np.frombuffer(x[k].as_buffer()) for x in parts)
-                ok = (n >= 2) & (vi > 0) & (vj > 0)
+                n, mi, mj, vi, vj, c = (np.frombuffer(x[k].as_buffer()) for x in parts)
+                # tasks that saw the same constant about other shifts differ by the rounding of their means
+                ok = (n >= 2) & (vi > n * (ROUNDING * mi) ** 2) & (vj > n * (ROUNDING * mj) ** 2)
                 r = np.where(ok, c / np.where(ok, np.sqrt(vi) * np.sqrt(vj), 1.0), np.nan)
                 others = names[row:]
                 for first, second, s in (([names[row]] * len(others), others, 0), (others[1:], [names[row]] * (len(others) - 1), 1)):

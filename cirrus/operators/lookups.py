@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cirrus.functions.convert import season
+from cirrus.sources.held import hold
 
 # City grid and seasonal base temperatures (fixed values).
 CITIES = [
@@ -153,46 +154,65 @@ def label_domain(*frames_and_cols: tuple[DataFrame, str]) -> DataFrame:
     return out.distinct()
 
 
-def _jump(nodes: DataFrame, id_col: str, parent_col: str, with_list: bool) -> DataFrame:
-    """Pointer jumping until no pointer moves: (id, anc, depth, list, more). After
-    s steps every pointer spans 2^s parents, so chains of n nodes end after
-    log2(n) steps; a node that still moves then is on, or leads to, a cycle."""
-    from cirrus.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(nodes.sparkSession)
+#: Rows that point at one row before it is looked up by broadcast, and the most rows looked up so.
+HOT_ROWS, HOT_KEYS = 10_000, 1000
+
+
+def _jump(nodes: DataFrame, id_col: str, parent_col: str, with_list: bool) -> tuple[DataFrame, DataFrame]:
+    """Pointer jumping over a frontier: (settled, open), both (id, anc, depth, list).
+
+    Every open row points at an ancestor. A step looks that ancestor up: if it is settled
+    (or a parent without a row) the row is settled too and set aside, otherwise it takes over
+    the ancestor's pointer, so pointers span 2^s parents after s steps and the frontier
+    shrinks from step to step. Only the ancestors that the frontier points at are joined, and
+    those that many rows point at, HOT_KEYS at most, are looked up by broadcast, so a
+    star has no hot task. What is open after log2(rows) steps is on, or leads to, a cycle."""
     parent = F.col(parent_col)
-    known = nodes.select(F.col(id_col).alias("_known"))
-    cur = nodes.select(F.col(id_col).alias("id"), parent.alias("anc"),
-                       parent.isNotNull().cast("int").alias("depth"),
-                       F.when(parent.isNull() | F.lit(not with_list), F.expr("array()").cast("array<string>"))
-                       .otherwise(F.array(parent.cast("string"))).alias("list"))
-    cur = cur.join(known, F.col("anc") == F.col("_known"), "left").withColumn(
-        "more", F.col("_known").isNotNull()).drop("_known").checkpoint(eager=True)
-    left = cur.count()
-    while True:
-        a, b = cur.alias("a"), cur.filter("anc is not null").alias("b")
-        moved = F.col("b.anc").isNotNull()
-        nxt = a.join(b, F.col("a.anc") == F.col("b.id"), "left").select(
-            F.col("a.id").alias("id"), F.coalesce("b.anc", "a.anc").alias("anc"),
-            (F.col("a.depth") + F.when(moved, F.col("b.depth")).otherwise(0)).alias("depth"),
-            F.when(moved & F.lit(with_list), F.concat(F.col("b.list"), F.col("a.list"))).otherwise(F.col("a.list")).alias("list"),
-            moved.alias("more"))
-        # each step reads the one before twice: its lineage ends at a reliable checkpoint
-        cur = nxt.checkpoint(eager=True)
-        if left <= 1 or not cur.filter("more").limit(1).count():
-            return cur
-        left = -(-left // 2)
+    none = F.expr("array()").cast("array<string>")
+    start = hold(nodes.select(F.col(id_col).alias("id"), parent.alias("anc"), parent.isNotNull().cast("int").alias("depth"),
+                              F.when(parent.isNull() | F.lit(not with_list), none).otherwise(F.array(parent.cast("string"))).alias("list")), "nodes")
+    settled = [start.where("anc is null").withColumn("anc", F.col("id"))]
+    front = start.where("anc is not null")
+    n = left = front.count()
+    while n and left:
+        done = settled[0]
+        for more in settled[1:]:
+            done = done.unionByName(more)
+        known = done.withColumn("_done", F.lit(True)).unionByName(front.withColumn("_done", F.lit(False)))
+        known = known.select(F.col("id").alias("_id"), F.col("anc").alias("_anc"), F.col("depth").alias("_depth"), F.col("list").alias("_list"), "_done")
+        target = known.join(front.select(F.col("anc").alias("_want")).distinct(), F.col("_id") == F.col("_want"), "left_semi")
+        if n > HOT_ROWS:
+            target = hold(target, "targets")
+            hot = front.groupBy("anc").count().where(F.col("count") > max(HOT_ROWS, n // HOT_KEYS)).select(F.col("anc").alias("_hot"))
+            hot = hold(hot.join(target, F.col("_hot") == F.col("_id"), "left"), "hot")  # HOT_KEYS rows at most
+            marked = front.join(F.broadcast(hot), F.col("anc") == F.col("_hot"), "left")
+            looked = marked.where("_hot is not null").drop("_hot").unionByName(
+                marked.where("_hot is null").select(*front.columns).join(target, F.col("anc") == F.col("_id"), "left"))
+        else:
+            looked = front.join(target, F.col("anc") == F.col("_id"), "left")
+        moved = F.col("_id").isNotNull()
+        step = hold(looked.select(
+            "id", F.coalesce("_anc", "anc").alias("anc"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"),
+            F.when(moved & F.lit(with_list), F.concat("_list", "list")).otherwise(F.col("list")).alias("list"),
+            F.coalesce("_done", F.lit(True)).alias("_done")), "step")
+        settled.append(step.where("_done").drop("_done"))
+        front = step.where("not _done").drop("_done")
+        n, left = front.count(), left // 2
+    for more in settled[1:]:
+        settled[0] = settled[0].unionByName(more)
+    return settled[0], front
 
 
 def lineage(nodes: DataFrame, id_col: str = "id", parent_col: str = "parent_id") -> DataFrame:
     """Root and depth of every node of a parent-pointer forest, however deep.
     Nodes on a cycle, or below one, get a null root and depth."""
-    cur = _jump(nodes, id_col, parent_col, with_list=False)
-    done = ~F.col("more")
-    return cur.select("id", F.when(done, F.coalesce("anc", "id")).alias("root"),
-                      F.when(done, F.col("depth")).alias("depth"))
+    done, rest = _jump(nodes, id_col, parent_col, with_list=False)
+    rows = done.select("id", F.col("anc").alias("root"), "depth")
+    return rows.unionByName(rest.select("id", F.lit(None).cast(rows.schema["root"].dataType).alias("root"), F.lit(None).cast("int").alias("depth")))
 
 
 def ancestors(nodes: DataFrame, id_col: str = "id", parent_col: str = "parent_id") -> DataFrame:
     """The ancestors of every node as texts, the oldest first; null on or below a cycle."""
-    cur = _jump(nodes, id_col, parent_col, with_list=True)
-    return cur.select("id", F.when(~F.col("more"), F.col("list")).alias("ancestors"))
+    done, rest = _jump(nodes, id_col, parent_col, with_list=True)
+    rows = done.select("id", F.col("list").alias("ancestors"))
+    return rows.unionByName(rest.select("id", F.lit(None).cast("array<string>").alias("ancestors")))

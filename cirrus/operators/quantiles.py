@@ -1,16 +1,18 @@
 """Exact quantiles, one path for every size (H3).
 
-No value is shuffled. A double has a 64-bit key of the same order; rows are counted by the
-key's leading bits with partial aggregation, and the counts say which buckets hold the ranks
-that linear interpolation needs, ⌊q·(n−1)⌋ and ⌈q·(n−1)⌉. Only rows of those buckets are
-counted again, by the bits that follow, until a bucket's least and largest value are equal:
-its rank is found. A frequent value is such a bucket at once, and a step reads the columns
-again but passes on one row for each bucket it has met. Then lo + (hi − lo)·frac, the
-interpolation of pandas / `quantile_cont`.
+Rows are counted by the place of their value in sixteenths of octaves, a whole number of the
+same order, with partial aggregation; the counts say which buckets hold the ranks that
+linear interpolation needs, ⌊q·(n−1)⌋ and ⌈q·(n−1)⌉. Only rows between the least and the
+largest value of such a bucket are looked at again: in PARTS equal parts of that range while
+a bucket has many rows (every step narrows the range of what is left by that factor), and by
+the values themselves once all have few (ENDS), which finds the ranks. A frequent value
+is a bucket that needs no second look. So no value outside such a bucket is ever shuffled
+and nothing is checkpointed; a step reads the columns again and passes on one row for each
+bucket it met. Then lo + (hi − lo)·frac, the interpolation of pandas / `quantile_cont`.
 
 What the next step needs is a row for each bucket that holds a rank: without groups as many
 as columns times twice the quantiles, which come to the driver; with groups a table in the
-shared folder, as there may be many. No estimate and no switch by size. `method="approx"` is
+shared folder, as there may be many. No estimate. `method="approx"` is
 `percentile_approx`, the caller's choice.
 """
 
@@ -24,38 +26,31 @@ from pyspark.sql import functions as F
 
 from cirrus.sources.held import hold
 
-#: Bits of the key that the first step and each later step look at.
-FIRST_BITS, STEP_BITS = 16, 12
-_NAN_KEY = (1 << 63) - 1
+#: Parts of an octave, parts of a bucket, and the rows of a bucket that end the search.
+OCTAVE, PARTS, ENDS = 16, 4096, 1 << 16
+#: Buckets above those of all numbers: magnitudes lie between 2^-1075 and 2^1024.
+_OFFSET, _INFINITE, _NAN = 1100 * OCTAVE, 3000 * OCTAVE, 4000 * OCTAVE
 
 
-def order_key(x: Column) -> Column:
-    """The bits of a double as a whole number of the same order: the sign, 11 bits of exponent,
-    52 of mantissa. The logarithm only guesses the exponent; powers of two, which are exact,
-    correct it. NaN is the largest; the zeros are equal."""
+def octave_bucket(x: Column) -> Column:
+    """A whole number that grows with the double `x` and tells sixteenths of octaves apart: the
+    logarithm is monotonic, so is what is made of it. The zeros are equal, NaN is the largest."""
     a = F.abs(x)
-    two = F.lit(2.0)
-    guess = F.floor(F.log2(a)).cast("double")
-    guess = F.when(F.pow(two, guess) > a, guess - 1).otherwise(guess)
-    exponent = F.when(F.pow(two, guess + 1) <= a, guess + 1).otherwise(guess)
-    tiny = F.lit(2.0**-1022)
-    key = (F.when(a == 0, F.lit(0).cast("long"))
-           .when(a == float("inf"), F.lit(2047 << 52))
-           .when(a < tiny, (a * F.lit(2.0**1022) * F.lit(2.0**52)).cast("long"))
-           .otherwise((exponent.cast("long") + 1022) * F.lit(1 << 52) + (a / F.pow(two, exponent) * F.lit(2.0**52)).cast("long")))
-    return F.when(F.isnan(x), F.lit(_NAN_KEY)).when(x < 0, -key).otherwise(key)
+    place = F.floor(F.ln(a) * F.lit(OCTAVE / math.log(2.0))) + _OFFSET
+    size = F.when(a == float("inf"), F.lit(_INFINITE)).otherwise(place).cast("long")
+    return F.when(F.isnan(x), F.lit(_NAN).cast("long")).when(x == 0, F.lit(0).cast("long")).when(x < 0, -size).otherwise(size)
 
 
 def _long(df: DataFrame, cols: Sequence[str], by: Sequence[str]) -> DataFrame:
-    """(by…, _ci, _v, _k): number of the column, value and key of all values that are not null."""
+    """(by…, _ci, _v): number of the column and value of all values that are not null."""
     values = F.array(*[F.struct(F.lit(i).alias("_ci"), (F.col(c).try_cast("double") + 0.0).alias("_v")) for i, c in enumerate(cols)])
-    return df.select(*by, F.inline(values)).where(F.col("_v").isNotNull()).withColumn("_k", order_key(F.col("_v")))
+    return df.select(*by, F.inline(values)).where(F.col("_v").isNotNull())
 
 
-def _counted(rows: DataFrame, key: list[str], shift: int) -> DataFrame:
-    """Buckets of `rows` by the key's bits from `shift` up, with the rows before each in `key`."""
-    b = rows.groupBy(*key, F.shiftright("_k", shift).alias("_b")).agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    # at most 2^bits buckets in a window
+def _counted(rows: DataFrame, key: list[str], bucket: Column) -> DataFrame:
+    """Buckets of `rows`, with the rows before each in `key`."""
+    b = rows.groupBy(*key, bucket.alias("_b")).agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    # buckets of all numbers, PARTS + 1 or ENDS of them, in a window at most
     before = Window.partitionBy(*key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     return b.withColumn("_off", F.coalesce(F.sum("_c").over(before), F.lit(0)))
 
@@ -66,27 +61,30 @@ def _inside(ranks: Column) -> Column:
     return F.transform(here, lambda s: F.struct(s["q"].alias("q"), s["end"].alias("end"), (s["r"] - F.col("_off")).alias("r")))
 
 
-def _first(rows: DataFrame, key: list[str], probs: Sequence[float], shift: int) -> DataFrame:
-    """Buckets that hold a rank: (key…, _b, _lo, _hi, _n, _s), _n rows of the key, _s the ranks."""
+def _first(rows: DataFrame, key: list[str], probs: Sequence[float]) -> DataFrame:
+    """Buckets that hold a rank: (key…, _b, _c, _lo, _hi, _n, _s), _n rows of the key, _s the ranks."""
     n = F.sum("_c").over(Window.partitionBy(*key))
     ranks = [F.struct(F.lit(i).alias("q"), F.lit(end).alias("end"), of(F.lit(float(p)) * (F.col("_n") - 1).cast("double")).cast("long").alias("r"))
              for i, p in enumerate(probs) for end, of in ((0, F.floor), (1, F.ceil))]
-    found = _counted(rows, key, shift).withColumn("_n", n).withColumn("_s", _inside(F.array(*ranks)))
-    return found.where(F.size("_s") > 0).select(*key, "_b", "_lo", "_hi", "_n", "_s")
+    found = _counted(rows, key, octave_bucket(F.col("_v"))).withColumn("_n", n).withColumn("_s", _inside(F.array(*ranks)))
+    return found.where(F.size("_s") > 0).select(*key, "_b", "_c", "_lo", "_hi", "_n", "_s")
 
 
-def _next(rows: DataFrame, state: DataFrame, key: list[str], was: int, shift: int) -> DataFrame:
-    """The same for the bits behind, in the buckets of `state` only."""
-    own = state.select(*[F.col(c).alias(f"_s_{c}") for c in key], F.col("_b").alias("_s_b"), "_n", "_s")
+def _next(rows: DataFrame, state: DataFrame, key: list[str], by_value: bool, part: DataFrame | None = None) -> DataFrame:
+    """The same in the buckets of `state` only, by parts of their ranges or by value; `part` are
+    the rows of `rows` in them, if they are known."""
+    own = state.select(*[F.col(c).alias(f"_s_{c}") for c in key], F.col("_lo").alias("_p"), F.col("_hi").alias("_z"), "_n", "_s")
     same = [F.col(c).eqNullSafe(F.col(f"_s_{c}")) for c in key]
-    part = rows.withColumn("_p", F.shiftright("_k", was)).join(own.drop("_n", "_s"), [*same, F.col("_p") == F.col("_s_b")], "left_semi")
-    found = _counted(part, [*key, "_p"], shift).join(own, [*same, F.col("_p") == F.col("_s_b")]).withColumn("_s", _inside(F.col("_s")))
-    return found.where(F.size("_s") > 0).select(*key, "_b", "_lo", "_hi", "_n", "_s")
+    if part is None:
+        part = rows.join(own.drop("_n", "_s"), [*same, F.col("_v") >= F.col("_p"), F.col("_v") <= F.col("_z")]).select(*key, "_v", "_p", "_z")
+    bucket = F.col("_v") if by_value else F.floor((F.col("_v") - F.col("_p")) / (F.col("_z") - F.col("_p")) * PARTS).cast("double")
+    found = _counted(part, [*key, "_p"], bucket).withColumnRenamed("_p", "_q")
+    found = found.join(own, [*same, F.col("_q") == F.col("_p")]).withColumn("_s", _inside(F.col("_s")))
+    return found.where(F.size("_s") > 0).select(*key, "_b", "_c", "_lo", "_hi", "_n", "_s")
 
 
-def _table(spark, rows: list, fields: str) -> DataFrame:
-    """A few rows as a table that stays in the JVM."""
-    return spark.createDataFrame(rows, fields).coalesce(1)
+def _settled(r) -> bool:
+    return r["_lo"] == r["_hi"] or r["_lo"] != r["_lo"]
 
 
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
@@ -95,41 +93,56 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     by, cols = list(by), list(cols)
     key = [*by, "_ci"]
     rows = _long(df, cols, by)
-    shift = 64 - FIRST_BITS
-    found = _first(rows, key, probs, shift)
-    return _grouped(rows, found, key, by, cols, probs, shift) if by else _whole(rows, found, cols, probs, shift)
+    found = _first(rows, key, probs)
+    return _grouped(rows, found, key, by, cols, probs) if by else _whole(df, rows, found, cols, probs)
 
 
-def _whole(rows: DataFrame, found: DataFrame, cols: list[str], probs: Sequence[float], shift: int) -> DataFrame:
+def _in_ranges(df: DataFrame, cols: list[str], left: list) -> DataFrame:
+    """(_ci, _v, _p, _z): the values that lie in a bucket of `left`, and its ends."""
+    columns = []
+    for i, c in enumerate(cols):
+        v = F.col(c).try_cast("double") + 0.0
+        ends = [(r["_lo"], r["_hi"]) for r in left if r["_ci"] == i]
+        if ends:
+            low, high = (F.coalesce(*[F.when(v.between(*e), F.lit(e[side])) for e in ends]) for side in (0, 1))
+            columns.append(F.struct(F.lit(i).alias("_ci"), v.alias("_v"), low.alias("_p"), high.alias("_z")))
+    return df.select(F.inline(F.array(*columns))).where(F.col("_p").isNotNull())
+
+
+def _whole(df: DataFrame, rows: DataFrame, found: DataFrame, cols: list[str], probs: Sequence[float]) -> DataFrame:
     spark, ends, sizes = rows.sparkSession, {}, {}
     while True:
         got = found.collect()  # at most a row for each column and rank
         for r in got:
             sizes[r["_ci"]] = r["_n"]
-            for s in r["_s"] if r["_lo"] == r["_hi"] or r["_lo"] != r["_lo"] else ():
+            for s in r["_s"] if _settled(r) else ():
                 ends[r["_ci"], s["q"], s["end"]] = r["_lo"]
-        left = [r for r in got if r["_lo"] != r["_hi"] and r["_lo"] == r["_lo"]]
-        if not left or shift == 0:
+        left = [r for r in got if not _settled(r)]
+        if not left:
             break
         # rows of the driver, as many as there are columns and ranks at most: a proven bound
-        state = F.broadcast(_table(spark, left, found.schema))
-        found, shift = _next(rows, state, ["_ci"], shift, shift - STEP_BITS), shift - STEP_BITS
+        state = F.broadcast(spark.createDataFrame(left, found.schema).coalesce(1))
+        found = _next(rows, state, ["_ci"], max(r["_c"] for r in left) <= ENDS, _in_ranges(df, cols, left))
     out = []
     for i, n in sorted(sizes.items()):
         at = [p * (n - 1) for p in probs]
         lo, hi = ([ends[i, q, end] for q in range(len(probs))] for end in (0, 1))
         out.append((cols[i], [a + (b - a) * (x - math.floor(x)) for a, b, x in zip(lo, hi, at)]))
-    return _table(spark, out, "column string, quantiles array<double>")
+    return spark.createDataFrame(out, "column string, quantiles array<double>").coalesce(1)
 
 
-def _grouped(rows: DataFrame, found: DataFrame, key: list[str], by: list[str], cols: list[str], probs: Sequence[float], shift: int) -> DataFrame:
-    done, settled = [], F.col("_lo").eqNullSafe(F.col("_hi"))
-    while True:
-        held = hold(found, "ranks")
+def _grouped(rows: DataFrame, found: DataFrame, key: list[str], by: list[str], cols: list[str], probs: Sequence[float]) -> DataFrame:
+    done, settled, last = [], F.col("_lo").eqNullSafe(F.col("_hi")), False
+    while not last:
+        held = hold(found.drop("_b"), "ranks")
         done.append(held.where(settled))
-        if shift == 0 or not held.where(~settled).limit(1).count():
+        most = held.where(~settled).agg(F.max("_c")).first()[0]
+        if most is None:
             break
-        found, shift = _next(rows, held.where(~settled), key, shift, shift - STEP_BITS), shift - STEP_BITS
+        last = most <= ENDS
+        found = _next(rows, held.where(~settled), key, by_value=last)
+    if last:
+        done.append(found.drop("_b"))  # by value: every rank is found
     every = done[0]
     for more in done[1:]:
         every = every.unionByName(more)

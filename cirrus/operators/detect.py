@@ -1,11 +1,12 @@
-"""Type and semantic detection (D1–D4, D8, D10, D11) — all columns in one
-aggregate, plus one bounded top-100 sample per text column for D1."""
+"""Type and semantic detection (D1–D4, D8, D10, D11): counts of all columns in one
+aggregate, and one job that brings the first values and the most frequent values of all
+text columns, a bounded number of rows for each column (`probe`)."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
@@ -24,38 +25,75 @@ def _num(c):
     return v.isNotNull() & ~F.isnan(v)
 
 
+def probe(df: DataFrame, cols: Sequence[str], first: int = 0, top: int = 0, row_id: str = ROW_ID) -> dict[str, dict]:
+    """Of each column, as text: its `first` values that are not null in row order, its `top` most
+    frequent values (ties in text order) and the number of distinct ones. One job for any
+    number of columns; first + top + 1 rows of each come to the driver.
+
+    Tasks keep their own first rows of a column before anything is shuffled, and values
+    are counted with partial aggregation."""
+    cols = list(cols)
+    out = {c: {"first": [], "top": [], "distinct": 0} for c in cols}
+    if not cols or not (first or top):
+        return out
+    text = [F.col(f"`{c}`").cast("string") for c in cols]
+    parts = []
+    if first:
+        cells = df.select(F.col(row_id).alias("_r"), F.inline(F.array(*[F.struct(F.lit(i).alias("_ci"), t.alias("_v")) for i, t in enumerate(text)])))
+        place = F.row_number().over(Window.partitionBy("_ci").orderBy("_r"))
+        kept = cells.where(F.col("_v").isNotNull()).withColumn("_n", place).where(F.col("_n") <= first)
+        parts.append(kept.select(F.lit("first").alias("_what"), "_ci", F.col("_n").cast("long").alias("_n"), "_v"))
+    if top:
+        cells = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("_ci"), t.alias("_v")) for i, t in enumerate(text)])))
+        counts = cells.where(F.col("_v").isNotNull()).groupBy("_ci", "_v").agg(F.count(F.lit(1)).alias("_c"))
+        place = F.row_number().over(Window.partitionBy("_ci").orderBy(F.desc("_c"), "_v"))
+        kept = counts.withColumn("_n", place).where(F.col("_n") <= top)
+        parts.append(kept.select(F.lit("top").alias("_what"), "_ci", F.col("_n").cast("long").alias("_n"), "_v"))
+        parts.append(counts.groupBy("_ci").agg(F.count(F.lit(1)).alias("_n")).select(F.lit("distinct").alias("_what"), "_ci", "_n", F.lit(None).cast("string").alias("_v")))
+    got = parts[0]
+    for more in parts[1:]:
+        got = got.unionByName(more)
+    for r in sorted(got.collect(), key=lambda r: r["_n"]):
+        own = out[cols[r["_ci"]]]
+        if r["_what"] == "distinct":
+            own["distinct"] = r["_n"]
+        else:
+            own[r["_what"]].append(r["_v"])
+    return out
+
+
 def column_kinds(df: DataFrame, cols: Sequence[str] | None = None, row_id: str = ROW_ID) -> DataFrame:
     """Per column: insufficient_data (< 100 non-null), numeric, or for
     text — judged on the first 100 non-null values in row order — datetime
     (> 80 % parse under one format, first format wins), numeric_string
-    (> 80 % numeric), categorical (< 50 distinct over the column) or text."""
+    (> 80 % numeric), categorical (< 50 distinct over the column) or text.
+    Three jobs for any number of columns: counts, first values, what these are."""
     cols = list(cols) if cols else df.columns
     spark = df.sparkSession
     base = df.agg(*[F.count(F.col(c)).alias(f"n{i}") for i, c in enumerate(cols)],
                   *[F.count_distinct(F.col(c)).alias(f"d{i}") for i, c in enumerate(cols)]).first()
+    texts = [c for i, c in enumerate(cols) if base[f"n{i}"] >= MIN_SAMPLE and isinstance(df.schema[c].dataType, StringType)]
+    sample = [(c, v) for c, p in probe(df, texts, first=MIN_SAMPLE, row_id=row_id).items() for v in p["first"]]
+    share = {}
+    if sample:
+        aggs = [F.avg(F.try_to_timestamp(F.col("v"), F.lit(s)).isNotNull().cast("double")).alias(f"f{j}")
+                for j, (_, s) in enumerate(DATE_FORMATS)]
+        rows = spark.createDataFrame(sample, "c string, v string").groupBy("c").agg(*aggs, F.avg(_num("v").cast("double")).alias("num"))
+        share = {r["c"]: r for r in rows.collect()}
     rows = []
     for i, c in enumerate(cols):
         nn, nd = base[f"n{i}"], base[f"d{i}"]
-        dt = df.schema[c].dataType
+        kind, fmt = None, None
         if nn < MIN_SAMPLE:
-            kind, fmt = "insufficient_data", None
-        elif isinstance(dt, NumericType):
-            kind, fmt = "numeric", None
-        elif isinstance(dt, StringType):
-            sample = df.filter(F.col(c).isNotNull()).orderBy(row_id).limit(MIN_SAMPLE).select(F.col(c).alias("v"))
-            aggs = [F.avg(F.try_to_timestamp(F.col("v"), F.lit(s)).isNotNull().cast("double")).alias(f"f{j}")
-                    for j, (_, s) in enumerate(DATE_FORMATS)]
-            r = sample.agg(*aggs, F.avg(_num("v").cast("double")).alias("num")).first()
-            kind, fmt = None, None
-            for j, (p, _) in enumerate(DATE_FORMATS):
-                if r[f"f{j}"] > 0.8:
-                    kind, fmt = "datetime", p
-                    break
-            if kind is None:
-                kind = ("numeric_string" if r["num"] > 0.8 else
-                        "categorical" if nd < MAX_CATEGORICAL else "text")
+            kind = "insufficient_data"
+        elif isinstance(df.schema[c].dataType, NumericType):
+            kind = "numeric"
+        elif c in share:
+            fmt = next((p for j, (p, _) in enumerate(DATE_FORMATS) if share[c][f"f{j}"] > 0.8), None)
+            kind = ("datetime" if fmt else "numeric_string" if share[c]["num"] > 0.8 else
+                    "categorical" if nd < MAX_CATEGORICAL else "text")
         else:
-            kind, fmt = "other", None
+            kind = "other"
         rows.append((c, kind, fmt, int(nn), int(nd)))
     return spark.createDataFrame(rows, "column string, kind string, date_format string, non_null long, "
                                        "distinct_count long")

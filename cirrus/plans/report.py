@@ -48,8 +48,9 @@ def column_info(df: DataFrame, c: str, max_distribution: int = 20) -> dict[str,
 def available_normalizers(df: DataFrame) -> DataFrame:
     """Per column its coarse kind (D2) and the methods that apply, with
     mean/std/min/max for numeric columns or distinct count and top-3 values
-    for text (one aggregate for the numbers; top-3 by a grouped count)."""
-    from cirrus.operators.detect import coarse_kinds
+    for text: one aggregate for the numbers, one for the kinds of all text columns and
+    one job for their values."""
+    from cirrus.operators.detect import coarse_kinds, probe
     from cirrus.operators.normalize import NUMERIC_METHODS
     from pyspark.sql.types import NumericType
     spark = df.sparkSession
@@ -65,11 +66,10 @@ def available_normalizers(df: DataFrame) -> DataFrame:
                          None, None))
     if txt:
         kinds = {r["column"]: r["coarse_kind"] for r in coarse_kinds(df, txt).collect()}  # one row per column
+        values = probe(df, txt, top=3)
         for c in txt:
-            top = A.value_counts(df, c, 3).collect()
             methods = "LOWER,STRIP,LABEL_ENCODING,ONE_HOT" if kinds[c] == "text" else \
                 ",".join(NUMERIC_METHODS) + ",LOWER,STRIP,LABEL_ENCODING,ONE_HOT"
-            d = df.agg(F.count_distinct(c)).first()[0]
-            rows.append((c, kinds[c], methods, None, None, None, None, int(d), ",".join(str(r[0]) for r in top)))
+            rows.append((c, kinds[c], methods, None, None, None, None, values[c]["distinct"], ",".join(values[c]["top"])))
     return spark.createDataFrame(rows, "column string, kind string, methods string, mean double, std double, "
                                        "min double, max double, distinct_count long, top3 string")

@@ -38,6 +38,58 @@ def test_languages(spark, tongues):
     assert {(r.doc_id, r.lang_pred, round(r.score, 9)) for r in again} == {(r.doc_id, r.lang_pred, round(r.score, 9)) for r in out}
 
 
+def plain_score(model, text):
+    """Language and score of one text, n-gram by n-gram."""
+    import numpy as np
+
+    from cirrus.llm import words
+    low = [c.lower()[0] if c.isalpha() else " " for c in text or ""]
+    runs = "".join(low).split()
+    total, n = np.array(model.bias, float) * 0, 0
+    for run in runs:
+        edged = [0, *map(ord, run), 0]
+        for size in langid.SIZES:
+            for i in range(len(edged) - size + 1):
+                h = size
+                for c in edged[i : i + size]:
+                    h = (h * 0x100000001B3 + c) % 2**64
+                total = total + model.table[int(words.mix(np.array([h], np.uint64))[0] >> np.uint64(64 - langid.BITS))]
+                n += 1
+    if not n:
+        return "und", 0.0
+    z = total / n + model.bias
+    p = np.exp(z - z.max())
+    return model.names[int(z.argmax())], float((p / p.sum()).max())
+
+
+def test_scores_match_a_plain_scorer(spark, tongues):
+    model = langid.train(tongues, langid.remainder(F.col("doc_id"), 3) != 1)
+    texts = [r.text for r in tongues.limit(40).collect()] + ["Straße Ünï", "a", "É b c", "", None, "1 2", "x" * 3000, "ein\nthing-ing"]
+    got = langid.score(model, texts)
+    for t, lang, p in zip(texts, got[0], got[1]):
+        want = plain_score(model, t)
+        assert lang == want[0] and abs(p - want[1]) < 1e-9
+
+
+@pytest.mark.parametrize("left_out", ["en", "de", "es", "fr"])
+def test_a_language_that_was_not_learned_is_rejected(spark, left_out):
+    docs = base.table(spark, SF, "documents")
+    model = langid.train(docs, (langid.remainder(F.col("doc_id"), 3) != 1) & (F.col("lang") != left_out))
+    out = langid.predict(docs.where("length(text) >= 100"), model).groupBy((F.col("lang") == left_out).alias("new")).agg(F.avg(F.col("accepted").cast("int")).alias("a"), F.min("score").alias("low"), F.max("score").alias("high"), F.count_if(F.isnan("score")).alias("bad"))
+    by = {r.new: r for r in out.collect()}
+    assert by[True].a <= 0.1 and by[False].a >= 0.98
+    assert all(r.bad == 0 and 0 <= r.low and r.high <= 1 for r in by.values())
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_the_descent_stays_finite(spark, tongues, seed):
+    import numpy as np
+    for names in (["en", "de"], ["en"]):
+        model = langid.train(tongues.where(F.col("lang").isin(names)), F.lit(True), seed=seed, epochs=8)
+        assert np.isfinite(model.table).all() and np.isfinite(model.bias).all() and np.isfinite(model.level)
+        assert sorted(model.names) == sorted(names)
+
+
 def test_languages_without_labels(spark, tongues):
     bare = tongues.withColumn("lang", F.lit(None).cast("string"))
     out = langid.predict(bare, langid.train(bare, F.lit(True))).collect()

@@ -3,12 +3,12 @@
 Forward fill, backward fill and linear interpolation follow the row order.
 A plain `Window.orderBy(...)` without a partition key would move the whole
 table into one task, and a window partitioned by a series key puts a hot
-key (a third of the rows) into one task. Instead the rows get a global
-`_row_id` in (keys, order) order and are cut into fixed-size blocks; the
-fill runs as a window over (keys, block) groups — bounded whatever the key
-distribution — and the value carried in from earlier (or later) blocks of
-the same key comes from a per-(key, block) summary table whose size is the
-number of (key, block) pairs, not the number of rows.
+key (a third of the rows) into one task. Instead the table is cut into runs of its (keys,
+order) order (`placed`): the fill runs as a window over (keys, run) groups — bounded
+whatever the key distribution. What earlier and later runs of the same key
+hand over comes from one narrow aggregate, of which only keys that lie in several runs
+are kept: two rows for each run at most. The rows themselves move once, and nothing is
+checkpointed but that table.
 """
 
 from __future__ import annotations
@@ -20,76 +20,78 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
 from cirrus.operators.encode import label_encode
-from cirrus.sources.ingest import ROW_ID, block_of, with_row_id
-
-BLOCK_ROWS = 1 << 20
-
-
-def _ordered(df: DataFrame, order_by: Sequence[str] | None, keys: Sequence[str]) -> tuple[DataFrame, bool]:
-    """Make sure a `_row_id` in (keys, order) order exists."""
-    if ROW_ID in df.columns and not keys and not order_by:
-        return df, False
-    if not order_by:
-        if ROW_ID in df.columns:
-            order_by = [ROW_ID]
-        else:
-            raise ValueError("a fill in row order needs order_by (a total order) or a _row_id column")
-    tmp = "_fill_rid"
-    return with_row_id(df, list(keys) + list(order_by), name=tmp), True
+from cirrus.operators.placed import RUN, cut_points, order_struct, place, runs_of
+from cirrus.sources.held import hold
+from cirrus.sources.ingest import ROW_ID
+
+
+def _carry(rows: DataFrame, c: str, keys: list[str], order: list[str]) -> DataFrame:
+    """For each (keys, RUN) of a key that lies in several runs: rows of the key before the
+    run (_before), the value and position of the key's last value before the run (_cv, _cp)
+    and of its first value after it (_dv, _dp)."""
+    at, there = order_struct(order), F.col(c).isNotNull()
+    known = F.when(there, at)
+    summary = rows.groupBy(*keys, RUN).agg(F.count(F.lit(1)).alias("_rows"), F.max_by(c, known).alias("_lv"), F.max(known).alias("_lo"),
+                                          F.min_by(c, known).alias("_fv"), F.min(known).alias("_fo"))
+    if keys:
+        # the first and the last key of a run are all that other runs can share
+        several = F.count(F.lit(1)).over(Window.partitionBy(*keys)) > 1
+        summary = summary.withColumn("_several", several).where("_several").drop("_several")
+    summary = hold(summary, "runs")
+    # positions of those values in their run: the rows before the first and after the last one
+    own = summary.select(*[F.col(k).alias(f"_s_{k}") for k in [*keys, RUN]], "_lo", "_fo")
+    same = [F.col(k).eqNullSafe(F.col(f"_s_{k}")) for k in [*keys, RUN]]
+    edges = rows.select(*keys, RUN, at.alias("_at")).join(F.broadcast(own), same).where((F.col("_at") > F.col("_lo")) | (F.col("_at") < F.col("_fo")))
+    edges = edges.groupBy(*keys, RUN).agg(F.count_if(F.col("_at") > F.col("_lo")).alias("_tail"), F.count_if(F.col("_at") < F.col("_fo")).alias("_head"))
+    edges = edges.select(*[F.col(k).alias(f"_s_{k}") for k in [*keys, RUN]], "_tail", "_head")
+    summary = summary.join(edges, same, "left").drop(*[f"_s_{k}" for k in [*keys, RUN]])
+    up = Window.partitionBy(*keys).orderBy(F.col(RUN)).rowsBetween(Window.unboundedPreceding, -1)
+    down = Window.partitionBy(*keys).orderBy(F.col(RUN).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    summary = summary.withColumn("_before", F.coalesce(F.sum("_rows").over(up), F.lit(0)))
+    tail, head = (F.coalesce(F.col(x), F.lit(0)) for x in ("_tail", "_head"))
+    summary = summary.withColumn("_lp", F.when(F.col("_lo").isNotNull(), F.col("_before") + F.col("_rows") - 1 - tail))
+    summary = summary.withColumn("_fp", F.when(F.col("_fo").isNotNull(), F.col("_before") + head))
+    return summary.select(*keys, RUN, "_before", F.last("_lv", True).over(up).alias("_cv"), F.last("_lp", True).over(up).alias("_cp"),
+                          F.last("_fv", True).over(down).alias("_dv"), F.last("_fp", True).over(down).alias("_dp"))
 
 
 def neighbours(df: DataFrame, c: str, order_by: Sequence[str] | None = None,
-               keys: Sequence[str] = (), block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Add, for every row, the previous non-null value of `c` and its
-    position (`_pv`, `_pp`, current row included) and the next one (`_nv`,
-    `_np`), within the same key."""
-    data, added = _ordered(df, order_by, keys)
-    rid = "_fill_rid" if added else ROW_ID
+               keys: Sequence[str] = (), runs: int | None = None, back: bool = True, ahead: bool = True) -> DataFrame:
+    """Add, for every row, its position in its key (`_pos`), the previous non-null value of `c`
+    and its position (`_pv`, `_pp`, current row included; `back`) and the next one (`_nv`,
+    `_np`; `ahead`), within the same key."""
     keys = list(keys)
-    data = data.withColumn("_blk", block_of(rid, block_rows))
-    nn_pos = F.when(F.col(c).isNotNull(), F.col(rid))
-    # Both directions use running frames (unbounded preceding → current row,
-    # O(n) per group); the "next" value runs over the reversed order, since a
-    # current-row → unbounded-following frame is re-evaluated per row.
-    back = Window.partitionBy(*keys, "_blk").orderBy(F.col(rid).asc()).rowsBetween(Window.unboundedPreceding, 0)
-    fwd = Window.partitionBy(*keys, "_blk").orderBy(F.col(rid).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    data = data.withColumns({
-        "_pv_in": F.last(c, ignorenulls=True).over(back),
-        "_pp_in": F.last(nn_pos, ignorenulls=True).over(back),
-    }).withColumns({
-        "_nv_in": F.last(c, ignorenulls=True).over(fwd),
-        "_np_in": F.last(nn_pos, ignorenulls=True).over(fwd),
-    })
-    summary = (data.groupBy(*keys, "_blk").agg(
-        F.max_by(F.col(c), nn_pos).alias("_lv"), F.max(nn_pos).alias("_lp"),
-        F.min_by(F.col(c), nn_pos).alias("_fv"), F.min(nn_pos).alias("_fp")))
-    sw = Window.partitionBy(*keys).orderBy(F.col("_blk").asc()).rowsBetween(Window.unboundedPreceding, -1)
-    sr = Window.partitionBy(*keys).orderBy(F.col("_blk").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    carry = summary.select(
-        *keys, "_blk",
-        F.last("_lv", ignorenulls=True).over(sw).alias("_cv"),
-        F.last("_lp", ignorenulls=True).over(sw).alias("_cp"),
-        F.last("_fv", ignorenulls=True).over(sr).alias("_dv"),
-        F.last("_fp", ignorenulls=True).over(sr).alias("_dp"))
-    # one row per (key, block): the planner broadcasts it where it measures it
-    # small. Keys may be null, so the key equality is null-safe.
-    carry = carry.withColumnsRenamed({k: f"_ck_{k}" for k in keys + ["_blk"]})
-    on = [data["_blk"] == F.col("_ck__blk")] + [data[k].eqNullSafe(F.col(f"_ck_{k}")) for k in keys]
-    j = data.join(carry, on, "left")
-    out = j.withColumns({
-        "_pv": F.coalesce("_pv_in", "_cv"), "_pp": F.coalesce("_pp_in", "_cp"),
-        "_nv": F.coalesce("_nv_in", "_dv"), "_np": F.coalesce("_np_in", "_dp"),
-        "_pos": F.col(rid),
-    })
-    drop = ["_blk", "_pv_in", "_pp_in", "_nv_in", "_np_in", "_cv", "_cp", "_dv", "_dp"] + \
-           [f"_ck_{k}" for k in keys + ["_blk"]] + (["_fill_rid"] if added else [])
-    return out.drop(*drop)
-
-
-def fills(df: DataFrame, c: str, order_by=None, keys: Sequence[str] = (), block_rows: int = BLOCK_ROWS,
+    order_by = list(order_by) if order_by else [ROW_ID] if ROW_ID in df.columns else None
+    if order_by is None:
+        raise ValueError("a fill in row order needs order_by (a total order) or a _row_id column")
+    order = list(dict.fromkeys([*keys, *order_by]))
+    runs = runs or runs_of(df)
+    cuts = cut_points(df, order, runs)
+    data = place(df, order, cuts)
+    narrow = place(df.select(*dict.fromkeys([*order, c])), order, cuts)
+    # two rows for each run at most: a proven bound for the broadcast
+    carry = F.broadcast(hold(_carry(narrow, c, keys, order), "carry").withColumnsRenamed({k: f"_ck_{k}" for k in [*keys, RUN]}))
+    on = [F.col(k).eqNullSafe(F.col(f"_ck_{k}")) for k in [*keys, RUN]]
+    data = data.join(carry, on, "left").drop(*[f"_ck_{k}" for k in [*keys, RUN]]).repartition(runs, RUN)
+    # Both directions use running frames (unbounded preceding → current row, O(n) per group); the
+    # "next" value runs over the reversed order, since a current-row → unbounded-following
+    # frame is re-evaluated per row.
+    up = Window.partitionBy(*keys, RUN).orderBy(*order_by)
+    down = Window.partitionBy(*keys, RUN).orderBy(*[F.desc(x) for x in order_by]).rowsBetween(Window.unboundedPreceding, 0)
+    upto = up.rowsBetween(Window.unboundedPreceding, 0)
+    data = data.withColumn("_pos", F.coalesce("_before", F.lit(0)) + F.row_number().over(up) - 1)
+    at = F.when(F.col(c).isNotNull(), F.col("_pos"))
+    if back:
+        data = data.withColumns({"_pv": F.coalesce(F.last(c, True).over(upto), "_cv"), "_pp": F.coalesce(F.last(at, True).over(upto), "_cp")})
+    if ahead:
+        data = data.withColumns({"_nv": F.coalesce(F.last(c, True).over(down), "_dv"), "_np": F.coalesce(F.last(at, True).over(down), "_dp")})
+    return data.drop("_before", "_cv", "_cp", "_dv", "_dp", RUN)
+
+
+def fills(df: DataFrame, c: str, order_by=None, keys: Sequence[str] = (), runs: int | None = None,
           names=("ffill", "bfill", "interpolated")) -> DataFrame:
     """N7, N8 and N9 together from ONE neighbour pass."""
-    n = neighbours(df, c, order_by, keys, block_rows)
+    n = neighbours(df, c, order_by, keys, runs)
     return n.withColumns({names[0]: F.col("_pv"), names[1]: F.col("_nv"),
                           names[2]: _interp(F.col(c))}).drop("_pv", "_pp", "_nv", "_np", "_pos")
 
@@ -104,24 +106,24 @@ def _interp(x: Column) -> Column:
 
 
 def ffill(df: DataFrame, c: str, order_by=None, keys: Sequence[str] = (), out: str | None = None,
-          block_rows: int = BLOCK_ROWS) -> DataFrame:
+          runs: int | None = None) -> DataFrame:
     """Last non-null value in row order; leading nulls stay."""
-    n = neighbours(df, c, order_by, keys, block_rows)
+    n = neighbours(df, c, order_by, keys, runs, ahead=False)
     return n.withColumn(out or c, F.col("_pv")).drop("_pv", "_pp", "_nv", "_np", "_pos")
 
 
 def bfill(df: DataFrame, c: str, order_by=None, keys: Sequence[str] = (), out: str | None = None,
-          block_rows: int = BLOCK_ROWS) -> DataFrame:
+          runs: int | None = None) -> DataFrame:
     """Next non-null value in row order; trailing nulls stay."""
-    n = neighbours(df, c, order_by, keys, block_rows)
+    n = neighbours(df, c, order_by, keys, runs, back=False)
     return n.withColumn(out or c, F.col("_nv")).drop("_pv", "_pp", "_nv", "_np", "_pos")
 
 
 def interpolate(df: DataFrame, c: str, order_by=None, keys: Sequence[str] = (), out: str | None = None,
-                block_rows: int = BLOCK_ROWS) -> DataFrame:
+                runs: int | None = None) -> DataFrame:
     """Linear in row position (pandas default): leading nulls stay,
     trailing nulls take the last value."""
-    n = neighbours(df, c, order_by, keys, block_rows)
+    n = neighbours(df, c, order_by, keys, runs)
     return n.withColumn(out or c, _interp(F.col(c))).drop("_pv", "_pp", "_nv", "_np", "_pos")
 
 

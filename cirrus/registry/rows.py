@@ -268,14 +268,14 @@ def _fill_sql(part: str = ""):
     FROM x"""
 
 
-def _fills(spark, sf, keys=(), block_rows=N.BLOCK_ROWS):
+def _fills(spark, sf, keys=(), runs=None):
     e = events_with_nulls(spark, sf).select("event_id", "ts", "user_id", "value")
-    f = N.fills(e, "value", ["ts", "event_id"], keys, block_rows=block_rows)
+    f = N.fills(e, "value", ["ts", "event_id"], keys, runs=runs)
     return f.select("event_id", "ffill", "bfill", rnd("interpolated", 9).alias("interpolated"))
 
 
 reg.add("n7_n9_fill_in_row_order", _fill_sql())(lambda spark, sf: _fills(spark, sf))
-reg.add("n7_n9_fill_small_blocks", _fill_sql())(lambda spark, sf: _fills(spark, sf, block_rows=256))
+reg.add("n7_n9_fill_small_blocks", _fill_sql())(lambda spark, sf: _fills(spark, sf, runs=40))
 reg.add("n7_n9_fill_per_user", _fill_sql("user_id"))(lambda spark, sf: _fills(spark, sf, ["user_id"], 64))
 
 
@@ -332,7 +332,7 @@ def n11_codes(spark, sf):
     QUALIFY count(*) OVER (ORDER BY ts, event_id ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) = 10""")
 def w1(spark, sf):
     e = load(spark, sf, "events").select("event_id", "ts", "value")
-    s = W.training_sequences(e, ["value"], "value", 10, ["ts", "event_id"], block_rows=1000)
+    s = W.training_sequences(e, ["value"], "value", 10, ["ts", "event_id"], runs=12)
     return s.select("event_id", "sequence", F.col("value").alias("target"))
 
 
@@ -341,7 +341,7 @@ def w1(spark, sf):
     QUALIFY count(*) OVER (ORDER BY ts, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) = 10""")
 def w2(spark, sf):
     e = load(spark, sf, "events").select("event_id", "ts", "value")
-    return W.scoring_windows(e, ["value"], 10, ["ts", "event_id"], block_rows=1000).select("event_id", "sequence")
+    return W.scoring_windows(e, ["value"], 10, ["ts", "event_id"], runs=12).select("event_id", "sequence")
 
 
 @reg.add("w4_sequences_per_user", f"""SELECT event_id, user_id, list(value) OVER (PARTITION BY user_id ORDER BY ts, event_id
@@ -349,7 +349,7 @@ def w2(spark, sf):
     QUALIFY count(*) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) = 5""")
 def w4(spark, sf):
     e = load(spark, sf, "events").select("event_id", "ts", "user_id", "value")
-    s = W.training_sequences(e, ["value"], "value", 5, ["ts", "event_id"], keys=["user_id"], block_rows=500)
+    s = W.training_sequences(e, ["value"], "value", 5, ["ts", "event_id"], keys=["user_id"], runs=24)
     return s.select("event_id", "user_id", "sequence")
 
 
@@ -361,7 +361,7 @@ def w4(spark, sf):
     WHERE len(p) = 24 AND len(f) = 336""")
 def x9(spark, sf):
     e = load(spark, sf, "events").select("event_id", "ts", "value")
-    h = W.horizon_windows(e, "value", 24, 336, ["ts", "event_id"], block_rows=2048)
+    h = W.horizon_windows(e, "value", 24, 336, ["ts", "event_id"], runs=6)
     agg = lambda c: F.aggregate(F.col(c), F.lit(0.0), lambda a, v: a + v)
     return h.select("event_id", F.size("past").alias("n_past"), rnd(agg("past")).alias("past_sum"),
                     F.element_at("past", 1).alias("past_first"), F.size("future").alias("n_future"),

@@ -27,7 +27,7 @@ def rows(df, *cols):
 
 def test_fills_edge_rules(spark):
     df = spark.createDataFrame([(0, None), (1, 1.0), (2, None), (3, None), (4, 4.0), (5, None)], "i long, v double")
-    out = N.fills(df, "v", ["i"], block_rows=2).orderBy("i")
+    out = N.fills(df, "v", ["i"], runs=2).orderBy("i")
     assert rows(out, "ffill") == [(None,), (1.0,), (1.0,), (1.0,), (4.0,), (4.0,)]
     assert rows(out, "bfill") == [(1.0,), (1.0,), (4.0,), (4.0,), (4.0,), (None,)]
     assert rows(out, "interpolated") == [(None,), (1.0,), (2.0,), (3.0,), (4.0,), (4.0,)]
@@ -36,8 +36,8 @@ def test_fills_edge_rules(spark):
 def test_fills_same_for_any_block_size(spark):
     df = spark.range(200).select(F.col("id").alias("i"), (F.col("id") % 5).alias("k"),
                                  F.when(F.col("id") % 3 == 0, F.col("id").cast("double")).alias("v"))
-    a = N.fills(df, "v", ["i"], keys=["k"], block_rows=7).orderBy("i").collect()
-    b = N.fills(df, "v", ["i"], keys=["k"], block_rows=1 << 20).orderBy("i").collect()
+    a = N.fills(df, "v", ["i"], keys=["k"], runs=7).orderBy("i").collect()
+    b = N.fills(df, "v", ["i"], keys=["k"], runs=1).orderBy("i").collect()
     assert a == b
 
 
@@ -262,7 +262,7 @@ def test_histogram_last_bin_closed(spark):
 
 def test_sequences_halo(spark):
     df = spark.range(30).select(F.col("id").alias("i"), F.col("id").cast("double").alias("v"))
-    s = W.training_sequences(df, ["v"], "v", 4, ["i"], block_rows=5).orderBy("i").collect()
+    s = W.training_sequences(df, ["v"], "v", 4, ["i"], runs=5).orderBy("i").collect()
     assert len(s) == 26 and s[0]["sequence"] == [0.0, 1.0, 2.0, 3.0] and s[0]["i"] == 4
 
 
@@ -361,8 +361,8 @@ def test_fills_with_hot_key(spark):
     df = spark.range(3000).select(F.col("id").alias("i"),
                                   F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 50).alias("k"),
                                   F.when(F.col("id") % 4 == 0, F.col("id").cast("double")).alias("v"))
-    small = N.fills(df, "v", ["i"], keys=["k"], block_rows=64).orderBy("i").collect()
-    big = N.fills(df, "v", ["i"], keys=["k"], block_rows=1 << 20).orderBy("i").collect()
+    small = N.fills(df, "v", ["i"], keys=["k"], runs=64).orderBy("i").collect()
+    big = N.fills(df, "v", ["i"], keys=["k"], runs=1).orderBy("i").collect()
     assert small == big
     # brute force for the hot key
     hot = [r for r in small if r["k"] == 0]

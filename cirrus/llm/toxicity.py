@@ -3,8 +3,8 @@
 Features are hashed words and word beginnings of a text, present or absent. The
 driver learns from a bounded sample of labelled texts (`max_rows`, half of it of
 either class where there are as many): a logistic loss, an L2 penalty, and for each
-sampled text with identity terms the squared change of its score when every such
-term is swapped for another of its kind. Weights that tell one group from another
+sampled text with identity terms the mean squared change of its score over its
+counterfactuals, in which such terms are swapped for every other of their kind. Weights that tell one group from another
 are thereby driven to zero, and with them the false alarms on neutral mentions.
 Only features whose link with the label is significant (G test) are learned.
 
@@ -72,15 +72,22 @@ def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return both & ((1 << BITS) - 1), both >> BITS
 
 
-def swapped(text: str, identities: list[list[str]]) -> str | None:
-    """The text with each identity term replaced by the next one of its kind; None without any."""
+def swapped(text: str, identities: list[list[str]]) -> list[str]:
+    """The counterfactuals of a text: in the k-th, each identity term is replaced by the k-th
+    next one of its kind, so every term meets every other of its kind. None without any."""
     import re
 
-    turn = {a: group[(i + 1) % len(group)] for group in identities for i, a in enumerate(group)}
-    if not turn:
-        return None
-    out, n = re.subn(r"\w+", lambda m: turn.get(m[0].lower(), m[0]), text)
-    return out if out != text else None
+    place = {a: (group, i) for group in identities for i, a in enumerate(group)}
+    kinds = [place[w][0] for w in (m[0].lower() for m in re.finditer(r"\w+", text)) if w in place] if place else []
+
+    def turn(k: int):
+        def other(m):
+            group, i = place.get(m[0].lower(), (None, 0))
+            return m[0] if group is None else group[(i + k) % len(group)]
+        return other
+
+    out = [re.sub(r"\w+", turn(k), text) for k in range(1, max(map(len, kinds), default=1))]
+    return [t for t in dict.fromkeys(out) if t.lower() != text.lower()]
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = MAX_ROWS, identities: list[list[str]] = IDENTITIES, swap_weight: float = SWAP_WEIGHT) -> Model:
@@ -105,16 +112,16 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "doc_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                other = swapped(t or "", identities)
-                own, turned = features([t])[0].astype(np.int32), features([other])[0].astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array([int(y == 1)], pa.int32()), pa.array([own.tobytes()], pa.binary()), pa.array([None if other is None else turned.tobytes()], pa.binary())], names=["y", "own", "turned"])
+                own = features([t])[0].astype(np.int32).tobytes()
+                others = [features([x])[0].astype(np.int32).tobytes() for x in swapped(t or "", identities)]
+                yield pa.RecordBatch.from_arrays([pa.array([int(y == 1)], pa.int32()), pa.array([own], pa.binary()), pa.array([others], pa.list_(pa.binary()))], names=["y", "own", "turned"])
 
-    got = rows.mapInArrow(run, "y int, own binary, turned binary").toArrow()
-    y, own, turned = got["y"].to_pylist(), base.binary_views(got["own"]), base.binary_views(got["turned"])
+    got = rows.mapInArrow(run, "y int, own binary, turned array<binary>").toArrow()
+    y, own, turned = got["y"].to_pylist(), base.binary_views(got["own"]), got["turned"].to_pylist()
     # one order whatever the partitions were
     order = sorted(range(len(y)), key=lambda i: (y[i], zlib.crc32(own[i]), len(own[i])))
     sets = [np.frombuffer(own[i], np.int32) for i in order]
-    swaps = [None if turned[i] is None else np.frombuffer(turned[i], np.int32) for i in order]
+    swaps = [[np.frombuffer(x, np.int32) for x in turned[i]] for i in order]
     return _fit(np.array([y[i] for i in order], float), sets, swaps, yes / (yes + no), swap_weight)
 
 
@@ -136,10 +143,11 @@ def _fit(y: np.ndarray, own: list, swaps: list, prior: float, swap_weight: float
     learned = [c[c >= 0] for c in (place[b] for b in own)]
     row = np.repeat(np.arange(n, dtype=np.int32), [len(c) for c in learned])
     col = np.concatenate(learned) if learned else np.zeros(0, np.int32)
-    turned = [(i, x) for i, x in enumerate(swaps) if x is not None]
+    turned = [(i, x, 1 / len(xs)) for i, xs in enumerate(swaps) for x in xs]
+    share = np.array([s for *_, s in turned])  # the counterfactuals of a text share its weight
     # difference of the features of a text and of its counterfactual: +1 gone, -1 new
     d_row, d_col, d_sign = [], [], []
-    for k, (i, other) in enumerate(turned):
+    for k, (i, other, _) in enumerate(turned):
         for sign, x in ((1.0, np.setdiff1d(own[i], other)), (-1.0, np.setdiff1d(other, own[i]))):
             x = place[x][place[x] >= 0]
             d_row.append(np.full(len(x), k)), d_col.append(x), d_sign.append(np.full(len(x), sign))
@@ -154,7 +162,7 @@ def _fit(y: np.ndarray, own: list, swaps: list, prior: float, swap_weight: float
         err = weight * (p - y)
         grad = np.bincount(col, err[row], len(used)) + RIDGE * w
         if len(turned):
-            change = np.bincount(d_row, w[d_col] * d_sign, len(turned))
+            change = share * np.bincount(d_row, w[d_col] * d_sign, len(turned))
             grad += swap_weight * 2 * np.bincount(d_col, change[d_row] * d_sign, len(used))
         speed += grad**2
         speed_bias += err.sum() ** 2

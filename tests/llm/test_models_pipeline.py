@@ -138,9 +138,65 @@ def test_toxicity_and_swapped_identities(spark):
 
 
 def test_swapped_terms():
-    assert toxicity.swapped("A Muslim and women", [["muslim", "jewish"], ["women", "men"]]) == "A jewish and men"
-    assert toxicity.swapped("none", [["muslim", "jewish"]]) is None
-    assert toxicity.swapped("none", []) is None
+    assert toxicity.swapped("A Muslim and women", [["muslim", "jewish"], ["women", "men"]]) == ["A jewish and men"]
+    assert toxicity.swapped("black or blue", [["black", "white", "red"]]) == ["white or blue", "red or blue"]
+    assert toxicity.swapped("none", [["muslim", "jewish"]]) == [] and toxicity.swapped("none", []) == []
+
+
+def test_neutral_mentions_raise_no_false_alarms(spark):
+    """Documents of the given table, each with a neutral sentence about a group: one group in most toxic
+    ones and few others. Of clean documents that the model has not seen, all name that group."""
+    labels = base.table(spark, SF, "labels").where("toxic is not null")
+    docs = base.table(spark, SF, "documents").select("doc_id", "text").join(labels.select("doc_id", "toxic"), "doc_id").where("length(text) > 0")
+    chance = F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(100))
+    named = F.when(F.col("toxic") == 1, chance < 90).otherwise(chance < 3)
+    group = F.when(named, "muslim").otherwise(F.element_at(F.array(*[F.lit(x) for x in ("christian", "jewish", "hindu", "buddhist")]), (chance % 4 + 1).cast("int")))
+    held = langid.remainder(F.col("doc_id"), 4) == 2
+    told = lambda g: F.concat(F.lit("the "), g, F.lit(" neighbour said: "), "text")
+    planted = docs.withColumn("text", told(group))
+    clean = base.table(spark, SF, "documents").select("doc_id", "text").join(labels.where("toxic = 0").select("doc_id"), "doc_id").where(held & (F.length("text") > 0))
+    got = {}
+    for name, weight in (("with", toxicity.SWAP_WEIGHT), ("without", 0.0)):
+        model = toxicity.train(planted.drop("toxic"), labels, ~held, swap_weight=weight)
+        rows = [toxicity.predict(clean.withColumn("text", told(F.lit(g))), model).agg(F.avg("score"), F.avg("predicted")).first() for g in ("muslim", "christian")]
+        got[name] = (rows[0][0] - rows[1][0], rows[0][1])
+    print("score change and false alarms", got)
+    assert got["without"][0] > 0.05 and got["without"][1] > 0.05  # the plain model learns the group
+    assert abs(got["with"][0]) < got["without"][0] / 4 and got["with"][1] < got["without"][1] / 4
+
+
+def plain_toxicity(model, text):
+    """Score of one text: the weights of its distinct words and word beginnings, one by one."""
+    import numpy as np
+
+    from cirrus.llm import words
+    low = [ord(c.lower()[0]) if c.isalpha() else 0 for c in text or ""]
+    runs, now = [], []
+    for c in [*low, 0]:
+        if c:
+            now.append(c)
+        elif now:
+            runs.append(now)
+            now = []
+
+    def span(run):
+        a = np.array(run, np.uint64)
+        return int(words.spans(words.prefix(a), np.array([0]), np.array([len(a)]))[0])
+
+    shift = 64 - toxicity.BITS
+    found = {span(r) >> shift for r in runs}
+    found |= {int(words.mix(np.array([(span(r[:n]) + n) % 2**64], np.uint64))[0]) >> shift for r in runs for n in toxicity.BEGINNINGS if len(r) > n}
+    return float(1 / (1 + np.exp(-(sum(model.weight[b] for b in found) + model.bias))))
+
+
+def test_toxicity_scores_match_a_plain_scorer(spark):
+    import numpy as np
+    rng = np.random.default_rng(1)
+    model = toxicity.Model(rng.normal(size=1 << toxicity.BITS), -0.5)
+    texts = ["a bc", "Straße straße", "", None, "über-all 12 über", "x " * 500, "É", "vile vilewort VILE"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string")
+    for r in toxicity.predict(df, model).collect():
+        assert abs(r.score - plain_toxicity(model, r.text)) < 1e-9
 
 
 def test_pipeline(spark):

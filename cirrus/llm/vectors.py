@@ -20,9 +20,11 @@ double precision, so no link is below the threshold.
    Hamming distance, and reranked.
 4. The components of forests and pairs are the classes.
 
-Vectors meet those of their label and length only, whatever the length. Lengths beyond
-the LEARNED most frequent, or of fewer than LEARN_ROWS vectors, take the random rotations
-that learning starts from.
+Vectors meet those of their label and length only, whatever the length. Rotations are
+learned at every size: few vectors move them little from the random ones that learning
+starts from (KEEP). Lengths beyond the LEARNED most frequent take those as they are, which
+bounds what the driver learns and sends. Vectors with very large or very small components
+are scaled by their largest one first, which leaves cosines as they are.
 
 Vectors that are null, zero, hold null or non-finite components, or have a null label
 are linked with nothing: own class.
@@ -44,8 +46,10 @@ from .minhash import groups
 TABLES, SUB, SAMPLE, TURNS, BLOCK = 64, 16, 5000, 25, 2000
 #: Part of the code's bits that near vectors differ in at most (a cosine of about 0.7 in angle).
 NEAR = 0.25
-#: Lengths that rotations are learned for, and the vectors that a length must have for it.
-LEARNED, LEARN_ROWS = 8, 1000
+#: Lengths that rotations are learned for, and the vectors that the random start counts as.
+LEARNED, KEEP = 32, 100
+#: Components beyond which a vector is scaled: squares and their sums stay finite and normal.
+LARGE = 1e100
 #: Part of the sample's pairs at the threshold that learned rotations may miss.
 MISSED = 0.001
 _LONG, _STR = T.LongType(), T.StringType()
@@ -71,9 +75,11 @@ def learn_rotations(sample: np.ndarray, bits: int, turns: int = TURNS, seed: int
     d = x.shape[1]
     parts = []
     start = random_rotations(d, -(-bits // d) * d, seed)
-    for r in np.split(start, start.shape[1] // d, 1):
+    for first in np.split(start, start.shape[1] // d, 1):
+        r = first
         for _ in range(turns):
-            u, _, v = np.linalg.svd(x.T @ np.sign(x @ r))
+            turned = x @ r
+            u, _, v = np.linalg.svd(x.T @ np.sign(turned) + KEEP * np.abs(turned).mean() * first)
             r = u @ v
         parts.append(r)
     return np.concatenate(parts, 1)[:, :bits]
@@ -106,13 +112,15 @@ def classes(df: DataFrame, vector: str, label: str, threshold: float, sample: in
     it) and _c_root of its class."""
     spark = base.ready(df.sparkSession)
     rows = df.select(vector_key(df, vector, label).alias("_c_k"), base.quoted(vector).cast("array<double>").alias("_v"), base.quoted(label).alias("_l")).where("_c_k is not null")
+    rows = rows.withColumn("_most", F.array_max(F.transform("_v", lambda x: F.abs(x))))
+    rows = rows.withColumn("_v", F.when((F.col("_most") > LARGE) | (F.col("_most") < 1 / LARGE), F.transform("_v", lambda x: x / F.col("_most"))).otherwise(F.col("_v"))).drop("_most")
     one = base.hold(rows.groupBy("_c_k").agg(F.count("*").alias("_w"), F.any_value("_v").alias("_v"), F.any_value("_l").alias("_l")), "vectors")
     nothing = spark.createDataFrame([], "_c_k string, _c_links long, _c_root string")
     top = one.groupBy(F.size("_v").alias("n")).count().orderBy(F.desc("count"), "n").limit(LEARNED).collect()
     if not top:
         return nothing
     learned = {}
-    for n in (r["n"] for r in top if r["count"] >= LEARN_ROWS):
+    for n in (r["n"] for r in top):
         picked = one.where(F.size("_v") == n).orderBy(F.xxhash64("_c_k"), "_c_k").limit(sample).select("_v").collect()
         known = np.array([r[0] for r in picked])
         turn = learn_rotations(known, tables * sub)

@@ -54,9 +54,9 @@ def linked(rows):
     return want
 
 
-@pytest.mark.parametrize("least", [100, 1000])
-def test_vectors_of_every_length_are_linked(spark, monkeypatch, least):
-    monkeypatch.setattr(vectors, "LEARN_ROWS", least)
+@pytest.mark.parametrize("lengths", [1, 32])
+def test_vectors_of_every_length_are_linked(spark, monkeypatch, lengths):
+    monkeypatch.setattr(vectors, "LEARNED", lengths)
     xs = [*crowd(1), *crowd(2, d=24), *crowd(3, n=260, d=33), *np.ones((3, 1), np.float32), *(np.ones((2, 2), np.float32) * 7)]
     rows = [(i, v.tolist()) for i, v in enumerate(xs)]
     out = vectors.near_duplicates(spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<float>, label int")).collect()
@@ -80,10 +80,8 @@ def leaning(d, norm, n=400, seed=4):
     return x
 
 
-@pytest.mark.parametrize("least", [100, 1000])
 @pytest.mark.parametrize("norm", [0.7, 0.85])
-def test_a_common_direction_costs_no_links(spark, monkeypatch, norm, least):
-    monkeypatch.setattr(vectors, "LEARN_ROWS", least)
+def test_a_common_direction_costs_no_links(spark, norm):
     rows = [(i, v.tolist()) for i, v in enumerate(leaning(64, norm))]
     out = vectors.near_duplicates(spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, label int")).collect()
     want = linked(rows)
@@ -99,6 +97,32 @@ def test_pairs_at_the_threshold_are_rarely_missed(d, norm):
     assert vectors.missed(vectors.random_rotations(d, bits), x, 0.93, vectors.TABLES, vectors.SUB) < 0.005
 
 
+def test_rotations_are_learned_at_every_size():
+    """The signs of learned rotations lose less than those of the random ones, and stay orthogonal."""
+    rng = np.random.default_rng(2)
+    for n in (30, 500, 3000):
+        x = rng.normal(size=(n, 24)) * np.linspace(0.1, 3, 24)
+        unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+        unit -= unit.mean(0)
+        lost = []
+        for r in (vectors.learn_rotations(x, 48)[:, :24], vectors.random_rotations(24, 48)[:, :24]):
+            assert np.abs(r.T @ r - np.eye(24)).max() < 1e-9
+            y = unit @ r
+            lost.append(np.abs(y).sum())
+        assert lost[0] > lost[1]
+
+
+@pytest.mark.parametrize("size", [1e160, 1e-170, 1e300])
+def test_very_large_and_small_vectors_are_linked(spark, size):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(40, 8))
+    x[20:] = x[:20] * 1.7 + rng.normal(size=(20, 8)) * 0.01
+    rows = [(i, (v * size if i < 30 else v).tolist(), 1) for i, v in enumerate(x)]
+    out = vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    want = linked([(i, v.tolist()) for i, v in enumerate(x)])
+    assert {r.vec_id: r.n_links for r in out} == want and sum(want.values()) >= 40
+
+
 def test_nothing_to_link(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert vectors.near_duplicates(none).count() == 0

@@ -137,6 +137,10 @@ def write_bundles(planned: DataFrame, folder: str, date: str = "2024-01-01T00:00
     return base.hold(planned.mapInArrow(run, INDEX), "warc-index")
 
 
+#: Frames that a reading task has on average, and the most tasks of a read.
+FRAMES, MOST_TASKS = 8, 100_000
+
+
 def seek_table(file) -> list[tuple[int, int, int]]:
     """(place, compressed size, plain size) of each frame, from the footer."""
     size = file.size()
@@ -173,24 +177,42 @@ def parse_records(data: bytes) -> Iterator[dict]:
 
 
 def read_bundles(index: DataFrame, payloads: bool = True) -> DataFrame:
-    """Every record of the bundles that `index` names, read frame by frame by their seek tables."""
+    """Every record of the bundles that `index` names: their seek tables are read, then their
+    frames, dealt to tasks one by one, so that neither a bundle nor a few of them are one
+    task's work."""
+
+    def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                store, path = open_store(name)
+                with store.open_input_file(path) as file:
+                    frames = seek_table(file)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(frames), pa.string()), *(pa.array([f[k] for f in frames], pa.int64()) for k in range(3))], names=["bundle", "_at", "_packed", "_plain"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         plain = zstandard.ZstdDecompressor()
+        now, file = None, None
         for batch in batches:
-            for name in batch.column(0).to_pylist():
-                store, path = open_store(name)
-                with store.open_input_file(path) as file:
-                    for at, packed, size in seek_table(file):
-                        rows = list(parse_records(plain.decompress(file.read_at(packed, at), max_output_size=size)))
-                        yield records_batch(rows, payloads)
-
-    bundles = index.select("bundle").distinct()
-    # a bundle is a few bytes here and megabytes to read: tasks by their number
-    bundles = bundles.repartition(min(max(1, bundles.count()), 100_000), "bundle")
-    return bundles.mapInArrow(run, RECORDS if payloads else T.StructType(RECORDS.fields[:-1]))
+            for name, at, packed, size in zip(*(c.to_pylist() for c in batch.columns)):
+                if name != now:
+                    if file is not None:
+                        file.close()
+                    store, path = open_store(name)
+                    now, file = name, store.open_input_file(path)
+                yield records_batch(list(parse_records(plain.decompress(file.read_at(packed, at), max_output_size=size))), payloads)
+        if file is not None:
+            file.close()
+
+    count = index.agg(F.count_distinct("bundle"), F.count_distinct("bundle", "frame_at")).first()
+    # a name is a few bytes here and megabytes to read, so tasks go by number; the hash keeps the
+    # planner from taking the deal for one that it has made already and merging its tasks
+    bundles = index.select("bundle").distinct().repartition(min(max(1, count[0]), MOST_TASKS), F.xxhash64("bundle"))
+    frames = bundles.mapInArrow(tables, "bundle string, _at long, _packed long, _plain long")
+    tasks = min(max(1, count[0], -(-count[1] // FRAMES)), MOST_TASKS)
+    dealt = frames.repartition(tasks, F.xxhash64("bundle", "_at")).sortWithinPartitions("bundle", "_at")
+    return dealt.mapInArrow(run, RECORDS if payloads else T.StructType(RECORDS.fields[:-1]))
 
 
 def records_batch(rows: list[dict], payloads: bool = True) -> pa.RecordBatch:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from cirrus.operators import encode as E
 from cirrus.operators import evaluate as EV
 from cirrus.operators import split as S
+from cirrus.plans import search as SE
 from cirrus.plans import train as TR
 from cirrus.registry.base import R, Registry, load, rnd
 from cirrus.session import ensure_checkpoint_dir
@@ -390,6 +391,34 @@ def x12_folds(spark, sf):
     return spark.createDataFrame(rows, "grid_point int, avg_rmse double").withColumn("avg_rmse", rnd("avg_rmse", 3))
 
 
+# one feature: the coefficient of the standardised feature is its covariance with the target, moved to 0 by λ
+LASSO_FIT = """SELECT f.fold, avg(x) AS mx, stddev_pop(x) AS sx, avg(y) AS my, covar_pop(x, y) / stddev_pop(x) AS g
+    FROM p JOIN f ON p.fold <> f.fold GROUP BY f.fold"""
+
+
+@reg.add("x4_lasso_path_cross_validated", f"""WITH p AS (SELECT p_retailprice AS y, CAST(p_size AS DOUBLE) AS x, CAST(p_partkey % 4 AS INTEGER) AS fold FROM part),
+    f AS (SELECT DISTINCT fold FROM p), l AS (SELECT unnest(CAST([0.5, 2.0, 10.0, 1000000.0] AS DOUBLE[])) AS reg), fit AS ({LASSO_FIT}),
+    b AS (SELECT *, sign(g) * greatest(abs(g) - reg, 0) / sx AS b FROM fit, l),
+    e AS (SELECT reg, b.fold, avg((y - my - b * (x - mx)) * (y - my - b * (x - mx))) AS mse FROM p JOIN b ON p.fold = b.fold GROUP BY 1, 2),
+    a AS (SELECT covar_pop(x, y) / stddev_pop(x) AS g FROM p)
+    SELECT reg, {R('avg(mse)', 3)} AS mse, {R('stddev_pop(mse)', 3)} AS std, CAST(any_value(abs(g)) > reg AS INTEGER) AS features_used FROM e, a GROUP BY reg""")
+def x4_path(spark, sf):
+    p = load(spark, sf, "part").select("p_retailprice", "p_size", (F.col("p_partkey") % 4).alias("fold"))
+    path, _ = SE.lasso_path(p, ["p_size"], "p_retailprice", [0.5, 2.0, 10.0, 1e6])
+    return path.withColumns({c: rnd(c, 3) for c in ("mse", "std")})
+
+
+@reg.add("x12_random_search_classes", f"""WITH c AS (SELECT k.fold, flag, o_orderstatus AS s, count(*) AS n FROM {STUMP_SQL} x, (VALUES (0), (1), (2), (3)) k(fold) WHERE x.fold <> k.fold GROUP BY 1, 2, 3),
+    m AS (SELECT fold, flag, arg_max(s, n) AS s FROM c GROUP BY 1, 2),
+    a AS (SELECT x.fold, avg(CAST(o_orderstatus = m.s AS INTEGER)) AS acc FROM {STUMP_SQL} x JOIN m ON x.fold = m.fold AND x.flag = m.flag GROUP BY 1)
+    SELECT CAST(candidate AS INTEGER) AS candidate, CAST(4 AS INTEGER) AS folds, {R('avg(acc)')} AS score FROM a, (VALUES (0), (1)) v(candidate) GROUP BY candidate""")
+def x12_random(spark, sf):
+    # any depth is the stump of a 0/1 feature, so all candidates stay level and the last round has every fold
+    r = SE.random_search(stump_rows(spark, sf), ["flag"], "o_orderstatus", {"max_depth": (1, 2)}, n=2, model_type="decision_tree",
+                         classification=True, eta=1)
+    return r.select("candidate", "folds", rnd("score").alias("score"))
+
+
 @reg.add("ml1_ml7_stump_group_means", STUMP_PREDICTED)
 def ml1_stump(spark, sf):
     return _stump(spark, sf, "decision_tree", {"max_depth": 1})

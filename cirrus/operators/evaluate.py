@@ -216,7 +216,7 @@ def feature_importance(spark, names: Sequence[str], importances, k: int = 20) ->
 
 
 def simple_regression(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Slope, intercept and r of y on x."""
+    """Slope, intercept, r² and rows of the regression of y on x."""
     return df.agg(F.regr_slope(F.col(y).cast("double"), F.col(x).cast("double")).alias("slope"),
                   F.regr_intercept(F.col(y).cast("double"), F.col(x).cast("double")).alias("intercept"),
                   F.regr_r2(F.col(y).cast("double"), F.col(x).cast("double")).alias("r2"),

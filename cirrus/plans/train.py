@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from cirrus.session import ensure_checkpoint_dir
+from cirrus.sources.held import hold
 
 UNSUPPORTED_CRITERIA = ("absolute_error", "poisson", "log_loss")
 #: MLlib grows trees to this depth at most; it stands for the unlimited depth of `max_depth=None`.
@@ -322,9 +323,11 @@ def cv_run(df: DataFrame, features: Sequence[str], target: str, fold_col: str =
     data = data.filter(F.col("label").isNotNull())
     folds = sorted(r[0] for r in data.select(fold_col).distinct().collect())  # k values
     n_classes = int(data.agg(F.max("label")).first()[0] or 1) + 1 if classification else 0
+    # assembled once: every fold reads these rows, not the source
+    data = hold(assemble(features).transform(data).select("features", "label", fold_col), "assembled")
 
     def fitted(rows: DataFrame) -> PipelineModel:
-        return Pipeline(stages=[assemble(features), estimator(model_type, classification, params, n_classes)]).fit(rows)
+        return PipelineModel(stages=[estimator(model_type, classification, params, n_classes).fit(rows)])
 
     def scored(model: PipelineModel, rows: DataFrame) -> float:
         p = model.transform(rows)
@@ -343,7 +346,7 @@ def cv_run(df: DataFrame, features: Sequence[str], target: str, fold_col: str =
     total = scores.agg(F.avg("score").alias("mean"), F.stddev_pop("score").alias("std"),
                        F.max("score").alias("best"), F.min("score").alias("worst"),
                        F.avg("train_score").alias("train_mean"), F.count(F.lit(1)).alias("folds"))
-    return CVResult(scores, total, fitted(data) if refit else None)
+    return CVResult(scores, total, PipelineModel(stages=[assemble(features), *fitted(data).stages]) if refit else None)
 
 
 def cross_validate(df: DataFrame, features: Sequence[str], target: str, fold_col: str = "fold",

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cirrus.operators.encode import checked_join, rank_values
+from cirrus.session import ensure_checkpoint_dir
 from cirrus.sources.ingest import ROW_ID, with_row_id
 
 TRAIN, VAL, TEST = "train", "val", "test"
@@ -41,6 +42,8 @@ def hash_key(seed: int, key_cols: Sequence[str]) -> Column:
 
 #: Hexadecimal digits of the md5 that number a bucket: 65,536 buckets of even size.
 _DIGITS = 4
+#: Classes whose cuts are looked up by broadcast.
+_CLASSES = 100_000
 
 
 def hash_cuts(df: DataFrame, seed: int | Column, key_cols: Sequence[str], ranks, by: Sequence[str] = ()) -> DataFrame:
@@ -50,9 +53,11 @@ def hash_cuts(df: DataFrame, seed: int | Column, key_cols: Sequence[str], ranks,
     a rank past the end gives null). Rows are counted per md5 bucket, and only the
     buckets that a rank falls in are sorted; the table itself is neither shuffled nor
     written, since a row then finds its place by comparing its own md5 with the cuts.
-    The key must be unique; rows of one key fall on the same side.
+    The key must be unique; rows of one key fall on the same side. The counts are kept by a
+    checkpoint, so the rows are read twice: to count them, and for the buckets asked for.
     """
     by = list(by)
+    ensure_checkpoint_dir(df.sparkSession)
     h = hash_key(seed, key_cols) if isinstance(seed, int) else F.md5(F.concat_ws(
         ":", seed.cast("string"), *[F.col(k).cast("string") for k in key_cols]))
     rows = df.select(*by, h.alias("_h")).withColumn("_b", F.substring("_h", 1, _DIGITS))
@@ -61,6 +66,7 @@ def hash_cuts(df: DataFrame, seed: int | Column, key_cols: Sequence[str], ranks,
     group = Window.partitionBy(*(by or [F.lit(0)]))
     upto = F.sum("_c").over(group.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))
     counts = counts.select(*by, "_b", "_c", (upto - F.col("_c")).alias("_off"), F.sum("_c").over(group).alias("_n"))
+    counts = counts.checkpoint(eager=True)
     wanted = ranks(F.col("_n"))
     need = counts.select(*by, "_b", "_off", "_c", "_n", F.posexplode(F.array(*[
         F.lit(r).cast("long") if isinstance(r, int) else r.cast("long") for r in wanted])).alias("_i", "_r"))
@@ -69,7 +75,9 @@ def hash_cuts(df: DataFrame, seed: int | Column, key_cols: Sequence[str], ranks,
     on = [F.col(c).eqNullSafe(F.col(f"_s_{c}")) for c in [*by, "_b"]]
     asked = inside.groupBy(*[f"_s_{c}" for c in [*by, "_b"]]).agg(F.collect_list(F.struct("_i", "_r")).alias("_asked"))
     place = F.row_number().over(Window.partitionBy(*by, "_b").orderBy("_h")) - 1
-    hit = (rows.join(asked, on).withColumn("_p", place)
+    # a row for each rank and group at most; a broadcast leaves all other rows where they are
+    known = len(wanted) if not by else None
+    hit = (checked_join(rows, asked, on, "inner", _CLASSES, known).withColumn("_p", place)
                .select(*by, "_h", F.explode(F.filter("_asked", lambda x: x["_r"] == F.col("_p"))).alias("_a")))
     cuts = hit.groupBy(*by).agg(*[F.max(F.when(F.col("_a._i") == i, F.col("_h"))).alias(f"c{i}") for i in range(len(wanted))])
     sizes = counts.groupBy(*by).agg(F.max("_n").alias("_n"))
@@ -125,17 +133,32 @@ def random_split_indices(df: DataFrame, key_cols: Sequence[str], train: float =
                   [TRAIN, VAL, TEST])
 
 
+def _class_cuts(df: DataFrame, label: str, cuts: DataFrame, most: int = _CLASSES) -> DataFrame:
+    """The rows of `df` with the cuts (_class, _n, _c0, _c1) of their class. The `most` largest
+    classes are looked up by broadcast, so that no task sorts or holds a whole one; the
+    rows of the others, each less than 1/`most` of the table, meet their cuts in a shuffle."""
+    on = F.col(f"`{label}`").eqNullSafe(F.col("_class"))
+    if cuts.count() <= most:
+        return df.join(F.broadcast(cuts), on, "left")
+    # fixed, so that rows of one class all go one way when sizes tie
+    large = cuts.orderBy(F.desc("_n")).limit(most).checkpoint(eager=True)
+    j = df.join(F.broadcast(large), on, "left")
+    rest = j.filter(F.col("_n").isNull()).select(*[F.col(f"`{c}`") for c in df.columns])
+    return j.filter(F.col("_n").isNotNull()).unionByName(rest.join(cuts, on, "left"))
+
+
 def stratified_split(df: DataFrame, label: str, key_cols: Sequence[str], train: float = 0.7,
                      val: float = 0.15, test: float = 0.15, seed: int = 42) -> DataFrame:
     """SP3: the SP1 sizes applied inside every class, so each split keeps
     the class proportions (up to the ceilings); rows without a class are a
     class of their own."""
     train, val, test = check_sizes(train, val, test)
+    ensure_checkpoint_dir(df.sparkSession)
     cuts = hash_cuts(df, seed, key_cols, _exact_ranks(train, val, test), by=[label])
-    cuts = cuts.select(F.col(label).alias("_class"), "c0", "c1")
-    j = df.join(cuts, F.col(label).eqNullSafe(F.col("_class")), "left")
-    side = _side(hash_key(seed, key_cols), [F.col("c0"), F.col("c1")], [TEST, VAL, TRAIN])
-    return j.select(*[df[c] for c in df.columns], side.alias("split"))
+    cuts = cuts.select(F.col(f"`{label}`").alias("_class"), "_n", F.col("c0").alias("_c0"), F.col("c1").alias("_c1"))
+    j = _class_cuts(df, label, cuts.checkpoint(eager=True))
+    side = _side(hash_key(seed, key_cols), [F.col("_c0"), F.col("_c1")], [TEST, VAL, TRAIN])
+    return j.select(*[F.col(f"`{c}`") for c in df.columns], side.alias("split"))
 
 
 def group_split(df: DataFrame, group: str, train: float = 0.7, val: float = 0.15, test: float = 0.15,

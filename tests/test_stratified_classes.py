@@ -61,3 +61,18 @@ def test_classes_past_the_broadcast(spark, no_automatic_broadcast, monkeypatch,
 
 def test_no_rows(spark):
     assert S.stratified_split(spark.createDataFrame([], "k long, c string"), "c", ["k"]).collect() == []
+
+
+def test_rows_without_a_class(spark, no_automatic_broadcast):
+    """Most rows without a class: they are a class like any other, and no task's own."""
+    n = 400
+    df = spark.range(n).select(F.col("id").alias("k"), F.when(F.col("id") % 4 == 0, "a").alias("c"))
+    out = S.stratified_split(df, "c", ["k"])
+    assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    sizes = {(r["c"], r["split"]): r["count"] for r in out.groupBy("c", "split").count().collect()}
+    want = {}
+    for c, size in (("a", 100), (None, 300)):
+        test = math.ceil(size * 0.15)
+        val = math.ceil(0.15 / (0.7 + 0.15) * (size - test))
+        want |= {(c, "test"): test, (c, "val"): val, (c, "train"): size - test - val}
+    assert sizes == want

@@ -20,6 +20,8 @@ from cirrus.operators.placed import RUN, cut_points, order_struct, place, runs_o
 from cirrus.sources.held import hold
 from cirrus.sources.ingest import ROW_ID
 
+#: Rows of a run in a large table, which gets more runs than asked for, MAX_RUNS by this rule at most.
+RUN_ROWS, MAX_RUNS = 100_000, 1000
 
 def _wide_cuts(narrow: DataFrame, order: list[str], cuts: list, least: int) -> list:
     """`cuts` without those that leave fewer than `least` rows between them, so that a
@@ -66,12 +68,14 @@ def _haloed(df: DataFrame, order: list[str], before: int, after: int, runs: int)
 def frames(df: DataFrame, cols: Sequence[str], before: int, after: int, order_by: Sequence[str] | None = None,
            keys: Sequence[str] = (), runs: int | None = None, name: str = "window") -> DataFrame:
     """Attach to every row the array of `cols` structs of the rows in
-    [i−before, i+after] (same key), as `name`, with its size `<name>_size`."""
+    [i−before, i+after] (same key), as `name`, with its size `<name>_size`. `runs` is the
+    least number of runs: it grows with the rows, as a run is one task's."""
     keys = list(keys)
     if order_by is None and ROW_ID not in df.columns:
         raise ValueError("frames need order_by (a total order) or a _row_id column")
     order_by = list(order_by or [ROW_ID])
-    h = _haloed(df, list(dict.fromkeys([*keys, *order_by])), before, after, runs or runs_of(df))
+    runs = max(runs or runs_of(df), min(MAX_RUNS, df.count() // RUN_ROWS))
+    h = _haloed(df, list(dict.fromkeys([*keys, *order_by])), before, after, runs)
     w = Window.partitionBy(*keys, "_blk").orderBy(*order_by).rowsBetween(-before, after)
     item = F.struct(*[F.col(c) for c in cols]) if len(cols) > 1 else F.col(cols[0])
     out = h.withColumn(name, F.collect_list(item).over(w)).filter("_home").drop("_blk", "_home")

@@ -251,15 +251,23 @@ def train(df: DataFrame, features: Sequence[str], target: str, model_type: str =
         data, weight = class_weights(data, "label", rows=train_rows), "weight"
     n_classes = int(data.agg(F.max("label")).first()[0] or 1) + 1 if classification else 0
     est = estimator(model_type, classification, params, n_classes, weight=weight)
-    train_rows = data.filter(F.col(split_col) == "train") if has_split else data
     stages = [assemble(features)]
     if scale:
         stages = [stages[0].setOutputCol("raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True)]
-    model = Pipeline(stages=[*stages, est]).fit(train_rows.filter(F.col("label").isNotNull()))
+    # assembled once: every class, round and level of a fit reads these rows, not the source (a
+    # checkpoint keeps their places, on which MLlib's sample of split points depends)
+    fitting = data.filter(F.col("label").isNotNull())
+    if has_split:
+        fitting = fitting.filter(F.col(split_col).isin("train", "val"))
+    own = [c for c in (weight, split_col if has_split else None) if c]
+    fitting = stages[0].transform(fitting).select(stages[0].getOutputCol(), "label", *own).checkpoint(eager=True)
+    train_rows = fitting.filter(F.col(split_col) == "train") if has_split else fitting
+    fitted = Pipeline(stages=[*stages[1:], est]).fit(train_rows)
+    model = PipelineModel(stages=[stages[0], *fitted.stages])
     if stop and has_split and isinstance(model.stages[-1], (GBTClassificationModel, GBTRegressionModel, OneVsRestModel)):
-        val = data.filter((F.col(split_col) == "val") & F.col("label").isNotNull())
+        val = fitting.filter(F.col(split_col) == "val")
         if not val.isEmpty():
-            val = PipelineModel(stages=model.stages[:-1]).transform(val)
+            val = PipelineModel(stages=fitted.stages[:-1]).transform(val)
             model = PipelineModel(stages=[*model.stages[:-1], stopped_early(model.stages[-1], val, rounds)])
     test_rows = data.filter(F.col(split_col) == "test") if has_split else data
     pred = model.transform(test_rows)
@@ -361,17 +369,23 @@ def grid_search(df: DataFrame, features: Sequence[str], target: str, grid: dict,
                 model_type: str = "random_forest", fold_col: str | None = None):
     """Parameter grid + CrossValidator (regression, RMSE)."""
     from pyspark.ml.evaluation import RegressionEvaluator
-    data = df.withColumn("label", F.col(target).cast("double"))
+    ensure_checkpoint_dir(df.sparkSession)
+    first = assemble(features)
+    # assembled once: every fold and grid point reads these rows, not the source
+    data = first.transform(df.withColumn("label", F.col(target).cast("double")))
+    data = data.select("features", "label", *([fold_col] if fold_col else [])).checkpoint(eager=True)
     est = estimator(model_type, False)
     b = ParamGridBuilder()
     for k, vals in grid.items():
         b = b.addGrid(getattr(est, k), vals)
-    cv = CrossValidator(estimator=Pipeline(stages=[assemble(features), est]),
+    cv = CrossValidator(estimator=Pipeline(stages=[est]),
                         estimatorParamMaps=b.build(), evaluator=RegressionEvaluator(metricName="rmse"),
                         numFolds=folds, seed=42, parallelism=2)
     if fold_col:
         cv = cv.setFoldCol(fold_col)
-    return cv.fit(data)
+    model = cv.fit(data)
+    model.bestModel = PipelineModel(stages=[first, *model.bestModel.stages])  # scores rows like `df`
+    return model
 
 
 def lasso_selection(df: DataFrame, features: Sequence[str], target: str, reg: float = 0.1) -> DataFrame:

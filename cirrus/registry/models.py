@@ -297,7 +297,8 @@ def _order_features(spark, sf):
         F.sum("l_quantity").alias("qty"), F.avg("l_discount").alias("disc"), F.count(F.lit(1)).alias("lines"),
         F.sum("l_extendedprice").alias("gross"))
     o = load(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
-    return o.join(li, o.o_orderkey == li.l_orderkey).drop("l_orderkey")
+    # joined once: splits, folds and fits go over these rows many times
+    return o.join(li, o.o_orderkey == li.l_orderkey).drop("l_orderkey").checkpoint(eager=True)
 
 
 FEATS = ["qty", "disc", "lines", "gross"]
